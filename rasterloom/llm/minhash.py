@@ -2,23 +2,25 @@
 
 1. One pass over the texts hashes each document's distinct word shingles and keeps
    the ``k`` smallest values (its sketch), the set's size, a 128-bit signature of
-   the whole set and a 64-bit fold of the sketch (one bit from each of 64 hash
-   ranges).
+   the whole set and a 128-bit fold of it (one bit of the smallest value in each of
+   128 hash ranges).
 2. Documents with one and the same set collapse to the smallest id by a grouped
    minimum, so groups of copies cost one row.
 3. Inverted lists of retained values generate overlaps. First each list links its
-   members to its smallest member only: rows stay linear in the list's length.
-   After the components that this finds, short lists give their remaining pairs
-   between components; long ones are split by each member's next retained values
-   until they are short, and what is still long at the last level is compared in
-   blocks. No pair is dropped for the length of its list.
+   members to its first and its last member only: rows stay linear in the list's
+   length. Of what this leaves unlinked, lists with few pairs between components give
+   them all. Large lists of documents that share most values (groups of near copies)
+   are compared block by block; other large lists are split by two and three values
+   of a document that lie in such lists, and what is large even then is compared in
+   blocks, too. No pair is dropped for the length of its list.
 4. The fold, then the union-sketch estimate, discard pairs far below the threshold;
    exact Jaccard similarity of the full shingle sets of the whole texts decides.
 
-Why few retained values do: at similarity J each of the union's smallest values is
-shared with probability J, so among its 10 smallest none is shared with
-probability 0.2 ** 10 = 1e-7 at J = 0.8. The margins of the fold (22 of 64 bits)
-and of the estimate (0.25 below the threshold) lie five standard deviations out.
+Why ``STEP`` = 14 retained values do: at similarity J each of the union's smallest
+values is shared with probability J, so among its 14 smallest fewer than three are
+shared with probability 2.4e-7 at J = 0.8, and none with 2e-10. The margins of the
+fold (29 of 128 bits) and of the estimate (which shrinks to nothing as the sketches
+cover the sets) are five standard deviations.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
 
-K = 64  # retained values of a document
-STEP = 10  # retained values that index a document at each level
-SHORT = 48  # members of a list that still gives all its pairs
-LEVELS = 3
-FOLD_BITS = 22
+K = 256  # retained values of a document, 32 leading bits of each
+STEP = 14  # retained values that index a document
+OPEN = 128  # pairs between components for each member, up to which a list gives them all
+LEVELS = 3  # values that split the other lists
+FOLD_BITS = 29
+DENSE = 6  # large lists of a document, on average, from which splitting makes more rows than it saves
 BLOCK = 256  # members of a block in the last level's block comparison
 CHUNK = 1 << 20  # bytes of text hashed at a time
 
@@ -122,40 +125,46 @@ def _as_bytes(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
-def _fold(sets: np.ndarray) -> int:
-    """A bit of the smallest value in each of 64 ranges; 0 where a range is empty."""
+def _fold(sets: np.ndarray) -> tuple[int, int]:
+    """A bit of the smallest value in each of 128 ranges; 0 where a range is empty."""
     if not len(sets):
-        return 0
-    slot = (sets >> _U(58)).astype(np.int64)
+        return 0, 0
+    slot = (sets >> _U(57)).astype(np.int64)
     head = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-    bits = (sets[head] & _U(1)) << slot[head].astype(_U)
-    return int(np.bitwise_or.reduce(bits).astype(np.int64))
+    bits = (sets[head] & _U(1)) << (slot[head] & 63).astype(_U)
+    half = int(np.searchsorted(slot[head], 64))
+    return tuple(int(np.bitwise_or.reduce(x, initial=_U(0)).astype(np.int64)) for x in (bits[:half], bits[half:]))
 
 
-_SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, fold long, mins array<long>"
+_SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, f1 long, f2 long, keys array<long>, mins array<int>"
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
-    """Sketch of each row: ``doc_id, n_shingles, s1, s2, fold, mins`` (ascending)."""
+    """Sketch of each row: ``doc_id, n_shingles, s1, s2, f1, f2``, the ``STEP``
+    smallest values as ``keys`` and the leading halves of the ``k`` smallest as ``mins``, ascending."""
 
     def run(batches):
         for b in batches:
             texts, ids = _as_bytes(b.column(1)), b.column(0)
             for at, part in _chunks(texts):
-                n, s1, s2, fold, mins = [], [], [], [], []
+                n, s1, s2, f1, f2, keys, mins = [], [], [], [], [], [], []
                 for s in shingle_sets(part, words):
                     n.append(len(s))
                     with np.errstate(over="ignore"):
                         s1.append(int(s.sum(dtype=_U).astype(np.int64)))
                         s2.append(int(_mix(s + _U(0x2545F4914F6CDD1D)).sum(dtype=_U).astype(np.int64)))
-                    fold.append(_fold(s))
-                    # The order of a signed comparison, so that Spark's sort agrees.
-                    mins.append((s[:k] ^ _U(1 << 63)).astype(np.int64))
-                lens = np.cumsum([0, *map(len, mins)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(lens, pa.array(np.concatenate(mins), pa.int64()))
+                    one, two = _fold(s)
+                    f1.append(one)
+                    f2.append(two)
+                    # Flipped so that a signed comparison has the same order.
+                    own = (s[:k] ^ _U(1 << 63)).astype(np.int64)
+                    keys.append(own[:STEP])
+                    mins.append((own >> 32).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.array(np.concatenate(x)))
+                         for x in (keys, mins)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(part)), *(pa.array(x, pa.int64()) for x in (n, s1, s2, fold)), lists],
-                    ["doc_id", "n_shingles", "s1", "s2", "fold", "mins"])
+                    [ids.slice(at, len(part)), *(pa.array(x, pa.int64()) for x in (n, s1, s2, f1, f2)), *lists],
+                    ["doc_id", "n_shingles", "s1", "s2", "f1", "f2", "keys", "mins"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
 
@@ -200,20 +209,28 @@ def _sets_once(texts: list[bytes], known: dict, words: int) -> list[np.ndarray]:
 def _likely(a: str, b: str, percent: int):
     """Sizes that allow the similarity, and folds that agree on enough bits."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-            & (F.bit_count(F.col(f"{a}.fold").bitwiseXOR(F.col(f"{b}.fold"))) <= FOLD_BITS))
+    differ = [F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in ("f1", "f2")]
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ[0] + differ[1] <= FOLD_BITS)
 
 
-def _estimated(pairs: DataFrame, sk: DataFrame, percent: int, k: int) -> DataFrame:
-    """Union-sketch estimate: share of the union's ``k`` smallest values that both hold."""
-    mins = sk.select("doc_id", "mins")
-    both = (pairs.join(mins.select(F.col("doc_id").alias("a"), F.col("mins").alias("ma")), "a")
-            .join(mins.select(F.col("doc_id").alias("b"), F.col("mins").alias("mb")), "b"))
-    union = F.slice(F.sort_array(F.array_union("ma", "mb")), 1, k)
-    shared = F.array_intersect(F.array_intersect("ma", "mb"), F.col("u"))
-    return (both.withColumn("u", union)
-            .where(100 * F.size(shared) >= (percent - 25) * F.size("u"))
-            .select("a", "b").distinct())
+def _near(a: str, b: str, na, nb, percent: int, k: int):
+    """Union-sketch estimate: the share of the union's ``k`` smallest values that both hold
+    reaches the threshold less five standard deviations (none where the sketch is the union)."""
+    union = F.array_size(F.array_union(a, b))
+    seen = F.least(union, F.lit(k))
+    both = F.array_intersect(a, b)
+    last = F.element_at(F.sort_array(F.array_union(a, b)), seen)
+    shared = F.when(union <= k, F.array_size(both)).otherwise(F.array_size(F.filter(both, lambda x: x <= last)))
+    j = percent / 100
+    whole = (na + nb) / (1 + j)  # size of the union at the threshold
+    margin = 5 * F.sqrt(j * (1 - j) / seen * F.greatest(F.lit(0.0), 1 - seen / whole))
+    return shared >= (j - margin) * seen - 1e-9
+
+
+def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
+    both = (pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma")), "a")
+            .join(reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb")), "b"))
+    return both.where(_near("ma", "mb", F.col("na"), F.col("nb"), percent, k)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, scratch: Scratch | None = None) -> DataFrame:
@@ -236,75 +253,93 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
                       .join(heads, ["n_shingles", "s1", "s2"]).select("doc_id", "head"))
     reps = scratch.keep(linkable.join(of.where("doc_id = head").select("doc_id").distinct(), "doc_id", "left_semi")
                         .dropDuplicates(["doc_id", "n_shingles", "s1", "s2"])
-                        .select("doc_id", F.col("n_shingles").alias("n"), "fold", "mins"))
-
-    # Every list links its members to its smallest member.
-    rows = scratch.keep(reps.select("doc_id", "n", "fold", F.posexplode(F.slice("mins", 1, STEP)).alias("at", "key")))
-    lead = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "fold")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    lead = lead.select("key", F.col("l.doc_id").alias("a"), "l.n", "l.fold")
-    star = (rows.alias("y").join(lead.alias("x"), "key").where(_likely("x", "y", percent) & (F.col("x.a") != F.col("y.doc_id")))
-            .select("a", F.col("y.doc_id").alias("b")).distinct())
+                        .select("doc_id", F.col("n_shingles").alias("n"), "f1", "f2", "keys", "mins"))
+
+    # Every list links its members to its first and its last one.
+    rows = reps.select("doc_id", "n", "f1", "f2", F.explode("keys").alias("key"))
+    member = F.struct("doc_id", "n", "f1", "f2")
+    lead = rows.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo != hi")
+    lead = lead.select("key", F.explode(F.array("lo", "hi")).alias("l")).select("key", F.col("l.doc_id").alias("a"), "l.n", "l.f1", "l.f2")
+    star = (rows.alias("y").join(lead.alias("x"), "key").where((F.col("x.a") != F.col("y.doc_id")) & _likely("x", "y", percent))
+            .select(F.least("a", "y.doc_id").alias("a"), F.greatest("a", "y.doc_id").alias("b")).distinct())
     star = scratch.keep(_estimated(star, reps, percent, k))
     edges = scratch.keep(_verify(star, docs, words, percent, scratch))
     comp = connected_components(edges.unionByName(of.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))), scratch)
 
     # What the first members missed: pairs between the components of a list.
     tried = star
-    more = _between(rows, reps, comp, percent, k, scratch)
+    more = _between(reps, comp, percent, k, scratch)
     more = scratch.keep(_estimated(more.join(tried, ["a", "b"], "left_anti"), reps, percent, k))
     late = scratch.keep(_verify(more, docs, words, percent, scratch))
     if not late.isEmpty():
         roots = late.select("a", "b")
         comp = connected_components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(roots), scratch)
-    scratch.drop(rows, star, more, of, reps)
+    scratch.drop(star, more, of, reps)
     return (sk.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def _between(rows: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
-    """Candidate pairs of different components within the inverted lists, ``a`` < ``b``.
-
-    A list whose members lie in one component is done. Short lists give their
-    pairs; long ones are split by each member's next ``STEP`` retained values, and
-    those still long after ``LEVELS`` are compared block by block.
-    """
-    level = rows.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "n", "fold", "at", F.coalesce("component", "doc_id").alias("comp"))
-    found = None
-    for depth in range(LEVELS):
-        level = scratch.keep(level)
-        lists = (level.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                 .where("lo != hi").select("key", "c"))
-        open_ = scratch.keep(level.join(lists, "key"))
-        short = open_.where(F.col("c") <= SHORT)
-        pairs = _pairs(short, short, percent)
-        long_ = open_.where(F.col("c") > SHORT)
-        if depth == LEVELS - 1:
-            block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK)).cast("int")
-            mine = long_.withColumn("blk", block)
-            them = mine.withColumn("with", F.explode(F.sequence(F.col("blk"), F.ceil(F.col("c") / BLOCK).cast("int") - 1)))
-            pairs = pairs.unionByName(_blocks(them, mine, percent))
-        found = pairs if found is None else found.unionByName(pairs)
-        if depth < LEVELS - 1:
-            if long_.isEmpty():
-                break
-            nxt = long_.join(reps.select("doc_id", "mins"), "doc_id")
-            level = (nxt.select("key", "doc_id", "n", "fold", "comp", "at",
-                                F.posexplode(F.slice("mins", F.col("at") + 2, STEP)).alias("step", "h"))
-                     .select(F.xxhash64("key", "h").alias("key"), "doc_id", "n", "fold",
-                             (F.col("at") + 1 + F.col("step")).alias("at"), "comp"))
-    return found.distinct()
-
-
-def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    return (left.alias("x").join(right.alias("y"), F.col("x.key") == F.col("y.key"))
+def _between(reps: DataFrame, comp: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
+    """Candidate pairs of different components within the inverted lists, ``a`` < ``b``."""
+    own = scratch.keep(reps.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                       .select("doc_id", "n", "f1", "f2", F.coalesce("component", "doc_id").alias("comp"), "keys"))
+    me = ["doc_id", "n", "f1", "f2", "comp"]
+    open_ = _open(own.select(*me, F.explode("keys").alias("key")), scratch)
+    found = _pairs(open_.where("not large"), percent)
+    # Each document's large lists, apart by whether their members share most of theirs.
+    hot = open_.where("large").groupBy(*me).agg(F.collect_list("key").alias("hots"))
+    rows = hot.select(*me, F.size("hots").alias("h"), F.explode("hots").alias("key"))
+    dense = rows.groupBy("key").agg((F.avg("h") >= DENSE).alias("dense"), F.count("*").alias("c"))
+    hot = scratch.keep(rows.join(dense, "key").groupBy(*me).agg(
+        F.sort_array(F.collect_list(F.when(F.col("dense"), F.struct("key", "c")))).alias("close"),
+        F.sort_array(F.collect_list(F.when(~F.col("dense"), F.col("key")))).alias("hots")))
+    close = hot.where(F.size("close") > 0).join(reps.select("doc_id", "mins"), "doc_id")
+    close = close.select(*me, "mins", F.col("close.key").alias("hots"), F.explode("close").alias("x")).select(
+        *me, "mins", "hots", F.col("x.key").alias("key"), F.col("x.c").alias("c"))
+    found = found.unionByName(_blocks(close, percent, k))
+    # A pair that shares only lists to be split shares three values, so lists of two and of
+    # three of a document's values hold it, too.
+    rows = hot.select(*me, "hots", F.posexplode("hots").alias("last", "key"))
+    for depth in range(2, LEVELS + 1):
+        rows = rows.select("key", *me, "hots", "last", F.posexplode(F.slice("hots", F.col("last") + 2, STEP)).alias("step", "h"))
+        rows = rows.select(*me, "hots", (F.col("last") + 1 + F.col("step")).alias("last"), F.xxhash64("key", "h").alias("key"))
+        open_ = _open(rows, scratch)
+        found = found.unionByName(_pairs(open_.where("not large"), percent))
+        rows = open_.where("large")
+        if rows.isEmpty():
+            return found.distinct()
+        rows = rows.drop("large", "c")
+    # In no order of their own, so that a pair counts at each of its lists of three.
+    rest = open_.where("large").join(reps.select("doc_id", "mins"), "doc_id").withColumn("hots", F.array("key"))
+    return found.unionByName(_blocks(rest, percent, k)).distinct()
+
+
+def _open(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of lists with several components; ``large`` if those have more than ``OPEN``
+    pairs between components for each member, ``c``: members of the list."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").cast("double").alias("m"))
+    lists = sizes.groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("comps"))
+    lists = lists.where("comps > 1").select("key", "c", (F.col("c") * F.col("c") - F.col("same") > 2 * OPEN * F.col("c")).alias("large"))
+    return scratch.keep(rows.join(lists, "key"))
+
+
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
+    return (members.alias("x").join(members.alias("y"), F.col("x.key") == F.col("y.key"))
             .where((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & _likely("x", "y", percent))
             .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")))
 
 
-def _blocks(them: DataFrame, mine: DataFrame, percent: int) -> DataFrame:
+def _blocks(members: DataFrame, percent: int, k: int) -> DataFrame:
+    """All pairs of large lists, one block of members against another at a time; a pair
+    counts at the first of the ``hots`` that both have, if its sketches are near."""
+    last = F.ceil(F.col("c") / BLOCK).cast("int") - 1
+    mine = members.withColumn("blk", F.pmod(F.xxhash64("doc_id"), last + 1).cast("int"))
+    them = mine.withColumn("with", F.explode(F.sequence(F.col("blk"), last)))
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.with") == F.col("y.blk"))
-    once = (F.col("x.doc_id") != F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & _likely("x", "y", percent)
-    return (them.alias("x").join(mine.alias("y"), met).where(once)
+    ok = ((F.col("x.with") != F.col("x.blk")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & (F.col("x.comp") != F.col("y.comp"))
+    ok = ok & _likely("x", "y", percent)
+    first = F.array_min(F.array_intersect("x.hots", "y.hots")) == F.col("x.key")
+    near = _near("x.mins", "y.mins", F.col("x.n"), F.col("y.n"), percent, k)
+    return (them.alias("x").join(mine.alias("y"), met).where(F.when(ok, F.when(first, near)))
             .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")))
