@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, quality_rules, tokens
+from . import licenses, minhash, mixing, packing, quality_rules, sharding, tokens, url_filters
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,11 +24,21 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes, equal texts together."""
+    return sharding.shard(_table(spark, sf_dir, "documents"), 16)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, with the longest prefix that fits 2048 tokens."""
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-text licences and licence notices of all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024)
@@ -39,13 +49,30 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and link-graph verdicts of all pages."""
+    return url_filters.verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents to source weights takes of each."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
+    "op4_license_scan": op4_license_scan,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_url_filters": op9_url_filters,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": licenses.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op9_url_filters": url_filters.SQL,
+    "op10_mixing": mixing.SQL,
 }
