@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, packing, quality_rules, sharding, tokens, url_filters
+from . import embeddings, licenses, minhash, mixing, packing, quality_model, quality_rules, sharding, tokens, url_filters
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +39,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a model of the labelled ones."""
+    return quality_model.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024)
@@ -49,6 +54,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings within their labels: cosine 0.98."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and link-graph verdicts of all pages."""
     return url_filters.verdicts(_table(spark, sf_dir, "pages"))
@@ -64,8 +74,10 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_license_scan": op4_license_scan,
+    "op5_quality_model": op5_quality_model,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
 }
@@ -73,6 +85,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": licenses.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op8_embedding_dedup": embeddings.SQL,
     "op9_url_filters": url_filters.SQL,
     "op10_mixing": mixing.SQL,
 }
