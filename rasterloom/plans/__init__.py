@@ -1 +1,4 @@
+"""Registered queries; importing this package fills ``registry``."""
 
+from . import selection  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
