@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,16 +64,16 @@ class Encoder:
 
     def _learn(self, pieces: list[str], keys: list[int]) -> None:
         for lo in range(0, len(pieces), 4096):
-            for k, e in zip(keys[lo:], self.tok.encode_batch_fast(pieces[lo:lo + 4096], add_special_tokens=False)):
-                r, ids = len(self.row), e.ids
-                if r + 2 > len(self.at):
-                    self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-                a = self.at[r]
-                while a + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                self.flat[a:a + len(ids)] = ids
-                self.at[r + 1] = a + len(ids)
-                self.row[k] = r
+            got = [e.ids for e in self.tok.encode_batch_fast(pieces[lo:lo + 4096], add_special_tokens=False)]
+            r, n = len(self.row), len(got)
+            ends = np.cumsum(np.fromiter(map(len, got), np.int64, n)) + self.at[r]
+            while r + n + 1 > len(self.at):
+                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            while ends[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            self.flat[self.at[r]:ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32)
+            self.at[r + 1:r + n + 1] = ends
+            self.row.update(zip(keys[lo:lo + 4096], range(r, r + n)))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 CHUNK = 1 << 20  # code points handled at a time
-CACHE = 400_000  # distinct pieces a worker remembers
+CACHE = 1_000_000  # distinct pieces a worker remembers
 
 # Code points with the Unicode property White_Space.
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
