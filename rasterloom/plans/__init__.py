@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills ``registry``."""
 
-from . import selection, splits  # noqa: F401
+from . import rasters, selection, splits  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
