@@ -216,15 +216,21 @@ def _likely(a: str, b: str, percent: int):
 def _near(a: str, b: str, na, nb, percent: int, k: int):
     """Union-sketch estimate: the share of the union's ``k`` smallest values that both hold
     reaches the threshold less five standard deviations (none where the sketch is the union)."""
-    union = F.array_size(F.array_union(a, b))
-    seen = F.least(union, F.lit(k))
     both = F.array_intersect(a, b)
-    last = F.element_at(F.sort_array(F.array_union(a, b)), seen)
-    shared = F.when(union <= k, F.array_size(both)).otherwise(F.array_size(F.filter(both, lambda x: x <= last)))
     j = percent / 100
     whole = (na + nb) / (1 + j)  # size of the union at the threshold
-    margin = 5 * F.sqrt(j * (1 - j) / seen * F.greatest(F.lit(0.0), 1 - seen / whole))
-    return shared >= (j - margin) * seen - 1e-9
+
+    def test(m):
+        union = F.array_size(a) + F.array_size(b) - m
+        seen = F.least(union, F.lit(k))
+        margin = 5 * F.sqrt(j * (1 - j) / seen * F.greatest(F.lit(0.0), 1 - seen / whole))
+        smallest = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+        enough = lambda shared: shared >= (j - margin) * seen - 1e-9
+        # What lies among the union's smallest is part of what both hold.
+        return F.when(~enough(m), False).when(union <= k, True).otherwise(enough(F.array_size(F.array_intersect(both, smallest))))
+
+    # As a lambda's variable the intersection is evaluated once.
+    return F.get(F.transform(F.array(F.array_size(both)), test), F.lit(0))
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
