@@ -56,7 +56,7 @@ def mix(docs: DataFrame, scratch: Scratch | None = None, size: Column | None = N
     key = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = scratch.keep(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *(keep or [])))
     count = rows.count()
-    digits = 1
+    digits = 2
     while 16 ** digits * PER_RANGE < count * 4:
         digits += 1
     rows = rows.withColumn("range", F.substring("key", 1, digits))
