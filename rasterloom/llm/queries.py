@@ -83,6 +83,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": minhash.SQL,
     "op4_license_scan": licenses.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op8_embedding_dedup": embeddings.SQL,
