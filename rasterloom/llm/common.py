@@ -86,7 +86,7 @@ def prefix_offsets(buckets: DataFrame, group: list[str], bucket: str, total: str
     return buckets.withColumn(out, F.coalesce(F.sum(total).over(w), F.lit(0).cast("long")))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id of each node with an edge: columns ``node``, ``component``.
 
     Alternating large-star and small-star steps: each is a grouped minimum and a
@@ -97,9 +97,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         edges.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     mark = _mark(cur)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = (sym.where("v > u").join(low, "u")
