@@ -38,7 +38,7 @@ OPEN = 128  # pairs between components for each member, up to which a list gives
 LEVELS = 3  # values that split the other lists
 FOLD_BITS = 29
 DENSE = 6  # large lists of a document, on average, from which splitting makes more rows than it saves
-BLOCK = 256  # members of a block in the last level's block comparison
+BLOCK = 512  # members of a block, at least, where lists are compared block by block
 CHUNK = 1 << 20  # bytes of text hashed at a time
 
 _U = np.uint64
@@ -339,7 +339,8 @@ def _pairs(members: DataFrame, percent: int) -> DataFrame:
 def _blocks(members: DataFrame, percent: int, k: int) -> DataFrame:
     """All pairs of large lists, one block of members against another at a time; a pair
     counts at the first of the ``hots`` that both have, if its sketches are near."""
-    last = F.ceil(F.col("c") / BLOCK).cast("int") - 1
+    # Blocks grow with the root of the list, so copies of rows grow slower than its square.
+    last = F.ceil(F.col("c") / F.greatest(F.lit(float(BLOCK)), 4 * F.sqrt("c"))).cast("int") - 1
     mine = members.withColumn("blk", F.pmod(F.xxhash64("doc_id"), last + 1).cast("int"))
     them = mine.withColumn("with", F.explode(F.sequence(F.col("blk"), last)))
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.with") == F.col("y.blk"))
