@@ -2,11 +2,15 @@
 
 Every document gets exact counts of its whole text. Five rates are derived from them
 and summarised per language and source by a log-bucket quantile sketch: a rate's
-bucket is its binary exponent with three more bits (values below 16 are exact), and
+bucket is its binary exponent with six more bits (values below 128 are exact), and
 a sketch is the count per bucket. Sketches merge by adding counts, so they are built
 with partial aggregation, and thin groups fall back on the merged sketch of their
 language or of the corpus. Fences derived from the quantiles take the place of fixed
-cutoffs and are joined back to the documents.
+cutoffs and are joined back to the documents. An upper fence lies ``SPREADS`` spreads
+above its group's median; the spread is the interquartile range or, where most rates
+are 0, the way from the median to the ninth decile. It is capped by the fence that the
+language's (and, for rates that hardly depend on the language, the corpus's) sketch
+gives at ``CAP_SPREADS``, so that a group full of junk does not lift its own fence.
 """
 
 from __future__ import annotations
@@ -26,9 +30,13 @@ RATES = {
     "upper": ("1000 * n_upper", "word_chars"),
     "word_len": ("100 * word_chars", "n_words"),
 }
-#: A rate is never rejected up to this value, however narrow its group's spread.
-FLOORS = {"symbols": 40, "dup_lines": 400, "repeats": 300, "upper": 250, "word_len": 900}
-SPREADS = 4  # fences lie so many interquartile ranges from the median
+#: The fixed bounds: a fence is at least the first value, and a text with no more than so many
+#: symbols, repeated lines, repeated words or capitals is not rejected for them.
+GUARDS = {"symbols": (10, 4), "dup_lines": (5, 2), "repeats": (20, 40), "upper": (5, 4), "word_len": (0, None)}
+COUNTS = {"symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words", "upper": "n_upper"}
+BY_LANG = ("upper", "word_len")  # rates that the corpus's sketch does not cap
+SPREADS = 4  # fences lie so many spreads from the median
+CAP_SPREADS = 6  # the same for the cap
 LEAST = 200  # documents of a group that has fences of its own
 
 
@@ -80,16 +88,16 @@ def _rate(name: str) -> Column:
 
 
 def _bucket(x: Column) -> Column:
-    """Log bucket of a non-negative whole number: its exponent and three more bits."""
-    e = F.length(F.bin(x)) - 4
-    return F.when(x < 16, x.cast("int")).otherwise(e * 8 + F.call_function("shiftright", x, e).cast("int"))
+    """Log bucket of a non-negative whole number: its exponent and six more bits."""
+    e = F.length(F.bin(x)) - 7
+    return F.when(x < 128, x.cast("int")).otherwise(e * 64 + F.call_function("shiftright", x, e).cast("int"))
 
 
 def _value(bucket: str) -> Column:
     """Smallest value of a bucket."""
     b = F.col(bucket)
-    return F.when(b < 16, b.cast("long")).otherwise(
-        F.call_function("shiftleft", (b % 8 + 8).cast("long"), F.floor(b / 8).cast("int") - 1))
+    return F.when(b < 128, b.cast("long")).otherwise(
+        F.call_function("shiftleft", (b % 64 + 64).cast("long"), F.floor(b / 64).cast("int") - 1))
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
@@ -111,15 +119,22 @@ def thresholds(counts: DataFrame) -> DataFrame:
     for r in RATES:
         def pick(what, r=r):
             return F.coalesce(*[F.when(F.col(f"{k}.docs") >= n, F.col(f"{k}.{what}_{r}")) for k, n in (("o", LEAST), ("l", LEAST), ("e", 0))], null)
+
+        def cap(k, r=r):
+            m = F.col(f"{k}.mid_{r}")
+            return m + CAP_SPREADS * F.greatest(2 * (m - F.col(f"{k}.bottom_{r}")), F.col(f"{k}.high_{r}") - m)
         mid, spread = pick("mid"), pick("top") - pick("bottom")
-        cols.append(F.greatest(F.lit(FLOORS[r]).cast("long"), mid + SPREADS * spread).alias(f"high_{r}"))
+        by_lang = F.when(F.col("l.docs") >= LEAST, cap("l"))
+        caps = [F.coalesce(by_lang, cap("e"))] if r in BY_LANG else [by_lang, cap("e")]
+        upper = F.least(mid + SPREADS * F.greatest(spread, pick("high") - mid), *caps)
+        cols.append(F.greatest(F.lit(GUARDS[r][0]).cast("long"), upper).alias(f"high_{r}"))
         if r == "word_len":
             cols.append((mid - SPREADS * F.greatest(spread, F.lit(30).cast("long"))).alias("low_word_len"))
     return out.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *cols)
 
 
 def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of each rate from (merged) sketches, one row per key."""
+    """Quartiles and ninth decile of each rate from (merged) sketches, one row per key."""
     merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "rate")
     upto = F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
@@ -130,7 +145,7 @@ def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
     return ranked.groupBy(*keys).agg(
         F.max("all").alias("docs"),
-        *[quantile(r, p).alias(f"{name}_{r}") for r in RATES for name, p in (("bottom", 25), ("mid", 50), ("top", 75))])
+        *[quantile(r, p).alias(f"{name}_{r}") for r in RATES for name, p in (("bottom", 25), ("mid", 50), ("top", 75), ("high", 90))])
 
 
 def _spread(counted: DataFrame) -> DataFrame:
@@ -139,10 +154,12 @@ def _spread(counted: DataFrame) -> DataFrame:
 
 
 def _verdict() -> Column:
-    inside = [_rate(r) <= F.col(f"f.high_{r}") for r in RATES] + [_rate("word_len") >= F.col("f.low_word_len")]
+    inside = [_rate(r) <= F.col(f"f.high_{r}") for r in RATES]
+    inside = [x | (F.col(COUNTS[r]) <= GUARDS[r][1]) if r in COUNTS else x for r, x in zip(RATES, inside)]
+    inside.append(_rate("word_len") >= F.col("f.low_word_len"))
     ok = ~F.col("base_failed")
     for x in inside:
-        ok = ok & F.coalesce(x, F.lit(True))
+        ok = ok & F.coalesce(x, F.lit(True))  # no fence: nothing passed the base rule
     return ok
 
 

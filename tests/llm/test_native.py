@@ -58,6 +58,30 @@ def test_rules_keep_clean_and_catch_junk(spark):
     assert sum(got[i]["kept"] for i in bad) <= 0.1 * len(bad)
 
 
+def plain_texts(n, start, source, lines=20, repeated=0, symbols=""):
+    """Texts of invented distinct words; ``repeated`` of their lines are one line."""
+    word = lambda k: "".join(chr(97 + k // 26 ** j % 26) for j in range(5))
+    out = []
+    for i in range(start, start + n):
+        rows = [" ".join(word(7919 * (i * lines + j) + 31 * m) for m in range(8)) + symbols for j in range(lines - repeated)]
+        out.append((i, "\n".join(rows + rows[:1] * repeated), "en", source))
+    return out
+
+
+def test_quantiles_decide_for_rates_that_are_mostly_zero(docs_of):
+    rows = plain_texts(300, 0, "a") + plain_texts(3, 1000, "a", repeated=5)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs_of(rows)).collect()}
+    assert all(got[i] for i in range(300)) and not any(got[i] for i in range(1000, 1003))
+
+
+def test_a_polluted_group_does_not_lift_its_fences(docs_of):
+    junk = plain_texts(150, 9000, "bad", symbols=" ########")
+    rows = plain_texts(1700, 0, "good") + plain_texts(100, 5000, "bad") + junk
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs_of(rows)).collect()}
+    assert not any(got[r[0]] for r in junk)
+    assert all(got[i] for i in range(1700)) and all(got[i] for i in range(5000, 5100))
+
+
 def test_rules_on_odd_rows(docs_of, odd_rows):
     assert quality_rules.quality_rules(docs_of([])).collect() == []
     kept = quality_rules.keep_good(docs_of(odd_rows))
