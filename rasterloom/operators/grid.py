@@ -113,36 +113,45 @@ def edge_mask(labels: DataFrame, ignore: int = 255) -> DataFrame:
     return e.select("tile_key", "r", "c", (F.coalesce("hit", F.lit(False)) & ~F.col("m")).cast("int").alias("edge"))
 
 
-def squared_distance(mask: DataFrame, reach: int, on: str = "m") -> DataFrame:
-    """Squared distance of each cell to the nearest cell where ``on`` holds, null beyond ``reach``.
+def squared_distance(mask: DataFrame, reach: int | None = None, on: str = "m", keys: tuple = ("tile_key",)) -> DataFrame:
+    """Squared distance of each cell to the nearest cell where ``on`` holds, null where there is none
+    (or, with ``reach``, none within so many columns).
 
-    Separable: the nearest such row in each column by windows, then the least of
-    shifted g * g + d * d along the row.
+    Separable: the nearest such row in each column by windows over the whole grid of the
+    tile, so that ragged rows see all columns, then the least of g * g + d * d along the row.
     """
-    col = Window.partitionBy("tile_key", "c").orderBy("r")
-    up = F.last(F.when(F.col(on), F.col("r")), ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(F.when(F.col(on), F.col("r")), ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing))
-    g = F.least(F.col("r") - F.col("up"), F.col("down") - F.col("r"))
-    m = mask.withColumn("up", up).withColumn("down", down).withColumn("g", g).withColumn("g2", F.col("g") * F.col("g"))
-    row = Window.partitionBy("tile_key", "r").orderBy("c")
-    parts = [F.col("g2")]
-    for k in range(1, reach + 1):
-        for shift in (F.lag, F.lead):
-            other = shift(F.struct("c", "g2"), k).over(row)
-            parts.append(F.when(F.abs(other["c"] - F.col("c")) == k, other["g2"] + k * k))
-    return m.withColumn("d2", F.least(*parts)).drop("up", "down", "g", "g2")
-
-
-def signed_distance(labels: DataFrame, cls: int, reach: int) -> DataFrame:
-    """Distance to a class outside it, minus the distance to the outside within it; 0 where the class is absent."""
-    m = labels.select("tile_key", "r", "c", (F.col("label") == cls).alias("m"))
-    a = squared_distance(m, reach)
-    b = squared_distance(m.withColumn("m", ~F.col("m")), reach).select("tile_key", "r", "c", F.col("d2").alias("in2"))
-    has = m.groupBy("tile_key").agg(F.bool_or("m").alias("has"))
-    j = a.join(b, ["tile_key", "r", "c"]).join(has, "tile_key")
-    far = F.lit(float(reach + 1))
-    d = F.when(~F.col("has"), 0.0).when(F.col("m"), -F.coalesce(F.sqrt("in2"), far)).otherwise(F.coalesce(F.sqrt("d2"), far))
-    return j.select("tile_key", "r", "c", d.alias("sd"))
+    e = mask.groupBy(*keys).agg(F.max("r").alias("h"), F.max("c").alias("w"))
+    grid = (e.withColumn("r", F.explode(F.sequence(F.lit(0), "h"))).withColumn("c", F.explode(F.sequence(F.lit(0), "w")))
+            .select(*keys, "r", "c").join(mask.where(F.col(on)).select(*keys, "r", "c", F.lit(True).alias("on")), [*keys, "r", "c"], "left"))
+    col = Window.partitionBy(*keys, "c").orderBy("r")
+    up = F.last(F.when(F.col("on"), F.col("r")), ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(F.when(F.col("on"), F.col("r")), ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing))
+    g = grid.withColumn("g", F.least(F.col("r") - up, down - F.col("r"))).where("g is not null")
+    rows = g.groupBy(*keys, "r").agg(F.collect_list(F.struct("c", (F.col("g") * F.col("g")).alias("g2"))).alias("row"))
+    m = mask.join(rows, [*keys, "r"], "left")
+    near = F.col("row") if reach is None else F.filter("row", lambda o: F.abs(o["c"] - F.col("c")) <= reach)
+    return m.withColumn("d2", F.array_min(F.transform(near, lambda o: o["g2"] + (o["c"] - F.col("c")) * (o["c"] - F.col("c"))))).drop("row")
+
+
+def signed_distances(labels: DataFrame, classes: list[int], reach: int | None = None) -> DataFrame:
+    """``tile_key, cls, r, c, sd`` for each class: distance to it outside it, minus the distance to
+    the outside within it; 0 where the class is absent. A tile of one class alone lies one
+    cell more than its longer side (or than ``reach``) within it."""
+    keys = ("tile_key", "cls")
+    m = labels.select("tile_key", F.explode(F.array(*map(F.lit, classes))).alias("cls"), "r", "c", "label")
+    m = m.select(*keys, "r", "c", (F.col("label") == F.col("cls")).alias("m"))
+    a = squared_distance(m, reach, keys=keys)
+    b = squared_distance(m.withColumn("m", ~F.col("m")), reach, keys=keys).select(*keys, "r", "c", F.col("d2").alias("in2"))
+    side = F.greatest(F.max("r"), F.max("c")) + 2 if reach is None else F.lit(reach + 1)
+    has = m.groupBy(*keys).agg(F.bool_or("m").alias("has"), side.cast("double").alias("far"))
+    j = a.join(b, [*keys, "r", "c"]).join(has.select(*keys, "has", "far"), list(keys))
+    d = F.when(~F.col("has"), 0.0).when(F.col("m"), -F.coalesce(F.sqrt("in2"), "far")).otherwise(F.coalesce(F.sqrt("d2"), "far"))
+    return j.select(*keys, "r", "c", d.alias("sd"))
+
+
+def signed_distance(labels: DataFrame, cls: int, reach: int | None = None) -> DataFrame:
+    """``signed_distances`` of one class: ``tile_key, r, c, sd``."""
+    return signed_distances(labels, [cls], reach).drop("cls")
 
 
 def mosaic(layers: DataFrame, value: str, order: str) -> DataFrame:

@@ -98,11 +98,10 @@ def a38(s, d):
 
 @query("a39_boundary_dice")
 def a39(s, d):
-    """Boundary Dice of class 0 with the signed distance in each 5 x 5 tile."""
-    p = long_probs(s, d).where("cls = 0")
+    """Boundary Dice of all 13 classes with the signed distances in each 5 x 5 tile."""
     lab = X.logits(s, d).select("tile_key", "r", "c", "label")
-    sd = G.signed_distance(lab, 0, 5)
-    return M.boundary_dice(p.join(sd, ["tile_key", "r", "c"]))
+    sd = G.signed_distances(lab, list(range(13)))
+    return M.boundary_dice(long_probs(s, d).join(sd, ["tile_key", "cls", "r", "c"]))
 
 
 @query("a25_segment_majority", ", n AS (SELECT tile_key, segment_id, label, count(*) AS n FROM fx_segments WHERE label <> 255 GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY tile_key, segment_id ORDER BY n DESC, label) AS k FROM n)"

@@ -11,6 +11,8 @@ from rasterloom.operators import score as C
 from rasterloom.operators import select as S
 from rasterloom.operators import split as P
 from rasterloom.operators import weights as W
+from rasterloom.plans import QUERIES
+from rasterloom.plans.evaluation import long_probs
 from rasterloom.sources import fixtures as X
 
 
@@ -71,6 +73,45 @@ def test_signed_distance_signs(spark, sf001):
     assert d.where("(label = 0 and sd > 0) or (label <> 0 and sd < 0)").isEmpty()
 
 
+def nearest(cells, want):
+    """Signed distances by brute force: ``(r, c) -> label``."""
+    far = float(max(max(r, c) for r, c in cells) + 2)
+    on = [k for k, v in cells.items() if v == want]
+    off = [k for k, v in cells.items() if v != want]
+    far_or = lambda r, c, to: min((math.dist((r, c), k) for k in to), default=far)
+    return {(r, c): 0.0 if not on else -far_or(r, c, off) if v == want else far_or(r, c, on) for (r, c), v in cells.items()}
+
+
+def test_signed_distances_equal_brute_force(spark):
+    # 5 rows of 12, the last one ragged: its nearest cells lie in columns that it has not.
+    tiles = {"a": {(r, c): 1 if (r, c) in ((3, 11), (0, 0)) else 0 for r in range(5) for c in range(12) if r < 4 or c < 9},
+             "b": {(r, c): 1 for r in range(3) for c in range(10)}, "c": {(r, c): (r * 5 + c * 3) % 7 for r in range(11) for c in range(4)}}
+    df = spark.createDataFrame([(t, r, c, v) for t, p in tiles.items() for (r, c), v in p.items()], "tile_key string, r int, c int, label int")
+    got = {(x["tile_key"], x["cls"], x["r"], x["c"]): x["sd"] for x in G.signed_distances(df, [0, 1, 2]).collect()}
+    want = {(t, k, *at): d for t, p in tiles.items() for k in (0, 1, 2) for at, d in nearest(p, k).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_signed_distance_query_covers_all_pixels(spark, sf001):
+    assert QUERIES["g7_signed_distance"](spark, sf001).count() == X.labels(spark, sf001).count()
+
+
+def test_boundary_dice_query_averages_all_classes(spark, sf001):
+    tiles, cells = {}, long_probs(spark, sf001).collect()
+    for x in cells:
+        tiles.setdefault(x["tile_key"], {})[x["r"], x["c"]] = x["label"]
+    sd = {(t, k): nearest(p, k) for t, p in tiles.items() for k in range(13)}
+    over, under = [0.0] * 13, [0.0] * 13
+    for x in cells:
+        of = sd[x["tile_key"], x["cls"]]
+        lo, hi = min(of.values()), max(of.values())
+        d = (of[x["r"], x["c"]] - lo) / (hi - lo + 1e-6)
+        over[x["cls"]] += x["p"] * x["hit"] * d
+        under[x["cls"]] += (x["p"] + x["hit"]) * d
+    want = 1 - sum((2 * a + 1e-6) / (b + 1e-6) for a, b in zip(over, under)) / 13
+    assert abs(QUERIES["a39_boundary_dice"](spark, sf001).first()["loss"] - want) < 1e-9
+
+
 def test_projection_origin(spark):
     # The grid's origin is 10 E, 52 N; zone 32632's meridian is 9 E.
     lon, lat = G.utm_to_geographic(F.lit(568649.0), F.lit(5761510.9), F.lit(32))
