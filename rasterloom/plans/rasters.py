@@ -88,7 +88,7 @@ def p29(s, d):
 
 @query("p30_all_nodata_tile", "SELECT tile_key, bool_and(b0 = -32768 AND b1 = -32768 AND b2 = -32768 AND b3 = -32768) AS empty FROM fx_pixels WHERE r < 1 GROUP BY 1")
 def p30(s, d):
-    return X.banded(s, d).where("r < 1").groupBy("tile_key").agg(F.bool_and(B.all_nodata()).alias("empty"))
+    return X.banded(s, d).groupBy("tile_key").agg(F.bool_and(B.all_nodata()).alias("empty"))
 
 
 @query("a7_valid_counts", "SELECT tile_key, i::INT AS band, count(*) FILTER (bands[i + 1] <> -32768) AS n_valid FROM fx_labels CROSS JOIN range(4) g(i) GROUP BY ALL")

@@ -112,6 +112,13 @@ def test_boundary_dice_query_averages_all_classes(spark, sf001):
     assert abs(QUERIES["a39_boundary_dice"](spark, sf001).first()["loss"] - want) < 1e-9
 
 
+def test_tile_with_an_empty_first_row_is_not_empty(spark, monkeypatch):
+    cells = [("a", r, c, [-32768.0 if r == 0 else 1.0] * 4) for r in range(3) for c in range(2)] + [("b", 0, 0, [-32768.0] * 4), ("b", 1, 0, [-32768.0] * 4)]
+    df = spark.createDataFrame(cells, "tile_key string, r int, c int, bands array<double>")
+    monkeypatch.setattr(X, "banded", lambda s, d: df)
+    assert {x["tile_key"]: x["empty"] for x in QUERIES["p30_all_nodata_tile"](spark, "").collect()} == {"a": False, "b": True}
+
+
 def test_projection_origin(spark):
     # The grid's origin is 10 E, 52 N; zone 32632's meridian is 9 E.
     lon, lat = G.utm_to_geographic(F.lit(568649.0), F.lit(5761510.9), F.lit(32))
