@@ -129,3 +129,26 @@ def test_distrust_flows_back_and_trust_forward(spark):
             (5, "https://alone.info/a", link.format("elsewhere.info"))]
     got = {r["page_id"]: r["verdict"] for r in url_filters.verdicts(pages(spark, rows)).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    link = '<a href="https://h{}.info/x">x</a>'
+    rows = [(0, "https://h0.org/es/1", "")] + [(i, f"https://h{i}.info/a", link.format(i - 1) if i > 1 else '<a href="https://h0.org/">x</a>') for i in range(1, 13)]
+    got = {r["page_id"]: r["verdict"] for r in url_filters.verdicts(pages(spark, rows)).collect()}
+    assert set(got.values()) == {"block"}
+
+
+def test_walk_equals_a_converged_one_and_keeps_small_shares(spark):
+    from rasterloom.llm.common import Scratch
+
+    edges = {("a", "b"): 1, ("b", "c"): 2, ("c", "a"): 1, ("b", "d"): 1, **{("d", f"x{i}"): 1 for i in range(50)}}
+    want = {}
+    for _ in range(400):
+        out = Counter({"a": 0.15 * 1e-9})  # a seed of a billionth of all
+        for (s, t), w in edges.items():
+            out[t] += 0.85 * want.get(s, 0.0) * w / sum(v for (u, _), v in edges.items() if u == s)
+        want = out
+    e = spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, w long")
+    seeds = spark.createDataFrame([("a", url_filters.WHOLE // 10**9)], "host string, seed long")
+    got = {r["host"]: r["mass"] / url_filters.WHOLE for r in url_filters._walk(seeds, e, Scratch(spark)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[h] / want[h] - 1) < 1e-5 for h in want)
