@@ -104,6 +104,39 @@ def test_whole_license_texts(docs_of):
     assert licenses.scan(docs_of([])).collect() == []
 
 
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def test_whole_license_files_with_titles(docs_of):
+    mit, isc = licenses.LICENSES["MIT"], licenses.LICENSES["ISC"]
+    holder = "\n\nCopyright (c) 2020 Some Body\n"
+    rows = [(1, "MIT License" + holder + mit, "en", "a"), (2, "The MIT License (MIT)\r" + holder + "All rights reserved.\n\n" + mit + "\n", "en", "a"),
+            (3, "# ISC Licence" + holder + isc, "en", "a"), (4, "BSD 2-Clause License" + holder + "All rights reserved.\n\n" + BSD2, "en", "a"), (5, BSD2, "en", "a"),
+            (6, "MIT License and more" + holder + mit, "en", "a"), (7, "MIT License\nAll rights reserved.", "en", "a")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs_of(rows)).collect()}
+    assert [got[i] for i in range(1, 8)] == ["MIT", "MIT", "ISC", "BSD-2-Clause", "BSD-2-Clause", None, None]
+
+
+def test_known_files_of_the_system(docs_of):
+    import os
+
+    files = {i: f"/usr/share/common-licenses/{i}" for i in ("Apache-2.0", "MPL-2.0", "CC0-1.0")} | {f"GPL-{v}.0": f"/usr/share/common-licenses/GPL-{v}" for v in (2, 3)}
+    files = {i: p for i, p in files.items() if os.path.exists(p)}
+    rows = [(k, open(p, encoding="utf-8").read(), "en", "a") for k, p in enumerate(files.values())]
+    assert [r["license"] for r in licenses.scan(docs_of(rows)).orderBy("doc_id").collect()] == list(files)
+
+
+def test_notices_without_the_word_license(docs_of):
+    rows = [(1, "a\nThis is free software!\nb", "en", "a"), (2, "MIT License\n\n", "en", "a")]
+    got = {r["doc_id"]: r["notices"] for r in licenses.scan(docs_of(rows), notices={"X": "This is free software.", "T": "MIT License"}).collect()}
+    assert got == {1: "X", 2: "T"}
+    assert licenses.scan(docs_of(rows), notices={}).where("n_notices = 0").count() == 2
+
+
 def test_license_odd_rows(docs_of, odd_rows):
     assert licenses.scan(docs_of(odd_rows)).count() == len(odd_rows)
 
