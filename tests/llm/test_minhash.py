@@ -80,3 +80,10 @@ def test_odd_rows(docs_of, odd_rows):
 
 def test_empty_table(docs_of):
     assert M.near_duplicates(docs_of([]), 2).collect() == []
+
+
+def test_the_fold_misses_less_than_one_in_a_million():
+    from math import comb
+
+    # At similarity 0.8 a bit of the fold differs with a probability of 0.1 at most.
+    assert sum(comb(128, k) * 0.1 ** k * 0.9 ** (128 - k) for k in range(M.FOLD_BITS + 1, 129)) < 1e-6
