@@ -9,7 +9,6 @@ tokenizer. Hashes are 64-bit sums of a mixed code point times a power of its pla
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,33 +24,53 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _CUT = re.compile("(?<=[^" + "".join(map(re.escape, map(chr, WHITE))) + "])(?=[ \n])")
+_MARKS = re.compile("[\u0300-\U0010ffff]")
 _tables: dict = {}
 
 
 def _kinds() -> np.ndarray:
-    """Class of every code point."""
+    """Class of every code point, as the tokenizers' library has it: other versions of
+    Unicode, such as Python's own, class some code points otherwise."""
     if "kinds" not in _tables:
+        from tokenizers import Regex
+        from tokenizers.pre_tokenizers import Split
+
+        code = np.array([*range(0xD800), *range(0xE000, 0x40000)])  # no letters, numbers or blanks beyond
+        text = "".join(map(chr, code))
         kinds = np.full(0x110000, OTHER, np.uint8)
-        major = np.frombuffer("".join(unicodedata.category(chr(i))[0] for i in range(0x110000)).encode(), np.uint8)
-        kinds[major == ord("L")] = LETTER
-        kinds[major == ord("N")] = NUMBER
-        kinds[WHITE] = SPACE
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for _, (lo, hi) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+                kinds[code[lo:hi]] = kind
         kinds[32] = BLANK
         _tables["kinds"] = kinds
     return _tables["kinds"]
 
 
 def _lower() -> np.ndarray:
-    """Lower case of every code point that has one of one code point."""
+    """Lower case of every code point that has one of one code point, as the library has it."""
     if "lower" not in _tables:
-        low = np.arange(0x110000, dtype=np.uint32)
-        for i in range(0x110000):
-            if not 0xD800 <= i < 0xE000 and len(x := chr(i).lower()) == 1:
-                low[i] = ord(x)
+        from tokenizers.normalizers import Lowercase
+
+        low, lower = np.arange(0x110000, dtype=np.uint32), Lowercase()
+        code = [*range(1, 0xD800), *range(0xE000, 0x20000)]  # no cases beyond
+        for at in range(0, len(code), 4096):
+            part = code[at:at + 4096]
+            for i, x in zip(part, lower.normalize_str("\0".join(map(chr, part))).split("\0"), strict=True):
+                if len(x) == 1:
+                    low[i] = ord(x)
         _tables["lower"] = low
     return _tables["lower"]
 
 
+def _nfc(text: str) -> str:
+    """NFC as the library has it; texts without a code point from U+0300 on are normalised."""
+    if not _MARKS.search(text):
+        return text
+    from tokenizers.normalizers import NFC
+
+    return NFC().normalize_str(text)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("pow", ())) < n:
         size = 1 << int(n).bit_length()
@@ -83,8 +102,7 @@ def chunks(texts: list[str], rule: str, specials: list[str]) -> Iterator[Chunk]:
         marked = special.split(text) if special and any(s in text for s in specials) else [text]
         for j, part in enumerate(marked):
             if rule == "dropped" and not j % 2:
-                part = part if unicodedata.is_normalized("NFC", part) else unicodedata.normalize("NFC", part)
-                part = part.replace("İ", "i̇")  # the one lower case of two code points
+                part = _nfc(part).replace("İ", "i̇")  # the one lower case of two code points
             for block in [part] if j % 2 else _blocks(part):
                 if size and size + len(block) > CHUNK:
                     yield _cut(held, rule)
