@@ -1,29 +1,34 @@
-"""Shared pieces of the training-data operators: scratch tables, ranks, components."""
+"""Shared pieces of the training-data operators: scratch tables, ranks, joins, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators between words: space, tab, newline, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\f\r"
 #: The same as a Java character class.
 SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]"
+#: A key with more than 1 / HOT of all rows is hot; there are at most HOT of them.
+HOT = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests
-    on one machine) a temporary folder takes its place.
+    Only with a local master, where driver and executors are one process, a temporary
+    folder takes its place if it is unset; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and (jdir := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         named = jdir.get()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
         named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return named.rstrip("/")
@@ -33,7 +38,8 @@ class Scratch:
     """Parquet tables in the shared folder that cut lineage between the steps of a job.
 
     A lost executor costs a re-read of these files, never a recomputation of the
-    steps before them. ``drop`` frees a table that no later step reads.
+    steps before them. ``drop`` frees a table that no later step reads, ``close`` all
+    of them; as a result still reads some, only who has written it can close.
     """
 
     def __init__(self, spark: SparkSession):
@@ -41,21 +47,34 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/rl-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def keep(self, df: DataFrame, **seen: Column) -> DataFrame:
+        """Writes and reads back. ``seen`` are aggregates that the same pass computes, as ``.seen`` by name."""
         self.n += 1
         path = f"{self.base}/t{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        watch = Observation()
+        watched = df.observe(watch, *[c.alias(n) for n, c in seen.items()]) if seen else df
+        watched.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._rl_path = path
+        out._rl_path, out.seen = path, watch.get if seen else {}
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
             if t is not None and hasattr(t, "_rl_path"):
-                path = jvm.org.apache.hadoop.fs.Path(t._rl_path)
-                path.getFileSystem(conf).delete(path, True)
+                self._delete(t._rl_path)
+
+    def close(self) -> None:
+        self._delete(self.base)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole(text: Column) -> Column:
@@ -86,33 +105,41 @@ def prefix_offsets(buckets: DataFrame, group: list[str], bucket: str, total: str
     return buckets.withColumn(out, F.coalesce(F.sum(total).over(w), F.lit(0).cast("long")))
 
 
+def attach(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Joins ``table``, one row per ``key`` with ``c``, the rows of that key, to ``rows``, whatever a key's share.
+
+    Keys with more than ``total / HOT`` rows, of which there are at most ``HOT``, are
+    broadcast, so their rows stay where they are; the others are shuffled, and none of
+    those holds more than ``1 / HOT`` of the rows. ``how`` is inner or left; null keys
+    find nothing.
+    """
+    hot = F.broadcast(table.where(F.col("c") * HOT > total))
+    cold = table.where(F.col("c") * HOT <= total)
+    some = rows.where(F.col(key).isNotNull())
+    out = some.join(hot, key).unionByName(some.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+    return out if how == "inner" else out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id of each node with an edge: columns ``node``, ``component``.
 
-    Alternating large-star and small-star steps: each is a grouped minimum and a
-    join on the node, so nothing is collected, and hubs pre-aggregate before the
-    shuffle. The number of steps grows with the logarithm of the longest path.
+    Alternating large-star and small-star steps, until one changes nothing: each is a
+    grouped minimum and a join on the node. Hubs pre-aggregate before the shuffle of the
+    minimum and are broadcast in the join, so no task holds a hub's edges, and nothing is
+    collected. The number of steps grows with the logarithm of the longest path.
     """
-    cur = scratch.keep(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = _mark(cur)
-    while mark[0]:
+    mark = {"rows": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v")), "y": F.bit_xor(F.xxhash64("v", "u", F.lit(1)))}
+    cur = scratch.keep(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), **mark)
+    while n := cur.seen["rows"]:
         sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = (sym.where("v > u").join(low, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = sym.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).withColumn("m", F.least("m", "u"))
+        large = scratch.keep(attach(sym.where("v > u"), low, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = (attach(large, low, "u", n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        nxt = scratch.keep(small)
-        scratch.drop(cur)
-        cur, last, mark = nxt, mark, _mark(nxt)
-        if mark == last:
+        nxt = scratch.keep(small, **mark)
+        scratch.drop(cur, large)
+        last, cur = cur.seen, nxt
+        if cur.seen == last:
             break
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
-    return tuple(row)

@@ -1,36 +1,41 @@
 """Embedding near-deduplication by product quantisation.
 
 A coarse k-means and, for residuals, one codebook per subspace are fitted on a bounded
-sample; then every vector is indexed: its list, its codes and the error they leave.
-Every vector is also a query. It probes each list that can hold a vector within the
-link distance: any such vector lies on the far side of the plane between the two
-centroids, so the distance to that plane bounds it. In a list, asymmetric distances
-are sums of table look-ups; a member stays a candidate while its look-up distance is
-within the link distance plus its own error (the triangle inequality), so neither
-step can lose a link. Exact cosine in double precision decides.
-
-Lists are compared a block of queries against a block of members at a time, so no
-task holds a whole list. A block returns a count per query and one edge per linked
-vector to the smallest one it reaches there, never its pairs. Equal vectors of a label
-collapse to one with a weight beforehand.
+sample; then every vector is indexed. Beyond ``LISTS`` lists a second coarse level of
+residual centroids divides each list, so lists grow with the table.
+
+A vector goes to each list that can hold a point within half the link distance: such a
+point lies at most that far behind the plane between the two centroids. The midpoint of
+two linked vectors is that near to both, so they meet in its list, at least; a pair
+counts in the first list that both are in. In a list, asymmetric distances are sums of
+table look-ups; a member stays a candidate while its look-up distance is within the link
+distance plus the error of its codes (the triangle inequality), so neither step can lose
+a link. Exact cosine in double precision decides.
+
+Each vector is sent once to each of its lists. Lists longer than ``BLOCK`` are compared
+a block against a block at a time, so no task holds a whole list. A block returns a
+count per vector and one edge per linked vector to the smallest one it reaches there,
+never its pairs. Equal vectors of a label collapse to one with a weight beforehand.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, attach, connected_components
 
 SAMPLE = 16_384  # vectors that fit the quantisers, at most
-LISTS = 64
+PER_LIST = 512  # vectors of a list, on average, over all labels
+LISTS = 1024  # lists of one level, at most
 SUBSPACES = 8
 CODES = 64
-BLOCK = 512
+BLOCK = 1024
 STEPS = 8
 
 
@@ -51,36 +56,51 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
 
 
+def _within(x: np.ndarray, c: np.ndarray, far: float) -> np.ndarray:
+    """Matrix of booleans: whether the cell of each centroid can hold a point within ``far`` of x."""
+    d2 = (x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T
+    own = d2.argmin(1)
+    apart = np.sqrt(np.maximum((c * c).sum(1)[own][:, None] + (c * c).sum(1) - 2 * c[own] @ c.T, 1e-30))
+    hit = (d2 - d2[np.arange(len(x)), own][:, None]) / (2 * apart) <= far + 1e-7
+    hit[np.arange(len(x)), own] = True
+    return hit
+
+
 class Quantiser:
-    """Coarse centroids and residual codebooks of one vector length."""
+    """Coarse centroids on one or two levels and residual codebooks of one vector length."""
 
-    def __init__(self, sample: np.ndarray):
-        self.dim = sample.shape[1]
-        self.coarse = _kmeans(sample, min(LISTS, max(1, len(sample) // 16)))
+    def __init__(self, sample: np.ndarray, lists: int):
+        most = min(LISTS, max(1, len(sample) // 16))
+        self.coarse = _kmeans(sample, min(lists, most))
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
-        self.parts = np.array_split(np.arange(self.dim), min(SUBSPACES, self.dim))
+        # The second level has the lists that the first may not: its centroids serve all lists.
+        inner = min(-(-lists // len(self.coarse)), most)
+        self.inner = _kmeans(rest, inner) if inner > 1 else np.zeros((1, sample.shape[1]))
+        rest = rest - self.inner[_nearest(rest, self.inner)]
+        self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [_kmeans(rest[:, p], CODES) for p in self.parts]
-        self.apart = np.sqrt(np.maximum(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2), 1e-30))
 
-    def index(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        of = _nearest(x, self.coarse)
-        rest = x - self.coarse[of]
+    def centroid(self, which: np.ndarray) -> np.ndarray:
+        return self.coarse[which // len(self.inner)] + self.inner[which % len(self.inner)]
+
+    def lists(self, x: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and the lists that can hold a point within ``far`` of them, by row and list."""
+        row, outer = np.nonzero(_within(x, self.coarse, far))
+        if len(self.inner) == 1:
+            return row, outer
+        at, inner = np.nonzero(_within(x[row] - self.coarse[outer], self.inner, far))
+        return row[at], outer[at] * len(self.inner) + inner
+
+    def codes(self, x: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Residual codes of x in lists ``which``, and the error that they leave."""
+        rest = x - self.centroid(which)
         codes = np.stack([_nearest(rest[:, p], b) for p, b in zip(self.parts, self.books)], 1)
-        back = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
-        err = np.sqrt(((rest[:, np.concatenate(self.parts)] - back) ** 2).sum(1))
-        return of, codes.astype(np.uint8), err
-
-    def probes(self, x: np.ndarray, of: np.ndarray, far: float) -> np.ndarray:
-        """Lists that can hold a vector within ``far``: a matrix of booleans."""
-        d2 = (x * x).sum(1)[:, None] + (self.coarse ** 2).sum(1) - 2 * x @ self.coarse.T
-        gap = (d2 - d2[np.arange(len(x)), of][:, None]) / (2 * self.apart[of])
-        hit = gap <= far + 1e-9
-        hit[np.arange(len(x)), of] = True
-        return hit
+        left = sum(((rest[:, p] - b[codes[:, m]]) ** 2).sum(1) for m, (p, b) in enumerate(zip(self.parts, self.books)))
+        return codes.astype(np.uint8), np.sqrt(left)
 
     def distances(self, q: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Squared look-up distances of queries to members of list ``which``."""
-        rest = q - self.coarse[which]
+        rest = q - self.centroid(np.array([which]))
         out = np.zeros((len(q), len(codes)))
         for m, (p, b) in enumerate(zip(self.parts, self.books)):
             r = rest[:, p]
@@ -89,23 +109,24 @@ class Quantiser:
         return out
 
 
-def _vectors(col: pa.Array) -> list[np.ndarray | None]:
-    """Double vectors; None for null, zero, or with null or non-finite components."""
-    out: list[np.ndarray | None] = []
-    for v in col.to_pylist():
-        x = None if v is None else np.array(v, dtype=np.float64)
-        out.append(x if x is not None and len(x) and np.isfinite(x).all() and 0 < np.abs(x).max() and np.isfinite(x @ x) and x @ x > 0 else None)
-    return out
+def _matrices(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length, and their vectors as a matrix; null components are NaN."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    start, length = col.offsets.to_numpy(), col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = col.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    for d in np.unique(length[length > 0]):
+        at = np.flatnonzero(length == d)
+        yield at, flat[start[at][:, None] + np.arange(d)]
+
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> dict[int, Quantiser]:
+
+def fit(rows: DataFrame, lists: int, sample: int = SAMPLE) -> dict[int, Quantiser]:
     """A quantiser for each vector length, from at most ``sample`` vectors chosen by hash."""
-    got = rows.orderBy(F.xxhash64("vec_id", "digest"), "vec_id", "digest").limit(sample).select("v").collect()
-    by: dict[int, list] = {}
-    for r in got:
-        x = np.array(r[0])
-        by.setdefault(len(x), []).append(x / np.linalg.norm(x))
-    return {d: Quantiser(np.stack(x)) for d, x in by.items()}
+    got = rows.orderBy(F.xxhash64("vec_id", "rid"), "rid").limit(sample).select("v").toArrow()
+    return {x.shape[1]: Quantiser(_unit(x), lists) for _, x in _matrices(got["v"])} if got.num_rows else {}
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -122,6 +143,10 @@ def _components(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.nda
     return low
 
 
+_ROW = "vec_id long, label string, digest binary, v array<double>"
+_MEMBER = "rid long, label string, vec_id long, w long, v array<double>, dim int, list int, lists array<int>, codes binary, err double"
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE, scratch: Scratch | None = None) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
@@ -136,102 +161,112 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMP
 
     def prepare(batches):
         for b in batches:
-            xs = _vectors(b.column(1))
-            ok = [x is not None and i is not None and lab is not None for x, i, lab in zip(xs, b.column(0).to_pylist(), b.column(2).to_pylist())]
-            digest = [hashlib.md5(x.tobytes()).hexdigest() if o else None for x, o in zip(xs, ok)]
-            v = [x.tolist() if o else None for x, o in zip(xs, ok)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digest, pa.string()), pa.array(v, pa.list_(pa.float64()))],
+            digest: list[bytes | None] = [None] * b.num_rows
+            v: list[np.ndarray | None] = [None] * b.num_rows
+            known = np.array(b.column(0).is_valid()) & np.array(b.column(2).is_valid())
+            for at, x in _matrices(b.column(1)):
+                most = np.abs(x).max(1)
+                ok = np.isfinite(most) & (most > 0) & known[at]
+                # By a power of two, which changes no cosine, so that no square over- or underflows.
+                x = np.ldexp(x[ok] + 0.0, -np.frexp(most[ok])[1][:, None])
+                for i, y, size in zip(at[ok], x, np.frexp(most[ok])[1]):
+                    digest[i], v[i] = hashlib.blake2b(y.tobytes() + int(size).to_bytes(4, "little", signed=True), digest_size=16).digest(), y
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digest, pa.binary()), pa.array(v, pa.list_(pa.float64()))],
                                              ["vec_id", "label", "digest", "v"])
 
     rows = scratch.keep(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("string"))
-                        .mapInArrow(prepare, "vec_id long, label string, digest string, v array<double>"))
-    same = rows.where("digest is not null").groupBy("label", "digest").agg(
-        F.min("vec_id").alias("vec_id"), F.count("*").alias("w"), F.first("v").alias("v"))
-    same = scratch.keep(same)
-    quantisers = fit(same, sample)
-    spark_bc = vectors.sparkSession.sparkContext.broadcast(quantisers)  # at most LISTS centroids and the codebooks
+                        .mapInArrow(prepare, _ROW), rows=F.count(F.lit(1)))
+    # Equal vectors of a label have equal digests; a label is part of the group's one key.
+    ids = rows.select("vec_id", "label", "v", F.when(F.col("digest").isNotNull(), F.concat("digest", F.col("label").cast("binary"))).alias("same"))
+    same = ids.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("w"), F.min("label").alias("label"), F.first("v").alias("v"))
+    same = scratch.keep(same.withColumn("rid", F.monotonically_increasing_id()), rows=F.count(F.lit(1)))
+    quantisers = fit(same, max(16, same.seen["rows"] // PER_LIST), sample)
+    spark_bc = vectors.sparkSession.sparkContext.broadcast(quantisers)  # at most 2 * LISTS centroids and the codebooks
 
     def index(batches):
         for b in batches:
-            vs = b.column(4).to_pylist()
-            by: dict[int, list[int]] = {}
-            for i, v in enumerate(vs):
-                by.setdefault(len(v), []).append(i)
-            lists, codes, errs, probes = [0] * len(vs), [b""] * len(vs), [0.0] * len(vs), [[] for _ in vs]
-            for d, at in by.items():
-                x = np.array([vs[i] for i in at])
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                q = spark_bc.value.get(d)
+            for at, x in _matrices(b.column(4)):
+                x, q = _unit(x), spark_bc.value.get(x.shape[1])
                 if q is None:  # a length that the sample lacks: one list, compared in full
-                    for i in at:
-                        probes[i] = [0]
-                    continue
-                of, code, err = q.index(x)
-                hit = q.probes(x, of, far)
-                for k, i in enumerate(at):
-                    lists[i], codes[i], errs[i], probes[i] = int(of[k]), code[k].tobytes(), float(err[k]), np.flatnonzero(hit[k]).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(5)), pa.array(lists, pa.int32()), pa.array(codes, pa.binary()), pa.array(errs), pa.array(probes, pa.list_(pa.int32()))],
-                ["label", "digest", "vec_id", "w", "v", "list", "codes", "err", "probes"])
-
-    indexed = scratch.keep(same.select("label", "digest", "vec_id", "w", "v").mapInArrow(
-        index, "label string, digest string, vec_id long, w long, v array<double>, list int, codes binary, err double, probes array<int>")
-        .withColumn("dim", F.size("v")))
-    cell = ["label", "dim", "list"]
-    asked = indexed.select("label", "dim", F.explode("probes").alias("list"), "digest", "vec_id", "v")
-    sizes = (indexed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-             .join(asked.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq")), cell))
-    spread = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    null = F.lit(None)
-    members = indexed.join(sizes, cell).select(*cell, spread("nb").alias("mb"), upto("nq").alias("qb"), F.lit(True).alias("member"), "digest", "vec_id", "v", "w", "codes", "err")
-    queries = asked.join(sizes, cell).select(*cell, upto("nb").alias("mb"), spread("nq").alias("qb"), F.lit(False).alias("member"), "digest", "vec_id", "v",
-                                             null.cast("long").alias("w"), null.cast("binary").alias("codes"), null.cast("double").alias("err"))
+                    row, which = np.arange(len(x)), np.zeros(len(x), np.int64)
+                    codes, err = [b""] * len(x), np.zeros(len(x))
+                else:
+                    row, which = q.lists(x, far / 2)
+                    code, err = q.codes(x[row], which)
+                    codes = [c.tobytes() for c in code]
+                all_ = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32), pa.array(which, pa.int32()))
+                own = b.take(pa.array(at[row]))
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns, pa.array(np.full(len(row), x.shape[1]), pa.int32()), pa.array(which, pa.int32()), all_.take(pa.array(row)),
+                     pa.array(codes, pa.binary()), pa.array(err)], [c.split()[0] for c in _MEMBER.split(", ")])
+
+    indexed = scratch.keep(same.select("rid", "label", "vec_id", "w", "v").mapInArrow(index, _MEMBER).withColumn("cell", F.struct("label", "dim", "list")),
+                           rows=F.count(F.lit(1)))
+    sizes = indexed.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1")
+    block = F.greatest(F.lit(float(BLOCK)), 4 * F.sqrt("c"))
+    sizes = scratch.keep(sizes.withColumn("blocks", F.ceil(F.col("c") / block).cast("int")))
+    met = attach(indexed, sizes, "cell", indexed.seen["rows"]).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rid", "vec_id", "w", "v", "lists", "codes", "err")
 
     def compare(t: pa.Table) -> pa.Table:
-        member = np.array(t["member"].to_pylist(), bool)
-        dim, which = t["dim"][0].as_py(), t["list"][0].as_py()
-        v = np.array(t["v"].to_pylist())
-        ids, dig = np.array(t["vec_id"].to_pylist()), t["digest"].to_pylist()
-        norm = np.sqrt((v * v).sum(1))
-        mi, qi = np.flatnonzero(member), np.flatnonzero(~member)
+        cell, lo, hi = t["cell"][0].as_py(), t["lo"][0].as_py(), t["hi"][0].as_py()
+        ids, w, rid = (t[c].to_numpy() for c in ("vec_id", "w", "rid"))
+        v = next(_matrices(t["v"]))[1]
+        own = t["own"].to_numpy()
+        qi = np.flatnonzero(own == lo)
+        mi = np.flatnonzero(own == hi)
         links, low = np.zeros(len(v), np.int64), ids.copy()
-        if len(mi) and len(qi):
-            q = spark_bc.value.get(dim)
+        if len(v) > 1 and len(mi) and len(qi):
+            u, q = _unit(v), spark_bc.value.get(cell["dim"])
             if q is None:
                 near = np.ones((len(qi), len(mi)), bool)
             else:
-                codes = np.frombuffer(b"".join(t["codes"].to_pylist()[i] for i in mi), np.uint8).reshape(len(mi), -1)
-                err = np.array([t["err"][int(i)].as_py() for i in mi])
-                near = q.distances(v[qi] / norm[qi][:, None], which, codes) <= (far + err + 1e-6) ** 2
+                codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(len(v), -1)
+                near = q.distances(u[qi], cell["list"], codes[mi]) <= (far + t["err"].to_numpy()[mi] + 1e-6) ** 2
+            if lo == hi:
+                near = np.triu(near, 1)
             a, b = np.nonzero(near)
             a, b = qi[a], mi[b]
+            norm = np.sqrt((v * v).sum(1))
+            earlier = _earlier(t["lists"], cell["list"])
             keep = np.zeros(len(a), bool)
-            for lo in range(0, len(a), 1 << 16):
-                x, y = a[lo:lo + (1 << 16)], b[lo:lo + (1 << 16)]
-                keep[lo:lo + (1 << 16)] = np.einsum("ij,ij->i", v[x], v[y]) / (norm[x] * norm[y]) >= cosine
-            d = np.array(dig)
-            keep &= d[a] != d[b]
+            for at in range(0, len(a), 1 << 16):
+                x, y = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
+                yes = np.einsum("ij,ij->i", v[x], v[y]) / (norm[x] * norm[y]) >= cosine
+                yes[yes] = ~(earlier[x[yes]] & earlier[y[yes]]).any(1)
+                keep[at:at + (1 << 16)] = yes
             a, b = a[keep], b[keep]
-            w = np.array([x or 0 for x in t["w"].to_pylist()], np.int64)
             np.add.at(links, a, w[b])
+            np.add.at(links, b, w[a])
             low = _components(len(v), a, b, ids)
-        out = (links > 0) | (low != ids)
-        return pa.table({"digest": pa.array([x for x, o in zip(dig, out) if o], pa.string()),
-                         "label": t["label"].filter(pa.array(out)), "vec_id": pa.array(ids[out], pa.int64()),
-                         "links": pa.array(links[out]), "low": pa.array(low[out], pa.int64())})
+        out = links > 0
+        return pa.table({"rid": rid[out], "vec_id": ids[out], "links": links[out], "low": low[out]})
 
-    found = scratch.keep(members.unionByName(queries).groupBy(*cell, "mb", "qb").applyInArrow(
-        compare, "digest string, label string, vec_id long, links long, low long"))
+    found = scratch.keep(met.groupBy("cell", "lo", "hi").applyInArrow(compare, "rid long, vec_id long, links long, low long"))
+    scratch.drop(indexed, sizes)
     comp = connected_components(found.where("vec_id <> low").select(F.col("vec_id").alias("a"), F.col("low").alias("b")), scratch)
-    counts = found.groupBy("label", "digest").agg(F.sum("links").alias("links"))
-    per = (same.select("label", "digest", F.col("vec_id").alias("node"), "w").join(counts, ["label", "digest"], "left").join(comp, "node", "left")
-           .select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
-    return (rows.select("vec_id", "label", "digest").join(per, ["label", "digest"], "left")
+    counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
+    per = same.select("rid", "same", F.col("vec_id").alias("node"), F.col("w").alias("c")).join(counts, "rid", "left").join(comp, "node", "left")
+    per = per.where("c > 1 or links is not null or component is not null").select(
+        "same", "c", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    return (attach(ids.drop("label", "v"), per, "same", rows.seen["rows"], "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
             .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
 
 
+def _earlier(lists: pa.ChunkedArray, which: int) -> np.ndarray:
+    """For each row, bits of the lists before ``which`` that it is in."""
+    col = lists.combine_chunks()
+    row = np.repeat(np.arange(len(col)), col.value_lengths().to_numpy())
+    of = col.flatten().to_numpy()
+    row, of = row[of < which], of[of < which]
+    seen, at = np.unique(of, return_inverse=True)
+    bits = np.zeros((len(col), len(seen)), bool)
+    bits[row, at] = True
+    return np.packbits(bits, axis=1) if len(seen) else np.zeros((len(col), 1), np.uint8)
+
+
 #: DuckDB twin: all pairs of a label.
 SQL = """
 WITH RECURSIVE e AS (

@@ -1,44 +1,49 @@
 """MinHash near-deduplication with bottom-k sketches from one hash function.
 
 1. One pass over the texts hashes each document's distinct word shingles and keeps
-   the ``k`` smallest values (its sketch), the set's size, a 128-bit signature of
-   the whole set and a 128-bit fold of it (one bit of the smallest value in each of
-   128 hash ranges).
-2. Documents with one and the same set collapse to the smallest id by a grouped
+   the ``k`` smallest values (its sketch), the set's size, a 128-bit digest of the
+   word sequence and a 256-bit fold of the set (one bit of the smallest value in each
+   of 256 hash ranges).
+2. Documents of one and the same word sequence collapse to the smallest id by a grouped
    minimum, so groups of copies cost one row.
-3. Inverted lists of retained values generate overlaps. First each list links its
-   members to its first and its last member only: rows stay linear in the list's
-   length. Of what this leaves unlinked, lists with few pairs between components give
-   them all. Large lists of documents that share most values (groups of near copies)
-   are compared block by block; other large lists are split by two and three values
-   of a document that lie in such lists, and what is large even then is compared in
-   blocks, too. No pair is dropped for the length of its list.
+3. Inverted lists of retained values generate overlaps. The ``KEYS`` smallest values of
+   a document are ordered by how many documents hold them, rarest first. Similar
+   documents share at least ``t`` of them, so some of the first ``KEYS - t + 1``, and
+   only those index the document: a value of a widespread passage indexes only
+   documents that consist of little else. Each list links its members to its first and
+   its last one: rows stay linear in the list's length. Then components are found, and
+   what this left apart is compared: members outside a list's largest component with
+   all its members, in blocks. No pair is dropped for the length of its list.
 4. The fold, then the union-sketch estimate, discard pairs far below the threshold;
-   exact Jaccard similarity of the full shingle sets of the whole texts decides.
-
-Why ``STEP`` = 14 retained values do: at similarity J each of the union's smallest
-values is shared with probability J, so among its 14 smallest fewer than three are
-shared with probability 2.4e-7 at J = 0.8, and none with 2e-10. The margins of the
-fold (31 of 128 bits; 8.8e-7 beyond it at 0.8) and of the estimate (which shrinks to nothing as the sketches
-cover the sets) are five standard deviations.
+   exact Jaccard similarity of the full shingle sets of the whole texts decides, and
+   links are confirmed on the words themselves.
+
+At similarity J each of the union's smallest values is shared with probability J. ``t``
+is such that of the ``KEYS`` smallest fewer than ``t`` are shared with a probability of
+at most ``RISK`` (13 of 32 at 0.8: 1.9e-7); sets no larger than ``KEYS`` obey the exact
+bound instead. The fold's margin has the same risk and is exact for small sets (a bit
+differs only where a shingle does); the estimate's is five standard deviations, which
+shrinks to nothing as the sketches cover the sets.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, attach, connected_components
 
 K = 256  # retained values of a document, 32 leading bits of each
-STEP = 14  # retained values that index a document
-OPEN = 128  # pairs between components for each member, up to which a list gives them all
-LEVELS = 3  # values that split the other lists
-FOLD_BITS = 31
-DENSE = 6  # large lists of a document, on average, from which splitting makes more rows than it saves
-BLOCK = 512  # members of a block, at least, where lists are compared block by block
+KEYS = 32  # retained values that can index a document, all 64 bits of each
+FOLD = 4  # words of 64 bits of a fold
+RISK = 3e-7  # of losing a pair at the threshold, at most, for each filter
+SALT = 2048  # rows of a list that meet in one task, roughly
+BLOCK = 1024  # members of a block, at least, where lists are compared block by block
 CHUNK = 1 << 20  # bytes of text hashed at a time
 
 _U = np.uint64
@@ -125,59 +130,66 @@ def _as_bytes(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
-def _fold(sets: np.ndarray) -> tuple[int, int]:
-    """A bit of the smallest value in each of 128 ranges; 0 where a range is empty."""
-    if not len(sets):
-        return 0, 0
-    slot = (sets >> _U(57)).astype(np.int64)
-    head = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+def _fold(sets: np.ndarray) -> list[int]:
+    """A bit of the smallest value in each of ``64 * FOLD`` ranges; 0 where a range is empty."""
+    slot = (sets >> _U(65 - (64 * FOLD).bit_length())).astype(np.int64)
+    head = np.flatnonzero(np.diff(slot, prepend=-1))
     bits = (sets[head] & _U(1)) << (slot[head] & 63).astype(_U)
-    half = int(np.searchsorted(slot[head], 64))
-    return tuple(int(np.bitwise_or.reduce(x, initial=_U(0)).astype(np.int64)) for x in (bits[:half], bits[half:]))
+    cuts = np.searchsorted(slot[head], np.arange(0, 64 * FOLD + 1, 64))
+    return [int(np.bitwise_or.reduce(bits[lo:hi], initial=_U(0)).astype(np.int64)) for lo, hi in zip(cuts, cuts[1:])]
+
 
+FOLDS = [f"f{i}" for i in range(FOLD)]
+_LONGS = ["n", *FOLDS]
+_SKETCH = f"doc_id long, dig binary, {', '.join(f'{c} long' for c in _LONGS)}, keys array<long>, mins array<int>"
 
-_SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, f1 long, f2 long, keys array<long>, mins array<int>"
+
+def _words(text: bytes) -> list[bytes]:
+    """Words of a text with A-Z lower-cased: bytes split at just the six separators."""
+    return text.lower().split()
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
-    """Sketch of each row: ``doc_id, n_shingles, s1, s2, f1, f2``, the ``STEP``
-    smallest values as ``keys`` and the leading halves of the ``k`` smallest as ``mins``, ascending."""
+    """Sketch of each row: ``doc_id``, ``dig`` (digest of its words), ``n`` (size of its set), its
+    fold, the ``KEYS`` smallest values as ``keys`` and the leading halves of the ``k`` smallest as ``mins``, ascending."""
 
     def run(batches):
         for b in batches:
             texts, ids = _as_bytes(b.column(1)), b.column(0)
             for at, part in _chunks(texts):
-                n, s1, s2, f1, f2, keys, mins = [], [], [], [], [], [], []
-                for s in shingle_sets(part, words):
-                    n.append(len(s))
-                    with np.errstate(over="ignore"):
-                        s1.append(int(s.sum(dtype=_U).astype(np.int64)))
-                        s2.append(int(_mix(s + _U(0x2545F4914F6CDD1D)).sum(dtype=_U).astype(np.int64)))
-                    one, two = _fold(s)
-                    f1.append(one)
-                    f2.append(two)
+                longs, digs, keys, mins = [], [], [], []
+                for t, s in zip(part, shingle_sets(part, words)):
+                    digs.append(hashlib.blake2b(b" ".join(_words(t)), digest_size=16).digest())
+                    longs.append([len(s), *_fold(s)])
                     # Flipped so that a signed comparison has the same order.
                     own = (s[:k] ^ _U(1 << 63)).astype(np.int64)
-                    keys.append(own[:STEP])
+                    keys.append(own[:KEYS])
                     mins.append((own >> 32).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.array(np.concatenate(x)))
-                         for x in (keys, mins)]
+                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.array(np.concatenate(x))) for x in (keys, mins)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(part)), *(pa.array(x, pa.int64()) for x in (n, s1, s2, f1, f2)), *lists],
-                    ["doc_id", "n_shingles", "s1", "s2", "f1", "f2", "keys", "mins"])
+                    [ids.slice(at, len(part)), pa.array(digs, pa.binary()), *(pa.array(x, pa.int64()) for x in zip(*longs)), *lists],
+                    ["doc_id", "dig", *_LONGS, "keys", "mins"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
 
 
+def _least(n: int, p: float, risk: float = RISK) -> int:
+    """Largest t such that fewer than t hits in n tries of chance p have a probability of at most ``risk``."""
+    below = 0.0
+    for t in range(n + 1):
+        below += math.comb(n, t) * p ** t * (1 - p) ** (n - t)
+        if below > risk:
+            return t
+    return n
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs ``a, b`` whose full sets reach ``percent`` hundredths of Jaccard similarity."""
-    spark = pairs.sparkSession
+    """Pairs ``a, b`` whose full sets reach ``percent`` hundredths of Jaccard similarity, kept, with ``rows`` seen."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = scratch.keep(ids)
+    ids = scratch.keep(ids, rows=F.count(F.lit(1)))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # Only documents of some pair move; their ids are broadcast if few, else joined.
-    small = ids.count() <= 1_000_000
-    texts = texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    # Only documents of some pair move; their ids are broadcast up to 8 MB of them, else joined: the same rows.
+    texts = texts.join(F.broadcast(ids) if ids.seen["rows"] <= 1_000_000 else ids, "doc_id", "left_semi")
 
     def run(batches):
         for b in batches:
@@ -185,17 +197,23 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch
             ok = np.zeros(b.num_rows, bool)
             for at, part in _chunks(left):
                 known: dict = {}
+                said: dict = {}
                 sa = _sets_once(part, known, words)
                 sb = _sets_once(right[at:at + len(part)], known, words)
-                for i, (x, y) in enumerate(zip(sa, sb)):
+                for i, (x, y) in enumerate(zip(sa, sb), at):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[at + i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+                    if both and 100 * both >= percent * (len(x) + len(y) - both):
+                        one, two = (_said(t, said, words) for t in (left[i], right[i]))
+                        both = len(one & two)
+                        ok[i] = 100 * both >= percent * (len(one) + len(two) - both)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
     full = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
             .select("a", "b", "ta", "tb"))
-    return full.mapInArrow(run, "a long, b long")
+    out = scratch.keep(full.mapInArrow(run, "a long, b long"), rows=F.count(F.lit(1)))
+    scratch.drop(ids)
+    return out
 
 
 def _sets_once(texts: list[bytes], known: dict, words: int) -> list[np.ndarray]:
@@ -206,11 +224,22 @@ def _sets_once(texts: list[bytes], known: dict, words: int) -> list[np.ndarray]:
     return [known[t] for t in texts]
 
 
-def _likely(a: str, b: str, percent: int):
-    """Sizes that allow the similarity, and folds that agree on enough bits."""
+def _said(text: bytes, known: dict, words: int) -> set:
+    """The shingles of a text as tuples of its words."""
+    if text not in known:
+        w = _words(text)
+        known[text] = set(zip(*(w[i:] for i in range(words)))) if len(w) >= words else {tuple(w)} if w else set()
+    return known[text]
+
+
+def _likely(a: str, b: str, percent: int) -> Column:
+    """Sizes that allow the similarity, and folds that agree on enough bits: a range's bits
+    differ only if its smallest value is not common, and each differing shingle is in one range."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = [F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in ("f1", "f2")]
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ[0] + differ[1] <= FOLD_BITS)
+    bits, j = 64 * FOLD, percent / 100
+    most = bits - _least(bits, 1 - (1 - j) / 2)
+    differ = sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in FOLDS[1:]), F.bit_count(F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= F.least(F.lit(most), (na + nb) * (100 - percent) / (100 + percent)))
 
 
 def _near(a: str, b: str, na, nb, percent: int, k: int):
@@ -233,10 +262,10 @@ def _near(a: str, b: str, na, nb, percent: int, k: int):
     return F.get(F.transform(F.array(F.array_size(both)), test), F.lit(0))
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
-    both = (pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma")), "a")
-            .join(reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb")), "b"))
-    return both.where(_near("ma", "mb", F.col("na"), F.col("nb"), percent, k)).select("a", "b").distinct()
+def _estimated(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    both = (pairs.join(docs.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma")), "a")
+            .join(docs.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb")), "b"))
+    return both.where(_near("ma", "mb", F.col("na"), F.col("nb"), percent, k)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, scratch: Scratch | None = None) -> DataFrame:
@@ -247,109 +276,184 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     the smallest doc_id reachable by links, ``kept`` marks the row that bears it.
 
     Defined cases: a null or blank text has an empty set, links with nothing and is
-    kept; repeated rows come back as often as they went in; rows that share a
-    doc_id count as one document; a null doc_id links with nothing (component null,
-    kept); an empty table gives an empty result.
+    kept; texts of any length count as a whole; repeated rows come back as often as they
+    went in; rows that share a doc_id count as one document; a null doc_id, or one that
+    is no whole number, links with nothing (component null, kept); an empty table gives
+    an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    sk = scratch.keep(sketches(docs, words, k))
-    linkable = sk.where("n_shingles > 0 and doc_id is not null")
-    heads = linkable.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("head"))
-    of = scratch.keep(linkable.select("doc_id", "n_shingles", "s1", "s2").distinct()
-                      .join(heads, ["n_shingles", "s1", "s2"]).select("doc_id", "head"))
-    reps = scratch.keep(linkable.join(of.where("doc_id = head").select("doc_id").distinct(), "doc_id", "left_semi")
-                        .dropDuplicates(["doc_id", "n_shingles", "s1", "s2"])
-                        .select("doc_id", F.col("n_shingles").alias("n"), "f1", "f2", "keys", "mins"))
-
-    # Every list links its members to its first and its last one.
-    rows = reps.select("doc_id", "n", "f1", "f2", F.explode("keys").alias("key"))
-    member = F.struct("doc_id", "n", "f1", "f2")
-    lead = rows.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo != hi")
-    lead = lead.select("key", F.explode(F.array("lo", "hi")).alias("l")).select("key", F.col("l.doc_id").alias("a"), "l.n", "l.f1", "l.f2")
-    star = (rows.alias("y").join(lead.alias("x"), "key").where((F.col("x.a") != F.col("y.doc_id")) & _likely("x", "y", percent))
-            .select(F.least("a", "y.doc_id").alias("a"), F.greatest("a", "y.doc_id").alias("b")).distinct())
-    star = scratch.keep(_estimated(star, reps, percent, k))
-    edges = scratch.keep(_verify(star, docs, words, percent, scratch))
-    comp = connected_components(edges.unionByName(of.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))), scratch)
-
-    # What the first members missed: pairs between the components of a list.
-    tried = star
-    more = _between(reps, comp, percent, k, scratch)
-    more = scratch.keep(_estimated(more.join(tried, ["a", "b"], "left_anti"), reps, percent, k))
-    late = scratch.keep(_verify(more, docs, words, percent, scratch))
-    if not late.isEmpty():
-        roots = late.select("a", "b")
-        comp = connected_components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(roots), scratch)
-    scratch.drop(star, more, of, reps)
-    return (sk.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    docs = docs.select(F.col("doc_id").cast("string").try_cast("long").alias("doc_id"), "text")
+    count = F.count(F.lit(1))
+    sk = scratch.keep(sketches(docs, words, k).withColumn("rid", F.monotonically_increasing_id()), rows=count)
+    rows = sk.seen["rows"]
+    ids = scratch.keep(sk.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("dig")).alias("dig")))
+    heads = scratch.keep(ids.where("dig is not null").groupBy("dig").agg(F.min("doc_id").alias("doc"), F.min_by("rid", "doc_id").alias("rid"), count.alias("c")))
+    cand = _candidates(sk, heads, percent, scratch)
+    scratch.drop(sk)
+
+    star = scratch.keep(_estimated(_first_and_last(cand, percent), cand, percent, k))
+    edges = _verify(star, docs, words, percent, scratch).unionByName(_same_id(ids, heads, rows, scratch))
+    comp = connected_components(edges, scratch)
+    if (between := _between(cand, comp, percent, k, scratch)) is not None:
+        more = scratch.keep(between.join(star, ["a", "b"], "left_anti"))
+        late = _verify(more, docs, words, percent, scratch)
+        if late.seen["rows"]:
+            comp = connected_components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(late), scratch)
+        scratch.drop(more, late)
+    scratch.drop(cand, star)
+
+    of = heads.join(comp, F.col("doc") == F.col("node"), "left").where("c > 1 or component is not null")
+    of = of.select("dig", F.coalesce("component", "doc").alias("component"), "c")
+    return (attach(ids.drop("rid"), of, "dig", rows, "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def _between(reps: DataFrame, comp: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
-    """Candidate pairs of different components within the inverted lists, ``a`` < ``b``."""
-    own = scratch.keep(reps.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                       .select("doc_id", "n", "f1", "f2", F.coalesce("component", "doc_id").alias("comp"), "keys"))
-    me = ["doc_id", "n", "f1", "f2", "comp"]
-    open_ = _open(own.select(*me, F.explode("keys").alias("key")), scratch)
-    found = _pairs(open_.where("not large"), percent)
-    # Each document's large lists, apart by whether their members share most of theirs.
-    hot = open_.where("large").groupBy(*me).agg(F.collect_list("key").alias("hots"))
-    rows = hot.select(*me, F.size("hots").alias("h"), F.explode("hots").alias("key"))
-    dense = rows.groupBy("key").agg((F.avg("h") >= DENSE).alias("dense"), F.count("*").alias("c"))
-    hot = scratch.keep(rows.join(dense, "key").groupBy(*me).agg(
-        F.sort_array(F.collect_list(F.when(F.col("dense"), F.struct("key", "c")))).alias("close"),
-        F.sort_array(F.collect_list(F.when(~F.col("dense"), F.col("key")))).alias("hots")))
-    close = hot.where(F.size("close") > 0).join(reps.select("doc_id", "mins"), "doc_id")
-    close = close.select(*me, "mins", F.col("close.key").alias("hots"), F.explode("close").alias("x")).select(
-        *me, "mins", "hots", F.col("x.key").alias("key"), F.col("x.c").alias("c"))
-    found = found.unionByName(_blocks(close, percent, k))
-    # A pair that shares only lists to be split shares three values, so lists of two and of
-    # three of a document's values hold it, too.
-    rows = hot.select(*me, "hots", F.posexplode("hots").alias("last", "key"))
-    for depth in range(2, LEVELS + 1):
-        rows = rows.select("key", *me, "hots", "last", F.posexplode(F.slice("hots", F.col("last") + 2, STEP)).alias("step", "h"))
-        rows = rows.select(*me, "hots", (F.col("last") + 1 + F.col("step")).alias("last"), F.xxhash64("key", "h").alias("key"))
-        open_ = _open(rows, scratch)
-        found = found.unionByName(_pairs(open_.where("not large"), percent))
-        rows = open_.where("large")
-        if rows.isEmpty():
-            return found.distinct()
-        rows = rows.drop("large", "c")
-    # In no order of their own, so that a pair counts at each of its lists of three.
-    rest = open_.where("large").join(reps.select("doc_id", "mins"), "doc_id").withColumn("hots", F.array("key"))
-    return found.unionByName(_blocks(rest, percent, k)).distinct()
-
-
-def _open(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members of lists with several components; ``large`` if those have more than ``OPEN``
-    pairs between components for each member, ``c``: members of the list."""
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").cast("double").alias("m"))
-    lists = sizes.groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("comps"))
-    lists = lists.where("comps > 1").select("key", "c", (F.col("c") * F.col("c") - F.col("same") > 2 * OPEN * F.col("c")).alias("large"))
-    return scratch.keep(rows.join(lists, "key"))
-
-
-def _pairs(members: DataFrame, percent: int) -> DataFrame:
-    return (members.alias("x").join(members.alias("y"), F.col("x.key") == F.col("y.key"))
-            .where((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & _likely("x", "y", percent))
-            .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")))
-
-
-def _blocks(members: DataFrame, percent: int, k: int) -> DataFrame:
-    """All pairs of large lists, one block of members against another at a time; a pair
-    counts at the first of the ``hots`` that both have, if its sketches are near."""
-    # Blocks grow with the root of the list, so copies of rows grow slower than its square.
-    last = F.ceil(F.col("c") / F.greatest(F.lit(float(BLOCK)), 4 * F.sqrt("c"))).cast("int") - 1
-    mine = members.withColumn("blk", F.pmod(F.xxhash64("doc_id"), last + 1).cast("int"))
-    them = mine.withColumn("with", F.explode(F.sequence(F.col("blk"), last)))
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.with") == F.col("y.blk"))
-    ok = ((F.col("x.with") != F.col("x.blk")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & (F.col("x.comp") != F.col("y.comp"))
-    ok = ok & _likely("x", "y", percent)
-    first = F.array_min(F.array_intersect("x.hots", "y.hots")) == F.col("x.key")
-    near = _near("x.mins", "y.mins", F.col("x.n"), F.col("y.n"), percent, k)
-    return (them.alias("x").join(mine.alias("y"), met).where(F.when(ok, F.when(first, near)))
-            .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")))
+def _same_id(ids: DataFrame, heads: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
+    """Edges between the texts of one doc_id, if any doc_id has several."""
+    h = F.xxhash64("dig")
+    twice = scratch.keep(ids.where("dig is not null").groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("doc_id"),
+                         rows=F.count(F.lit(1)))
+    if not twice.seen["rows"]:
+        return twice.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    of = attach(ids.drop("rid"), heads.select("dig", "doc", "c"), "dig", rows).join(twice, "doc_id", "left_semi").select("doc_id", "doc").distinct()
+    return of.join(of.groupBy("doc_id").agg(F.min("doc").alias("a")), "doc_id").select("a", F.col("doc").alias("b"))
+
+
+def _candidates(sk: DataFrame, heads: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Documents that share enough retained values with others: ``doc, n``, fold, ``mins`` and
+    ``prefix``, the values that index it, each with the number ``c`` of its documents."""
+    kr = sk.select("rid", "n", "keys").join(heads.select("rid", "doc"), "rid")
+    kr = scratch.keep(kr, values=F.sum(F.size("keys")))
+    each = kr.select("rid", "n", F.explode("keys").alias("key"))
+    counts = scratch.keep(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    shared = attach(each, counts, "key", kr.seen["values"] or 0)
+    shared = shared.groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("p"))
+    # So many of a document's values are common to it and any similar one; values of its own come first.
+    j = percent / 100
+    size = F.least("n", F.lit(KEYS))
+    t = F.least(F.lit(_least(KEYS, j)), F.ceil(size * percent / 100).cast("int"))
+    prefix = F.slice("p", F.lit(1), F.greatest(F.size("p") - t + 1, F.lit(0)))
+    shared = shared.select("rid", prefix.alias("prefix")).where(F.size("prefix") > 0)
+    out = shared.join(sk.select("rid", F.col("doc_id").alias("doc"), *_LONGS, "mins"), "rid").drop("rid")
+    out = scratch.keep(out, values=F.sum(F.size("prefix")))
+    scratch.drop(kr, counts)
+    return out
+
+
+def _lists(cand: DataFrame, columns: list[str] = FOLDS) -> DataFrame:
+    """Members of the inverted lists: ``key``, its documents ``c``, and the document."""
+    own = ["doc", "n", *columns]
+    return cand.select(*own, F.explode("prefix").alias("x")).select("x.key", "x.c", *own)
+
+
+def _first_and_last(cand: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of each list's first and last member with its others, if likely. Long
+    lists are dealt to several tasks by a salt, to each of which their first and last go."""
+    rows = _lists(cand)
+    parts = F.ceil(F.col("c") / SALT).cast("int")
+    member = F.struct("doc", *_LONGS)
+    lead = rows.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi"), F.max("c").alias("c")).where("lo.doc <> hi.doc")
+    lead = lead.select("key", "c", F.explode(F.array("lo", "hi")).alias("l")).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "l.*")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), parts).cast("int"))
+    return (rows.alias("y").join(lead.alias("x"), ["key", "salt"]).where((F.col("x.doc") != F.col("y.doc")) & _likely("x", "y", percent))
+            .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct())
+
+
+def _between(cand: DataFrame, comp: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame | None:
+    """Pairs of different components within the lists whose sketches are near, ``a`` < ``b``; None if no list has several.
+
+    Lists of up to three members have no pair without the first or the last, so longer
+    ones are left. Every pair of different components has a member outside the list's
+    largest one, so those alone meet all members: a list that is one component but for a
+    few costs a few times its length. Both sides go in blocks that grow with the root of
+    the list, so rows are sent fewer times than its square. A pair counts at the first
+    value that indexes both.
+    """
+    own = _lists(cand.select("doc", "n", "prefix"), []).join(comp.withColumnRenamed("node", "doc"), "doc", "left")
+    own = scratch.keep(own.select("key", "doc", "n", F.coalesce("component", "doc").alias("comp")))
+    parts = own.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(
+        F.sum("m").alias("c"), F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"))
+    block = F.greatest(F.lit(float(BLOCK)), 4 * F.sqrt("c"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    lists = parts.where("comps > 1 and c > 3").select("key", "c", F.col("top.comp").alias("top"), blocks(F.col("c") - F.col("top.m")).alias("outs"), blocks(F.col("c")).alias("alls"))
+    lists = scratch.keep(lists, rows=F.count(F.lit(1)))
+    if not lists.seen["rows"]:
+        scratch.drop(own, lists)
+        return None
+    whole = cand.select("doc", "n", "mins", F.transform("prefix", lambda x: x["key"]).alias("by"))
+    rows = scratch.keep(attach(own, lists, "key", cand.seen["values"] or 0).drop("c").join(whole, ["doc", "n"]))
+    scratch.drop(own, lists)
+    deal = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "ob", "ab", "out", "doc", "n", "comp", "top", "mins", "by"]
+    every = rows.withColumn("ab", deal("alls")).withColumn("ob", upto("outs")).withColumn("out", F.expr("comp <> top and outs * alls = 1"))
+    outside = rows.where("comp <> top and outs * alls > 1").withColumn("ob", deal("outs")).withColumn("ab", upto("alls")).withColumn("out", F.lit(None).cast("boolean"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        out = t["out"].to_pylist()
+        x = np.array([i for i, o in enumerate(out) if o is None or o], np.int64)  # the members outside; null if sent as such only
+        y = np.array([i for i, o in enumerate(out) if o is not None], np.int64)
+        a, b = _near_pairs(t, x, y, percent, k)
+        doc = t["doc"].to_numpy()
+        return pa.table({"a": np.minimum(doc[a], doc[b]), "b": np.maximum(doc[a], doc[b])})
+
+    return every.select(columns).unionByName(outside.select(columns)).groupBy("key", "ob", "ab").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _near_pairs(t: pa.Table, x: np.ndarray, y: np.ndarray, percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``x`` and ``y`` of a block that are of different components, first meet here and have near sketches."""
+    doc, n, comp = (t[c].to_numpy() for c in ("doc", "n", "comp"))
+    key, top = t["key"][0].as_py(), t["top"][0].as_py()
+    ok = (comp[x][:, None] != comp[y]) & ((comp[y] == top) | (doc[x][:, None] < doc[y]))
+    ok &= 100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y])
+    ok &= _common(t["by"], x, y, ok, below=key) == 0
+    both = _common(t["mins"], x, y, ok)
+    size = t["mins"].combine_chunks().value_lengths().to_numpy()
+    i, j = np.nonzero(ok)
+    both, (i, j) = both[i, j], (x[i], y[j])
+    # As in ``_near``: what lies among the union's smallest is part of what both hold.
+    p = percent / 100
+    union = size[i] + size[j] - both
+    seen = np.minimum(union, k)
+    least = (p - 5 * np.sqrt(p * (1 - p) / seen * np.maximum(0.0, 1 - seen / ((n[i] + n[j]) / (1 + p))))) * seen - 1e-9
+    near = both >= least
+    mins = t["mins"].combine_chunks()
+    start, flat = mins.offsets.to_numpy(), mins.values.to_numpy()
+    for q in np.flatnonzero(near & (union > k)):
+        u, v = (flat[start[r]:start[r + 1]] for r in (i[q], j[q]))
+        last = np.partition(np.union1d(u, v), k - 1)[k - 1]
+        near[q] = len(np.intersect1d(u[u <= last], v[v <= last], assume_unique=False)) >= least[q]
+    return i[near], j[near]
+
+
+def _common(lists: pa.ChunkedArray, x: np.ndarray, y: np.ndarray, ok: np.ndarray, below: int | None = None) -> np.ndarray:
+    """Number of values (``below`` some value) that the lists of rows x and y have in common, for
+    those with a pair that is still ``ok``: for each value of an x, the ys that hold it are counted."""
+    col = lists.combine_chunks()
+    start, flat = col.offsets.to_numpy(), col.values.to_numpy()
+
+    def entries(rows, some):
+        at = np.flatnonzero(some)
+        lo, length = start[rows[at]], start[rows[at] + 1] - start[rows[at]]
+        value = flat[np.repeat(lo - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        of = np.repeat(at, length)
+        return (value, of) if below is None else (value[value < below], of[value < below])
+
+    (u, ui), (v, vi) = entries(x, ok.any(1)), entries(y, ok.any(0))
+    order = np.argsort(v, kind="stable")
+    v, vi = v[order], vi[order]
+    lo, m = np.searchsorted(v, u), np.searchsorted(v, u, side="right")
+    m = m - lo
+    out = np.zeros(len(x) * len(y), np.int32)
+    at, total = 0, np.cumsum(m)
+    while at < len(u):  # some millions of meetings at a time
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 22))))
+        c = m[at:to]
+        ys = vi[np.repeat(lo[at:to] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+        out += np.bincount(np.repeat(ui[at:to], c) * len(y) + ys, minlength=len(out)).astype(np.int32)
+        at = to
+    return out.reshape(len(x), len(y))
 
 
 #: DuckDB twin for two-word shingles: all pairs that share a shingle.

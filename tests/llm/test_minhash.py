@@ -54,8 +54,8 @@ def test_matches_brute_force(spark):
     assert result(spark, rows, 5) == brute(rows, 5, 80)
 
 
-def test_large_lists_are_split_and_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(M, "OPEN", 3)
+def test_large_lists_are_dealt_out_and_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "SALT", 8)
     monkeypatch.setattr(M, "BLOCK", 16)
     rows = near_copies(2, 200, 3, common=25)
     assert result(spark, rows, 2) == brute(rows, 2, 80)
@@ -63,6 +63,21 @@ def test_large_lists_are_split_and_compared_in_blocks(spark, monkeypatch):
     assert result(spark, rows, 2) == brute(rows, 2, 80)
 
 
+def test_short_texts_and_one_id_with_several_texts(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("abcdef") for _ in range(r.randint(1, 12)))) for i in range(120)]
+    assert result(spark, rows, 2) == brute(rows, 2, 80)
+    # 3 has the texts of 7 and of 9, so all of them are one group.
+    several = [(3, "a b c d"), (3, "e f g h"), (7, "a  B c d"), (9, "e f g h"), (11, "x y z")]
+    got = M.near_duplicates(spark.createDataFrame(several, "doc_id long, text string"), 2).collect()
+    assert sorted((x[0], x[2]) for x in got) == [(3, 3), (3, 3), (7, 3), (9, 3), (11, 11)]
+
+
+def test_ids_that_are_no_numbers_link_with_nothing(spark):
+    got = M.near_duplicates(spark.createDataFrame([("x", "a b c"), ("2", "a b c"), ("1", "a b c")], "doc_id string, text string"), 2).collect()
+    assert sorted((r[0] or 0, r[2] or 0, r[3]) for r in got) == [(0, 0, True), (1, 1, True), (2, 1, False)]
+
+
 def test_real_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert result(spark, rows, 2) == brute(rows, 2, 80)
@@ -82,8 +97,12 @@ def test_empty_table(docs_of):
     assert M.near_duplicates(docs_of([]), 2).collect() == []
 
 
-def test_the_fold_misses_less_than_one_in_a_million():
+def test_the_filters_miss_less_than_one_in_a_million():
     from math import comb
 
     # At similarity 0.8 a bit of the fold differs with a probability of 0.1 at most.
-    assert sum(comb(128, k) * 0.1 ** k * 0.9 ** (128 - k) for k in range(M.FOLD_BITS + 1, 129)) < 1e-6
+    bits = 64 * M.FOLD
+    most = bits - M._least(bits, 0.9)
+    assert sum(comb(bits, k) * 0.1 ** k * 0.9 ** (bits - k) for k in range(most + 1, bits + 1)) < 1e-6
+    t = M._least(M.KEYS, 0.8)
+    assert sum(comb(M.KEYS, k) * 0.8 ** k * 0.2 ** (M.KEYS - k) for k in range(t)) < 1e-6
