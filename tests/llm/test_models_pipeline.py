@@ -64,9 +64,11 @@ def brute_vectors(rows):
     return {i: (links[i], find(i), find(i) == i) for i in links}
 
 
-@pytest.mark.parametrize("spread", [0.02, 0.08])
-def test_vectors_match_brute_force(spark, monkeypatch, spread):
+@pytest.mark.parametrize("spread, lists", [(0.02, 1024), (0.08, 1024), (0.08, 5)])
+def test_vectors_match_brute_force(spark, monkeypatch, spread, lists):
     monkeypatch.setattr(embeddings, "BLOCK", 40)
+    monkeypatch.setattr(embeddings, "LISTS", lists)  # few: the second level comes in
+    monkeypatch.setattr(embeddings, "PER_LIST", 16)
     r = np.random.default_rng(5)
     base = r.normal(size=(30, 24))
     rows = [(i * 2 + 1, (base[i % 30] + r.normal(size=24) * spread).astype(np.float32).tolist(), int(i % 2)) for i in range(400)]
@@ -86,6 +88,13 @@ def test_vectors_odd_rows(spark):
     assert embeddings.near_duplicates(vectors(spark, [])).collect() == []
 
 
+def test_vectors_of_any_scale(spark):
+    rows = [(1, [1e200, 2e200], "a"), (2, [1e200, 2e200], "a"), (3, [2e-200, 4e-200], "a"), (4, [1.0, 2.0], "a"), (5, [2e200, -1e200], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
 def test_components_of_paths_and_stars(spark):
     e = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 5001), (5001, 5000), (7, 7)]
     got = dict(connected_components(spark.createDataFrame(e, "a long, b long"), Scratch(spark)).collect())
