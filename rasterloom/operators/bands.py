@@ -100,17 +100,18 @@ def fingerprint(pixels: DataFrame, first: int = 5) -> DataFrame:
                                           F.max(F.when(origin, F.slice("bands", 1, first))).alias("first"))
 
 
-def robust_stretch(pixels: DataFrame, n_bands: int, nodata: float = NODATA) -> DataFrame:
-    """Each band of a tile from its 2nd to its 98th percentile onto 0..1; a band without spread
-    divides by 1, invalid values become 0."""
-    x = lambda i: F.get("bands", F.lit(i))
-    q = [F.percentile(F.when(x(i) != nodata, x(i)), F.array(F.lit(0.02), F.lit(0.98))).alias(f"q{i}") for i in range(n_bands)]
+def robust_stretch(pixels: DataFrame, n_bands: int, nodata: float = NODATA, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """Each band of a tile from its 2nd to its 98th percentile onto 0..1. In a band without
+    spread valid pixels are 1; nodata and values that are not finite become 0 everywhere."""
+    x = lambda i: F.get("bands", F.lit(i)).cast("double")
+    ok = lambda i: F.coalesce(finite(x(i)) & (x(i) != nodata), F.lit(False))
+    q = [F.percentile(F.when(ok(i), x(i)), F.array(F.lit(low), F.lit(high))).alias(f"q{i}") for i in range(n_bands)]
     t = pixels.join(pixels.groupBy("tile_key").agg(*q), "tile_key")
     out = []
     for i in range(n_bands):
         lo, hi = F.get(f"q{i}", F.lit(0)), F.get(f"q{i}", F.lit(1))
-        span = F.when(hi - lo > 0, hi - lo).otherwise(1.0)
-        out.append(F.when(x(i) != nodata, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x(i) - lo) / span))).otherwise(0.0))
+        scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x(i) - lo) / F.nullif(hi - lo, F.lit(0.0))))
+        out.append(F.when(~ok(i), 0.0).when(hi <= lo, 1.0).otherwise(scaled))
     return t.withColumn("bands", F.array(*out)).drop(*[f"q{i}" for i in range(n_bands)])
 
 

@@ -17,6 +17,13 @@ def segment_majority(pixels: DataFrame) -> DataFrame:
     return mid.join(top, ["tile_key", "segment_id"], "left")
 
 
+def relabel(pixels: DataFrame) -> DataFrame:
+    """``tile_key, r, c, label``: each pixel with the majority label of its segment, 255 if that has none."""
+    major = segment_majority(pixels).select("tile_key", "segment_id", "major")
+    j = pixels.select("tile_key", "segment_id", "r", "c").join(major, ["tile_key", "segment_id"])
+    return j.select("tile_key", "r", "c", F.coalesce("major", F.lit(255)).cast("int").alias("label"))
+
+
 def last_mask(masks: DataFrame, value: str = "segment_id", order: str = "ord") -> DataFrame:
     """Value of the last mask that covers a pixel."""
     return masks.groupBy("tile_key", "r", "c").agg(F.max_by(value, F.struct(order, value)).alias(value))

@@ -98,13 +98,65 @@ def neighbours(pixels: DataFrame, offsets: list[tuple[int, int, float]], columns
 
 
 def blur3(pixels: DataFrame, value: str, sigma: float = 1.0) -> DataFrame:
-    """3 x 3 Gaussian blur with weights of the cells inside the tile scaled to one."""
-    g = [math.exp(-(a * a) / (2 * sigma * sigma)) for a in (-1, 0, 1)]
-    offs = [(a, b, g[a + 1] * g[b + 1]) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    n = neighbours(pixels, offs, [value]).groupBy("tile_key", "r", "c").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias(value))
+    """3 x 3 Gaussian blur; beyond an edge lies the reflection of the tile, without the edge itself.
+
+    Each cell is sent to the cells that it is part of. A tile of one row (column) is not
+    blurred along its columns (rows); where a ragged tile lacks a cell, the others' weights
+    are scaled to one.
+    """
+    g = math.exp(-1 / (2 * sigma * sigma))
+
+    def reach(axis: str, n: str) -> Column:
+        at, last = F.col(axis), F.col(n) - 1
+        to = lambda c, k: F.struct(c.cast("int").alias("to"), F.lit(float(k)).alias("k"))
+        beside = F.array(to(at - 1, g), to(at, 1), to(at + 1, g))
+        mirrored = F.concat(beside, F.when(at == 1, F.array(to(F.lit(0), g))).otherwise(F.array()), F.when(at == last - 1, F.array(to(last, g))).otherwise(F.array()))
+        return F.filter(mirrored, lambda m: (m["to"] >= 0) & (m["to"] <= last))
+
+    p = pixels.join(extents(pixels), "tile_key").select("tile_key", value, F.explode(reach("r", "h")).alias("a"), "c", "w")
+    p = p.select("tile_key", value, "a", F.explode(reach("c", "w")).alias("b"))
+    k = F.col("a.k") * F.col("b.k")
+    n = p.groupBy("tile_key", F.col("a.to").alias("r"), F.col("b.to").alias("c")).agg((F.sum(k * F.col(value)) / F.sum(k)).alias(value))
     return pixels.select("tile_key", "r", "c").join(n, ["tile_key", "r", "c"])
 
 
+def channel_dropout(pixels: DataFrame, n_bands: int, seed: int = 42) -> DataFrame:
+    """One to min(3, ``n_bands`` / 4) bands of each tile set to 0, number and bands chosen by hash."""
+    most = max(1, min(3, n_bands // 4))
+    dice = lambda *x: F.md5(F.concat(F.lit(f"{seed}:"), "tile_key", *x))
+    many = (F.conv(F.substring(dice(F.lit(":n")), 1, 8), 16, 10).cast("long") % most + 1).cast("int")
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.struct(dice(F.lit(":"), i.cast("string")).alias("h"), i.alias("i"))))
+    drop = F.slice(F.transform(order, lambda x: x["i"]), 1, many)
+    p = pixels.withColumn("__drop", drop)
+    return p.withColumn("bands", F.transform("bands", lambda x, i: F.when(F.array_contains("__drop", i), 0.0).otherwise(x))).drop("__drop")
+
+
+def gaussian_noise(pixels: DataFrame, std: float = 0.01, seed: int = 42) -> DataFrame:
+    """Adds normal noise to every band, from two hashes of seed, cell and band by the Box-Muller transform."""
+    def unit(k: int, i: Column) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "tile_key", "r", "c", i), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+
+    return pixels.withColumn("bands", F.transform("bands", lambda x, i: x + std * F.sqrt(-2 * F.log(unit(1, i))) * F.cos(2 * math.pi * unit(2, i))))
+
+
+def jitter_factor(seed: int, what: str, band: Column, low: float = 0.9, high: float = 1.1) -> Column:
+    """Factor of a tile and band between ``low`` and ``high``, by hash."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{what}:"), "tile_key", F.lit(":"), band.cast("string"))), 1, 8), 16, 10).cast("double")
+    return low + (high - low) * h / float(0xFFFFFFFF)
+
+
+def brightness(pixels: DataFrame, seed: int = 42, low: float = 0.9, high: float = 1.1) -> DataFrame:
+    """Each band of a tile times its factor."""
+    return pixels.withColumn("bands", F.transform("bands", lambda x, i: x * jitter_factor(seed, "brightness", i, low, high)))
+
+
+def contrast(pixels: DataFrame, n_bands: int, seed: int = 42, low: float = 0.9, high: float = 1.1) -> DataFrame:
+    """Distance of each band from its mean in the tile times a factor."""
+    m = pixels.groupBy("tile_key").agg(F.array(*[F.avg(F.get("bands", F.lit(i))) for i in range(n_bands)]).alias("__m"))
+    p = pixels.join(m, "tile_key")
+    return p.withColumn("bands", F.transform("bands", lambda x, i: (x - F.get("__m", i)) * jitter_factor(seed, "contrast", i, low, high) + F.get("__m", i))).drop("__m")
+
+
 def edge_mask(labels: DataFrame, ignore: int = 255) -> DataFrame:
     """Background cells beside a labelled one: the 4-neighbour dilation of the mask, less the mask."""
     on = labels.withColumn("m", F.when(F.col("label") == ignore, 0).otherwise(F.col("label")) != 0)
@@ -113,45 +165,59 @@ def edge_mask(labels: DataFrame, ignore: int = 255) -> DataFrame:
     return e.select("tile_key", "r", "c", (F.coalesce("hit", F.lit(False)) & ~F.col("m")).cast("int").alias("edge"))
 
 
-def squared_distance(mask: DataFrame, reach: int | None = None, on: str = "m", keys: tuple = ("tile_key",)) -> DataFrame:
-    """Squared distance of each cell to the nearest cell where ``on`` holds, null where there is none
-    (or, with ``reach``, none within so many columns).
+def squared_distance(mask: DataFrame, on: str = "m", keys: tuple = ("tile_key",)) -> DataFrame:
+    """Squared distance of each cell to the nearest cell where ``on`` holds, null where there is none.
 
     Separable: the nearest such row in each column by windows over the whole grid of the
-    tile, so that ragged rows see all columns, then the least of g * g + d * d along the row.
+    tile, so that ragged rows see all columns; then, a grid row at a time in NumPy, the
+    least of g * g + d * d over all columns of the row.
     """
     e = mask.groupBy(*keys).agg(F.max("r").alias("h"), F.max("c").alias("w"))
     grid = (e.withColumn("r", F.explode(F.sequence(F.lit(0), "h"))).withColumn("c", F.explode(F.sequence(F.lit(0), "w")))
-            .select(*keys, "r", "c").join(mask.where(F.col(on)).select(*keys, "r", "c", F.lit(True).alias("on")), [*keys, "r", "c"], "left"))
+            .select(*keys, "r", "c", "w").join(mask.where(F.col(on)).select(*keys, "r", "c", F.lit(True).alias("on")), [*keys, "r", "c"], "left"))
     col = Window.partitionBy(*keys, "c").orderBy("r")
     up = F.last(F.when(F.col("on"), F.col("r")), ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first(F.when(F.col("on"), F.col("r")), ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing))
-    g = grid.withColumn("g", F.least(F.col("r") - up, down - F.col("r"))).where("g is not null")
-    rows = g.groupBy(*keys, "r").agg(F.collect_list(F.struct("c", (F.col("g") * F.col("g")).alias("g2"))).alias("row"))
-    m = mask.join(rows, [*keys, "r"], "left")
-    near = F.col("row") if reach is None else F.filter("row", lambda o: F.abs(o["c"] - F.col("c")) <= reach)
-    return m.withColumn("d2", F.array_min(F.transform(near, lambda o: o["g2"] + (o["c"] - F.col("c")) * (o["c"] - F.col("c"))))).drop("row")
+    g = grid.withColumn("g", F.least(F.col("r") - up, down - F.col("r")).cast("int")).where("g is not null")
+    # One row of a tile, as wide as the tile.
+    rows = g.groupBy(*keys, "r").agg(F.max("w").cast("int").alias("w"), F.collect_list(F.struct("c", "g")).alias("x"))
+    rows = rows.select(*keys, "r", "w", F.col("x.c").alias("cs"), F.col("x.g").alias("gs"))
+
+    def envelope(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for w, cs, gs in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("w", "cs", "gs"))):
+                at, g2 = np.array(cs, np.int64), np.array(gs, np.int64) ** 2
+                out.append(((np.arange(w + 1)[:, None] - at) ** 2 + g2).min(1))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys) + 1)), pa.array(out, pa.list_(pa.int64()))], [*keys, "r", "d2"])
 
+    kinds = dict(rows.dtypes)
+    made = rows.mapInArrow(envelope, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "r")) + ", d2 array<long>")
+    return mask.join(made.select(*keys, "r", F.posexplode("d2").alias("c", "d2")), [*keys, "r", "c"], "left")
 
-def signed_distances(labels: DataFrame, classes: list[int], reach: int | None = None) -> DataFrame:
+
+def signed_distances(labels: DataFrame, classes: list[int]) -> DataFrame:
     """``tile_key, cls, r, c, sd`` for each class: distance to it outside it, minus the distance to
     the outside within it; 0 where the class is absent. A tile of one class alone lies one
-    cell more than its longer side (or than ``reach``) within it."""
+    cell more than its longer side within it."""
     keys = ("tile_key", "cls")
     m = labels.select("tile_key", F.explode(F.array(*map(F.lit, classes))).alias("cls"), "r", "c", "label")
     m = m.select(*keys, "r", "c", (F.col("label") == F.col("cls")).alias("m"))
-    a = squared_distance(m, reach, keys=keys)
-    b = squared_distance(m.withColumn("m", ~F.col("m")), reach, keys=keys).select(*keys, "r", "c", F.col("d2").alias("in2"))
-    side = F.greatest(F.max("r"), F.max("c")) + 2 if reach is None else F.lit(reach + 1)
+    a = squared_distance(m, keys=keys)
+    b = squared_distance(m.withColumn("m", ~F.col("m")), keys=keys).select(*keys, "r", "c", F.col("d2").alias("in2"))
+    side = F.greatest(F.max("r"), F.max("c")) + 2
     has = m.groupBy(*keys).agg(F.bool_or("m").alias("has"), side.cast("double").alias("far"))
     j = a.join(b, [*keys, "r", "c"]).join(has.select(*keys, "has", "far"), list(keys))
     d = F.when(~F.col("has"), 0.0).when(F.col("m"), -F.coalesce(F.sqrt("in2"), "far")).otherwise(F.coalesce(F.sqrt("d2"), "far"))
     return j.select(*keys, "r", "c", d.alias("sd"))
 
 
-def signed_distance(labels: DataFrame, cls: int, reach: int | None = None) -> DataFrame:
+def signed_distance(labels: DataFrame, cls: int) -> DataFrame:
     """``signed_distances`` of one class: ``tile_key, r, c, sd``."""
-    return signed_distances(labels, [cls], reach).drop("cls")
+    return signed_distances(labels, [cls]).drop("cls")
 
 
 def mosaic(layers: DataFrame, value: str, order: str) -> DataFrame:
@@ -217,3 +283,83 @@ def geographic_to_laea(lon: Column, lat: Column, lon0: float = 10.0, lat0: float
     b = rq * F.sqrt(2 / (1 + math.sin(b0) * F.sin(beta) + math.cos(b0) * F.cos(beta) * F.cos(dl)))
     return (F.lit(east0) + b * d * F.cos(beta) * F.sin(dl),
             F.lit(north0) + b / d * (math.cos(b0) * F.sin(beta) - math.sin(b0) * F.cos(beta) * F.cos(dl)))
+
+
+def geographic_to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
+    """East and north of northern UTM coordinates (WGS 84), by the published series."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    A = a / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64)
+    alpha = (n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16, 13 * n ** 2 / 48 - 3 * n ** 3 / 5, 61 * n ** 3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    s = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    dl = F.radians(lon - ((zone % 100) * 6 - 183))
+    x1, e1 = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+    east = e1 + sum(b * F.cos(2 * (j + 1) * x1) * F.sinh(2 * (j + 1) * e1) for j, b in enumerate(alpha))
+    north = x1 + sum(b * F.sin(2 * (j + 1) * x1) * F.cosh(2 * (j + 1) * e1) for j, b in enumerate(alpha))
+    return 500000.0 + k0 * A * east, k0 * A * north
+
+
+def laea_to_geographic(x: Column, y: Column, lon0: float = 10.0, lat0: float = 52.0, east0: float = 4321000.0, north0: float = 3210000.0) -> tuple[Column, Column]:
+    """Longitude and latitude of the Lambert azimuthal equal-area grid of Europe (GRS 80), by the published formulas."""
+    a, f = 6378137.0, 1 / 298.257222101
+    e2 = 2 * f - f * f
+    e = math.sqrt(e2)
+    q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    s0 = math.sin(math.radians(lat0))
+    qp = q(1.0)
+    b0, rq = math.asin(q(s0) / qp), a * math.sqrt(qp / 2)
+    d = a * math.cos(math.radians(lat0)) / math.sqrt(1 - e2 * s0 * s0) / (rq * math.cos(b0))
+    dx, dy = (x - east0) / d, (y - north0) * d
+    rho = F.sqrt(dx * dx + dy * dy)
+    c = 2 * F.asin(rho / (2 * rq))
+    up = F.when(rho == 0, F.lit(math.sin(b0))).otherwise(F.cos(c) * math.sin(b0) + dy * F.sin(c) * math.cos(b0) / rho)
+    beta = F.asin(up)
+    lon = F.radians(F.lit(lon0)) + F.atan2(dx * F.sin(c), rho * math.cos(b0) * F.cos(c) - dy * math.sin(b0) * F.sin(c))
+    lat = (beta + (e2 / 3 + 31 * e2 ** 2 / 180 + 517 * e2 ** 3 / 5040) * F.sin(2 * beta) + (23 * e2 ** 2 / 360 + 251 * e2 ** 3 / 3780) * F.sin(4 * beta)
+           + 761 * e2 ** 3 / 45360 * F.sin(6 * beta))
+    return F.degrees(F.when(rho == 0, F.radians(F.lit(lon0))).otherwise(lon)), F.degrees(lat)
+
+
+def laea_grid(tiles: DataFrame, res: float) -> DataFrame:
+    """Cells of the equal-area grid that cover each tile: ``tile_key, gr, gc`` with the centre ``gr * res, gc * res``.
+
+    ``tiles``: ``tile_key, utm`` (zone), ``east, north`` (outer corner of pixel (0, 0), rows
+    go south), ``px`` (pixel size), ``h, w``. Each tile's box follows from its corners and
+    the middles of its sides, one cell wider.
+    """
+    at = [(i / 2, j / 2) for i in range(3) for j in range(3)]
+    t = tiles
+    for k, (i, j) in enumerate(at):
+        lon, lat = utm_to_geographic(F.col("east") + F.col("px") * F.col("w") * j, F.col("north") - F.col("px") * F.col("h") * i, F.col("utm"))
+        x, y = geographic_to_laea(lon, lat)
+        t = t.withColumn(f"x{k}", x).withColumn(f"y{k}", y)
+    cells = lambda v: F.explode(F.sequence(*[(F.floor(m(*[f"{v}{k}" for k in range(len(at))]) / res) + more).cast("long") for m, more in ((F.least, -1), (F.greatest, 2))]))
+    return t.withColumn("gr", cells("y")).withColumn("gc", cells("x")).select("tile_key", "gr", "gc")
+
+
+def reproject(pixels: DataFrame, tiles: DataFrame, res: float, nearest: list[str], bilinear: list[str]) -> DataFrame:
+    """A tile table in UTM zones on the equal-area grid: ``tile_key, gr, gc`` and the columns.
+
+    Each grid cell looks its centre up in its tile: ``nearest`` columns (labels) take the
+    pixel that holds it, ``bilinear`` ones (bands) the mean of the four pixels around it
+    that exist, by distance. Both are equi-joins on the pixel. Cells whose centre lies in
+    no pixel are left out.
+    """
+    g = laea_grid(tiles, res).join(tiles.select("tile_key", "utm", "east", "north", "px"), "tile_key")
+    lon, lat = laea_to_geographic(F.col("gc") * res, F.col("gr") * res)
+    e, n = geographic_to_utm(lon, lat, F.col("utm"))
+    g = g.withColumn("y", (F.col("north") - n) / F.col("px") - 0.5).withColumn("x", (e - F.col("east")) / F.col("px") - 0.5)
+    cell = ["tile_key", "gr", "gc"]
+    own = g.withColumn("r", F.floor(F.col("y") + 0.5).cast("int")).withColumn("c", F.floor(F.col("x") + 0.5).cast("int"))
+    out = own.join(pixels.select("tile_key", "r", "c", *nearest), ["tile_key", "r", "c"]).select(*cell, *nearest)
+    if not bilinear:
+        return out
+    fy, fx = F.floor("y"), F.floor("x")
+    corners = [F.struct((fy + i).cast("int").alias("r"), (fx + j).cast("int").alias("c"),
+                        ((F.col("y") - fy if i else 1 - (F.col("y") - fy)) * (F.col("x") - fx if j else 1 - (F.col("x") - fx))).alias("k")) for i in (0, 1) for j in (0, 1)]
+    around = g.select(*cell, F.explode(F.array(*corners)).alias("p")).select(*cell, "p.*").where("k > 0")
+    mean = around.join(pixels.select("tile_key", "r", "c", *bilinear), ["tile_key", "r", "c"]).groupBy(*cell).agg(
+        *[(F.sum(F.col("k") * F.col(b)) / F.sum("k")).alias(b) for b in bilinear])
+    return out.join(mean, cell)

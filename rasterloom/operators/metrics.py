@@ -67,10 +67,22 @@ def tversky(long_probs: DataFrame, classes: int, alpha: float = 0.7, beta: float
 
 
 def boundary_dice(cells: DataFrame, smooth: float = 1e-6) -> DataFrame:
-    """``tile_key, cls, p, hit, sd`` to one loss: overlap weighted by the distance normalised per tile and class, classes averaged."""
+    """``tile_key, cls, p, sd`` to one loss: of each tile and class, the overlap of the
+    probabilities with the distances scaled to 0..1, over the sums of their squares; tiles
+    averaged within classes, then classes."""
     w = Window.partitionBy("tile_key", "cls")
-    span = F.max("sd").over(w) - F.min("sd").over(w)
-    n = cells.withColumn("d", (F.col("sd") - F.min("sd").over(w)) / (span + smooth))
-    hit = F.col("hit").cast("double")
-    s = n.groupBy("cls").agg(F.sum(F.col("p") * hit * F.col("d")).alias("i"), F.sum((F.col("p") + hit) * F.col("d")).alias("u"))
-    return s.agg((1 - F.avg((2 * F.col("i") + smooth) / (F.col("u") + smooth))).alias("loss"))
+    low = F.min("sd").over(w)
+    d = cells.withColumn("d", (F.col("sd") - low) / (F.max("sd").over(w) - low + 1e-8))
+    t = d.groupBy("tile_key", "cls").agg(F.sum(F.col("p") * F.col("d")).alias("i"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum(F.col("d") * F.col("d")).alias("dd"))
+    loss = 1 - 2 * F.col("i") / (F.col("pp") + F.col("dd") + smooth)
+    return t.groupBy("cls").agg(F.avg(loss).alias("loss")).agg(F.avg("loss").alias("loss"))
+
+
+def combined_loss(focal_loss: DataFrame, tversky_loss: DataFrame, boundary_loss: DataFrame | None = None, boundary_weight: float = 0.4) -> DataFrame:
+    """Half of each of two losses (one row each), and a weighted third."""
+    j = focal_loss.select(F.col("loss").alias("f")).join(F.broadcast(tversky_loss.select(F.col("loss").alias("t"))))  # one row each
+    total = 0.5 * F.col("f") + 0.5 * F.col("t")
+    if boundary_loss is not None:
+        j = j.join(F.broadcast(boundary_loss.select(F.col("loss").alias("b"))))
+        total = total + boundary_weight * F.col("b")
+    return j.select(total.alias("loss"))

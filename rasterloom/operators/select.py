@@ -29,8 +29,13 @@ def proportional_share(tiles: DataFrame, max_tiles: int) -> DataFrame:
 
 
 def entropy_edges(tiles: DataFrame, bins: int) -> DataFrame:
-    """Entropy quantiles of each zone, moved up by 1e-8 where they do not increase."""
-    qs = F.percentile("entropy", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
+    """Entropy quantiles of each zone, moved up by 1e-8 where they do not increase.
+
+    Exact percentiles over counts of equal values: a zone's buffer holds its distinct
+    entropies (16 bytes each; tiles of one class, the usual case, are one of them).
+    """
+    tiles = tiles.groupBy("zone", "entropy").agg(F.count("*").alias("n"))
+    qs = F.percentile("entropy", F.array(*[F.lit(i / bins) for i in range(bins + 1)]), F.col("n"))
     fold = F.aggregate(F.col("q"), F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(
         F.when((F.size(a) > 0) & (x <= F.try_element_at(a, F.lit(-1))), F.try_element_at(a, F.lit(-1)) + 1e-8).otherwise(x))))
     return tiles.groupBy("zone").agg(qs.alias("q")).select("zone", fold.alias("edges"))

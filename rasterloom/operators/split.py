@@ -45,34 +45,45 @@ def stratified(tiles: DataFrame, ratios: tuple[float, float, float] = (1.0, 0.1,
     """``tile_key, zone, split``: each zone's tiles in seeded order, cut at its allocation."""
     n = allocate(tiles.groupBy("zone").agg(F.count("*").alias("items")), ratios)
     cut = n.groupBy("zone").agg(*[F.coalesce(F.sum(F.when(F.col("split").isin(*SPLITS[:k + 1]), F.col("n"))), F.lit(0)).alias(f"upto_{k}") for k in (0, 1)])
-    rank = F.row_number().over(Window.partitionBy("zone").orderBy(seeded(seed=seed)))
-    t = tiles.withColumn("k", rank).join(cut, "zone")
+    t = global_rank(tiles, seeded(seed=seed), "k", "zone").join(F.broadcast(cut), "zone")  # one row per zone
     split = F.when(F.col("k") <= F.col("upto_0"), "train").when(F.col("k") <= F.col("upto_1"), "val").otherwise("test")
     return t.select("tile_key", "zone", split.alias("split"))
 
 
-def round_robin(tiles: DataFrame, n: int, order: Column | None = None, ordinal: str = "tile_id") -> DataFrame:
+def round_robin(tiles: DataFrame, n: int, order: Column | None = None, ordinal: str = "tile_id", by_name: bool = False) -> DataFrame:
     """``n`` tiles, one zone after the other: the first of each zone, then the second, and so on.
 
-    Zones come in the order of their first tile; with fewer places than zones, by name.
+    Zones come in the order of their first tile, also with fewer places than zones, unless
+    ``by_name`` asks for the zones' names then (as the cap on training tiles does).
     """
     order = seeded() if order is None else order
-    zones = tiles.agg(F.count_distinct("zone").alias("zones"))
     first = tiles.groupBy("zone").agg(F.min(ordinal).alias("zone_ord"))
-    rank = F.row_number().over(Window.partitionBy("zone").orderBy(order))
-    t = tiles.withColumn("rank", rank).join(first, "zone").join(F.broadcast(zones))  # one row
-    by_name = F.col("zones") > n
-    return (t.orderBy("rank", F.when(by_name, F.lit(0)).otherwise(F.col("zone_ord")), "zone").limit(n).select("tile_key", "zone", "rank"))
-
-
-def global_rank(rows: DataFrame, key: Column, digits: int = 2, out: str = "rank") -> DataFrame:
-    """Rank by a hexadecimal ``key`` from 1: bucket sizes by leading digits, and ranks within buckets."""
-    r = rows.withColumn("__k", key).withColumn("__b", F.substring("__k", 1, digits))
-    sizes = r.groupBy("__b").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 16 ** digits rows
-    sizes = sizes.withColumn("__before", before).drop("n")
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__k"))
-    return r.withColumn("__i", inside).join(sizes, "__b").withColumn(out, (F.col("__before") + F.col("__i")).cast("long")).drop("__k", "__b", "__i", "__before")
+    ranked = global_rank(tiles, order, "rank", "zone").withColumn("rank", F.col("rank").cast("int"))
+    t = ranked.join(F.broadcast(first), "zone")  # one row per zone
+    place = F.col("zone_ord")
+    if by_name:
+        t = t.join(F.broadcast(tiles.agg(F.count_distinct("zone").alias("zones"))))  # one row
+        place = F.when(F.col("zones") > n, F.lit(0)).otherwise(place)
+    return t.orderBy("rank", place, "zone").limit(n).select("tile_key", "zone", "rank")
+
+
+def global_rank(rows: DataFrame, key: Column, out: str = "rank", *group: str, per_bucket: int = 50_000) -> DataFrame:
+    """Rank by a hexadecimal hash ``key`` from 1, within ``group`` if given: sizes of the buckets of
+    leading digits, and ranks within buckets. The digits grow with the rows, so that no window is larger."""
+    digits, n = 1, rows.count()
+    while 16 ** digits * per_bucket < n:
+        digits += 1
+    return _bucket_rank(rows.withColumn("__k", key), F.substring("__k", 1, digits), out, group)
+
+
+def _bucket_rank(rows: DataFrame, bucket: Column, out: str, group: tuple[str, ...] = ()) -> DataFrame:
+    r = rows.withColumn("__b", bucket)
+    sizes = r.groupBy(*group, "__b").agg(F.count("*").alias("n"))
+    # A window over one row per bucket.
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(*group, "__b").orderBy("__k"))
+    return (r.withColumn("__i", inside).join(sizes.withColumn("__before", before).drop("n"), [*group, "__b"])
+            .withColumn(out, (F.col("__before") + F.col("__i")).cast("long")).drop("__k", "__b", "__i", "__before"))
 
 
 def unstratified(tiles: DataFrame, ratios: tuple[float, float, float] = (1.0, 0.1, 0.1), seed: int = 42) -> DataFrame:
@@ -84,18 +95,28 @@ def unstratified(tiles: DataFrame, ratios: tuple[float, float, float] = (1.0, 0.
     return t.select("tile_key", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + b, "val").otherwise("test").alias("split"))
 
 
-def uncovered_zones(splits: DataFrame) -> DataFrame:
-    """Zone and split pairs without a tile; empty if coverage holds."""
-    grid = splits.select("zone").distinct().join(splits.select("split").distinct())
-    return grid.join(splits, ["zone", "split"], "left_anti")
+def uncovered_zones(splits: DataFrame, left: DataFrame | None = None) -> DataFrame:
+    """Zone and split pairs without a tile (in ``left``, if given); empty if coverage holds."""
+    grid = splits.select("zone").distinct().join(F.broadcast(splits.select("split").distinct()))  # a row per split
+    return grid.join(splits if left is None else left, ["zone", "split"], "left_anti")
+
 
+def evenly_spaced(rows: DataFrame, key: str, k: int, per_bucket: int = 50_000) -> DataFrame:
+    """``k`` of n rows in key order, evenly spaced, with their ordinal from 0.
 
-def evenly_spaced(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """``k`` of n rows in key order, evenly spaced; the ordinal comes from a two-level rank."""
-    n = rows.count()
-    picks = sorted({(i * (n - 1)) // (k - 1) if k > 1 else 0 for i in range(min(k, n))})
-    ranked = global_rank(rows, F.hex(F.col(key)), 12)
-    return ranked.where(F.col("rank").isin([p + 1 for p in picks])).select(key, (F.col("rank") - 1).alias("ordinal"))
+    Ranks come from buckets of leading characters, more of them until no bucket is large
+    (or keys have no more), and the ordinals to pick are joined.
+    """
+    size = F.octet_length(key)
+    n, longest = rows.agg(F.count("*"), F.coalesce(F.max(size), F.lit(0))).first()
+    first = 1
+    while first < longest and rows.groupBy(F.substring(key, 1, first)).count().where(F.col("count") > per_bucket).limit(1).count():
+        first += 2
+    ranked = _bucket_rank(rows.withColumn("__k", F.col(key)), F.substring("__k", 1, first), "rank")
+    places = min(k, n)
+    i = rows.sparkSession.range(places)
+    picks = i.select((F.expr(f"id * {n - 1} div {k - 1}") if k > 1 else F.lit(0).cast("long")).alias("ordinal")).distinct()
+    return ranked.withColumn("ordinal", F.col("rank") - 1).join(F.broadcast(picks), "ordinal").select(key, "ordinal")  # at most k rows
 
 
 def rarest_class(hist: DataFrame) -> DataFrame:
@@ -108,3 +129,9 @@ def subsample(tiles: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """int(n * share) tiles in seeded order."""
     n = tiles.agg(F.floor(F.count("*") * share).alias("n"))
     return global_rank(tiles, seeded(seed=seed)).join(F.broadcast(n)).where("rank <= n").select("tile_key")  # one row
+
+
+def append_new(splits: DataFrame, keys: DataFrame, split: str) -> DataFrame:
+    """``splits`` and the ``keys`` that ``split`` does not have yet, as its members."""
+    new = keys.distinct().join(splits.where(F.col("split") == split), "tile_key", "left_anti")
+    return splits.unionByName(new.select("tile_key", F.lit(split).alias("split")))

@@ -58,8 +58,12 @@ def sample_weights(hist: DataFrame, weights: DataFrame) -> DataFrame:
     return t.join(F.broadcast(total)).select("tile_key", "weight", (F.pow("weight", F.lit(1.5)) / F.col("total")).alias("score"))  # one row
 
 
-def cumulative(scores: DataFrame, digits: int = 2) -> DataFrame:
-    """``tile_key, lo, hi``: intervals of cumulated whole-number ``mass`` in key-hash order, by bucket sums and sums within buckets."""
+def cumulative(scores: DataFrame, per_bucket: int = 50_000) -> DataFrame:
+    """``tile_key, lo, hi``: intervals of cumulated whole-number ``mass`` in key-hash order, by sums of
+    buckets, whose number grows with the rows, and sums within buckets."""
+    digits, n = 1, scores.count()
+    while 16 ** digits * per_bucket < n:
+        digits += 1
     s = scores.withColumn("h", F.md5("tile_key")).withColumn("b", F.substring("h", 1, digits))
     sums = s.groupBy("b").agg(F.sum("mass").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 16 ** digits rows

@@ -9,6 +9,7 @@ from ..operators import cluster as K
 from ..operators import grid as G
 from ..operators import metrics as M
 from ..operators import score as C
+from ..operators import split as P
 from ..sources import fixtures as X
 from .registry import query, r6
 
@@ -20,9 +21,9 @@ def per(s, d):
     return M.per_class(M.confusion(X.predictions(s, d)), 13)
 
 
-@query("j8_truth_prediction", "SELECT a.tile_key, count(*) AS n, count(*) FILTER (a.label = b.pred) AS hits FROM fx_labels a JOIN (SELECT tile_key, r, c, pred FROM fx_pred WHERE c < 30) b ON a.tile_key = b.tile_key AND a.r = b.r AND a.c = b.c GROUP BY 1")
+@query("j8_truth_prediction", "SELECT a.tile_key, count(*) AS n, count(*) FILTER (a.label = b.pred) AS hits FROM fx_labels a JOIN fx_pred b ON a.tile_key = b.tile_key AND a.r = b.r AND a.c = b.c GROUP BY 1")
 def j8(s, d):
-    p = X.predictions(s, d).where("c < 30").select("tile_key", "r", "c", "pred")
+    p = X.predictions(s, d).select("tile_key", "r", "c", "pred")
     j = X.labels(s, d).select("tile_key", "r", "c", "label").join(p, ["tile_key", "r", "c"])
     return j.groupBy("tile_key").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("pred")).alias("hits"))
 
@@ -82,28 +83,63 @@ def a36(s, d):
     return M.cross_entropy(truth(s, d)).select(F.round("loss", 6).alias("loss"))
 
 
-@query("a37_focal", PROB + " SELECT round(sum(0.25::DOUBLE * pow(1 - p, 2) * -ln(p) * w) / greatest(sum(w), 1e-8), 6) AS loss FROM (SELECT p, CASE WHEN r = 0 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS w FROM pr WHERE cls = label)")
+EDGE = """, mk AS (SELECT tile_key, r, c, CASE WHEN label = 255 THEN 0 ELSE label END <> 0 AS m FROM fx_logits),
+ nb AS (SELECT DISTINCT tile_key, r + a AS r, c + b AS c FROM mk CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(a, b) WHERE m),
+ ew AS (SELECT mk.tile_key, mk.r, mk.c, CASE WHEN nb.r IS NOT NULL AND NOT m THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS w FROM mk LEFT JOIN nb ON nb.tile_key = mk.tile_key AND nb.r = mk.r AND nb.c = mk.c),
+ fo AS (SELECT sum(0.25::DOUBLE * pow(1 - p, 2) * -ln(p) * w) / greatest(sum(w), 1e-8) AS loss FROM pr JOIN ew USING (tile_key, r, c) WHERE cls = label)"""
+
+
+def focal(s, d):
+    """Focal loss of the valid pixels, which weigh 0.4 on edges."""
+    edge = G.edge_mask(X.logits(s, d))
+    p = probs(s, d).where("label <> 255").join(edge, ["tile_key", "r", "c"])
+    return M.focal(p.withColumn("p", F.get("probs", F.col("label"))).withColumn("weight", F.when(F.col("edge") == 1, 0.4).otherwise(1.0)))
+
+
+@query("a37_focal", PROB + EDGE + " SELECT round(loss, 6) AS loss FROM fo")
 def a37(s, d):
-    return M.focal(truth(s, d)).select(F.round("loss", 6).alias("loss"))
+    return focal(s, d).select(F.round("loss", 6).alias("loss"))
 
 
 def long_probs(s, d):
     return probs(s, d).select("tile_key", "r", "c", "label", F.posexplode("probs").alias("cls", "p")).withColumn("hit", F.col("cls") == F.least("label", F.lit(12)))
 
 
-@query("a38_tversky", PROB + ", t AS (SELECT cls, sum(p * (cls = least(label, 12))::INT) AS tp, sum(p * (cls <> least(label, 12))::INT) AS fp, sum((1 - p) * (cls = least(label, 12))::INT) AS fn FROM pr GROUP BY 1) SELECT round(1 - avg((tp + 1e-6) / (tp + 0.7::DOUBLE * fp + 0.3::DOUBLE * fn + 1e-6)), 6) AS loss FROM t")
+TVERSKY = ", tv AS (SELECT 1 - avg((tp + 1e-6) / (tp + 0.7::DOUBLE * fp + 0.3::DOUBLE * fn + 1e-6)) AS loss FROM (SELECT cls, sum(p * (cls = least(label, 12))::INT) AS tp, sum(p * (cls <> least(label, 12))::INT) AS fp, sum((1 - p) * (cls = least(label, 12))::INT) AS fn FROM pr GROUP BY 1))"
+
+
+@query("a38_tversky", PROB + TVERSKY + " SELECT round(loss, 6) AS loss FROM tv")
 def a38(s, d):
     return M.tversky(long_probs(s, d), 13).select(F.round("loss", 6).alias("loss"))
 
 
-@query("a39_boundary_dice")
-def a39(s, d):
+BOUNDARY = """, mc AS (SELECT tile_key, r, c, i::INT AS cls, label = i AS m FROM fx_logits CROSS JOIN range(13) g(i)),
+ ds AS (SELECT x.tile_key, x.cls, x.r, x.c, x.m, min((x.r - y.r) ** 2 + (x.c - y.c) ** 2) FILTER (y.m <> x.m) AS d2, bool_or(y.m) AS has, greatest(max(y.r), max(y.c)) + 2 AS far
+  FROM mc x JOIN mc y ON x.tile_key = y.tile_key AND x.cls = y.cls GROUP BY ALL),
+ sd AS (SELECT tile_key, cls, r, c, CASE WHEN NOT has THEN 0.0 WHEN m THEN -coalesce(sqrt(d2), far) ELSE sqrt(d2) END AS sd FROM ds),
+ nd AS (SELECT *, (sd - min(sd) OVER w) / (max(sd) OVER w - min(sd) OVER w + 1e-8) AS d FROM sd WINDOW w AS (PARTITION BY tile_key, cls)),
+ tl AS (SELECT cls, tile_key, 1 - 2 * sum(p * d) / (sum(p * p) + sum(d * d) + 1e-6) AS loss FROM pr JOIN nd USING (tile_key, cls, r, c) GROUP BY ALL),
+ bd AS (SELECT avg(loss) AS loss FROM (SELECT cls, avg(loss) AS loss FROM tl GROUP BY cls))"""
+
+
+def boundary(s, d):
     """Boundary Dice of all 13 classes with the signed distances in each 5 x 5 tile."""
-    lab = X.logits(s, d).select("tile_key", "r", "c", "label")
-    sd = G.signed_distances(lab, list(range(13)))
+    sd = G.signed_distances(X.logits(s, d).select("tile_key", "r", "c", "label"), list(range(13)))
     return M.boundary_dice(long_probs(s, d).join(sd, ["tile_key", "cls", "r", "c"]))
 
 
+@query("a39_boundary_dice", PROB + BOUNDARY + " SELECT round(loss, 6) AS loss FROM bd")
+def a39(s, d):
+    return boundary(s, d).select(F.round("loss", 6).alias("loss"))
+
+
+@query("a38_combined_loss", PROB + EDGE + TVERSKY + BOUNDARY + " SELECT round(0.5::DOUBLE * fo.loss + 0.5::DOUBLE * tv.loss + 0.4::DOUBLE * bd.loss, 6) AS loss FROM fo CROSS JOIN tv CROSS JOIN bd")
+def a38_combined(s, d):
+    """Half focal, half Tversky, and 0.4 times the boundary Dice."""
+    total = M.combined_loss(focal(s, d), M.tversky(long_probs(s, d), 13), boundary(s, d))
+    return total.select(F.round("loss", 6).alias("loss"))
+
+
 @query("a25_segment_majority", ", n AS (SELECT tile_key, segment_id, label, count(*) AS n FROM fx_segments WHERE label <> 255 GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY tile_key, segment_id ORDER BY n DESC, label) AS k FROM n)"
        " SELECT m.tile_key, m.segment_id, m.cr, m.cc, t.label AS major FROM (SELECT tile_key, segment_id, floor(avg(r))::INT AS cr, floor(avg(c))::INT AS cc FROM fx_segments GROUP BY ALL) m LEFT JOIN t ON t.tile_key = m.tile_key AND t.segment_id = m.segment_id AND k = 1")
 def a25(s, d):
@@ -145,15 +181,33 @@ def m5(s, d):
     return K.drop_small(K.kmeans(B.tile_means(X.embed(s, d), 64), 4, "vec"), 3).select("tile_key", "cluster")
 
 
+def seeds(s, d):
+    """Medoids of the clusters of tile means."""
+    return K.medoids(K.drop_small(K.kmeans(B.tile_means(X.embed(s, d), 64), 4, "vec"), 3))
+
+
 @query("m6_seed_tiles")
 def m6(s, d):
     """Seed tiles: cluster, medoid, majority label of the medoid's pixels."""
-    c = K.drop_small(K.kmeans(B.tile_means(X.embed(s, d), 64), 4, "vec"), 3)
-    seeds = K.medoids(c)
-    n = X.embed(s, d).join(seeds, "tile_key").groupBy("cluster", "tile_key", "label").agg(F.count("*").alias("n"))
+    n = X.embed(s, d).join(seeds(s, d), "tile_key").groupBy("cluster", "tile_key", "label").agg(F.count("*").alias("n"))
     return n.groupBy("cluster", "tile_key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
 
 
+@query("m6_pseudo_labels")
+def m6_labels(s, d):
+    """Pixels of the seed tiles with the majority label of their segment; a segment is a cluster of pixels."""
+    tile = X.embed(s, d).join(seeds(s, d).select("tile_key"), "tile_key", "left_semi")
+    return K.relabel(K.kmeans(tile, 3).withColumnRenamed("cluster", "segment_id"))
+
+
+@query("m6_merged_split")
+def m6_merged(s, d):
+    """The training split with the seed tiles that are not in it yet."""
+    tiles = X.embed(s, d).select("tile_key", "zone").distinct()
+    train = P.stratified(tiles).where("split = 'train'").select("tile_key", "split")
+    return P.append_new(train, seeds(s, d).select("tile_key"), "train")
+
+
 XY = ", g AS (SELECT tile_id AS cell_id, (tile_id % 10)::DOUBLE AS xmin, (tile_id // 10)::DOUBLE AS ymin, (tile_id % 10 + 1)::DOUBLE AS xmax, (tile_id // 10 + 1)::DOUBLE AS ymax FROM fx_tiles)"
 
 

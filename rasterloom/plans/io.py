@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.keys import key_generic
+from ..operators import bands as B
 from ..operators import hist as H
 from ..operators import metrics as M
 from ..operators import split as P
@@ -18,7 +19,7 @@ from .registry import query, r6
 from .splits import LEGACY, SPLIT
 
 KEYED = r""", k AS (SELECT path, mtime, coalesce(nullif(regexp_extract(path, '(32[67][0-9]{2}_[0-9]+)[^/]*$', 1), ''),
-  nullif(regexp_extract(path, '_(32[67][0-9]{2})_[^/]*$', 1), '') || '_' || nullif(regexp_extract(path, '([0-9]+)\.tif$', 1), '')) AS tile_key FROM fx_paths)"""
+  nullif(regexp_extract(path, '_(32[67][0-9]{2})_[^/]*$', 1), '') || '_' || nullif(regexp_extract(path, '([0-9]+)\.tif$', 1), '')) AS tile_key FROM fx_paths WHERE lower(path) LIKE '%.tif')"""
 
 
 @query("s1_manifest_lists", KEYED + " SELECT tile_key, count(*) AS n, string_agg(path, '|' ORDER BY path) AS paths FROM k WHERE tile_key IS NOT NULL GROUP BY 1")
@@ -32,6 +33,20 @@ def s1b(s, d):
     return R.index_last(R.manifest(X.paths(s, d).select("path")))
 
 
+@query("s1_listing", "SELECT tile_key, count(*) AS n FROM (SELECT tile_key, zone, c % 2 AS h FROM fx_pixels WHERE split_part(tile_key, '_', 2)::INT % 10 = 3 GROUP BY ALL) GROUP BY 1")
+def s1_listing(s, d):
+    """Files written below a root, listed with their keys: two text files per tile of every tenth tile, and others with another ending."""
+    path = shared_path(s, "listing")
+    p = X.pixels(s, d).where("cast(substring_index(tile_key, '_', -1) as int) % 10 = 3")
+    name = F.concat(F.lit("band_"), "tile_key", F.lit("_"), (F.col("c") % 2).cast("string"))
+    files = p.select(name.alias("name"), "r").distinct()
+    files.select("name", F.col("r").cast("string").alias("value")).repartition("name").write.partitionBy("name").text(path)
+    found = R.listing(s, path, (".TXT",)).where("length > 0")
+    # A folder per name; its files are one.
+    keyed = R.manifest(found.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct(), key_generic(F.col("path")), ())
+    return keyed.groupBy("tile_key").agg(F.count("*").alias("n"))
+
+
 @query("s2_discover", "SELECT path FROM fx_paths WHERE path NOT LIKE '%\\_pred.tif%' ESCAPE '\\' AND path LIKE '%.tif'")
 def s2(s, d):
     return R.discover(X.paths(s, d).select("path"))
@@ -42,12 +57,12 @@ def s3(s, d):
     return R.array_pairs(X.paths(s, d).select("path")).select("img", "lbl")
 
 
-@query("s4_tile_scan", "SELECT tile_key, count(*) AS n, sum(b0) AS b0 FROM fx_pixels WHERE zone = '32633' AND r < 10 GROUP BY 1")
+@query("s4_tile_scan", "SELECT tile_key, count(*) AS n, sum(b0) AS b0 FROM fx_pixels WHERE zone = '32633' GROUP BY 1")
 def s4(s, d):
-    """Pixels written partitioned by zone, scanned with partition and row pruning."""
+    """Pixels written partitioned by zone, scanned with partition pruning."""
     path = shared_path(s, "tiles")
     K.write_tiles(X.pixels(s, d), path)
-    t = s.read.parquet(path).where("zone = 32633 and r < 10")
+    t = s.read.parquet(path).where("zone = 32633")
     return t.groupBy("tile_key").agg(F.count("*").alias("n"), F.sum("b0").alias("b0"))
 
 
@@ -87,13 +102,48 @@ def s9(s, d):
 
 @query("s10_splits_document", SPLIT + " SELECT split, tile_key FROM sp")
 def s10(s, d):
-    """Splits written as one document and read back in long form (also the sink of that document)."""
+    """Splits written as one document and read back in long form."""
     path = shared_path(s, "splits")
-    K.write_splits(P.stratified(X.tiles(s, d)), path)
+    K.write_splits_document(P.stratified(X.tiles(s, d)), path)
     lists = "train array<string>, val array<string>, test array<string>"
     return R.splits_document(s.read.option("multiLine", True).schema(lists).json(path))
 
 
+@query("k6_splits_long", SPLIT + " SELECT split, tile_key FROM sp")
+def k6_long(s, d):
+    """Splits written in long form, a folder for each."""
+    path = shared_path(s, "splits")
+    K.write_splits(P.stratified(X.tiles(s, d)), path)
+    return s.read.parquet(path).select("split", "tile_key")
+
+
+DOC = "train array<string>, val array<string>, test array<string>, " + "".join(f"{x}_utm_counts map<string,bigint>, " for x in ("train", "val", "test")) + (
+    "class_stats struct<num_classes: bigint, ignore_val: int, counts: map<string,bigint>, total_pixels: bigint, weights: struct<method: string, values: map<string,double>>>,"
+    " normalization struct<mean: array<double>, std: array<double>>")
+
+
+@query("k6_augmented_document", SPLIT + LEGACY + """,
+ u AS (SELECT unnest([0, 1, 2, 3])::INT AS band, unnest(bands) AS x FROM fx_labels WHERE tile_key IN (SELECT tile_key FROM sp WHERE split = 'train')),
+ cs AS (SELECT band, count(*) FILTER (x <> -32768) AS n_valid, coalesce(sum(x) FILTER (x <> -32768), 0) AS s, coalesce(sum(x * x) FILTER (x <> -32768), 0) AS q FROM u GROUP BY band),
+ st AS (SELECT band, CASE WHEN n_valid > 0 THEN s / n_valid ELSE 0 END AS mean, CASE WHEN n_valid > 0 THEN sqrt(greatest(0, q / n_valid - s / n_valid * (s / n_valid))) ELSE 1 END AS std FROM cs)
+ SELECT 'tiles' AS section, split AS key, tile_key AS value, NULL::DOUBLE AS number FROM sp
+ UNION ALL SELECT split || '_utm_counts', zone, NULL, count(*)::DOUBLE FROM sp GROUP BY split, zone
+ UNION ALL SELECT 'counts', cls::VARCHAR, NULL, n::DOUBLE FROM k UNION ALL SELECT 'weights', cls::VARCHAR, NULL, round(weight, 5) + 0.0 FROM lw
+ UNION ALL SELECT 'mean', band::VARCHAR, NULL, round(mean, 4) + 0.0 FROM st UNION ALL SELECT 'std', band::VARCHAR, NULL, round(std, 4) + 0.0 FROM st""")
+def k6_augmented(s, d):
+    """The document with class statistics, weights, zone counts and the bands' statistics over the training tiles, read back in long form."""
+    path = shared_path(s, "splits")
+    sp = P.stratified(X.tiles(s, d))
+    w = W.legacy(H.class_totals(X.tiles(s, d), X.histograms(s, d)))
+    train = X.banded(s, d).join(sp.where("split = 'train'").select("tile_key"), "tile_key", "left_semi")
+    K.write_splits_document(sp, path, K.augmented_row(sp, w, B.channel_stats(train, 4), "legacy"))
+    long = R.augmented_splits(s.read.option("multiLine", True).schema(DOC).json(path))
+    name = F.col("section") == "tiles"
+    number = F.col("value").try_cast("double")
+    rounded = F.when(F.col("section") == "weights", F.round(number, 5)).otherwise(F.round(number, 4)) + 0.0
+    return long.select("section", "key", F.when(name, F.col("value")).alias("value"), F.when(~name, rounded).alias("number"))
+
+
 @query("s11_epoch_log", "SELECT run, epoch FROM fx_epochs WHERE epoch % 10 <> 0 AND epoch % 7 <> 0")
 def s11(s, d):
     """Log lines; every tenth lacks fields and every seventh a number."""
@@ -167,15 +217,26 @@ def k7(s, d):
     return back(s, M.confusion(X.predictions(s, d)), "csv", header=True)
 
 
+@query("k7_epoch_log", "SELECT run, epoch, round(loss, 6) + 0.0 AS loss, round(f1, 6) + 0.0 AS f1 FROM fx_epochs")
+def k7_epochs(s, d):
+    """Epochs appended to a CSV log in two steps and read back."""
+    path = shared_path(s, "log")
+    e = X.epochs(s, d).select((F.col("run") * 100000 + F.col("epoch")).alias("epoch"), "loss", F.lit(0.5).alias("acc"), F.lit(0.25).alias("miou"), "f1", F.lit(1e-4).alias("lr"))
+    for part in ("epoch % 2 = 0", "epoch % 2 = 1"):
+        K.append_epochs(e.where(part), path)
+    log = s.read.option("header", True).schema("epoch long, loss double, acc double, miou double, f1 double, lr double").csv(path)
+    return log.select(F.expr("epoch div 100000").alias("run"), (F.col("epoch") % 100000).cast("int").alias("epoch"), *[r6(c).alias(c) for c in ("loss", "f1")])
+
+
 @query("k8_write_weights", LEGACY + " SELECT cls, n, round(weight, 6) + 0.0 AS weight FROM lw")
 def k8(s, d):
     w = W.legacy(H.class_totals(X.tiles(s, d), X.histograms(s, d)))
     return back(s, w, "parquet").select("cls", "n", r6("weight").alias("weight"))
 
 
-@query("k9_text_list", "SELECT tile_key AS value FROM fx_tiles WHERE tile_id % 3 = 0")
+@query("k9_text_list", "SELECT tile_key AS value FROM fx_tiles")
 def k9(s, d):
-    return back(s, X.tiles(s, d).where("tile_id % 3 = 0").select(F.col("tile_key").alias("value")), "text")
+    return back(s, X.tiles(s, d).select(F.col("tile_key").alias("value")), "text")
 
 
 @query("k10_resume", "SELECT tile_key FROM fx_tiles WHERE NOT (tile_id % 2 = 0 AND tile_id % 6 <> 0)")

@@ -86,7 +86,7 @@ def p29(s, d):
     return B.band_count(X.embed(s, d))
 
 
-@query("p30_all_nodata_tile", "SELECT tile_key, bool_and(b0 = -32768 AND b1 = -32768 AND b2 = -32768 AND b3 = -32768) AS empty FROM fx_pixels WHERE r < 1 GROUP BY 1")
+@query("p30_all_nodata_tile", "SELECT tile_key, bool_and(b0 = -32768 AND b1 = -32768 AND b2 = -32768 AND b3 = -32768) AS empty FROM fx_pixels GROUP BY 1")
 def p30(s, d):
     return X.banded(s, d).groupBy("tile_key").agg(F.bool_and(B.all_nodata()).alias("empty"))
 
@@ -112,10 +112,18 @@ def a28(s, d):
     return B.fingerprint(X.embed(s, d))
 
 
-@query("a35_robust_stretch", ", q AS (SELECT tile_key, quantile_cont(b1, 0.02) FILTER (b1 <> -32768) AS lo, quantile_cont(b1, 0.98) FILTER (b1 <> -32768) AS hi FROM fx_pixels GROUP BY 1)"
-       " SELECT tile_key, r, c, CASE WHEN b1 <> -32768 THEN round(least(1, greatest(0, (b1 - lo) / CASE WHEN hi - lo > 0 THEN hi - lo ELSE 1 END)), 6) + 0.0 ELSE 0.0 END AS v FROM fx_pixels JOIN q USING (tile_key)")
+STRETCH = """, y AS (SELECT tile_key, r, c, CASE WHEN split_part(tile_key, '_', 2)::INT % 10 = 0 AND b1 <> -32768 THEN 7.0::DOUBLE WHEN r = 0 AND c = 0 THEN 'NaN'::DOUBLE WHEN r = 0 AND c = 1 THEN 'Infinity'::DOUBLE ELSE b1 END AS x FROM fx_pixels),
+ q AS (SELECT tile_key, quantile_cont(x, 0.02) FILTER (x <> -32768 AND isfinite(x)) AS lo, quantile_cont(x, 0.98) FILTER (x <> -32768 AND isfinite(x)) AS hi FROM y GROUP BY 1)
+ SELECT tile_key, r, c, CASE WHEN x = -32768 OR NOT isfinite(x) THEN 0.0 WHEN hi <= lo THEN 1.0 ELSE round(least(1, greatest(0, (x - lo) / (hi - lo))), 6) + 0.0 END AS v FROM y JOIN q USING (tile_key)"""
+
+
+@query("a35_robust_stretch", STRETCH)
 def a35(s, d):
-    return B.robust_stretch(X.banded(s, d), 2).select(*CELL, r6(F.get("bands", F.lit(1))).alias("v"))
+    """One band; in every tenth tile it is constant, in others one value is not a number and one infinite."""
+    flat = (F.substring_index("tile_key", "_", -1).cast("int") % 10 == 0) & (F.col("b1") != -32768)
+    x = F.when(flat, 7.0).when((F.col("r") == 0) & (F.col("c") == 0), float("nan")).when((F.col("r") == 0) & (F.col("c") == 1), float("inf")).otherwise(F.col("b1"))
+    p = X.pixels(s, d).withColumn("bands", F.array(x))
+    return B.robust_stretch(p, 1).select(*CELL, r6(F.get("bands", F.lit(0))).alias("v"))
 
 
 @query("j5_band_stack", "SELECT tile_key, r, c, b0 AS v0, b1 AS v1, b2 AS v2, b3 AS v3 FROM fx_pixels WHERE split_part(tile_key, '_', 2)::INT % 9 <> 0")
@@ -191,32 +199,44 @@ def g2(s, d):
     return one("h").unionByName(one("90")).unionByName(one("180"))
 
 
-@query("g3_channel_dropout")
+HEX = "(('0x' || substr(md5({}), 1, 8))::BIGINT)"
+
+
+@query("g3_channel_dropout", ", k AS (SELECT tile_key, i::INT AS band, md5('42:' || tile_key || ':' || i) AS h FROM (SELECT DISTINCT tile_key FROM fx_embed) CROSS JOIN range(64) g(i)),"
+       " o AS (SELECT tile_key, band, row_number() OVER (PARTITION BY tile_key ORDER BY h, band) AS k FROM k), z AS (SELECT tile_key, list(band) AS z FROM o WHERE k <= " + HEX.format("'42:' || tile_key || ':n'") + " % 3 + 1 GROUP BY 1)"
+       " SELECT vec_id, round(list_sum(list_transform(bands, lambda x, i: CASE WHEN list_contains(z, i - 1) THEN 0 ELSE x * i END)), 5) + 0.0 AS total, len(z)::INT AS dropped FROM fx_embed JOIN z USING (tile_key)")
 def g3(s, d):
-    """Up to three bands of a tile, chosen by hash, set to zero."""
-    dice = lambda i: F.md5(F.concat(F.lit("42:"), "tile_key", F.lit(":"), i.cast("string")))
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(dice(i).alias("h"), i.alias("i"))))
-    drop = F.get(F.transform(order, lambda x: x["i"]), F.lit(0))
-    return X.banded(s, d).withColumn("drop", drop).select(*CELL, F.transform("bands", lambda x, i: F.when(i == F.col("drop"), 0.0).otherwise(x)).alias("bands"))
+    """One to three of 64 bands of a tile set to zero; the sum of what is left, each band times its number."""
+    p = G.channel_dropout(X.embed(s, d).select(*CELL, "vec_id", "bands"), 64)
+    total = F.aggregate(F.transform("bands", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    gone = G.channel_dropout(X.embed(s, d).select("tile_key", F.sequence(F.lit(1), F.lit(64)).alias("bands")).distinct(), 64)
+    gone = gone.select("tile_key", F.size(F.filter("bands", lambda x: x == 0)).alias("dropped"))
+    return p.join(gone, "tile_key").select("vec_id", (F.round(total, 5) + 0.0).alias("total"), "dropped")
 
 
 @query("g4_gaussian_noise")
 def g4(s, d):
-    """Normal noise from two hashes of seed, tile and pixel by the Box-Muller transform."""
-    unit = lambda k: (F.pmod(F.xxhash64(F.lit(k), "tile_key", "r", "c"), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-    noise = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * 3.141592653589793 * unit(2))
-    return X.pixels(s, d).select(*CELL, (F.col("b2") + 0.01 * noise).alias("v"))
+    """Normal noise on all four bands."""
+    p = G.gaussian_noise(X.banded(s, d).select(*CELL, "bands"))
+    return p.select(*CELL, *[F.get("bands", F.lit(i)).alias(f"v{i}") for i in range(4)])
 
 
-@query("g5_brightness_contrast", ", m AS (SELECT tile_key, avg(b0) AS m FROM fx_pixels GROUP BY 1) SELECT tile_key, r, c, round(b0 * 1.05::DOUBLE, 5) + 0.0 AS bright, round((b0 - m) * 0.95::DOUBLE + m, 5) + 0.0 AS contrast FROM fx_pixels JOIN m USING (tile_key)")
+def factor_sql(what, band):
+    return f"(0.9::DOUBLE + (1.1::DOUBLE - 0.9::DOUBLE) * " + HEX.format(f"'42:{what}:' || tile_key || ':{band}'") + "::DOUBLE / 4294967295::DOUBLE)"
+
+
+@query("g5_brightness_contrast", ", m AS (SELECT tile_key, " + ", ".join(f"avg(b{i}) AS m{i}" for i in range(4)) + " FROM fx_pixels GROUP BY 1) SELECT tile_key, r, c, "
+       + ", ".join(f"round(b{i} * {factor_sql('brightness', i)}, 4) + 0.0 AS bright{i}, round((b{i} - m{i}) * {factor_sql('contrast', i)} + m{i}, 4) + 0.0 AS contrast{i}" for i in range(4)) + " FROM fx_pixels JOIN m USING (tile_key)")
 def g5(s, d):
-    p = X.pixels(s, d)
-    p = p.join(p.groupBy("tile_key").agg(F.avg("b0").alias("m")), "tile_key")
-    return p.select(*CELL, (F.round(F.col("b0") * 1.05, 5) + 0.0).alias("bright"), (F.round((F.col("b0") - F.col("m")) * 0.95 + F.col("m"), 5) + 0.0).alias("contrast"))
+    """Each band of a tile by a factor of its own, and its distance from the mean by another."""
+    p = X.banded(s, d).select(*CELL, "bands")
+    j = G.brightness(p).withColumnRenamed("bands", "b").join(G.contrast(p, 4).withColumnRenamed("bands", "k"), CELL)
+    return j.select(*CELL, *[(F.round(F.get(x, F.lit(i)), 4) + 0.0).alias(f"{n}{i}") for n, x in (("bright", "b"), ("contrast", "k")) for i in range(4)])
 
 
-@query("g6_blur", ", o AS (SELECT a, b, exp(-(a * a) / 2.0) * exp(-(b * b) / 2.0) AS k FROM (VALUES (-1), (0), (1)) x(a) CROSS JOIN (VALUES (-1), (0), (1)) y(b))"
-       " SELECT p.tile_key, p.r, p.c, round(sum(k * q.b2) / sum(k), 6) + 0.0 AS b2 FROM fx_pixels p CROSS JOIN o JOIN fx_pixels q ON q.tile_key = p.tile_key AND q.r = p.r + a AND q.c = p.c + b GROUP BY ALL")
+@query("g6_blur", ", e AS (SELECT tile_key, max(r) AS hr, max(c) AS hc FROM fx_pixels GROUP BY 1), o AS (SELECT a, b, exp(-(a * a) / 2.0) * exp(-(b * b) / 2.0) AS k FROM (VALUES (-1), (0), (1)) x(a) CROSS JOIN (VALUES (-1), (0), (1)) y(b)),"
+       " t AS (SELECT p.tile_key, p.r, p.c, k, CASE WHEN r + a < 0 THEN 1 WHEN r + a > hr THEN hr - 1 ELSE r + a END AS sr, CASE WHEN c + b < 0 THEN 1 WHEN c + b > hc THEN hc - 1 ELSE c + b END AS sc FROM fx_pixels p JOIN e USING (tile_key) CROSS JOIN o)"
+       " SELECT t.tile_key, t.r, t.c, round(sum(k * q.b2) / sum(k), 6) + 0.0 AS b2 FROM t JOIN fx_pixels q ON q.tile_key = t.tile_key AND q.r = sr AND q.c = sc GROUP BY ALL")
 def g6(s, d):
     return G.blur3(X.pixels(s, d), "b2").withColumn("b2", r6("b2"))
 
@@ -227,14 +247,14 @@ def j13(s, d):
     return G.edge_mask(X.labels(s, d))
 
 
-DIST = """, m AS (SELECT tile_key, r, c, label = 0 AS m FROM fx_labels WHERE r < 8 AND c < 8 AND split_part(tile_key, '_', 2)::INT <= 40),
- dd AS (SELECT x.tile_key, x.r, x.c, x.m, min((x.r - y.r) ** 2 + (x.c - y.c) ** 2) FILTER (y.m <> x.m) AS d2, bool_or(y.m) AS has FROM m x JOIN m y ON x.tile_key = y.tile_key GROUP BY ALL)"""
+DIST = """, m AS (SELECT tile_key, r, c, label = 0 AS m FROM fx_labels),
+ dd AS (SELECT x.tile_key, x.r, x.c, x.m, min((x.r - y.r) ** 2 + (x.c - y.c) ** 2) FILTER (y.m <> x.m) AS d2, bool_or(y.m) AS has, greatest(max(y.r), max(y.c)) + 2 AS far FROM m x JOIN m y ON x.tile_key = y.tile_key GROUP BY ALL)"""
 
 
-@query("g7_signed_distance", DIST + " SELECT tile_key, r, c, CASE WHEN NOT has THEN 0.0 WHEN m THEN -coalesce(sqrt(d2), 9.0) ELSE coalesce(sqrt(d2), 9.0) END AS sd FROM dd")
+@query("g7_signed_distance", DIST + " SELECT tile_key, r, c, round(CASE WHEN NOT has THEN 0.0 WHEN m THEN -coalesce(sqrt(d2), far) ELSE sqrt(d2) END, 6) + 0.0 AS sd FROM dd")
 def g7(s, d):
-    """Signed distance to class 0 over all pixels of each tile. The SQL covers the first 8 x 8 pixels of 40 tiles only."""
-    return G.signed_distance(X.labels(s, d), 0)
+    """Signed distance to class 0 over all pixels of each tile."""
+    return G.signed_distance(X.labels(s, d), 0).withColumn("sd", r6("sd"))
 
 
 @query("g8_mosaic", ", g AS (SELECT r + t % 10 * 16 AS gr, c + t // 10 * 24 AS gc, label, t FROM (SELECT *, split_part(tile_key, '_', 2)::BIGINT AS t FROM fx_labels)) SELECT gr, gc, arg_max(label, t) AS label FROM g GROUP BY ALL")
@@ -278,6 +298,14 @@ def g1_laea(s, d):
     return t.select("tile_key", "lon", "lat", x.alias("x"), y.alias("y"))
 
 
+@query("g1_reproject")
+def g1_reproject(s, d):
+    """All tiles moved from their UTM zones to 10 m cells of the European grid: labels nearest, two bands bilinear."""
+    t = X.tiles(s, d).join(G.extents(X.labels(s, d)), "tile_key")
+    t = t.select("tile_key", (F.col("zone").cast("int") - 32600).alias("utm"), (400000.0 + F.col("tile_id") * 400).alias("east"), (5500000.0 + F.col("tile_id") * 300).alias("north"), F.lit(10.0).alias("px"), "h", "w")
+    return G.reproject(X.labels(s, d), t, 10.0, ["label"], ["b0", "b2"])
+
+
 @query("a34_bounding_box", "SELECT tile_key, coalesce(min(r) FILTER (label > 9 AND label <> 255), 0) AS lo_r, coalesce(min(c) FILTER (label > 9 AND label <> 255), 0) AS lo_c, coalesce(max(r) FILTER (label > 9 AND label <> 255), max(r)) AS hi_r, coalesce(max(c) FILTER (label > 9 AND label <> 255), max(c)) AS hi_c FROM fx_labels GROUP BY 1")
 def a34(s, d):
     return G.bounding_box(X.labels(s, d), F.expr("label > 9 and label <> 255"))
@@ -293,6 +321,20 @@ def g11(s, d):
     return C.linear_scores(X.embed(s, d), weights, [0.1 * k for k in range(13)]).select("vec_id", C.argmax("logits").alias("pred"))
 
 
+CHAIN = """, w AS (SELECT e.tile_key, e.r, e.c, e.vec_id, k::INT AS cls, list_sum(list_transform(range(64), lambda i: e.bands[i + 1] * ((i * 7 + k * 3) % 13 - 6) / 10)) AS x FROM fx_embed e CROSS JOIN range(13) g(k)),
+ x AS (SELECT *, exp((x - max(x) OVER (PARTITION BY vec_id)) / 1.5::DOUBLE) AS e FROM w), p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM x)
+ SELECT tile_key, r, c, arg_max(cls, round(x, 7) * 100 - cls * 1e-7)::INT AS pred, round(max(p), 6) + 0.0 AS top FROM p GROUP BY ALL"""
+
+
+@query("g11_scoring_chain", CHAIN)
+def g11_chain(s, d):
+    """Windows of 3 x 3, a linear model, its logits for an empty input taken off, averaged, temperature, softmax, first maximum."""
+    weights = [[((i * 7 + k * 3) % 13 - 6) / 10 for i in range(64)] for k in range(13)]
+    model = lambda p: C.linear_scores(p, weights, [0.1 * k for k in range(13)])
+    out = C.predict(X.embed(s, d).select(*CELL, "bands"), model, 13, 64, size=3, stride=2, temperature=1.5, debias="zero")
+    return out.select(*CELL, "pred", r6(F.array_max("probs")).alias("top"))
+
+
 @query("g11_softmax", LOGITS + ", e AS (SELECT *, exp((x - max(x) OVER (PARTITION BY vec_id)) / 2) AS e FROM lg) SELECT vec_id, cls, round(e / sum(e) OVER (PARTITION BY vec_id), 6) + 0.0 AS p FROM e")
 def g11_softmax(s, d):
     return X.logits(s, d).select("vec_id", F.posexplode(C.softmax("logits", 2.0)).alias("cls", "p")).withColumn("p", r6("p"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import hist as H
+from ..operators import runs as R
 from ..operators import split as P
 from ..operators import weights as W
 from ..sources import fixtures as X
@@ -121,13 +121,13 @@ RR = " SELECT tile_key, zone, rank FROM (SELECT tile_key, zone, row_number() OVE
 @query("w11_train_cap", SPLIT + RR.format("train", 20))
 def w11(s, d):
     t = P.stratified(X.tiles(s, d)).where("split = 'train'").join(X.tiles(s, d).select("tile_key", "tile_id"), "tile_key")
-    return P.round_robin(t, 20)
+    return P.round_robin(t, 20, by_name=True)
 
 
-@query("w12_val_downsample", SPLIT + " SELECT tile_key, zone, rank FROM (SELECT tile_key, zone, row_number() OVER (PARTITION BY zone ORDER BY md5('42:' || tile_key))::INT AS rank, count(DISTINCT zone) OVER () AS zs, min(tile_id) OVER (PARTITION BY zone) AS zo FROM sp WHERE split = 'val')"
-       " ORDER BY rank, CASE WHEN zs > 2 THEN 0 ELSE zo END, zone LIMIT 2")
+@query("w12_val_downsample", SPLIT + " SELECT tile_key, zone, rank FROM (SELECT tile_key, zone, row_number() OVER (PARTITION BY zone ORDER BY md5('42:' || tile_key))::INT AS rank, min(tile_id) OVER (PARTITION BY zone) AS zo FROM sp WHERE split = 'val')"
+       " ORDER BY rank, zo LIMIT 2")
 def w12(s, d):
-    """Validation tiles down to a tenth of 20 training tiles, zone after zone."""
+    """Validation tiles down to a tenth of 20 training tiles, zone after zone in the order of their first tile."""
     t = P.stratified(X.tiles(s, d)).where("split = 'val'").join(X.tiles(s, d).select("tile_key", "tile_id"), "tile_key")
     return P.round_robin(t, round(20 * 0.1))
 
@@ -147,8 +147,7 @@ def w14(s, d):
 def a20(s, d):
     """Zones that lack a split once every fourth tile is gone."""
     sp = P.stratified(X.tiles(s, d)).join(X.tiles(s, d).select("tile_key", "tile_id"), "tile_key")
-    grid = sp.select("zone").distinct().join(sp.select("split").distinct())
-    return grid.join(sp.where("tile_id % 4 <> 0"), ["zone", "split"], "left_anti")
+    return P.uncovered_zones(sp, sp.where("tile_id % 4 <> 0"))
 
 
 @query("m1_multilabel_split", """, tot AS (SELECT cls, sum(n) AS a FROM fx_hist GROUP BY 1), st AS (SELECT tile_key, arg_min(cls, a * 100 + cls) AS zone FROM fx_hist JOIN tot USING (cls) GROUP BY 1)
@@ -217,8 +216,7 @@ def u3(s, d):
 def u4(s, d):
     """Pseudo-labelled tiles join the training split if they are not in it."""
     train = P.stratified(X.tiles(s, d)).where("split = 'train'").select("tile_key", "split")
-    new = X.tiles(s, d).where("tile_id % 4 = 0").select("tile_key").join(train, "tile_key", "left_anti")
-    return train.unionByName(new.withColumn("split", F.lit("train")))
+    return P.append_new(train, X.tiles(s, d).where("tile_id % 4 = 0").select("tile_key"), "train")
 
 
 @query("a40_ordered_distinct", "SELECT raw_label, min(r * 32 + c)::INT AS ord FROM fx_pixels GROUP BY 1")
@@ -263,27 +261,46 @@ def w16(s, d):
     return X.epochs(s, d).groupBy("run").agg(F.max_by("epoch", F.struct("f1", -F.col("epoch"))).alias("epoch"))
 
 
-@query("w17_best_artifact", r""", a AS (SELECT 'run' || run || '/epoch_' || epoch || CASE WHEN run % 3 = 0 THEN '_f1=' WHEN run % 3 = 1 THEN '_iou=' ELSE '_' END || round(f1, 4)::DECIMAL(6,4) || '.pt' AS name, run FROM fx_epochs),
- v AS (SELECT name, run, coalesce(nullif(regexp_extract(name, 'f1=([0-9.]+)\.pt', 1), ''), nullif(regexp_extract(name, 'iou=([0-9.]+)\.pt', 1), ''), nullif(regexp_extract(name, '_[0-9]+_([0-9.]+)\.pt', 1), ''))::DOUBLE AS v FROM a)
- SELECT run, name FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY v DESC, name) AS k FROM v) WHERE k = 1""")
+NAMES = """, a AS (SELECT run, epoch, 'run' || run || '/' || CASE WHEN run % 4 = 3 THEN 'model_' || lpad(epoch::VARCHAR, 3, '0') ELSE 'epoch-' || epoch END
+  || CASE run % 4 WHEN 0 THEN '_F1=' WHEN 1 THEN '_mIoU-' ELSE '_' END || round(f1, 4)::DECIMAL(6,4) || '.pt' AS path FROM fx_epochs),
+ v AS (SELECT *, coalesce(nullif(regexp_extract(path, '[fF]1=([0-9.]+[0-9])', 1), ''), nullif(regexp_extract(path, 'IoU-([0-9.]+[0-9])', 1), ''), nullif(regexp_extract(path, '/[a-z]+[-_]?[0-9]+_([0-9.]+[0-9])', 1), ''))::DOUBLE AS v FROM a)"""
+
+
+def artifacts(s, d):
+    """A saved file of each epoch, with its f1 in the name in one of four ways."""
+    e = X.epochs(s, d)
+    n = F.col("epoch").cast("string")
+    head = F.when(F.col("run") % 4 == 3, F.concat(F.lit("model_"), F.lpad(n, 3, "0"))).otherwise(F.concat(F.lit("epoch-"), n))
+    tag = F.when(F.col("run") % 4 == 0, "_F1=").when(F.col("run") % 4 == 1, "_mIoU-").otherwise("_")
+    value = F.round("f1", 4).cast("decimal(6,4)").cast("string")
+    return e.select("run", F.concat(F.lit("run"), F.col("run").cast("string"), F.lit("/"), head, tag, value, F.lit(".pt")).alias("path"))
+
+
+@query("w17_best_artifact", NAMES + " SELECT run, path FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY v DESC, path) AS k FROM v) WHERE k = 1")
 def w17(s, d):
     """Best checkpoint by the metric in its name: f1, else iou, else the second number."""
-    tag = F.when(F.col("run") % 3 == 0, "_f1=").when(F.col("run") % 3 == 1, "_iou=").otherwise("_")
-    name = F.concat(F.lit("run"), F.col("run").cast("string"), F.lit("/epoch_"), F.col("epoch").cast("string"), tag, F.round("f1", 4).cast("decimal(6,4)").cast("string"), F.lit(".pt"))
-    a = X.epochs(s, d).select("run", name.alias("name"))
-    part = lambda p: F.nullif(F.regexp_extract("name", p, 1), F.lit(""))
-    v = F.coalesce(part(r"f1=([0-9.]+)\.pt"), part(r"iou=([0-9.]+)\.pt"), part(r"_[0-9]+_([0-9.]+)\.pt")).cast("double")
-    w = Window.partitionBy("run").orderBy(F.desc("v"), "name")
-    return a.withColumn("v", v).withColumn("k", F.row_number().over(w)).where("k = 1").select("run", "name")
-
-
-@query("w18_early_stop", """, m AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM fx_epochs),
- i AS (SELECT *, max(CASE WHEN best IS NULL OR loss < best THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS last FROM m)
- SELECT run, min(epoch) FILTER (epoch - last >= 5) AS stop FROM i GROUP BY run""")
+    return R.best_artifact(artifacts(s, d))
+
+
+@query("w17_best_epoch_artifact", NAMES + ", b AS (SELECT run, epoch FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY f1 DESC, epoch) AS k FROM fx_epochs) WHERE k = 1) SELECT run, path FROM v JOIN b USING (run, epoch)")
+def w17_epoch(s, d):
+    """Checkpoint of the epoch that a run noted as its best, found by the number in the name."""
+    best = X.epochs(s, d).groupBy("run").agg(F.max_by("epoch", F.struct("f1", -F.col("epoch"))).alias("epoch"))
+    return R.best_artifact(artifacts(s, d), best)
+
+
+STOP = """, m AS (SELECT *, min({v}) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM fx_epochs),
+ i AS (SELECT *, coalesce({v} < best, true) AS better, coalesce(max(CASE WHEN best IS NULL OR {v} < best THEN epoch END) OVER (PARTITION BY run ORDER BY epoch), 0) AS last FROM m)
+ SELECT run, min(epoch) FILTER (NOT better AND epoch % {every} <> 0 AND epoch - last >= {patience}) AS stop FROM i GROUP BY run"""
+
+
+@query("w18_early_stop", STOP.format(v="loss", every=5, patience=5))
 def w18(s, d):
-    """First epoch that is five epochs past the last improvement of the loss; null if there is none."""
-    w = Window.partitionBy("run").orderBy("epoch")
-    m = X.epochs(s, d).withColumn("best", F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    better = F.when(F.col("best").isNull() | (F.col("loss") < F.col("best")), F.col("epoch"))
-    m = m.withColumn("last", F.last(better, ignorenulls=True).over(w))
-    return m.groupBy("run").agg(F.min(F.when(F.col("epoch") - F.col("last") >= 5, F.col("epoch"))).alias("stop"))
+    """First unsaved epoch five or more past the last improvement of the loss; null if there is none."""
+    return R.early_stop(X.epochs(s, d), patience=5, save_every=5)
+
+
+@query("w18_early_stop_f1", STOP.format(v="(-f1)", every=4, patience=8))
+def w18_f1(s, d):
+    """The same for the highest f1, with checkpoints at every fourth epoch."""
+    return R.early_stop(X.epochs(s, d), patience=8, save_every=4, metric="f1")

@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 from ..functions.keys import key_generic
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length, mtime`` of all files under a root, without their content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", "length", F.col("modificationTime").alias("mtime"))
+def listing(spark: SparkSession, root: str, exts: tuple[str, ...] = (), recursive: bool = True) -> DataFrame:
+    """``path, length, mtime`` of all files under a root, without their content, of given extensions (any case)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
+    files = files.select("path", "length", F.col("modificationTime").alias("mtime"))
+    return of_kind(files, exts) if exts else files
 
 
-def manifest(files: DataFrame, key: Column | None = None) -> DataFrame:
-    """Keyed files; those without a key are left out."""
+def of_kind(files: DataFrame, exts: tuple[str, ...]) -> DataFrame:
+    """Files whose name ends with one of the extensions, in any case."""
+    hit = F.lit(False)
+    for e in exts:
+        hit = hit | F.lower("path").endswith(e.lower())
+    return files.where(hit)
+
+
+def manifest(files: DataFrame, key: Column | None = None, exts: tuple[str, ...] = (".tif",)) -> DataFrame:
+    """Keyed files of the given extensions (none: all); those without a key are left out."""
     key = key_generic(F.col("path")) if key is None else key
-    return files.withColumn("tile_key", key).where("tile_key is not null")
+    return (of_kind(files, exts) if exts else files).withColumn("tile_key", key).where("tile_key is not null")
 
 
 def index_lists(keyed: DataFrame) -> DataFrame:
@@ -92,19 +101,23 @@ def decode_arrays(files: DataFrame) -> DataFrame:
     not decode gives one row with its error and no pixel."""
     import pandas as pd
 
-    def run(frames):
+    columns = ["tile_key", "status", "r", "c", "bands"]
+
+    def one(key, content):
         import numpy as np
 
+        try:
+            a = np.load(io.BytesIO(content), allow_pickle=False)
+            h, w, k = a.shape
+        except (ValueError, EOFError, OSError) as e:
+            return pd.DataFrame([(key, f"error:{type(e).__name__}", None, None, None)], columns=columns)
+        r, c = np.divmod(np.arange(h * w), w)
+        return pd.DataFrame({"tile_key": key, "status": "ok", "r": r, "c": c, "bands": pd.Series(list(a.reshape(h * w, k).astype(float)), dtype=object)})
+
+    def run(frames):
         for f in frames:
-            rows = []
             for key, content in zip(f["tile_key"], f["content"]):
-                try:
-                    a = np.load(io.BytesIO(content), allow_pickle=False)
-                    h, w, _ = a.shape
-                    rows += [(key, "ok", r, c, a[r, c].astype(float).tolist()) for r in range(h) for c in range(w)]
-                except (ValueError, EOFError, OSError) as e:
-                    rows.append((key, f"error:{type(e).__name__}", None, None, None))
-            yield pd.DataFrame(rows, columns=["tile_key", "status", "r", "c", "bands"]).astype({"r": "Int32", "c": "Int32"})
+                yield one(key, content).astype({"r": "Int32", "c": "Int32"})
 
     return files.select("tile_key", "content").mapInPandas(run, "tile_key string, status string, r int, c int, bands array<double>")
 
@@ -124,3 +137,17 @@ def encode_arrays(pixels: DataFrame) -> DataFrame:
         return pd.DataFrame({"tile_key": [f["tile_key"].iloc[0]], "content": [out.getvalue()]})
 
     return pixels.select("tile_key", "r", "c", "bands").groupBy("tile_key").applyInPandas(run, "tile_key string, content binary")
+
+
+def augmented_splits(doc: DataFrame) -> DataFrame:
+    """Long form of an augmented splits document, ``section, key, value``: its lists of tiles (key: the
+    split, value: the tile), class counts and weights, channel means and deviations, and tiles per zone."""
+    part = lambda section, entries: F.transform(entries, lambda x: F.struct(F.lit(section).alias("section"), x["k"].alias("key"), x["v"].alias("value")))
+    of_map = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("k"), e["value"].cast("string").alias("v")))
+    of_list = lambda a, key=None: F.transform(a, lambda x, i: F.struct((i.cast("string") if key is None else F.lit(key)).alias("k"), x.cast("string").alias("v")))
+    splits = ("train", "val", "test")
+    parts = [part("tiles", of_list(s, s)) for s in splits]
+    parts += [part(f"{s}_utm_counts", of_map(f"{s}_utm_counts")) for s in splits]
+    parts += [part("counts", of_map("class_stats.counts")), part("weights", of_map("class_stats.weights.values"))]
+    parts += [part(n, of_list(f"normalization.{n}")) for n in ("mean", "std")]
+    return doc.select(F.explode(F.concat(*parts)).alias("x")).select("x.*")

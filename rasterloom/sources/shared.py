@@ -9,11 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the session's ``spark.checkpoint.dir``; a temporary folder where that is unset."""
+    """A new path in the session's ``spark.checkpoint.dir``. Only with a local master, where it is
+    unset, a temporary folder takes its place; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not jdir.isDefined():
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
             jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get()

@@ -23,15 +23,51 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
         df.write.format(kind).save(path)
 
 
+def append_epochs(log: DataFrame, path: str) -> None:
+    """Adds epochs (``epoch, loss, acc, miou, f1, lr``) to a run's CSV log, six decimals each; every part has the header."""
+    six = [F.format_string("%.6f", F.col(c)).alias(c) for c in ("loss", "acc", "miou", "f1")]
+    rows = log.select("epoch", *six, F.format_string("%.6e", F.col("lr")).alias("lr"))
+    rows.sortWithinPartitions("epoch").write.mode("append").option("header", True).csv(path)
+
+
+def write_splits(splits: DataFrame, path: str) -> None:
+    """Splits in long form, one folder per split, whatever the number of tiles."""
+    splits.select("tile_key", "split").write.partitionBy("split").parquet(path)
+
+
+#: Tiles of which a splits document is made at most: it is one row, so one task holds them all.
+DOCUMENT_TILES = 5_000_000
+
+
 def splits_row(splits: DataFrame) -> DataFrame:
     """One row with a sorted list of keys per split: the document, of as many keys as tiles were selected."""
     lists = [F.array_sort(F.collect_list(F.when(F.col("split") == s, F.col("tile_key")))).alias(s) for s in ("train", "val", "test")]
     return splits.agg(*lists)
 
 
-def write_splits(splits: DataFrame, path: str) -> None:
-    """The splits document in a new run folder; nothing is changed in place."""
-    splits_row(splits).coalesce(1).write.json(path)
+def augmented_row(splits: DataFrame, weights: DataFrame, stats: DataFrame, method: str = "median_frequency", ignore: int = 255) -> DataFrame:
+    """The document with what a training run needs besides: per split the tiles of each zone,
+    class counts and weights (``cls, n, weight``), band means and deviations (``band, mean, std``)."""
+    doc = splits_row(splits)
+    zones = splits.groupBy("split", "zone").agg(F.count("*").alias("n"))
+    for s in ("train", "val", "test"):
+        entries = F.array_sort(F.collect_list(F.when(F.col("split") == s, F.struct("zone", "n"))))
+        doc = doc.join(F.broadcast(zones.agg(F.map_from_entries(entries).alias(f"{s}_utm_counts"))))  # one row
+    per = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("cls").cast("string"), v))))
+    classes = weights.agg(F.struct(
+        F.count("*").alias("num_classes"), F.lit(ignore).alias("ignore_val"), per("n").alias("counts"), F.sum("n").alias("total_pixels"),
+        F.struct(F.lit(method).alias("method"), per("weight").alias("values")).alias("weights")).alias("class_stats"))
+    ordered = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("band", v))), lambda x: x[v])
+    bands = stats.agg(F.struct(ordered("mean").alias("mean"), ordered("std").alias("std")).alias("normalization"))
+    return doc.join(F.broadcast(classes)).join(F.broadcast(bands))  # one row each
+
+
+def write_splits_document(splits: DataFrame, path: str, row: DataFrame | None = None) -> None:
+    """The splits as one JSON document in a new run folder, for selections up to ``DOCUMENT_TILES``;
+    nothing is changed in place. ``row`` is the document, if it is not the plain one."""
+    if splits.count() > DOCUMENT_TILES:
+        raise ValueError(f"a document holds at most {DOCUMENT_TILES} tiles; write_splits has no bound")
+    (splits_row(splits) if row is None else row).coalesce(1).write.json(path)
 
 
 def left_to_do(todo: DataFrame, done: DataFrame, readable: str | None = None) -> DataFrame:

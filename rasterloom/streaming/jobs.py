@@ -19,6 +19,8 @@ def _counts(spark: SparkSession, source: str, schema: StructType, out: str, chec
     def write(batch: DataFrame, number: int) -> None:
         count(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    # Counts of nothing, so that there is a table before the first file.
+    write(spark.createDataFrame([], schema), -1)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy(*keys).agg(F.sum("n").alias("n"))

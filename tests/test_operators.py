@@ -2,18 +2,25 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import keys as K
+from rasterloom.operators import bands as B
+from rasterloom.operators import cluster as KM
 from rasterloom.operators import grid as G
 from rasterloom.operators import hist as H
+from rasterloom.operators import metrics as M
+from rasterloom.operators import runs as R
 from rasterloom.operators import score as C
 from rasterloom.operators import select as S
 from rasterloom.operators import split as P
 from rasterloom.operators import weights as W
 from rasterloom.plans import QUERIES
 from rasterloom.plans.evaluation import long_probs
+from rasterloom.sources import files, sinks
 from rasterloom.sources import fixtures as X
+from rasterloom.streaming import jobs
 
 
 def one(spark, path, f):
@@ -69,7 +76,7 @@ def test_softmax_sums_to_one(spark, sf001):
 
 def test_signed_distance_signs(spark, sf001):
     p = X.labels(spark, sf001).where("r < 6 and c < 6")
-    d = G.signed_distance(p, 0, 6).join(p.select("tile_key", "r", "c", "label"), ["tile_key", "r", "c"])
+    d = G.signed_distance(p, 0).join(p.select("tile_key", "r", "c", "label"), ["tile_key", "r", "c"])
     assert d.where("(label = 0 and sd > 0) or (label <> 0 and sd < 0)").isEmpty()
 
 
@@ -97,19 +104,262 @@ def test_signed_distance_query_covers_all_pixels(spark, sf001):
 
 
 def test_boundary_dice_query_averages_all_classes(spark, sf001):
+    """Per tile and class 2 * sum(p * d) / (sum(p * p) + sum(d * d)), tiles averaged, then classes."""
     tiles, cells = {}, long_probs(spark, sf001).collect()
     for x in cells:
         tiles.setdefault(x["tile_key"], {})[x["r"], x["c"]] = x["label"]
     sd = {(t, k): nearest(p, k) for t, p in tiles.items() for k in range(13)}
-    over, under = [0.0] * 13, [0.0] * 13
+    sums = {k: [0.0, 0.0, 0.0] for k in sd}
     for x in cells:
         of = sd[x["tile_key"], x["cls"]]
         lo, hi = min(of.values()), max(of.values())
-        d = (of[x["r"], x["c"]] - lo) / (hi - lo + 1e-6)
-        over[x["cls"]] += x["p"] * x["hit"] * d
-        under[x["cls"]] += (x["p"] + x["hit"]) * d
-    want = 1 - sum((2 * a + 1e-6) / (b + 1e-6) for a, b in zip(over, under)) / 13
-    assert abs(QUERIES["a39_boundary_dice"](spark, sf001).first()["loss"] - want) < 1e-9
+        d, p = (of[x["r"], x["c"]] - lo) / (hi - lo + 1e-8), x["p"]
+        sums[x["tile_key"], x["cls"]] = [a + b for a, b in zip(sums[x["tile_key"], x["cls"]], (p * d, p * p, d * d))]
+    want = sum(1 - 2 * a / (b + c + 1e-6) for a, b, c in sums.values()) / len(sums)
+    assert abs(QUERIES["a39_boundary_dice"](spark, sf001).first()["loss"] - want) < 1e-6
+
+
+def test_boundary_dice_by_hand(spark):
+    # d is 0 and 1 in tile a (p 0.5, 1), 0 and 0 in tile b (p 1, 0): dice 2 / (1.25 + 1) and 0.
+    rows = [("a", 0, 0.5, -2.0), ("a", 0, 1.0, 3.0), ("b", 0, 1.0, 4.0), ("b", 0, 0.0, 4.0)]
+    got = M.boundary_dice(spark.createDataFrame(rows, "tile_key string, cls int, p double, sd double")).first()[0]
+    assert abs(got - (1 - 2 / 2.25 + 1) / 2) < 1e-6
+
+
+def test_combined_loss(spark):
+    one = lambda v: spark.createDataFrame([(v,)], "loss double")
+    assert abs(M.combined_loss(one(2.0), one(1.0), one(0.5)).first()[0] - 1.7) < 1e-12 and M.combined_loss(one(2.0), one(1.0)).first()[0] == 1.5
+
+
+def cells(spark, grid, columns="bands array<double>"):
+    return spark.createDataFrame([("t", r, c, v) for r, row in enumerate(grid) for c, v in enumerate(row)], f"tile_key string, r int, c int, {columns}")
+
+
+def test_stretch_of_a_band_without_spread_and_of_no_numbers(spark):
+    nan, inf, no = float("nan"), float("inf"), B.NODATA
+    got = {x["c"]: x["bands"] for x in B.robust_stretch(cells(spark, [[[3.0, 0.0], [3.0, 10.0], [no, 5.0], [nan, nan], [3.0, inf], [3.0, no]]]), 2, low=0.0, high=1.0).collect()}
+    assert [got[c][0] for c in range(6)] == [1.0, 1.0, 0.0, 0.0, 1.0, 1.0]
+    assert [got[c][1] for c in range(6)] == [0.0, 1.0, 0.5, 0.0, 0.0, 0.0]
+
+
+def test_blur_reflects_at_the_edges(spark):
+    got = {(x["r"], x["c"]): x["v"] for x in G.blur3(cells(spark, [[0.0, 6.0, 3.0], [9.0, 0.0, 12.0]], "v double"), "v", sigma=1.0).collect()}
+    e = math.exp(-0.5)
+    k = [e / (1 + 2 * e), 1 / (1 + 2 * e), e / (1 + 2 * e)]
+    grid = [[0.0, 6.0, 3.0], [9.0, 0.0, 12.0]]
+    mirror = lambda i, n: -i if i < 0 else 2 * (n - 1) - i if i >= n else i
+    for (r, c), v in got.items():
+        assert abs(v - sum(k[a + 1] * k[b + 1] * grid[mirror(r + a, 2)][mirror(c + b, 3)] for a in (-1, 0, 1) for b in (-1, 0, 1))) < 1e-12
+
+
+def test_fewer_places_than_zones(spark):
+    rows = [("z9_a", "z9", 1), ("z1_a", "z1", 2), ("z5_a", "z5", 3), ("z9_b", "z9", 4)]
+    t = spark.createDataFrame(rows, "tile_key string, zone string, tile_id long")
+    assert [x["zone"] for x in P.round_robin(t, 2).orderBy("zone").collect()] == ["z1", "z9"]  # in the order of first appearance
+    assert [x["zone"] for x in P.round_robin(t, 2, by_name=True).orderBy("zone").collect()] == ["z1", "z5"]
+    assert P.round_robin(t, 4).count() == 4
+
+
+def test_early_stop_only_at_epochs_that_are_not_saved(spark):
+    loss = [5.0, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0, 3.9, 4.0, 4.0, 4.0, 4.0]
+    log = spark.createDataFrame([(run, i + 1, v, -v) for run in (1, 2) for i, v in enumerate(loss[:9 if run == 2 else 12])], "run int, epoch int, loss double, f1 double")
+    stops = lambda **k: {x["run"]: x["stop"] for x in R.early_stop(log, **k).collect()}
+    assert stops(patience=3, save_every=5) == {1: 6, 2: 6}  # at 5 a checkpoint is saved
+    assert stops(patience=4, save_every=6) == {1: 7, 2: 7} and stops(patience=6, save_every=5) == {1: None, 2: None}
+
+
+def test_best_artifact(spark):
+    files = {"a": ["d/model_ep003.pt", "d/best_f1=0.5.pt", "d/x_F1-0.7.pt", "d/y_miou=0.9_f1=0.6.pt"], "b": ["d/m_1_0.3.pt", "d/m_2_0.4.pt", "d/mIoU0.2.pt"],
+             "c": ["d/only.pt"], "e": ["d/none.pt", "d/neither.pt"], "f": ["d/epoch=12_f1=0.1.pt", "d/epoch=1_f1=0.2.pt", "d/epoch=3.pt"], "g": ["d/007_0.9.pt", "d/model_ep003.pt"]}
+    df = spark.createDataFrame([(k, p) for k, v in files.items() for p in v], "run string, path string")
+    got = {x["run"]: x["path"] for x in R.best_artifact(df).collect()}
+    assert got == {"a": "d/x_F1-0.7.pt", "b": "d/m_2_0.4.pt", "c": "d/only.pt", "f": "d/epoch=1_f1=0.2.pt", "g": "d/007_0.9.pt"}
+    best = spark.createDataFrame([("f", 12), ("g", 3), ("a", 99)], "run string, epoch int")
+    got = {x["run"]: x["path"] for x in R.best_artifact(df, best).collect()}
+    assert got["f"] == "d/epoch=12_f1=0.1.pt" and got["g"] == "d/model_ep003.pt" and got["a"] == "d/x_F1-0.7.pt"
+
+
+def test_ranks_do_not_depend_on_the_buckets(spark):
+    rows = spark.range(500).select(F.concat(F.lit("32633_"), F.col("id").cast("string")).alias("tile_key"), (F.col("id") % 3).cast("string").alias("zone"))
+    for n in (7, 100_000):
+        got = {x["tile_key"]: x["rank"] for x in P.global_rank(rows, P.seeded(), "rank", per_bucket=n).collect()}
+        assert sorted(got.values()) == list(range(1, 501))
+        assert [k for k, _ in sorted(got.items(), key=lambda kv: kv[1])] == [x[0] for x in rows.orderBy(P.seeded()).select("tile_key").collect()]
+        keys = sorted(f"32633_{i}" for i in range(500))
+        assert sorted((x["ordinal"], x["tile_key"]) for x in P.evenly_spaced(rows, "tile_key", 7, per_bucket=n).collect()) == [(i * 499 // 6, keys[i * 499 // 6]) for i in range(7)]
+    assert P.evenly_spaced(rows, "tile_key", 1).collect()[0]["ordinal"] == 0 and P.evenly_spaced(rows.limit(0), "tile_key", 3).collect() == []
+
+
+def test_noise_is_normal_and_repeats(spark, sf001):
+    p = X.banded(spark, sf001).select("tile_key", "r", "c", F.array_repeat(F.lit(0.0), 4).alias("bands"))
+    n = G.gaussian_noise(p, std=2.0)
+    s = n.select(F.explode("bands").alias("x")).agg(F.avg("x"), F.stddev_pop("x"), F.skewness("x"), F.kurtosis("x"), F.count_distinct("x") / F.count("*")).first()
+    assert abs(s[0]) < 0.05 and abs(s[1] - 2) < 0.05 and abs(s[2]) < 0.08 and abs(s[3]) < 0.15 and s[4] > 0.99
+    assert sorted(map(str, n.collect())) == sorted(map(str, G.gaussian_noise(p.repartition(3), std=2.0).collect()))
+
+
+def test_dropout_takes_one_to_three_bands(spark):
+    t = spark.range(400).select(F.col("id").cast("string").alias("tile_key"), F.lit(0).alias("r"), F.lit(0).alias("c"), F.array_repeat(F.lit(1.0), 16).alias("bands"))
+    gone = [sum(v == 0 for v in x["bands"]) for x in G.channel_dropout(t, 16).collect()]
+    assert set(gone) == {1, 2, 3} and all({sum(v == 0 for v in x["bands"]) for x in G.channel_dropout(t.withColumn("bands", F.slice("bands", 1, 4)), 4).collect()} == {1} for _ in "1")
+
+
+def test_projections_there_and_back(spark):
+    # Brussels and Kirkenes; the published worked example of the equal-area grid (50 N, 5 E).
+    p = spark.createDataFrame([(4.35, 50.85, 31), (30.05, 69.73, 35), (5.0, 50.0, 31)], "lon double, lat double, utm int")
+    x, y = G.geographic_to_laea(F.col("lon"), F.col("lat"))
+    e, n = G.geographic_to_utm(F.col("lon"), F.col("lat"), F.col("utm"))
+    p = p.withColumn("x", x).withColumn("y", y).withColumn("e", e).withColumn("n", n)
+    lon, lat = G.laea_to_geographic(F.col("x"), F.col("y"))
+    lon2, lat2 = G.utm_to_geographic(F.col("e"), F.col("n"), F.col("utm"))
+    for r in p.select("*", lon.alias("lon1"), lat.alias("lat1"), lon2.alias("lon2"), lat2.alias("lat2")).collect():
+        assert abs(r["lon1"] - r["lon"]) < 1e-8 and abs(r["lat1"] - r["lat"]) < 1e-8 and abs(r["lon2"] - r["lon"]) < 1e-8 and abs(r["lat2"] - r["lat"]) < 1e-8
+        if r["lat"] == 50.0:
+            assert abs(r["x"] - 3962799.45) < 0.01 and abs(r["y"] - 2999718.85) < 0.01
+
+
+def test_reprojection_equals_brute_force(spark):
+    h, w = 12, 9
+    rows = [("a", r, c, (r * 5 + c) % 7, float(r * 10 + c)) for r in range(h) for c in range(w)]
+    pixels = spark.createDataFrame(rows, "tile_key string, r int, c int, label int, b double")
+    tiles = spark.createDataFrame([("a", 32, 512345.0, 5600000.0, 10.0, h, w)], "tile_key string, utm int, east double, north double, px double, h int, w int")
+    got = {(x["gr"], x["gc"]): (x["label"], x["b"]) for x in G.reproject(pixels, tiles, 10.0, ["label"], ["b"]).collect()}
+    # Place of every cell around the tile, by the projections themselves.
+    near = spark.range(-40, 40).select(F.col("id").alias("i")).crossJoin(spark.range(-40, 40).select(F.col("id").alias("j")))
+    mid = G.geographic_to_laea(*G.utm_to_geographic(F.lit(512390.0), F.lit(5599940.0), F.lit(32)))
+    near = near.withColumn("gr", F.floor(mid[1] / 10) + F.col("i")).withColumn("gc", F.floor(mid[0] / 10) + F.col("j"))
+    e, n = G.geographic_to_utm(*G.laea_to_geographic(F.col("gc") * 10.0, F.col("gr") * 10.0), F.lit(32))
+    want = {}
+    for x in near.select("gr", "gc", e.alias("e"), n.alias("n")).collect():
+        y, z = (5600000.0 - x["n"]) / 10 - 0.5, (x["e"] - 512345.0) / 10 - 0.5
+        r, c = math.floor(y + 0.5), math.floor(z + 0.5)
+        if 0 <= r < h and 0 <= c < w:
+            around = [(abs(1 - i - (y - math.floor(y))) * abs(1 - j - (z - math.floor(z))), math.floor(y) + i, math.floor(z) + j) for i in (0, 1) for j in (0, 1)]
+            around = [(k, a * 10 + b) for k, a, b in around if 0 <= a < h and 0 <= b < w]
+            want[x["gr"], x["gc"]] = ((r * 5 + c) % 7, sum(k * v for k, v in around) / sum(k for k, _ in around))
+    assert len(want) > 90 and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_fingerprint_equals_a_plain_one(spark, sf001):
+    tiles = {}
+    for x in X.embed(spark, sf001).collect():
+        tiles.setdefault(x["tile_key"], {})[x["r"], x["c"]] = x["bands"]
+    got = {x["tile_key"]: x for x in QUERIES["a28_fingerprint"](spark, sf001).collect()}
+    assert got.keys() == tiles.keys()
+    for k, t in tiles.items():
+        v = [b[0] for b in t.values()]
+        mean = sum(v) / len(v)
+        assert abs(got[k]["mean"] - mean) < 1e-9 and abs(got[k]["std"] - math.sqrt(sum((y - mean) ** 2 for y in v) / len(v))) < 1e-9
+        assert got[k]["first"] == t[0, 0][:5]
+    e = X.embed(spark, sf001)
+    same = e.where("tile_key = '32630_0'")
+    moved = same.withColumn("bands", F.when((F.col("r") == 1) & (F.col("c") == 1), F.transform("bands", lambda y: y + 1)).otherwise(F.col("bands")))
+    sums = [B.fingerprint(df).first()["checksum"] for df in (same, same.orderBy(F.desc("r"), "c"), moved)]
+    assert sums[0] == sums[1] != sums[2]
+
+
+def test_a_plugged_model_equals_numpy(spark, sf001):
+    import numpy as np
+
+    bands = {x["vec_id"]: np.array(x["bands"]) for x in X.embed(spark, sf001).collect()}
+    got = {x["vec_id"]: x["logits"] for x in QUERIES["x2_plugged_model"](spark, sf001).collect()}
+    assert got.keys() == bands.keys() and all(np.allclose(got[k], b[:13] * 2.0 - b[13:26]) for k, b in bands.items())
+
+
+def test_clusters_are_the_nearest_centroids(spark, sf001):
+    """Lloyd's fixed point: each row is in the cluster whose mean is (nearly) the nearest."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(4, 6)) * 10
+    rows = [(int(i), (centres[i % 4] + r.normal(size=6)).tolist()) for i in range(200)]
+    got = {x["id"]: x["cluster"] for x in KM.kmeans(spark.createDataFrame(rows, "id long, bands array<double>"), 4).collect()}
+    assert len({(i % 4, k) for i, k in got.items()}) == 4 == len(set(got.values()))
+    small = spark.createDataFrame([(i, 0 if i < 5 else 1) for i in range(7)], "id int, cluster int")
+    assert {x["id"]: x["cluster"] for x in KM.drop_small(small, 3).collect()} == {i: 0 if i < 5 else -1 for i in range(7)}
+    for name in ("m3_pixel_kmeans", "m4_reduced_kmeans"):
+        assert QUERIES[name](spark, sf001).select("tile_key", "r", "c").distinct().count() == X.embed(spark, sf001).count()
+
+
+def test_principal_components_keep_the_most_variance(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(150, 5)) * np.array([9.0, 5.0, 1.0, 0.1, 0.01]) @ np.linalg.qr(r.normal(size=(5, 5)))[0]
+    got = KM.reduce_dimensions(spark.createDataFrame([(v.tolist(),) for v in x], "bands array<double>"), 2).select("reduced").collect()
+    have = np.array([g[0] for g in got]).var(axis=0)
+    want = np.sort(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1][:2]
+    assert np.allclose(have, want, rtol=1e-6)
+
+
+def test_seed_chain(spark, sf001):
+    """Medoids by all pairs, their pixels with majority labels, merged into the training split."""
+    import numpy as np
+
+    seeds = {x["tile_key"]: x for x in QUERIES["m6_seed_tiles"](spark, sf001).collect()}
+    members = {}
+    for x in QUERIES["m5_tile_clusters"](spark, sf001).collect():
+        members.setdefault(x["cluster"], []).append(x["tile_key"])
+    vec, labels = {}, {}
+    for x in X.embed(spark, sf001).collect():
+        vec.setdefault(x["tile_key"], []).append(x["bands"])
+        labels.setdefault(x["tile_key"], []).append(x["label"])
+    mean = {k: np.mean(v, axis=0) for k, v in vec.items()}
+    want = {}
+    for k, tiles in members.items():
+        if k != -1:
+            cost = {t: round(sum(float(((mean[t] - mean[u]) ** 2).sum()) for u in tiles), 6) for t in tiles}
+            want[k] = min(cost, key=lambda t: (cost[t], t))
+    assert {x["cluster"]: t for t, x in seeds.items()} == want
+    for t, x in seeds.items():
+        assert x["label"] == min(set(labels[t]), key=lambda y: (-labels[t].count(y), y))
+    pseudo = QUERIES["m6_pseudo_labels"](spark, sf001).collect()
+    assert {x["tile_key"] for x in pseudo} == set(want.values()) and len(pseudo) == sum(len(vec[t]) for t in want.values())
+    assert all(x["label"] in labels[x["tile_key"]] for x in pseudo)
+    merged = QUERIES["m6_merged_split"](spark, sf001).collect()
+    keys = [x["tile_key"] for x in merged]
+    assert len(keys) == len(set(keys)) and set(want.values()) <= set(keys) and {x["split"] for x in merged} == {"train"}
+
+
+def test_multilabel_split_sizes(spark, sf001):
+    tiles = {x["stratum"]: x["n"] for x in QUERIES["m1_multilabel_split"](spark, sf001).collect()}
+    sizes = {}
+    for x in QUERIES["m1_multilabel_split_sizes"](spark, sf001).collect():
+        sizes.setdefault(x["zone"], {})[x["split"]] = x["n"]
+    for z, n in tiles.items():
+        assert sum(sizes[z].values()) == n and abs(sizes[z].get("train", 0) - n / 1.2) <= 2
+
+
+def test_counts_of_a_stream_without_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = X.predictions(spark, "/root/testdata/sf0.001").select("tile_key", "r", "c", "label", "pred").schema
+    args = (spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    assert jobs.stream_confusion(*args).collect() == []
+    spark.createDataFrame([("a", 0, 0, 1, 2)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    assert [tuple(x) for x in jobs.stream_confusion(*args).collect()] == [(1, 2, 1)]
+
+
+def test_documents_have_a_bound(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sinks, "DOCUMENT_TILES", 1)
+    with pytest.raises(ValueError):
+        sinks.write_splits_document(spark.createDataFrame([("a", "train"), ("b", "val")], "tile_key string, split string"), str(tmp_path / "d"))
+
+
+def test_arrays_of_any_shape_decode(spark):
+    import io
+
+    import numpy as np
+
+    def npy(a):
+        f = io.BytesIO()
+        np.save(f, a)
+        return f.getvalue()
+
+    rows = [("a", npy(np.arange(24).reshape(2, 3, 4))), ("b", npy(np.zeros((3, 3)))), ("c", b"no array"), ("d", npy(np.zeros((0, 2, 2))))]
+    got = files.decode_arrays(spark.createDataFrame(rows, "tile_key string, content binary")).collect()
+    assert sorted((x["r"], x["c"], x["bands"]) for x in got if x["tile_key"] == "a") == [(r, c, [float(r * 12 + c * 4 + k) for k in range(4)]) for r in range(2) for c in range(3)]
+    assert {x["tile_key"]: x["status"] for x in got if x["tile_key"] != "a"} == {"b": "error:ValueError", "c": "error:ValueError"}
 
 
 def test_tile_with_an_empty_first_row_is_not_empty(spark, monkeypatch):
