@@ -5,22 +5,25 @@ whose remaining capacity is the tightest that still holds it, found in a balance
 tree; a new bin opens when none holds it. The capacity starts at an equal share and
 grows in small steps until the given number of shards suffices.
 
-The plan stays bounded whatever the corpus: groups above 1 / ``ITEMS`` of all bytes
-are packed one by one (at most ``ITEMS`` of them), smaller ones by the leading digits
-of their digest as ``ITEMS`` lumps. Only a group that exceeds a whole shard's equal
-share is divided, by hash of doc_id, since no shard of equal size could hold it.
+Groups of one size are alike, so the plan works on sizes: the tightest bin takes groups
+of a size one after the other while it holds another, which is one step however many
+they are. Groups find their bin by their rank within their size. Sizes above ``FINE``
+bytes are rounded up in their ``BITS`` leading bits (by less than 0.05 %), so that there
+are at most some ten thousands of them, whatever the corpus. Only a group that exceeds a
+whole shard's equal share is divided, as no shard of equal size could hold it.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fan_out, prefix_offsets, whole
+from .common import Scratch, attach, fan_out, prefix_offsets, whole
 
-ITEMS = 4096
+FINE, BITS = 4096, 11
 PARTS = 256  # of a group above a shard's share
 STEP = 0.0005  # growth of the capacity while the shards do not suffice
 
@@ -63,34 +66,42 @@ class Tree:
         return best
 
 
-def best_fit_decreasing(items: list[tuple[str, int]], capacity: int) -> dict[str, int]:
-    """Bin of each (name, size) item; as few bins of ``capacity`` as the rule opens."""
-    tree, where, bins = Tree(), {}, 0
-    for name, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        found = tree.take((size, -1))
-        if found is None:
-            found, bins = (max(capacity, size), bins), bins + 1
-        where[name] = found[1]
-        tree.add((found[0] - size, found[1]))
-    return where
+def best_fit_decreasing(sizes: Iterable[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int]]:
+    """Runs ``size, first, count, bin`` of (size, count) classes: groups ``first`` to
+    ``first + count - 1`` of the size go to the bin; as few bins as the rule opens.
 
-
-def plan(items: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Smallest capacity, in steps from an equal share, at which ``shards`` bins suffice."""
-    capacity = max(1, -(-sum(s for _, s in items) // shards), max((s for _, s in items), default=1))
+    A bin that has taken a group is the tightest for the next of the same size while it
+    holds it, so a run takes as many at once as the rule would one by one.
+    """
+    tree, runs, bins = Tree(), [], 0
+    for size, count in sorted(sizes, reverse=True):
+        done = 0
+        while done < count:
+            found = tree.take((size, -1))
+            if found is None:
+                found, bins = (max(capacity, size), bins), bins + 1
+            n = min(count - done, found[0] // size)
+            runs.append((size, done, n, found[1]))
+            tree.add((found[0] - n * size, found[1]))
+            done += n
+    return runs
+
+
+def plan(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """Runs at the smallest capacity, in steps from an equal share, at which ``shards`` bins suffice."""
+    capacity = max(1, -(-sum(s * n for s, n in sizes) // shards), max((s for s, _ in sizes), default=1))
     while True:
-        where = best_fit_decreasing(items, capacity)
-        if max(where.values(), default=0) < shards:
-            return where
+        runs = best_fit_decreasing(sizes, capacity)
+        if max((r[3] for r in runs), default=0) < shards:
+            return runs
         capacity += max(1, int(capacity * STEP))
 
 
-def _items(rows: DataFrame, big: DataFrame) -> DataFrame:
-    """Adds ``item``: the group, its part, or its lump."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("string")
-    item = (F.when(F.col("over"), F.concat("digest", F.lit(":"), part)).when(F.col("over").isNotNull(), F.col("digest"))
-            .otherwise(F.substring("digest", 1, 3)))
-    return rows.join(F.broadcast(big), "digest", "left").withColumn("item", item).drop("over")
+def _class(size: Column) -> Column:
+    """A size, rounded up in its leading bits above ``FINE``."""
+    low = F.greatest(F.length(F.bin(size)) - BITS, F.lit(0))
+    up = F.call_function("shiftleft", F.call_function("shiftright", size + F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1, low), low)
+    return F.when(size <= FINE, size).otherwise(up)
 
 
 def shard(docs: DataFrame, shards: int = 16, scratch: Scratch | None = None) -> DataFrame:
@@ -99,32 +110,72 @@ def shard(docs: DataFrame, shards: int = 16, scratch: Scratch | None = None) ->
     ``size`` is the text's UTF-8 bytes plus 1; the law is ``bytes``: shard sizes are
     nearly equal, and equal texts share a shard unless they exceed a shard's share.
     ``slot`` numbers the documents of a shard from 0 without gaps. Null texts count as
-    empty and group with them; doc_id is passed through, null or repeated; other
-    columns are ignored; an empty table gives an empty result.
+    empty and group with them; texts of any length count as a whole; doc_id is passed
+    through, null or repeated; other columns are ignored; an empty table gives an empty
+    result.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     spark = docs.sparkSession
     text = whole(F.col("text").cast("string"))
-    rows = scratch.keep(docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest")))
-    groups = scratch.keep(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
-    total, count = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    share = -(-total // shards)
-    # At most ITEMS groups have this size, so the table and the broadcast are bounded.
-    big = groups.where(F.col("bytes") * ITEMS >= total).select("digest", (F.col("bytes") > share).alias("over")).collect()
-    big = spark.createDataFrame(big, "digest string, over boolean")
-    sizes = _items(rows, big).groupBy("item").agg(F.sum("size").alias("bytes")).collect()  # at most 2 * ITEMS + shards * PARTS rows
-    where = plan([(r[0], r[1]) for r in sizes], shards)
-    where = spark.createDataFrame(list(where.items()), "item string, shard int")
-    placed = _items(rows, big).join(F.broadcast(where), "item").select(
-        "doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("digest", "doc_id"), F.lit(fan_out(count))).cast("int").alias("bucket"))
-    offs = prefix_offsets(placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")), ["shard"], "bucket", "n", "before")
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
+    count = F.count(F.lit(1))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"))
+    rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()), rows=count, bytes=F.sum("size"))
+    share = -(-(rows.seen["bytes"] or 0) // shards)
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), count.alias("c")).withColumn("over", F.col("bytes") > share)
+    groups = scratch.keep(groups.withColumn("cls", F.when(~F.col("over"), _class(F.col("bytes")))), rows=count)
+
+    # Groups that are divided, fewer than shards, in PARTS parts each; other sizes with their number.
+    big = groups.where("over").select("digest", F.col("c"))
+    part = F.pmod(F.xxhash64("rid"), F.lit(PARTS)).cast("int")
+    parts = rows.join(F.broadcast(big.select("digest")), "digest", "left_semi").groupBy("digest", part.alias("part")).agg(F.sum("size").alias("bytes")).collect()
+    classes = [(r[0], r[1]) for r in groups.where("not over").groupBy("cls").agg(count).collect()]
+    runs = plan(classes + [(r["bytes"], 1) for r in parts], shards)
+
+    # Whoever is of a size by rank: parts first, then whole groups.
+    singles: dict[int, list] = {}
+    for r in sorted(parts, key=lambda r: (r["digest"], r["part"])):
+        singles.setdefault(r["bytes"], []).append((r["digest"], r["part"]))
+    homes, spans = [], []
+    for size, first, n, home in _rejoin(runs):
+        own = singles.get(size, [])
+        homes += [(*x, home) for x in own[first:first + n]]
+        if first + n > len(own):
+            spans.append((size, max(first - len(own), 0), first + n - len(own), home))
+    homes = spark.createDataFrame(homes, "digest string, part int, shard int")  # at most shards * PARTS rows
+    spans = spark.createDataFrame(spans, "cls long, lo long, hi long, shard int")
+
+    digits = 1
+    while 16 ** digits * 50_000 < groups.seen["rows"]:
+        digits += 1
+    g = groups.where("not over").withColumn("bucket", F.substring("digest", 1, digits))
+    before = prefix_offsets(g.groupBy("cls", "bucket").agg(count.alias("n")), ["cls"], "bucket", "n", "before").select("cls", "bucket", "before")
+    rank = F.row_number().over(Window.partitionBy("cls", "bucket").orderBy("digest")) - 1
+    g = g.withColumn("at", rank).join(before, ["cls", "bucket"]).withColumn("at", F.col("at") + F.col("before"))
+    # Spans are bounded as sizes are: a few for each, at most ``shards`` more.
+    home = g.join(F.broadcast(spans), (g["cls"] == spans["cls"]) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("digest", "c", "shard")
+    home = scratch.keep(home.unionByName(big.withColumn("shard", F.lit(None).cast("int"))))
+
+    columns = ["doc_id", "size", "text_crc32", "rid", "shard"]
+    placed = attach(rows, home, "digest", rows.seen["rows"])
+    divided = placed.where("shard is null").drop("shard").withColumn("part", part).join(F.broadcast(homes), ["digest", "part"])
+    placed = placed.where("shard is not null").select(columns).unionByName(divided.select(columns))
+    placed = scratch.keep(placed.withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(fan_out(rows.seen["rows"]))).cast("int")))
+    offs = prefix_offsets(placed.groupBy("shard", "bucket").agg(count.alias("n")), ["shard"], "bucket", "n", "before")
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "rid")) - 1
     return (placed.withColumn("rank", rank).join(offs.select("shard", "bucket", "before"), ["shard", "bucket"])
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                     (F.col("before") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")))
 
 
+def _rejoin(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs of one size numbered through, also where the size came more than once."""
+    out, at = [], {}
+    for size, _, n, home in runs:
+        out.append((size, at.get(size, 0), n, home))
+        at[size] = at.get(size, 0) + n
+    return out
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:
     """Writes ``docs`` (unique non-null ``key``) as one folder per shard."""
     docs.join(shard(docs, shards).select(key, "shard"), key).write.partitionBy("shard").parquet(path)

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.llm import mixing, sharding
 
@@ -18,9 +19,53 @@ def test_tree_finds_the_tightest():
     assert t.take((91, -1)) is None and t.take((1, -1)) == (90, 2)
 
 
+def one_by_one(sizes, capacity):
+    """Best fit decreasing by scanning all bins for every single group: fill of each bin."""
+    free = []
+    for size in sorted(sizes, reverse=True):
+        fits = [(room, i) for i, room in enumerate(free) if room >= size]
+        if fits:
+            free[min(fits)[1]] -= size
+        else:
+            free.append(max(capacity, size) - size)
+    return free
+
+
 def test_best_fit_decreasing():
-    where = sharding.best_fit_decreasing([("a", 6), ("b", 5), ("c", 4), ("d", 3), ("e", 2)], 10)
-    assert where == {"a": 0, "b": 1, "c": 0, "d": 1, "e": 1}
+    runs = sharding.best_fit_decreasing([(6, 1), (5, 1), (4, 1), (3, 1), (2, 1)], 10)
+    assert runs == [(6, 0, 1, 0), (5, 0, 1, 1), (4, 0, 1, 0), (3, 0, 1, 1), (2, 0, 1, 1)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_of_a_size_equal_groups_one_by_one(seed):
+    import random
+
+    r = random.Random(seed)
+    classes = {r.randint(1, 60): r.randint(1, 40) for _ in range(r.randint(1, 25))}
+    capacity = r.randint(60, 400)
+    free = {}
+    for size, _, n, home in sharding.best_fit_decreasing(list(classes.items()), capacity):
+        free[home] = free.get(home, capacity) - n * size
+    assert [free[i] for i in range(len(free))] == one_by_one([s for s, n in classes.items() for _ in range(n)], capacity)
+    runs = sharding.best_fit_decreasing(list(classes.items()), capacity)
+    assert {s: sum(x[2] for x in runs if x[0] == s) for s in classes} == classes
+
+
+def test_size_classes_are_close(spark):
+    df = spark.createDataFrame([(x,) for x in (1, 4095, 4096, 4097, 5000, 123_456, 10**9 + 7, 7 * 10**13)], "s long")
+    got = {x[0]: x[1] for x in df.select("s", sharding._class(F.col("s"))).collect()}
+    assert all(v == s if s <= 4096 else s <= v <= s * 1.001 for s, v in got.items())
+
+
+def test_many_small_groups_are_packed_as_groups(spark):
+    # Far more groups than there once were lumps: all of one text share a shard, and shards are equal to 0.1 %.
+    rows = [(i, f"{i // 2} " * (1 + i // 2 % 9)) for i in range(20_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
+    sizes = check(got, dict(rows), 16)
+    homes = defaultdict(set)
+    for r in got:
+        homes[r["doc_id"] // 2].add(r["shard"])
+    assert len(sizes) == 16 and all(len(h) == 1 for h in homes.values()) and max(sizes.values()) <= 1.001 * min(sizes.values())
 
 
 def check(rows, texts, shards):
