@@ -1,9 +1,11 @@
 """License scans by canonical digest lookup, DataFrame operations only.
 
-A text is brought to a canonical form (lower case A-Z, copyright lines removed, for the lookup title and reservation lines, too, every
-run of punctuation and white space one blank, equivalent spellings unified), and the
-digest of the entire form is joined to the digests of known licences. Lines that are
-notices of a licence on their own are looked up the same way.
+A text is brought to a canonical form (lower case A-Z, copyright lines removed, also
+behind the marks of a comment, every run of punctuation, typographic punctuation
+included, and white space one blank, equivalent spellings unified), and the digest of the
+entire form is joined to the digests of known licences. For that lookup lines that only
+give a short licence's title or reserve all rights go, too. Lines that are notices of a
+licence on their own are looked up the same way.
 """
 
 from __future__ import annotations
@@ -40,6 +42,18 @@ IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
 INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN
 AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
 PERFORMANCE OF THIS SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form
+or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to
+the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org/>""",
 }
 NOTICES = {
     "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.",
@@ -72,13 +86,15 @@ DIGESTS: dict[str, str] = {
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
              ("non commercial", "noncommercial"), ("merchantibility", "merchantability"), ("organisation", "organization")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+LEAD = r"[ \t#/*;%!<>=.|-]*"  # marks of a comment before a line's text
+COPYRIGHT = r"(^|\n)" + LEAD + r"(?:copyright|\(c\)|©)[^\n]*"
 _NAME = (r"(?:(?:bsd )?zero[- ]clause(?: bsd)?|(?:new |revised |modified |simplified )bsd|[23][- ]clause bsd|"
          r"bsd[ -][023][ -]clause(?: \"(?:simplified|new)\"(?: or \"(?:freebsd|revised)\")?)?|mit|expat|isc|zlib|0bsd|bsd)")
+TITLE = LEAD + r"(?:(?:the )?" + _NAME + r" licen[sc]e(?: ?\([^()\n]{1,20}\))?|(?:the )?unlicense|all rights reserved)[ \t\r.:*/#-]*"
 #: Copyright lines, and lines that only give a short licence's title or reserve all rights.
-HEAD = (r"(^|\n)(?:[ \t]*(?:copyright|\(c\)|©)[^\n]*|"
-        r"[ \t#*=]*(?:(?:the )?" + _NAME + r" licen[sc]e(?: ?\([^()\n]{1,20}\))?|all rights reserved)[ \t\r.:*]*(?=\n|$))")
-MARKS = r"[\x00-\x20!-/:-@\[-`{-~]+"
+HEAD = r"(^|\n)(?:" + LEAD + r"(?:copyright|\(c\)|©)[^\n]*|" + TITLE + r"(?=\n|$))"
+#: White space, ASCII punctuation, and typographic blanks, hyphens, dashes, quotes, dots and ellipsis.
+MARKS = r"[\x00-\x20!-/:-@\[-`{-~" + "\u00a0\u00ab\u00b7\u00bb\u2010-\u201f\u2022\u2026\u202f" + "]+"
 
 
 def canonical(text: Column, head: str = HEAD) -> Column:
@@ -109,56 +125,74 @@ def known(texts: dict[str, str], head: str = HEAD) -> dict[str, str]:
     return {hashlib.sha256(t.encode()).hexdigest(): i for i, t in forms.items() if t}
 
 
+def _may_say(line: Column, notices: dict[str, str]) -> Column:
+    """Whether a lower-cased line holds all the words of a notice that no spelling touches: a canonical
+    form's words stand in its line as they are, so no line that says a notice is left out."""
+    may = F.lit(False)
+    for form in {_plain(x, COPYRIGHT) for x in notices.values()}:
+        words = {w for w in form.split() if not any(b in w for _, b in SPELLINGS)}
+        has = F.lit(bool(form))
+        for w in sorted(words, key=lambda w: (-len(w), w)):
+            has = has & line.contains(w)
+        may = may | has
+    return may
+
+
 def scan(docs: DataFrame, texts: dict[str, str] = LICENSES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """One row per document: ``doc_id``, ``digest`` of its canonical form (with title lines), ``license``
     (identifier if the entire text is a known licence, with or without such lines, else null), ``n_notices`` (lines that are a known
     notice) and ``notices`` (their identifiers, distinct and sorted, comma-separated).
 
     ``DIGESTS`` count as known, too, unless other texts are given. The known digests are a table of as many rows as licences are given, so it is
-    broadcast. Null texts count as empty, and match nothing; doc_id is passed through,
-    null or repeated; other columns are ignored; an empty table gives an empty result.
+    broadcast. Null texts count as empty, and match nothing; texts of any length count as a
+    whole; doc_id is passed through, null or repeated; other columns are ignored; an empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     table = known({**texts}) | (DIGESTS if texts is LICENSES else {})
     table = spark.createDataFrame(list(table.items()), "lookup string, license string")
-    lines = F.split(whole(F.col("text").cast("string")), "\n")
-    if all("licen" in _plain(x, COPYRIGHT) for x in notices.values()):  # only a shortcut
-        lines = F.filter(lines, lambda x: F.lower(x).contains("licen"))
+    text = F.col("text").cast("string")
+    low = F.translate(whole(text), UPPER, LOWER)
+    lines = F.filter(F.split(low, "\n"), lambda x: _may_say(x, notices))
     said = F.transform(lines, lambda x: F.sha2(canonical(x, COPYRIGHT), 256))
     of = known(notices, COPYRIGHT)
     ids = F.array().cast("array<string>")
     if of:
         ids = F.filter(F.transform(said, lambda h: F.element_at(F.create_map(*[F.lit(v) for kv in of.items() for v in kv]), h)), lambda x: x.isNotNull())
-    text = F.col("text").cast("string")
-    low = F.translate(whole(text), UPPER, LOWER)
     d = docs.select("doc_id", "text", F.sha2(canonical(text, COPYRIGHT), 256).alias("digest"), ids.alias("ids"))
-    titled = low.contains("licen") | low.contains("rights reserved")  # else both forms are the same
+    titled = low.contains("licen") | low.contains("all rights reserved")  # words of every title; else both forms are the same
     d = d.withColumn("lookup", F.when(titled, F.sha2(canonical(text), 256)).otherwise(F.col("digest"))).drop("text")
     return (d.join(F.broadcast(table), "lookup", "left")
             .select("doc_id", "digest", "license", F.size("ids").cast("long").alias("n_notices"),
                     F.array_join(F.array_sort(F.array_distinct("ids")), ",").alias("notices")))
 
 
-def _sql_form(text: str) -> str:
-    t = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
-    t = f"regexp_replace({t}, '{COPYRIGHT}', chr(10), 'g')"
-    t = f"trim(regexp_replace({t}, '{MARKS}', ' ', 'g'), ' ')"
+def _sql_form(low: str) -> str:
+    """The form of a lower-cased text without its lines that do not count."""
+    t = f"trim(regexp_replace({low}, '{MARKS}', ' ', 'g'), ' ')"
     for a, b in SPELLINGS:
         t = f"replace({t}, '{a}', '{b}')"
     return t
 
 
-def _values(texts: dict[str, str]) -> str:
-    return ", ".join(f"('{h}', '{i}')" for h, i in known(texts, COPYRIGHT).items())
+def _sql_lines(*patterns: str) -> str:
+    keep = " AND ".join(f"NOT regexp_matches(x, '^(?:{p})')" for p in patterns)
+    return f"array_to_string(list_filter(string_split(low, chr(10)), lambda x: {keep}), chr(10))"
+
+
+def _values(digests: dict[str, str]) -> str:
+    return ", ".join(f"('{h}', '{i}')" for h, i in digests.items())
 
 
+_RIGHT = LEAD + r"(?:copyright|\(c\)|©)"
 SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, text, sha256({_sql_form('text')}) AS digest FROM documents),
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
+d AS (SELECT k, doc_id, sha256({_sql_form(_sql_lines(_RIGHT))}) AS digest, sha256({_sql_form(_sql_lines(_RIGHT, TITLE + '$'))}) AS lookup FROM t),
 l AS (
-  SELECT k, sha256({_sql_form('line')}) AS h FROM (SELECT k, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d)
-  WHERE contains(lower(line), 'licen')),
+  SELECT k, sha256({_sql_form('line')}) AS h FROM (SELECT k, unnest(string_split(low, chr(10))) AS line FROM t)
+  WHERE NOT regexp_matches(line, '^(?:{_RIGHT})')),
 n AS (SELECT k, count(*) AS n_notices, string_agg(DISTINCT id, ',' ORDER BY id) AS notices
-  FROM l JOIN (VALUES {_values(NOTICES)}) v(h, id) USING (h) GROUP BY k)
+  FROM l JOIN (VALUES {_values(known(NOTICES, COPYRIGHT))}) v(h, id) USING (h) GROUP BY k)
 SELECT doc_id, digest, id AS license, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
-FROM d LEFT JOIN n USING (k) LEFT JOIN (VALUES {_values(LICENSES)}) w(h, id) ON h = digest
+FROM d LEFT JOIN n USING (k) LEFT JOIN (VALUES {_values(known(LICENSES) | DIGESTS)}) w(h, id) ON h = lookup
 """

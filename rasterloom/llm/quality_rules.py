@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, whole, word_array
+from .common import SPACES, Scratch, attach, whole, word_array
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -100,21 +100,24 @@ def _value(bucket: str) -> Column:
         F.call_function("shiftleft", (b % 64 + 64).cast("long"), F.floor(b / 64).cast("int") - 1))
 
 
-def thresholds(counts: DataFrame) -> DataFrame:
-    """One row per ``lang, source``: a fence for each rate, ``high_<rate>``, and ``low_word_len``."""
+def _group(lang: str, source: str) -> Column:
+    """One key of a language and a source, either of which may be null."""
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit("-"))
+    return F.concat(part(lang), F.lit("\0"), part(source))
+
+
+def thresholds(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per ``lang, source`` with its documents ``c``: a fence for each rate, ``high_<rate>``, and ``low_word_len``."""
     rates = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), _bucket(_rate(r)).alias("bucket")) for r in RATES]))
     judged = counts.where(~F.col("base_failed"))
     sketch = judged.select("lang", "source", rates.alias("x")).groupBy("lang", "source", "x.rate", "x.bucket").agg(F.count("*").alias("n"))
-    own = _quantiles(sketch, ["lang", "source"])
-    lang = _quantiles(sketch, ["lang"])
-    every = _quantiles(sketch, [])
-    groups = counts.select("lang", "source").distinct()
+    q = scratch.keep(_quantiles(sketch))
+    groups = counts.groupBy("lang", "source").agg(F.count("*").alias("c"))
     null = F.lit(None)
-    out = groups.alias("g")
-    own, lang, every = own.alias("o"), lang.alias("l"), every.alias("e")
-    out = (out.join(own, F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left")
-           .join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
-           .join(F.broadcast(every), F.lit(True), "left"))  # one row
+    own, lang, every = (q.where(F.col("level") == k) for k in range(3))
+    out = (groups.alias("g").join(own.alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left")
+           .join(lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
+           .join(F.broadcast(every.alias("e")), F.lit(True), "left"))  # one row
     cols = []
     for r in RATES:
         def pick(what, r=r):
@@ -130,20 +133,25 @@ def thresholds(counts: DataFrame) -> DataFrame:
         cols.append(F.greatest(F.lit(GUARDS[r][0]).cast("long"), upper).alias(f"high_{r}"))
         if r == "word_len":
             cols.append((mid - SPREADS * F.greatest(spread, F.lit(30).cast("long"))).alias("low_word_len"))
-    return out.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *cols)
-
-
-def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles and ninth decile of each rate from (merged) sketches, one row per key."""
-    merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*keys, "rate")
+    return out.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.c").alias("c"), *cols)
+
+
+def _quantiles(sketch: DataFrame) -> DataFrame:
+    """Quartiles and ninth decile of each rate, one row per ``lang, source`` (``level`` 0), language (1)
+    and for the corpus (2): sketches merge by adding the counts of their buckets."""
+    no = F.lit(None).cast("string")
+    at = lambda k, lang, source: F.struct(F.lit(k).alias("level"), lang.cast("string").alias("lang"), source.cast("string").alias("source"))
+    levels = F.explode(F.array(at(0, F.col("lang"), F.col("source")), at(1, F.col("lang"), no), at(2, no, no)))
+    key = ["level", "lang", "source"]
+    merged = sketch.select(levels.alias("x"), "rate", "bucket", "n").select("x.*", "rate", "bucket", "n").groupBy(*key, "rate", "bucket").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*key, "rate")  # some dozens of buckets for each power of two
     upto = F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = merged.select(*keys, "rate", "bucket", upto.alias("upto"), F.sum("n").over(w).alias("all"))
+    ranked = merged.select(*key, "rate", "bucket", upto.alias("upto"), F.sum("n").over(w).alias("all"))
 
     def quantile(rate: str, percent: int) -> Column:
         return F.min(F.when((F.col("rate") == rate) & (100 * F.col("upto") >= percent * F.col("all")), _value("bucket")))
 
-    return ranked.groupBy(*keys).agg(
+    return ranked.groupBy(*key).agg(
         F.max("all").alias("docs"),
         *[quantile(r, p).alias(f"{name}_{r}") for r in RATES for name, p in (("bottom", 25), ("mid", 50), ("top", 75), ("high", 90))])
 
@@ -154,21 +162,33 @@ def _spread(counted: DataFrame) -> DataFrame:
 
 
 def _verdict() -> Column:
-    inside = [_rate(r) <= F.col(f"f.high_{r}") for r in RATES]
+    inside = [_rate(r) <= F.col(f"high_{r}") for r in RATES]
     inside = [x | (F.col(COUNTS[r]) <= GUARDS[r][1]) if r in COUNTS else x for r, x in zip(RATES, inside)]
-    inside.append(_rate("word_len") >= F.col("f.low_word_len"))
+    inside.append(_rate("word_len") >= F.col("low_word_len"))
     ok = ~F.col("base_failed")
     for x in inside:
         ok = ok & F.coalesce(x, F.lit(True))  # no fence: nothing passed the base rule
     return ok
 
 
-def judge(counts: DataFrame) -> DataFrame:
-    """``counts`` with a ``kept`` column: the base rule, then the fences of its language and source."""
-    fences = thresholds(counts).alias("f")
-    c = counts.alias("c")
-    on = F.col("c.lang").eqNullSafe(F.col("f.lang")) & F.col("c.source").eqNullSafe(F.col("f.source"))
-    return c.join(fences, on, "left").select("c.*", _verdict().alias("kept"))
+#: Rows of fences that are broadcast, at most: 100 bytes each.
+FENCES = 50_000
+
+
+def judge(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``counts`` (kept, with ``rows`` seen) with a ``kept`` column: the base rule, then the fences of its language and source.
+
+    Documents never move: up to ``FENCES`` fences are broadcast. Should there be more
+    groups, only those of large groups are, and documents of small groups are joined.
+    """
+    fences = thresholds(counts, scratch).withColumn("__g", _group("lang", "source")).drop("lang", "source")
+    fences = scratch.keep(fences, rows=F.count(F.lit(1)))
+    c = counts.withColumn("__g", _group("lang", "source"))
+    if fences.seen["rows"] <= FENCES:
+        j = c.join(F.broadcast(fences), "__g", "left")
+    else:
+        j = attach(c, fences, "__g", counts.seen["rows"], "left")
+    return j.select(*counts.columns, _verdict().alias("kept"))
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -183,16 +203,19 @@ def quality_rules(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession)
     counted = with_counts(docs.select("doc_id", "lang", "source", F.col("text").cast("string").alias("text")))
-    counts = scratch.keep(_spread(counted.drop("text")))
-    return judge(counts).select("doc_id", *BASE, "base_failed", "kept")
+    counts = scratch.keep(_spread(counted.drop("text")), rows=F.count(F.lit(1)))
+    return judge(counts, scratch).select("doc_id", *BASE, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns."""
+    """The rows of ``docs`` that the rules keep, with their own columns, whatever their names.
+
+    Null and blank texts go, as they fail the base rule; repeated rows go or stay alike.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
     row = docs.select(F.struct("*").alias("__row"), "doc_id", "lang", "source", F.col("text").cast("string").alias("text"))
-    counted = scratch.keep(_spread(with_counts(row).drop("text")))
-    return judge(counted).where("kept").select("__row.*")
+    counted = scratch.keep(_spread(with_counts(row).drop("text")), rows=F.count(F.lit(1)))
+    return judge(counted, scratch).where("kept").select("__row.*")
 
 
 #: DuckDB twin over whole tables.
@@ -228,31 +251,37 @@ b AS (
     1000 * n_repeat_words // greatest(n_words, 1) AS r3, 1000 * n_upper // greatest(word_chars, 1) AS r4,
     100 * word_chars // greatest(n_words, 1) AS r5 FROM c),
 s AS (
-  SELECT lang, source, rate, CASE WHEN x < 16 THEN x ELSE (x >> (length(bin(x)) - 4)::INT) << (length(bin(x)) - 4)::INT END AS v
-  FROM (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS rate, unnest([r1, r2, r3, r4, r5]) AS x FROM b WHERE NOT base_failed)),
+  SELECT lang, source, rate, CASE WHEN x < 128 THEN x ELSE (x >> (length(bin(x)) - 7)::INT) << (length(bin(x)) - 7)::INT END AS v, count(*) AS n
+  FROM (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS rate, unnest([r1, r2, r3, r4, r5]) AS x FROM b WHERE NOT base_failed) GROUP BY ALL),
+m AS (
+  SELECT level, lang, source, rate, v, sum(n)::BIGINT AS n FROM (
+    SELECT 0 AS level, lang, source, rate, v, n FROM s UNION ALL SELECT 1, lang, NULL, rate, v, n FROM s UNION ALL SELECT 2, NULL, NULL, rate, v, n FROM s) GROUP BY ALL),
+u AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY v) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS docs FROM m),
 q AS (
-  SELECT grouping(source) AS no_source, grouping(lang) AS no_lang, lang, source, rate, count(*) AS docs,
-    quantile_disc(v, 0.25) AS lo, quantile_disc(v, 0.5) AS mid, quantile_disc(v, 0.75) AS hi
-  FROM s GROUP BY GROUPING SETS ((lang, source, rate), (lang, rate), (rate))),
+  SELECT level, lang, source, rate, max(docs) AS docs, min(v) FILTER (100 * upto >= 25 * docs) AS bottom, min(v) FILTER (100 * upto >= 50 * docs) AS mid,
+    min(v) FILTER (100 * upto >= 75 * docs) AS top, min(v) FILTER (100 * upto >= 90 * docs) AS high FROM u GROUP BY ALL),
 f AS (
   SELECT g.lang, g.source, rates.rate,
-    CASE WHEN o.docs >= 200 THEN o.mid WHEN a.docs >= 200 THEN a.mid ELSE e.mid END AS mid,
-    CASE WHEN o.docs >= 200 THEN o.hi - o.lo WHEN a.docs >= 200 THEN a.hi - a.lo ELSE e.hi - e.lo END AS spread
+    CASE WHEN o.docs >= 200 THEN o.mid WHEN l.docs >= 200 THEN l.mid ELSE e.mid END AS mid,
+    CASE WHEN o.docs >= 200 THEN o.top - o.bottom WHEN l.docs >= 200 THEN l.top - l.bottom ELSE e.top - e.bottom END AS spread,
+    CASE WHEN o.docs >= 200 THEN o.high WHEN l.docs >= 200 THEN l.high ELSE e.high END AS high,
+    CASE WHEN l.docs >= 200 THEN l.mid + 6 * greatest(2 * (l.mid - l.bottom), l.high - l.mid) END AS cap_lang,
+    e.mid + 6 * greatest(2 * (e.mid - e.bottom), e.high - e.mid) AS cap_all
   FROM (SELECT DISTINCT lang, source FROM b) g CROSS JOIN (VALUES (1), (2), (3), (4), (5)) rates(rate)
-  LEFT JOIN q o ON o.no_source = 0 AND o.no_lang = 0 AND o.rate = rates.rate
-    AND o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
-  LEFT JOIN q a ON a.no_source = 1 AND a.no_lang = 0 AND a.rate = rates.rate AND a.lang IS NOT DISTINCT FROM g.lang
-  LEFT JOIN q e ON e.no_source = 1 AND e.no_lang = 1 AND e.rate = rates.rate),
+  LEFT JOIN q o ON o.level = 0 AND o.rate = rates.rate AND o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN q l ON l.level = 1 AND l.rate = rates.rate AND l.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN q e ON e.level = 2 AND e.rate = rates.rate),
+k AS (
+  SELECT lang, source, rate, mid, spread, CASE WHEN mid IS NULL THEN NULL WHEN rate >= 4 THEN least(mid + 4 * greatest(spread, high - mid), coalesce(cap_lang, cap_all))
+    ELSE least(mid + 4 * greatest(spread, high - mid), cap_lang, cap_all) END AS upper FROM f),
 h AS (
-  SELECT lang, source, max(CASE WHEN rate = 1 THEN greatest(40, mid + 4 * spread) END) AS h1,
-    max(CASE WHEN rate = 2 THEN greatest(400, mid + 4 * spread) END) AS h2,
-    max(CASE WHEN rate = 3 THEN greatest(300, mid + 4 * spread) END) AS h3,
-    max(CASE WHEN rate = 4 THEN greatest(250, mid + 4 * spread) END) AS h4,
-    max(CASE WHEN rate = 5 THEN greatest(900, mid + 4 * spread) END) AS h5,
-    max(CASE WHEN rate = 5 THEN mid - 4 * greatest(spread, 30) END) AS l5
-  FROM f GROUP BY lang, source)
+  SELECT lang, source, max(CASE WHEN rate = 1 THEN greatest(10, upper) END) AS h1, max(CASE WHEN rate = 2 THEN greatest(5, upper) END) AS h2,
+    max(CASE WHEN rate = 3 THEN greatest(20, upper) END) AS h3, max(CASE WHEN rate = 4 THEN greatest(5, upper) END) AS h4,
+    max(CASE WHEN rate = 5 THEN greatest(0, upper) END) AS h5, max(CASE WHEN rate = 5 THEN mid - 4 * greatest(spread, 30) END) AS l5
+  FROM k GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(r1 <= h1, true) AND coalesce(r2 <= h2, true) AND coalesce(r3 <= h3, true)
-    AND coalesce(r4 <= h4, true) AND coalesce(r5 <= h5, true) AND coalesce(r5 >= l5, true) AS kept
+  NOT base_failed AND (r1 <= h1 OR n_symbols <= 4) AND (r2 <= h2 OR n_dup_lines <= 2) AND (r3 <= h3 OR n_repeat_words <= 40)
+    AND (r4 <= h4 OR n_upper <= 4) AND coalesce(r5 <= h5, true) AND coalesce(r5 >= l5, true) AS kept
 FROM b JOIN h ON h.lang IS NOT DISTINCT FROM b.lang AND h.source IS NOT DISTINCT FROM b.source
 """

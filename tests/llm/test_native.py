@@ -74,6 +74,13 @@ def test_quantiles_decide_for_rates_that_are_mostly_zero(docs_of):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(1000, 1003))
 
 
+def test_more_groups_than_are_broadcast(docs_of, monkeypatch):
+    rows = plain_texts(300, 0, "a") + plain_texts(3, 1000, "a", repeated=5) + plain_texts(250, 3000, None) + [(9000 + i, None, f"l{i}", None) for i in range(9)]
+    want = sorted(map(str, quality_rules.quality_rules(docs_of(rows)).collect()))
+    monkeypatch.setattr(quality_rules, "FENCES", 3)
+    assert sorted(map(str, quality_rules.quality_rules(docs_of(rows)).collect())) == want
+
+
 def test_a_polluted_group_does_not_lift_its_fences(docs_of):
     junk = plain_texts(150, 9000, "bad", symbols=" ########")
     rows = plain_texts(1700, 0, "good") + plain_texts(100, 5000, "bad") + junk
@@ -137,6 +144,23 @@ def test_notices_without_the_word_license(docs_of):
     assert licenses.scan(docs_of(rows), notices={}).where("n_notices = 0").count() == 2
 
 
+def test_everyday_forms_of_a_license(docs_of):
+    mit, isc = licenses.LICENSES["MIT"], licenses.LICENSES["ISC"]
+    block = lambda lead, t: "\n".join(lead + x for x in t.split("\n"))
+    rights = "MIT License\n\nCopyright (c) 2020 Some Body\nAll rights reserved.\n\n" + mit
+    curly = mit.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u201cAS IS\u201d").replace(" and/or ", "\u00a0and/or ")
+    rows = [block("# ", rights), block("// ", rights), block(" * ", rights), block("; ", "Copyright 1999 X\n" + isc), curly, rights.replace("\n", "\r\n"),
+            block("-- ", "The Unlicense\n" + licenses.LICENSES["Unlicense"]), licenses.LICENSES["Unlicense"].replace("https", "http").rstrip(">/") + ">", block("# ", rights) + "\n# No more.", "Copyright is a word.\n" + mit]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs_of([(i, t, "en", "a") for i, t in enumerate(rows)])).collect()}
+    assert [got[i] for i in range(10)] == ["MIT", "MIT", "MIT", "ISC", "MIT", "MIT", "Unlicense", None, None, "MIT"]
+
+
+def test_any_notice_is_found(docs_of):
+    rows = [(1, "Public domain.", "en", "a"), (2, "# PUBLIC   DOMAIN", "en", "a"), (3, "public domains", "en", "a"), (4, "a\nLicence: free\n", "en", "a"), (5, "sub license", "en", "a")]
+    got = {r["doc_id"]: r["notices"] for r in licenses.scan(docs_of(rows), notices={"PD": "Public domain.", "F": "License, free", "S": "Sublicense!"}).collect()}
+    assert got == {1: "PD", 2: "PD", 3: "", 4: "F", 5: "S"}
+
+
 def test_license_odd_rows(docs_of, odd_rows):
     assert licenses.scan(docs_of(odd_rows)).count() == len(odd_rows)
 
