@@ -102,7 +102,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     mult = [_U(pow(0xA24BAED4963EE407, i + 1, 1 << 64) | 1) for i in range(words)]
     full = np.zeros(max(len(word) - words + 1, 0), _U)
     for i in range(words):
-        full += word[i:len(word) - words + 1 + i] * mult[i]
+        full += word[i:i + len(full)] * mult[i]
     full = _mix(full)
     for d in range(len(texts)):
         lo, hi = first[d], first[d + 1]

@@ -3,7 +3,8 @@
 Each row gets a random key (a hash of seed and doc_id). Within a source, rows lie in
 the order of the key; the key's leading digits split that order into ranges of
 bounded size, so sums of the ranges before plus a running sum within the range give
-each row's place, without sorting a source in one task. A source's budget cuts that
+each row's place, without sorting a source in one task. Rows without a doc_id take the
+hash of their text in its place. A source's budget cuts that
 order exactly; budgets above the source's size repeat it in whole epochs first.
 """
 
@@ -25,7 +26,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     """``source, source_size, target`` from one row per source with its ``source_size``.
 
     Shares go by weight; a source stops at ``MOST`` times its size and the excess is
-    shared again. That is one level: target = least(MOST * size, weight * level), found
+    shared again (windows over one row per source, which are few). That is one level: target = least(MOST * size, weight * level), found
     by adding sources in the order of the level at which they stop.
     """
     order = Window.orderBy(F.col("source").isNull(), "source")
@@ -48,12 +49,14 @@ def mix(docs: DataFrame, scratch: Scratch | None = None, size: Column | None = N
     ``size`` counts the words of the text (null: 0). ``taken`` is how many words the mix
     takes, repeats counted; it is a whole number of copies for all but the one document
     at which a source's budget ends, of which the first words are taken. Null sources
-    form the last source; null doc_ids share one random key, and rows that share a key
-    are ordered by size; other columns are ignored; an empty table gives an empty result.
+    form the last source; rows that share a random key (an id, or without one a text)
+    are ordered by size; texts of any length count as a whole; other columns are ignored;
+    an empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     size = word_count(F.col("text").cast("string")) if size is None else size
-    key = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(whole(F.col("text").cast("string")).cast("binary"))))
+    key = F.md5(F.concat(F.lit(f"{SEED}:"), own))
     rows = scratch.keep(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *(keep or [])))
     count = rows.count()
     digits = 2
@@ -104,7 +107,7 @@ def _fixed(name: str, text: Column) -> Column:
 #: DuckDB twin over whole tables.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key,
+  SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda s: s <> ''))::BIGINT AS size
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_right
 from itertools import chain
 
 import numpy as np
@@ -106,7 +105,7 @@ def token_pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5,
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("string").try_cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
 
 
 def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
@@ -183,9 +182,10 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, scratc
     """Packs all documents into sequences of at most ``window`` tokens.
 
     Returns one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset``. Null and empty texts hold the end id alone; doc_id is
-    passed through, null or repeated (each row is packed by itself); other columns
-    are ignored; an empty table gives no pieces.
+    sequence_id, offset``. Null and empty texts hold the end id alone; texts of any length
+    are cut into as many windows as they need; doc_id is passed through, null or repeated
+    (each row is packed by itself), null where it is no whole number; other columns are
+    ignored; an empty table gives no pieces.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     per_unit = -(-window // UNITS)
@@ -217,16 +217,19 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, scratc
     ranked = spread.withColumn("in_bucket", rank).join(offs, ["unit", "bucket"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "unit", (F.col("before") + F.col("in_bucket")).alias("rank"))
 
+    runs = {u: (np.array(first[u], np.int64), np.array(where[u], np.int64).reshape(-1, 3)) for u in counts}
+
     def place_all(batches):
         for b in batches:
-            unit, rank = b.column(5).to_pylist(), b.column(6).to_pylist()
-            sid, slot = [], []
-            for u, r in zip(unit, rank):
-                k = bisect_right(first[u], r) - 1
-                s, times, at = where[u][k]
-                sid.append(s + (r - first[u][k]) // times)
-                slot.append(at + (r - first[u][k]) % times)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sid, pa.int64()), pa.array(slot, pa.int64())],
+            unit, rank = b.column(5).to_numpy(), b.column(6).to_numpy()
+            sid, slot = np.empty(len(unit), np.int64), np.empty(len(unit), np.int64)
+            for u in np.unique(unit).tolist():
+                at = np.flatnonzero(unit == u)
+                starts, runs_of = runs[u]
+                k = np.searchsorted(starts, rank[at], side="right") - 1
+                seq, times, place = runs_of[k].T
+                sid[at], slot[at] = seq + (rank[at] - starts[k]) // times, place + (rank[at] - starts[k]) % times
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sid), pa.array(slot)],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
 
     placed = ranked.mapInArrow(place_all, _PIECES + ", sequence_id long, slot long")

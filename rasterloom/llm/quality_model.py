@@ -192,7 +192,8 @@ def _scored(docs: DataFrame, model: Additive) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
-    Null and blank texts are scored, by zero features. Labels may repeat, miss
+    Null and blank texts are scored, by zero features, and texts of any length as a
+    whole. Labels may repeat, miss
     documents or be null; without labels of both kinds every score is one constant.
     doc_id is passed through, null or repeated; other columns are ignored; an empty
     table gives an empty result.

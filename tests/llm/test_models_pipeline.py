@@ -1,16 +1,21 @@
+import hashlib
 import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("tokenizers")
 
 import corpus_pipeline  # noqa: E402
 from rasterloom.llm import embeddings, quality_model, quality_rules  # noqa: E402
 from rasterloom.llm.common import Scratch, connected_components  # noqa: E402
 
 from .test_minhash import brute  # noqa: E402
+from .test_sharding_mixing import brute_targets  # noqa: E402
 
 D = "/root/testdata/sf0.01"
 
@@ -101,22 +106,112 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[i] == 0 for i in range(1, 61)) and all(got[1000 + i] == 1000 for i in range(1, 50)) and got[5001] == 5000
 
 
+def brute_features(text):
+    """The classifier's features of one text, word by word."""
+    t = (text or "").encode()
+    words = t.split()
+    if not words:
+        return [0.0] * len(quality_model.FEATURES)
+    low = t.lower().split()
+    ink = sum(map(len, words))
+    share = lambda s: sum(x in s for x in t) / ink
+    pairs = {(a, b) for a, b in zip(low, low[1:])} if len(low) > 1 else {tuple(low)}
+    lines = [x for x in t.split(b"\n") if x.strip()]
+    return [math.log2(len(words)), ink / len(words), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b"#*$%&<>@^~_=+\\/{}[]"), share(b"!"), share(b"|"), share(b".,;:?'\"()-"),
+            sum(x >= 128 for x in t) / ink, len(set(low)) / len(words), len(pairs) / max(len(words) - 1, 1), math.log2(len(words) / max(len(lines), 1)), len(set(lines)) / max(len(lines), 1)]
+
+
+def test_features_equal_plain_ones(spark, odd_rows):
+    texts = [r[1] for r in odd_rows] + ["a b\nA b\n\na b!", "x|y 12 $5 \u00e9\u00e9 \u00df"] + [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got = quality_model.features([(t or "").encode() for t in texts])
+    assert np.allclose(got, [brute_features(t) for t in texts], atol=1e-9)
+
+
+def test_scores_are_sums_of_look_ups():
+    r = np.random.default_rng(2)
+    x = np.round(r.random((600, 4)), 2)
+    m = quality_model.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    for row, p in zip(x[:50], m.score(x[:50])):
+        bins = [sum(v >= c for c in cuts) for v, cuts in zip(row, m.cuts)]
+        z = m.base + sum(m.single[j, k] for j, k in enumerate(bins)) + sum(t[bins[i], bins[j]] for i, j, t in m.pairs)
+        assert abs(p - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+def words_of(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
 def test_pipeline_stages(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     columns, scratch = docs.columns, Scratch(spark)
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, scratch.keep(stage(spark, docs, d))
+        rows = before.collect()
         if name == "packing":
             break
         assert docs.columns == columns, name
+        out = docs.collect()
         if name == "quality_rules":
             want = {r["doc_id"] for r in quality_rules.quality_rules(before).where("kept").collect()}
-            assert {r["doc_id"] for r in docs.collect()} == want
+            assert {r["doc_id"] for r in out} == want
+        if name == "quality_classifier":
+            model = quality_model.learn(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+            good = model.score(np.array([brute_features(r["text"]) for r in rows])) >= 0.3
+            assert sorted(map(tuple, out)) == sorted(tuple(r) for r, g in zip(rows, good) if g)
         if name == "minhash_dedup":
-            rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            assert {r["doc_id"] for r in docs.collect()} == {i for i, x in brute(rows, 5, 80).items() if x[2]}
-    assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+            assert {r["doc_id"] for r in out} == {i for i, x in brute([(r["doc_id"], r["text"]) for r in rows], 5, 80).items() if x[2]}
+        if name == "mixing":
+            check_mix(rows, out)
+    ids = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = sorted((r["doc_id"], len(ids.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in rows)
+    pieces = docs.collect()
+    assert sorted((r["doc_id"], r["doc_tokens"]) for r in pieces if r["start"] == 0) == tokens
+    assert sum(r["length"] for r in pieces) == sum(n for _, n in tokens)
+    assert max(Counter({(r["sequence_id"], r["offset"]) for r in pieces}).values()) == 1 and max(r["offset"] + r["length"] for r in pieces) <= 1024
+
+
+def check_mix(rows, out):
+    """Copies by an order of hashes within each source, cut at its budget, by plain sums."""
+    size = {r["doc_id"]: len(words_of(r["text"])) for r in rows}
+    sources = sorted({r["source"] for r in rows})
+    total = {s: sum(size[r["doc_id"]] for r in rows if r["source"] == s) for s in sources}
+    target = brute_targets(total)
+    words = Counter()
+    for r in out:
+        words[r["doc_id"]] += len(words_of(r["text"]))
+    for s in sources:
+        left, want = math.floor(target[s]), Counter()
+        order = sorted((r["doc_id"] for r in rows if r["source"] == s), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest())
+        while left > 0 and total[s]:
+            for i in order:
+                take = min(size[i], left)
+                want[i] += take
+                left -= take
+        assert {i: words[i] for i in order if words[i]} == {i: n for i, n in want.items() if n}
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, docs_of, odd_rows, stage):
+    name, f = corpus_pipeline.STAGES[stage]
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = odd_rows + [(20, text, "en", "a"), (20, text, "en", "a"), (21, text + " x", "en", "a"), (22, text, None, None), (None, text, "en", "a"), (None, text, "en", "a"),
+                       (30, "first text of thirty " + text[::-1], "en", "a"), (30, "second text of thirty", "en", "a")]
+    docs = docs_of(rows)
+    out = f(spark, docs, "/root/testdata/sf0.001").collect()
+    if name == "packing":
+        assert Counter(r["doc_id"] for r in out if r["start"] == 0) == Counter(r[0] for r in rows)
+        return
+    assert f(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+    kept = Counter(r["doc_id"] for r in out)
+    if name == "quality_rules":
+        assert not kept[1] and not kept[2] and not kept[3] and kept[20] in (0, 2)
+    if name == "minhash_dedup":
+        assert kept[1] == kept[2] == kept[3] == 1 and kept[20] == 1 and not kept[21] and not kept[22] and kept[None] == 3 and kept[6] == 1 and not kept[7] and kept[30] == 1
+        again = f(spark, docs.repartition(7).orderBy("n_chars"), "/root/testdata/sf0.001").collect()
+        assert sorted(map(str, again)) == sorted(map(str, out))
+    if name == "mixing":
+        assert set(kept) <= {r[0] for r in rows} and kept[1] <= 1
 
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):
