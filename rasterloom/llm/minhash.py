@@ -33,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import Scratch, attach, connected_components
@@ -43,7 +43,8 @@ KEYS = 32  # retained values that can index a document, all 64 bits of each
 FOLD = 4  # words of 64 bits of a fold
 RISK = 3e-7  # of losing a pair at the threshold, at most, for each filter
 SALT = 2048  # rows of a list that meet in one task, roughly
-BLOCK = 1024  # members of a block, at least, where lists are compared block by block
+BLOCK = 512  # members of a block, at least, where lists are compared block by block
+CROWD = 4  # likely pairs for each member of a block, from which their sketches are compared there
 CHUNK = 1 << 20  # bytes of text hashed at a time
 
 _U = np.uint64
@@ -232,14 +233,17 @@ def _said(text: bytes, known: dict, words: int) -> set:
     return known[text]
 
 
+def _most(percent: int) -> int:
+    """Bits of a fold that may differ, by chance alone, at the threshold."""
+    return 64 * FOLD - _least(64 * FOLD, 1 - (1 - percent / 100) / 2)
+
+
 def _likely(a: str, b: str, percent: int) -> Column:
     """Sizes that allow the similarity, and folds that agree on enough bits: a range's bits
     differ only if its smallest value is not common, and each differing shingle is in one range."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits, j = 64 * FOLD, percent / 100
-    most = bits - _least(bits, 1 - (1 - j) / 2)
     differ = sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in FOLDS[1:]), F.bit_count(F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= F.least(F.lit(most), (na + nb) * (100 - percent) / (100 + percent)))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= F.least(F.lit(_most(percent)), (na + nb) * (100 - percent) / (100 + percent)))
 
 
 def _near(a: str, b: str, na, nb, percent: int, k: int):
@@ -294,8 +298,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     star = scratch.keep(_estimated(_first_and_last(cand, percent), cand, percent, k))
     edges = _verify(star, docs, words, percent, scratch).unionByName(_same_id(ids, heads, rows, scratch))
     comp = connected_components(edges, scratch)
-    if (between := _between(cand, comp, percent, k, scratch)) is not None:
-        more = scratch.keep(between.join(star, ["a", "b"], "left_anti"))
+    if (more := _between(cand, comp, star, percent, k, scratch)) is not None:
         late = _verify(more, docs, words, percent, scratch)
         if late.seen["rows"]:
             comp = connected_components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(late), scratch)
@@ -360,15 +363,19 @@ def _first_and_last(cand: DataFrame, percent: int) -> DataFrame:
             .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct())
 
 
-def _between(cand: DataFrame, comp: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame | None:
-    """Pairs of different components within the lists whose sketches are near, ``a`` < ``b``; None if no list has several.
+def _between(cand: DataFrame, comp: DataFrame, tried: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame | None:
+    """Pairs of different components within the lists whose sketches are near, ``a`` < ``b``,
+    without those ``tried``; None if no list has several.
 
     Lists of up to three members have no pair without the first or the last, so longer
     ones are left. Every pair of different components has a member outside the list's
     largest one, so those alone meet all members: a list that is one component but for a
     few costs a few times its length. Both sides go in blocks that grow with the root of
-    the list, so rows are sent fewer times than its square. A pair counts at the first
-    value that indexes both.
+    the list, so rows are sent fewer times than its square.
+
+    Members come with their folds only, which leave few pairs in most blocks. A list with
+    a block that has many (of a group whose members are just not similar enough) comes again
+    with the sketches, and a pair counts at the first value that indexes both.
     """
     own = _lists(cand.select("doc", "n", "prefix"), []).join(comp.withColumnRenamed("node", "doc"), "doc", "left")
     own = scratch.keep(own.select("key", "doc", "n", F.coalesce("component", "doc").alias("comp")))
@@ -381,33 +388,74 @@ def _between(cand: DataFrame, comp: DataFrame, percent: int, k: int, scratch: Sc
     if not lists.seen["rows"]:
         scratch.drop(own, lists)
         return None
-    whole = cand.select("doc", "n", "mins", F.transform("prefix", lambda x: x["key"]).alias("by"))
-    rows = scratch.keep(attach(own, lists, "key", cand.seen["values"] or 0).drop("c").join(whole, ["doc", "n"]))
-    scratch.drop(own, lists)
+    values = cand.seen["values"] or 0
+    rows = scratch.keep(attach(own, lists, "key", values).drop("c").join(cand.select("doc", *_LONGS), ["doc", "n"]))
+    scratch.drop(own)
     deal = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["key", "ob", "ab", "out", "doc", "n", "comp", "top", "mins", "by"]
-    every = rows.withColumn("ab", deal("alls")).withColumn("ob", upto("outs")).withColumn("out", F.expr("comp <> top and outs * alls = 1"))
-    outside = rows.where("comp <> top and outs * alls > 1").withColumn("ob", deal("outs")).withColumn("ab", upto("alls")).withColumn("out", F.lit(None).cast("boolean"))
+    meet = ["key", "ob", "ab"]
 
-    def compare(t: pa.Table) -> pa.Table:
+    def in_blocks(rows: DataFrame, *columns: str) -> GroupedData:
+        columns = [*meet, "out", "doc", "n", "comp", "top", *columns]
+        every = rows.withColumn("ab", deal("alls")).withColumn("ob", upto("outs")).withColumn("out", F.expr("comp <> top and outs * alls = 1"))
+        outside = rows.where("comp <> top and outs * alls > 1").withColumn("ob", deal("outs")).withColumn("ab", upto("alls"))
+        return every.select(columns).unionByName(outside.withColumn("out", F.lit(None).cast("boolean")).select(columns)).groupBy(*meet)
+
+    def sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The members outside (``out`` is null if sent as such only) and all members."""
         out = t["out"].to_pylist()
-        x = np.array([i for i, o in enumerate(out) if o is None or o], np.int64)  # the members outside; null if sent as such only
-        y = np.array([i for i, o in enumerate(out) if o is not None], np.int64)
-        a, b = _near_pairs(t, x, y, percent, k)
+        return np.array([i for i, o in enumerate(out) if o is None or o], np.int64), np.array([i for i, o in enumerate(out) if o is not None], np.int64)
+
+    def ordered(t: pa.Table, a: np.ndarray, b: np.ndarray) -> dict:
         doc = t["doc"].to_numpy()
-        return pa.table({"a": np.minimum(doc[a], doc[b]), "b": np.maximum(doc[a], doc[b])})
+        return {"a": np.minimum(doc[a], doc[b]), "b": np.maximum(doc[a], doc[b])}
+
+    def by_folds(t: pa.Table) -> pa.Table:
+        x, y = sides(t)
+        a, b = np.nonzero(_apart(t, x, y, percent) & _folds_agree(t, x, y, percent))
+        if len(a) > CROWD * (len(x) + len(y)):
+            null = pa.nulls(1, pa.int64())
+            return pa.table({"a": null, "b": null, "key": t["key"].slice(0, 1)})
+        return pa.table({**ordered(t, x[a], y[b]), "key": pa.nulls(len(a), pa.int64())})
+
+    def by_sketches(t: pa.Table) -> pa.Table:
+        return pa.table(ordered(t, *_near_pairs(t, *sides(t), percent, k)))
+
+    found = scratch.keep(in_blocks(rows, *FOLDS).applyInArrow(by_folds, "a long, b long, key long"), crowded=F.count("key"))
+    pairs = found.where("key is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = _estimated(pairs, cand, percent, k)
+    if found.seen["crowded"]:
+        crowded = lists.join(found.where("key is not null").select("key").distinct(), "key", "left_semi").select("key", "c")
+        whole = cand.select("doc", "n", "mins", F.transform("prefix", lambda x: x["key"]).alias("by"))
+        again = attach(rows.drop(*FOLDS), crowded, "key", values).join(whole, ["doc", "n"])
+        again = in_blocks(again, "mins", "by").applyInArrow(by_sketches, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = pairs.unionByName(again).distinct()
+    out = scratch.keep(pairs)
+    scratch.drop(rows, lists, found)
+    return out
 
-    return every.select(columns).unionByName(outside.select(columns)).groupBy("key", "ob", "ab").applyInArrow(compare, "a long, b long").distinct()
+
+def _apart(t: pa.Table, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of rows x and y in different components, each pair once, whose sizes allow the similarity."""
+    doc, n, comp = (t[c].to_numpy() for c in ("doc", "n", "comp"))
+    ok = (comp[x][:, None] != comp[y]) & ((comp[y] == t["top"][0].as_py()) | (doc[x][:, None] < doc[y]))
+    return ok & (100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y]))
+
+
+def _folds_agree(t: pa.Table, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """The same test of the folds as in ``_likely``."""
+    n = t["n"].to_numpy()
+    differ = np.zeros((len(x), len(y)), np.int32)
+    for f in FOLDS:
+        v = t[f].to_numpy().view(_U)
+        differ += np.bitwise_count(v[x][:, None] ^ v[y])
+    return differ <= np.minimum(_most(percent), (n[x][:, None] + n[y]) * (100 - percent) / (100 + percent))
 
 
 def _near_pairs(t: pa.Table, x: np.ndarray, y: np.ndarray, percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows ``x`` and ``y`` of a block that are of different components, first meet here and have near sketches."""
-    doc, n, comp = (t[c].to_numpy() for c in ("doc", "n", "comp"))
-    key, top = t["key"][0].as_py(), t["top"][0].as_py()
-    ok = (comp[x][:, None] != comp[y]) & ((comp[y] == top) | (doc[x][:, None] < doc[y]))
-    ok &= 100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y])
-    ok &= _common(t["by"], x, y, ok, below=key) == 0
+    n, ok = t["n"].to_numpy(), _apart(t, x, y, percent)
+    ok &= _common(t["by"], x, y, ok, below=t["key"][0].as_py()) == 0
     both = _common(t["mins"], x, y, ok)
     size = t["mins"].combine_chunks().value_lengths().to_numpy()
     i, j = np.nonzero(ok)

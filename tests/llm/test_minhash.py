@@ -63,6 +63,14 @@ def test_large_lists_are_dealt_out_and_compared_in_blocks(spark, monkeypatch):
     assert result(spark, rows, 2) == brute(rows, 2, 80)
 
 
+def test_crowded_blocks_give_the_same_as_pairs(spark, monkeypatch):
+    rows = near_copies(7, 150, 2, common=30) + [(1000 + i, t) for i, t in near_copies(8, 60, 60, common=60)]
+    want = brute(rows, 2, 80)
+    for crowd in (0, 1_000_000):
+        monkeypatch.setattr(M, "CROWD", crowd)
+        assert result(spark, rows, 2) == want
+
+
 def test_short_texts_and_one_id_with_several_texts(spark):
     r = random.Random(5)
     rows = [(i, " ".join(r.choice("abcdef") for _ in range(r.randint(1, 12)))) for i in range(120)]
