@@ -105,6 +105,25 @@ def prefix_offsets(buckets: DataFrame, group: list[str], bucket: str, total: str
     return buckets.withColumn(out, F.coalesce(F.sum(total).over(w), F.lit(0).cast("long")))
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[str], scratch: Scratch, out: str = "rank") -> DataFrame:
+    """``rows`` with their place from 0 within ``group`` in the order of ``order`` (nulls first), whatever a group's share.
+
+    One sort by range numbers the rows of each range, and written with them the numbers do not
+    change. A group's rows lie in ranges one after another: places are counts of the ranges
+    before, plus the number within the range. Rows that agree in all of ``order`` would share a range.
+    """
+    by = [*group, *order]
+    t = scratch.keep(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__n", F.monotonically_increasing_id()), rows=F.count(F.lit(1)))
+    t = t.withColumn("__range", F.shiftright("__n", 33))
+    g = [f"__g{i}" for i in range(len(group))]
+    ranges = t.groupBy(*[F.col(c).alias(n) for c, n in zip(group, g)], F.col("__range").alias("__of")).agg(F.count("*").alias("__c"), F.min("__n").alias("__low"))
+    ranges = prefix_offsets(ranges, g, "__of", "__c", "__before")
+    same = F.col("__range") == F.col("__of")
+    for c, n in zip(group, g):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return t.join(ranges, same).withColumn(out, F.col("__n") - F.col("__low") + F.col("__before")).drop("__n", "__range", "__of", "__c", "__low", "__before", *g)
+
+
 def attach(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """Joins ``table``, one row per ``key`` with ``c``, the rows of that key, to ``rows``, whatever a key's share.
 
