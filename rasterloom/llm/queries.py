@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, licenses, merkle, minhash, mixing, packing, quality_model, quality_rules, sharding, suffixes, tokens, url_filters
+from . import conversations, embeddings, licenses, merkle, minhash, mixing, packing, quality_model, quality_rules, sharding, suffixes, tokens, url_filters
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,6 +69,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all damaged conversations."""
+    return conversations.repaired(_table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and proofs of all documents, verified after some texts were altered."""
     return merkle.verified(_table(spark, sf_dir, "documents"))
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
@@ -101,5 +107,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_embedding_dedup": embeddings.SQL,
     "op9_url_filters": url_filters.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_conversation_repair": conversations.SQL,
     "op12_merkle_manifest": merkle.SQL,
 }
