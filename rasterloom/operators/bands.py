@@ -6,9 +6,13 @@ tile with 64 bands keeps one row per pixel.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 NODATA = -32768.0
 
 
@@ -100,13 +104,65 @@ def fingerprint(pixels: DataFrame, first: int = 5) -> DataFrame:
                                           F.max(F.when(origin, F.slice("bands", 1, first))).alias("first"))
 
 
-def robust_stretch(pixels: DataFrame, n_bands: int, nodata: float = NODATA, low: float = 0.02, high: float = 0.98) -> DataFrame:
+#: Values of a tile's band that one task sorts, at most; more are narrowed down first.
+SORTED = 1_000_000
+#: Ranges that each step of narrowing cuts a range into.
+STEPS = 1024
+
+
+def exact_percentiles(pixels: DataFrame, n_bands: int, shares: list[float], valid: Callable[[Column], Column], most: int = SORTED) -> DataFrame:
+    """``tile_key, band, q``: percentiles of each band's valid values, between neighbours as by linear interpolation.
+
+    The place of a percentile is known from the count. Bands of up to ``most`` values are sorted as they are. In a larger one
+    the range of values is cut into ``STEPS`` parts and counted, and only the part that holds a wanted place is cut again, until it holds
+    one value or few enough to be sorted. Each step is a grouped count, so no task holds a band.
+    """
+    values = pixels.select("tile_key", F.posexplode(F.array(*[F.get("bands", F.lit(i)).cast("double") for i in range(n_bands)])).alias("band", "x")).where(valid(F.col("x")))
+    sizes = values.groupBy("tile_key", "band").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("big", F.col("n") > most)
+    key = ["tile_key", "band"]
+    asked = F.array(*map(F.lit, shares))
+    few = values.join(sizes.where("not big").select(*key), key).groupBy(*key).agg(F.percentile("x", asked).alias("q"))
+    if sizes.where("big").isEmpty():
+        return few
+    # Two neighbouring places for each share; ``base`` values lie below the range lo..hi that holds the place.
+    place = (F.col("n") - 1) * F.col("share")
+    want = sizes.where("big").select(*key, "n", "lo", "hi", F.posexplode(asked).alias("i", "share"))
+    want = want.select(*key, "i", "share", "n", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("place"), "lo", "hi").withColumn("base", F.lit(0).cast("long")).withColumn("inside", F.col("n"))
+    # A row per wanted place: bands beyond the bound, twice the shares. Tables cut the lineage between steps.
+    want, done = written(want, "places"), None
+    while True:
+        ready = want.where(f"lo = hi or inside <= {most}")
+        done = ready if done is None else done.unionByName(ready)
+        want = want.where(f"lo < hi and inside > {most}")
+        if want.isEmpty():
+            break
+        part = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * STEPS), F.lit(STEPS - 1))
+        j = values.join(want, key).where("x >= lo and x <= hi")
+        counts = j.groupBy(*want.columns, part.alias("part")).agg(F.count("*").alias("c"), F.min("x").alias("a"), F.max("x").alias("b"))
+        w = Window.partitionBy(*key, "i", "place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most STEPS rows
+        counts = counts.withColumn("below", F.col("base") + F.coalesce(F.sum("c").over(w), F.lit(0))).where("place >= below and place < below + c")
+        nxt = counts.select(*key, "i", "share", "n", "place", F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("below").alias("base"), F.col("c").alias("inside"))
+        want = written(nxt, "places")
+    found = written(done, "places")
+    known = found.where("lo = hi").select(*key, "i", "share", "n", "place", F.col("lo").alias("v"))
+    rest = found.where("lo < hi")
+    inside = values.join(rest, key).where("x >= lo and x <= hi").groupBy(*rest.columns).agg(F.array_sort(F.collect_list("x")).alias("xs"))  # at most ``most`` values
+    inside = inside.select(*key, "i", "share", "n", "place", F.element_at("xs", (F.col("place") - F.col("base") + 1).cast("int")).alias("v"))
+    at = known.unionByName(inside).groupBy(*key, "i", "share", "n").agg(F.min_by("v", "place").alias("a"), F.max_by("v", "place").alias("b"))
+    part = place - F.floor(place)
+    at = at.withColumn("q", F.when(part == 0, F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b")))
+    return few.unionByName(at.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q")))
+
+
+def robust_stretch(pixels: DataFrame, n_bands: int, nodata: float = NODATA, low: float = 0.02, high: float = 0.98, most: int = SORTED) -> DataFrame:
     """Each band of a tile from its 2nd to its 98th percentile onto 0..1. In a band without
     spread valid pixels are 1; nodata and values that are not finite become 0 everywhere."""
     x = lambda i: F.get("bands", F.lit(i)).cast("double")
-    ok = lambda i: F.coalesce(finite(x(i)) & (x(i) != nodata), F.lit(False))
-    q = [F.percentile(F.when(ok(i), x(i)), F.array(F.lit(low), F.lit(high))).alias(f"q{i}") for i in range(n_bands)]
-    t = pixels.join(pixels.groupBy("tile_key").agg(*q), "tile_key")
+    valid = lambda v: F.coalesce(finite(v) & (v != nodata), F.lit(False))
+    ok = lambda i: valid(x(i))
+    q = exact_percentiles(pixels, n_bands, [low, high], valid, most)
+    q = q.groupBy("tile_key").agg(*[F.max(F.when(F.col("band") == i, F.col("q"))).alias(f"q{i}") for i in range(n_bands)])
+    t = pixels.join(q, "tile_key", "left")
     out = []
     for i in range(n_bands):
         lo, hi = F.get(f"q{i}", F.lit(0)), F.get(f"q{i}", F.lit(1))

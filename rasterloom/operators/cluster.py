@@ -81,3 +81,36 @@ def centres_inside(grid: DataFrame, edges: DataFrame) -> DataFrame:
     over = ((F.col("y1") > F.col("cy")) != (F.col("y2") > F.col("cy"))) & (F.col("cx") < F.col("x1") + (F.col("cy") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
     n = g.join(e, "band").where(over).groupBy("cell_id", "ring_id").agg(F.count("*").alias("n"))
     return n.where("n % 2 = 1").select("cell_id", "ring_id")
+
+
+def outlines_touching(grid: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """``cell_id, geom_id``: boxes of ``grid`` that an outline (all rings of it; inner ones are holes) touches or covers.
+
+    A box meets an outline if one of its edges crosses or touches the box, or if the box lies in it, and so does its
+    centre. Edges are dealt to the bins of width ``cell`` along their way and meet the boxes there. For containment,
+    each line of centres is cut by the edges it passes, and consecutive cuts are the spans inside; a span meets
+    centres in its bins only. Both are equi-joins whose size is that of the outline's length and of the result.
+    """
+    bin_of = lambda v: F.floor(v / cell).cast("long")
+    each = lambda lo, hi: F.explode(F.sequence(bin_of(lo), bin_of(hi)))
+    e = edges.withColumn("bx", each(F.least("x1", "x2"), F.greatest("x1", "x2")))
+    # The part of the edge over the bin's column gives the bins of its way.
+    y_at = lambda x: F.when(F.col("x1") == F.col("x2"), F.col("y1")).otherwise(F.col("y1") + (x - F.col("x1")) * (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
+    left, right = F.greatest(F.col("bx") * cell, F.least("x1", "x2")), F.least((F.col("bx") + 1) * cell, F.greatest("x1", "x2"))
+    steep = F.col("x1") == F.col("x2")
+    low = F.when(steep, F.least("y1", "y2")).otherwise(F.least(y_at(left), y_at(right)))
+    high = F.when(steep, F.greatest("y1", "y2")).otherwise(F.greatest(y_at(left), y_at(right)))
+    slack = cell * 1e-9
+    e = e.withColumn("by", each(low - slack, high + slack))
+    g = grid.withColumn("bx", each(F.col("xmin"), F.col("xmax"))).withColumn("by", each(F.col("ymin"), F.col("ymax")))
+    side = [(F.col(x) - F.col("x1")) * (F.col("y2") - F.col("y1")) - (F.col(y) - F.col("y1")) * (F.col("x2") - F.col("x1")) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
+    cut = ((F.least("x1", "x2") <= F.col("xmax")) & (F.greatest("x1", "x2") >= F.col("xmin")) & (F.least("y1", "y2") <= F.col("ymax")) & (F.greatest("y1", "y2") >= F.col("ymin"))
+           & (F.least(*side) <= 0) & (F.greatest(*side) >= 0))
+    crossed = g.join(e, ["bx", "by"]).where(cut).select("cell_id", "geom_id")
+    c = grid.select("cell_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("cx"), ((F.col("ymin") + F.col("ymax")) / 2).alias("cy"))
+    lines = c.select("cy").distinct().withColumn("by", bin_of(F.col("cy")))
+    over = edges.where("y1 <> y2").withColumn("by", each(F.least("y1", "y2"), F.greatest("y1", "y2"))).join(lines, "by").where((F.col("y1") > F.col("cy")) != (F.col("y2") > F.col("cy")))
+    cuts = over.groupBy("geom_id", "cy").agg(F.array_sort(F.collect_list(F.col("x1") + (F.col("cy") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))).alias("x"))
+    spans = cuts.select("geom_id", "cy", F.explode(F.expr("transform(sequence(0, size(x) div 2 - 1), i -> struct(x[2 * i] as a, x[2 * i + 1] as b))")).alias("s")).select("geom_id", "cy", "s.a", "s.b")
+    inside = spans.withColumn("bx", each(F.col("a"), F.col("b"))).join(c.withColumn("bx", bin_of(F.col("cx"))), ["cy", "bx"]).where("cx >= a and cx < b")
+    return crossed.unionByName(inside.select("cell_id", "geom_id")).distinct()

@@ -24,12 +24,28 @@ def early_stop(log: DataFrame, patience: int = 5, save_every: int = 5, metric: s
     return m.withColumn("__last", last).groupBy("run").agg(F.min(F.when(over, F.col("epoch"))).alias("stop"))
 
 
+_NUMBER = r"\d+\.\d+|\.\d+|\d+"
+
+
+def _after(name: Column, word: str) -> Column:
+    """What stands behind each ``word`` in a name, whatever its case."""
+    return F.slice(F.split(F.lower(name), word), 2, 1 << 20)
+
+
 def artifact_metric(name: Column) -> Column:
     """Metric in a file name: after ``f1``, else after ``iou`` (any case, then =, _, - or nothing), else its second number."""
-    part = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit(""))
-    number = r"([0-9]*\.?[0-9]+)"
-    second = F.try_element_at(F.regexp_extract_all(name, F.lit(number), 1), F.lit(2))
-    return F.coalesce(part("(?i)f1[=_-]?" + number), part("(?i)iou[=_-]?" + number), second).try_cast("double")
+    def first(word: str) -> Column:
+        leading = F.transform(_after(name, word), lambda rest: F.regexp_extract(rest, f"^[-_=]?({_NUMBER})", 1))
+        return F.try_element_at(F.filter(leading, lambda n: n != ""), F.lit(1))
+
+    second = F.try_element_at(F.regexp_extract_all(name, F.lit(f"({_NUMBER})"), 1), F.lit(2))
+    return F.coalesce(first("f1"), first("iou"), second).try_cast("double")
+
+
+def _says_epoch(name: Column, epoch: Column) -> Column:
+    """Whether a name has ``epoch``, a separator and exactly that number, or begins with the number and a separator."""
+    named = F.exists(F.slice(F.split(name, "epoch"), 2, 1 << 20), lambda rest: (F.regexp_extract(rest, r"^[-_=](\d+)", 1) == epoch) & (F.regexp_extract(rest, r"^[-_=]\d+([A-Za-z_]?)", 1) == ""))
+    return named | (F.regexp_extract(name, r"^(\d+)[-_,]", 1) == epoch)
 
 
 def best_artifact(files: DataFrame, best: DataFrame | None = None) -> DataFrame:
@@ -45,7 +61,7 @@ def best_artifact(files: DataFrame, best: DataFrame | None = None) -> DataFrame:
     rank = F.lit(None).cast("int")
     if best is not None:
         f = f.join(best.select("run", F.col("epoch").cast("string").alias("__e")), "run", "left")
-        said = F.call_function("regexp_like", "__name", F.concat(F.lit("(epoch[=_-]"), "__e", F.lit(r"\b)|(^"), "__e", F.lit("[,_-])")))
+        said = _says_epoch(F.col("__name"), F.col("__e"))
         own = F.regexp_extract("__name", r"([0-9]+)", 1).try_cast("long") == F.col("__e").cast("long")
         rank = F.when(said, 1).when(own, 2)
     w = Window.partitionBy("run")

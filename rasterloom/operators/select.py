@@ -6,26 +6,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that tiles are dealt to by entropy, at most, and rows that one is meant to hold until then.
+RANGES, PER_RANGE = 512, 50_000
+
+
+def top_of(tiles: DataFrame, limits: DataFrame, group: list[str], per_range: int = PER_RANGE) -> DataFrame:
+    """The first ``limit`` tiles (a column of ``limits``, one row per group) of each group by falling entropy, with their ``rank``.
+
+    Tiles are dealt to ranges of (entropy, key) whose edges come from a sample by hash, at most ``RANGES``,
+    so that equal entropies fall into several ranges, too. Sizes of the ranges tell where
+    each group is cut; only ranges before the cut are read again, and ranked each for itself.
+    """
+    key = F.struct((-F.col("entropy")).alias("e"), F.col("tile_key").alias("k"))
+    n = tiles.count()
+    ranges = min(RANGES, -(-n // per_range))
+    rows = tiles.withColumn("__b", F.lit(0))
+    if ranges > 1:
+        # Some 32 keys of the sample per range: RANGES * 32 keys, whatever the number of tiles.
+        some = tiles.where(F.pmod(F.xxhash64("tile_key"), F.lit(max(1, n // (ranges * 32)))) == 0).select(key.alias("x"))
+        edges = some.orderBy("x").agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.expr("filter(x, (v, i) -> i % 32 = 31)").alias("__edges"))
+        rows = tiles.join(F.broadcast(edges)).withColumn("__b", F.size(F.filter("__edges", lambda v: v < key))).drop("__edges")  # one row
+    sizes = rows.groupBy(*group, "__b").agg(F.count("*").alias("n"))
+    # A window over one row per range.
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = sizes.withColumn("__before", before).join(limits.select(*group, F.col("limit").alias("__limit")), group).where("__before < __limit").drop("n")
+    w = Window.partitionBy(*group, "__b").orderBy(F.desc("entropy"), "tile_key")
+    r = rows.join(cut, [*group, "__b"]).withColumn("rank", (F.row_number().over(w) + F.col("__before")).cast("int"))
+    return r.where("rank <= __limit").select(*tiles.columns, "rank")
+
+
 def top_per_zone(tiles: DataFrame, per_zone: int) -> DataFrame:
     """Tiles of highest entropy in each zone, a fixed number of them."""
-    w = Window.partitionBy("zone").orderBy(F.desc("entropy"), "tile_key")
-    return tiles.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_zone)
+    return top_of(tiles, tiles.select("zone").distinct().withColumn("limit", F.lit(per_zone)), ["zone"])
 
 
 def equal_share(tiles: DataFrame, max_tiles: int) -> DataFrame:
     """The same number per zone: ``max_tiles`` over the number of zones."""
-    zones = tiles.agg(F.count_distinct("zone").alias("zones"))
-    w = Window.partitionBy("zone").orderBy(F.desc("entropy"), "tile_key")
-    return (tiles.withColumn("rank", F.row_number().over(w)).join(F.broadcast(zones))  # one row
-            .where(F.col("rank") <= F.expr(f"{max_tiles} div zones")).drop("zones"))
+    zones = tiles.select("zone").distinct()
+    many = zones.agg(F.count("zone").alias("zones"))
+    return top_of(tiles, zones.join(F.broadcast(many)).select("zone", F.expr(f"{max_tiles} div zones").alias("limit")), ["zone"])  # one row
 
 
 def proportional_share(tiles: DataFrame, max_tiles: int) -> DataFrame:
     """A number per zone in proportion to its tiles, rounded down."""
-    w = Window.partitionBy("zone")
-    total = tiles.agg(F.count("*").alias("all"))
-    ranked = tiles.withColumn("rank", F.row_number().over(w.orderBy(F.desc("entropy"), "tile_key"))).withColumn("nz", F.count("*").over(w))
-    return ranked.join(F.broadcast(total)).where(F.col("rank") <= F.expr(f"({max_tiles} * nz) div all")).drop("nz", "all")
+    zones = tiles.groupBy("zone").agg(F.count("*").alias("nz"))
+    every = zones.agg(F.sum("nz").alias("all"))
+    return top_of(tiles, zones.join(F.broadcast(every)).select("zone", F.expr(f"({max_tiles} * nz) div all").alias("limit")), ["zone"])  # one row
 
 
 def entropy_edges(tiles: DataFrame, bins: int) -> DataFrame:
@@ -96,8 +122,7 @@ def low_share_limits(takes: DataFrame, floor: float = 0.2, cap: float = 0.4) ->
 
 def take_from_bins(binned: DataFrame, takes: DataFrame) -> DataFrame:
     """The tiles of highest entropy of each zone and bin, ``take`` of them."""
-    w = Window.partitionBy("zone", "bin").orderBy(F.desc("entropy"), "tile_key")
-    return binned.withColumn("rank", F.row_number().over(w)).join(takes.select("zone", "bin", "take"), ["zone", "bin"]).where("rank <= take").drop("take")
+    return top_of(binned, takes.select("zone", "bin", F.col("take").alias("limit")), ["zone", "bin"])
 
 
 def global_cap(tiles: DataFrame, n: int) -> DataFrame:

@@ -7,10 +7,14 @@ the sizes of the buckets before it, so no window spans all rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "val", "test")
+#: Different sets of classes that a multilabel split deals with, at most: all of 16 classes.
+LABEL_SETS = 65_536
 
 
 def seeded(key: str = "tile_key", seed: int = 42) -> Column:
@@ -125,6 +129,69 @@ def rarest_class(hist: DataFrame) -> DataFrame:
     return hist.where("n > 0").join(total, "cls").groupBy("tile_key").agg(F.min_by("cls", F.struct("all", "cls")).alias("zone"))
 
 
+def _spread_over(want: dict[int, list[float]], all_want: list[float], label: int | None, n: int) -> list[int]:
+    """How many of ``n`` equal items each split gets, one by one to the split that wants the label most (ties: most
+    items, then the first), and takes off ``all_want``; what every greedy step is sure to give goes at once."""
+    need = want[label] if label is not None else all_want
+    got = [0] * len(need)
+    order = sorted(need, reverse=True)
+    k = next((i for i in range(len(order), 0, -1) if sum(order[:i]) - i * order[i - 1] <= n), 1)
+    level = (sum(order[:k]) - n) / k
+    for j, d in enumerate(need):
+        got[j] = max(0, math.floor(d - level - 3) + 1)
+    while sum(got) < n:
+        j = max(range(len(need)), key=lambda j: (need[j] - got[j], all_want[j] - got[j], -j))
+        got[j] += 1
+    return got
+
+
+def allocate_sets(sets: dict[int, int], ratios: tuple[float, ...]) -> dict[int, list[int]]:
+    """Items of each label set (a bit per label) over the splits: iterative stratification.
+
+    The label with the fewest items left is served first; each of its items goes to the split
+    that lacks most of it, and counts for all labels of its set. Items of one set are alike, so they are dealt
+    together. Items without a label come last, to the split that lacks most items.
+    """
+    share = [r / sum(ratios) for r in ratios]
+    labels = sorted({i for s in sets for i in range(s.bit_length()) if s >> i & 1})
+    left = dict(sets)
+    want = {i: [sum(n for s, n in sets.items() if s >> i & 1) * r for r in share] for i in labels}
+    every = [sum(sets.values()) * r for r in share]
+    out = {}
+    while left:
+        count = {i: c for i in labels if (c := sum(n for s, n in left.items() if s >> i & 1))}
+        rare = min(count, key=lambda i: (count[i], i)) if count else None
+        for s in sorted(s for s in left if rare is None or s >> rare & 1):
+            got = _spread_over(want, every, rare, left.pop(s))
+            out[s] = got
+            for j, g in enumerate(got):
+                every[j] -= g
+                for i in labels:
+                    if s >> i & 1:
+                        want[i][j] -= g
+    return out
+
+
+def multilabel(tiles: DataFrame, ratios: tuple[float, float, float] = (1.0, 0.1, 0.1), seed: int = 42, classes: int = 13) -> DataFrame:
+    """``tile_key, split`` of ``tile_key, labels`` (an array of classes below ``classes``), so that each class is shared by the ratios.
+
+    Tiles count by their set of classes, of which there are at most ``LABEL_SETS`` (more are an error);
+    only these counts come to the driver. A set's tiles lie in seeded order and are cut at its allocation.
+    """
+    if classes > 62:
+        raise ValueError("at most 62 classes")
+    bits = F.aggregate(F.array_distinct("labels"), F.lit(0).cast("long"), lambda a, x: a + F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int")))
+    t = tiles.select("tile_key", F.coalesce(bits, F.lit(0).cast("long")).alias("set"))
+    counts = t.groupBy("set").agg(F.count("*").alias("n")).limit(LABEL_SETS + 1).collect()
+    if len(counts) > LABEL_SETS:
+        raise ValueError(f"more than {LABEL_SETS} sets of classes")
+    plan = allocate_sets({r["set"]: r["n"] for r in counts}, ratios)
+    rows = [(s, *(sum(got[:k + 1]) for k in range(2))) for s, got in plan.items()]
+    cut = tiles.sparkSession.createDataFrame(rows, "set long, upto_0 long, upto_1 long")
+    r = global_rank(t, seeded(seed=seed), "k", "set").join(F.broadcast(cut), "set")  # a row per set
+    return r.select("tile_key", F.when(F.col("k") <= F.col("upto_0"), "train").when(F.col("k") <= F.col("upto_1"), "val").otherwise("test").alias("split"))
+
+
 def subsample(tiles: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """int(n * share) tiles in seeded order."""
     n = tiles.agg(F.floor(F.count("*") * share).alias("n"))

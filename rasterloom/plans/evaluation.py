@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bands as B
+from ..operators import blocks as L
 from ..operators import cluster as K
-from ..operators import grid as G
+from ..operators import density as N
 from ..operators import metrics as M
 from ..operators import score as C
 from ..operators import split as P
+from ..operators import weights as W
 from ..sources import fixtures as X
 from .registry import query, r6
+from .splits import LEGACY, counts
 
 CONF = ", cf AS (SELECT label AS truth, pred, count(*) AS n FROM fx_pred WHERE label <> 255 GROUP BY ALL)"
 PER = CONF + ", pc AS (SELECT i::INT AS cls, coalesce(sum(n) FILTER (truth = i AND pred = i), 0)::BIGINT AS tp, coalesce(sum(n) FILTER (truth <> i AND pred = i), 0)::BIGINT AS fp, coalesce(sum(n) FILTER (truth = i AND pred <> i), 0)::BIGINT AS fn, coalesce(sum(n) FILTER (truth = i), 0)::BIGINT AS support FROM range(13) g(i) CROSS JOIN cf GROUP BY i)"
@@ -74,13 +77,11 @@ def probs(s, d):
     return X.logits(s, d).withColumn("probs", C.softmax())
 
 
-def truth(s, d):
-    return probs(s, d).withColumn("p", F.get("probs", F.col("label"))).withColumn("weight", F.when(F.col("r") == 0, 0.4).otherwise(1.0))
-
-
-@query("a36_cross_entropy", PROB + " SELECT round(sum(w * -ln(p)) / sum(w), 6) AS loss FROM (SELECT p, CASE WHEN r = 0 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS w FROM pr WHERE cls = label)")
+@query("a36_cross_entropy", LEGACY + PROB + " SELECT round(sum(w * -ln(p)) / sum(w), 6) AS loss FROM (SELECT p, coalesce(weight, 1.0) AS w FROM pr LEFT JOIN lw ON lw.cls = label WHERE pr.cls = label)")
 def a36(s, d):
-    return M.cross_entropy(truth(s, d)).select(F.round("loss", 6).alias("loss"))
+    """Cross-entropy of the valid pixels, each weighted by its class's stored weight."""
+    p = W.pixel_weights(probs(s, d), W.legacy(counts(s, d)).select("cls", "weight"))
+    return M.cross_entropy(p.where("label between 0 and 12").withColumn("p", F.get("probs", F.col("label")))).select(F.round("loss", 6).alias("loss"))
 
 
 EDGE = """, mk AS (SELECT tile_key, r, c, CASE WHEN label = 255 THEN 0 ELSE label END <> 0 AS m FROM fx_logits),
@@ -91,7 +92,7 @@ EDGE = """, mk AS (SELECT tile_key, r, c, CASE WHEN label = 255 THEN 0 ELSE labe
 
 def focal(s, d):
     """Focal loss of the valid pixels, which weigh 0.4 on edges."""
-    edge = G.edge_mask(X.logits(s, d))
+    edge = L.edge_mask(X.logits(s, d))
     p = probs(s, d).where("label <> 255").join(edge, ["tile_key", "r", "c"])
     return M.focal(p.withColumn("p", F.get("probs", F.col("label"))).withColumn("weight", F.when(F.col("edge") == 1, 0.4).otherwise(1.0)))
 
@@ -124,7 +125,7 @@ BOUNDARY = """, mc AS (SELECT tile_key, r, c, i::INT AS cls, label = i AS m FROM
 
 def boundary(s, d):
     """Boundary Dice of all 13 classes with the signed distances in each 5 x 5 tile."""
-    sd = G.signed_distances(X.logits(s, d).select("tile_key", "r", "c", "label"), list(range(13)))
+    sd = L.signed_distances(X.logits(s, d).select("tile_key", "r", "c", "label"), list(range(13))).select("tile_key", "r", "c", F.posexplode("sd").alias("cls", "sd"))
     return M.boundary_dice(long_probs(s, d).join(sd, ["tile_key", "cls", "r", "c"]))
 
 
@@ -181,6 +182,12 @@ def m5(s, d):
     return K.drop_small(K.kmeans(B.tile_means(X.embed(s, d), 64), 4, "vec"), 3).select("tile_key", "cluster")
 
 
+@query("m5_density_clusters")
+def m5_density(s, d):
+    """Density clusters of tile means: at least five tiles, noise is -1."""
+    return N.density_clusters(B.tile_means(X.embed(s, d), 64), 5, 3)
+
+
 def seeds(s, d):
     """Medoids of the clusters of tile means."""
     return K.medoids(K.drop_small(K.kmeans(B.tile_means(X.embed(s, d), 64), 4, "vec"), 3))
@@ -232,3 +239,26 @@ def j7_exact(s, d):
     """Cells of a grid whose centre lies within an outline."""
     e = [(0, *RING[i], *RING[(i + 1) % len(RING)]) for i in range(len(RING))]
     return K.centres_inside(cells(s, d), s.createDataFrame(e, "ring_id int, x1 double, y1 double, x2 double, y2 double"))
+
+
+STAR = [(1.0, 0.2), (0.1, 0.9), (-0.9, 0.4), (-0.6, -0.8), (0.7, -0.7)]
+OUTLINES = XY + """, cn AS (SELECT n_nationkey AS geom_id, n_nationkey % 5 * 2 + 0.37::DOUBLE AS cx, n_nationkey * 7 % 11 + 0.21::DOUBLE AS cy, 0.4::DOUBLE + n_nationkey % 4 * 0.9::DOUBLE AS size FROM nation),
+ rg AS (SELECT geom_id, cx, cy, size FROM cn UNION ALL SELECT geom_id, cx, cy, size * 0.5::DOUBLE FROM cn WHERE geom_id % 3 = 0),
+ st(i, dx, dy) AS (VALUES """ + ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(STAR)) + """),
+ e AS (SELECT geom_id, cx + size * a.dx AS x1, cy + size * a.dy AS y1, cx + size * b.dx AS x2, cy + size * b.dy AS y2 FROM rg CROSS JOIN st a JOIN st b ON b.i = (a.i + 1) % 5),
+ sd AS (SELECT g.*, e.*, (xmin - x1) * (y2 - y1) - (ymin - y1) * (x2 - x1) AS s1, (xmin - x1) * (y2 - y1) - (ymax - y1) * (x2 - x1) AS s2, (xmax - x1) * (y2 - y1) - (ymin - y1) * (x2 - x1) AS s3,
+   (xmax - x1) * (y2 - y1) - (ymax - y1) * (x2 - x1) AS s4, (xmin + xmax) / 2 AS mx, (ymin + ymax) / 2 AS my FROM g CROSS JOIN e)
+ SELECT cell_id, geom_id FROM sd GROUP BY ALL
+ HAVING bool_or(least(x1, x2) <= xmax AND greatest(x1, x2) >= xmin AND least(y1, y2) <= ymax AND greatest(y1, y2) >= ymin AND least(s1, s2, s3, s4) <= 0 AND greatest(s1, s2, s3, s4) >= 0)
+   OR count(*) FILTER ((y1 > my) <> (y2 > my) AND mx < x1 + (my - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1"""
+
+
+@query("j7_outline_intersect", OUTLINES)
+def j7_outlines(s, d):
+    """Cells that outlines touch or cover: a star for each nation, every third one with a hole."""
+    n = F.col("n_nationkey")
+    c = X.table(s, d, "nation").select(n.alias("geom_id"), (n % 5 * 2 + 0.37).alias("cx"), (n * 7 % 11 + 0.21).alias("cy"), (0.4 + n % 4 * 0.9).alias("size"))
+    rings = c.unionByName(c.where("geom_id % 3 = 0").withColumn("size", F.col("size") * 0.5))
+    at = lambda i, k: F.col(("cx", "cy")[k]) + F.col("size") * STAR[i % 5][k]
+    e = rings.select("geom_id", F.explode(F.array(*[F.struct(at(i, 0).alias("x1"), at(i, 1).alias("y1"), at(i + 1, 0).alias("x2"), at(i + 1, 1).alias("y2")) for i in range(5)])).alias("e")).select("geom_id", "e.*")
+    return K.outlines_touching(cells(s, d), e, 2.0)

@@ -33,11 +33,11 @@ def s1b(s, d):
     return R.index_last(R.manifest(X.paths(s, d).select("path")))
 
 
-@query("s1_listing", "SELECT tile_key, count(*) AS n FROM (SELECT tile_key, zone, c % 2 AS h FROM fx_pixels WHERE split_part(tile_key, '_', 2)::INT % 10 = 3 GROUP BY ALL) GROUP BY 1")
+@query("s1_listing", "SELECT tile_key, count(*) AS n FROM (SELECT tile_key, zone, c % 2 AS h FROM fx_pixels GROUP BY ALL) GROUP BY 1")
 def s1_listing(s, d):
-    """Files written below a root, listed with their keys: two text files per tile of every tenth tile, and others with another ending."""
+    """Files written below a root, listed with their keys: two text files per tile, and others with another ending."""
     path = shared_path(s, "listing")
-    p = X.pixels(s, d).where("cast(substring_index(tile_key, '_', -1) as int) % 10 = 3")
+    p = X.pixels(s, d)
     name = F.concat(F.lit("band_"), "tile_key", F.lit("_"), (F.col("c") % 2).cast("string"))
     files = p.select(name.alias("name"), "r").distinct()
     files.select("name", F.col("r").cast("string").alias("value")).repartition("name").write.partitionBy("name").text(path)
@@ -268,6 +268,20 @@ def r2(s, d):
     return jobs.stream_histograms(s, f"{path}/in", p.schema, f"{path}/out", f"{path}/ckpt").withColumn("n", F.col("n").cast("long"))
 
 
+@query("r2_stream_repaired", ", m AS (SELECT tile_key, CASE WHEN split_part(tile_key, '_', 2)::INT % 4 <> 0 OR label = 255 THEN label WHEN label = 3 THEN 255 ELSE (label + 1) % 13 END AS cls FROM fx_labels)"
+       " SELECT tile_key, cls::INT AS cls, count(*) AS n FROM m WHERE cls <> 255 GROUP BY ALL")
+def r2_repaired(s, d):
+    """Label files arrive, a snapshot is taken, and every fourth tile comes again with other labels, which replace the first."""
+    path = shared_path(s, "stream")
+    p = X.labels(s, d).select("tile_key", "r", "c", "label")
+    p.repartition(6, "tile_key").write.parquet(f"{path}/in")
+    jobs.stream_tiles(s, f"{path}/in", p.schema, f"{path}/out", f"{path}/ckpt", every=1)
+    again = p.where("cast(substring_index(tile_key, '_', -1) as int) % 4 = 0")
+    label = F.when(F.col("label") == 255, 255).when(F.col("label") == 3, 255).otherwise((F.col("label") + 1) % 13).cast("int")
+    again.withColumn("label", label).repartition(2, "tile_key").write.mode("append").parquet(f"{path}/in")
+    return jobs.stream_tiles(s, f"{path}/in", p.schema, f"{path}/out", f"{path}/ckpt", every=9)
+
+
 @query("x1_tile_worker", "SELECT tile_key, CASE WHEN split_part(tile_key, '_', 2)::INT % 5 = 0 THEN 'error:ValueError' ELSE 'ok' END AS status, CASE WHEN split_part(tile_key, '_', 2)::INT % 5 = 0 THEN NULL ELSE count(*) END AS n FROM fx_embed GROUP BY 1")
 def x1(s, d):
     """A user function per tile that returns one record; its errors become a status."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import bands as B
+from ..operators import blocks as L
 from ..operators import grid as G
+from ..operators import projection as J
 from ..operators import score as C
 from ..sources import fixtures as X
 from .registry import query, r6
@@ -238,13 +242,13 @@ def g5(s, d):
        " t AS (SELECT p.tile_key, p.r, p.c, k, CASE WHEN r + a < 0 THEN 1 WHEN r + a > hr THEN hr - 1 ELSE r + a END AS sr, CASE WHEN c + b < 0 THEN 1 WHEN c + b > hc THEN hc - 1 ELSE c + b END AS sc FROM fx_pixels p JOIN e USING (tile_key) CROSS JOIN o)"
        " SELECT t.tile_key, t.r, t.c, round(sum(k * q.b2) / sum(k), 6) + 0.0 AS b2 FROM t JOIN fx_pixels q ON q.tile_key = t.tile_key AND q.r = sr AND q.c = sc GROUP BY ALL")
 def g6(s, d):
-    return G.blur3(X.pixels(s, d), "b2").withColumn("b2", r6("b2"))
+    return L.blur3(X.pixels(s, d), "b2").withColumn("b2", r6("b2"))
 
 
 @query("j13_edge_mask", ", m AS (SELECT tile_key, r, c, CASE WHEN label = 255 THEN 0 ELSE label END <> 0 AS m FROM fx_labels), n AS (SELECT DISTINCT tile_key, r + a AS r, c + b AS c FROM m CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(a, b) WHERE m)"
        " SELECT m.tile_key, m.r, m.c, (n.r IS NOT NULL AND NOT m)::INT AS edge FROM m LEFT JOIN n ON n.tile_key = m.tile_key AND n.r = m.r AND n.c = m.c")
 def j13(s, d):
-    return G.edge_mask(X.labels(s, d))
+    return L.edge_mask(X.labels(s, d))
 
 
 DIST = """, m AS (SELECT tile_key, r, c, label = 0 AS m FROM fx_labels),
@@ -254,7 +258,7 @@ DIST = """, m AS (SELECT tile_key, r, c, label = 0 AS m FROM fx_labels),
 @query("g7_signed_distance", DIST + " SELECT tile_key, r, c, round(CASE WHEN NOT has THEN 0.0 WHEN m THEN -coalesce(sqrt(d2), far) ELSE sqrt(d2) END, 6) + 0.0 AS sd FROM dd")
 def g7(s, d):
     """Signed distance to class 0 over all pixels of each tile."""
-    return G.signed_distance(X.labels(s, d), 0).withColumn("sd", r6("sd"))
+    return L.signed_distances(X.labels(s, d), [0]).select(*CELL, r6(F.get("sd", F.lit(0))).alias("sd"))
 
 
 @query("g8_mosaic", ", g AS (SELECT r + t % 10 * 16 AS gr, c + t // 10 * 24 AS gc, label, t FROM (SELECT *, split_part(tile_key, '_', 2)::BIGINT AS t FROM fx_labels)) SELECT gr, gc, arg_max(label, t) AS label FROM g GROUP BY ALL")
@@ -288,22 +292,88 @@ def j15(s, d):
     return G.regrid_bilinear(p, G.canvas(p, 12, 12), 1.5, 2.5, 0.25, 0.25, "b0").withColumn("b0", F.round("b0", 5) + 0.0)
 
 
-@query("g1_utm_to_laea")
+GEO = {"a": 6378137.0, "n": (1 / 298.257223563) / (2 - 1 / 298.257223563), "e2": 2 / 298.257222101 - (1 / 298.257222101) ** 2}
+
+
+def series(factors, f, g, x, y):
+    return " + ".join(f"{b!r}::DOUBLE * {f}({2 * (i + 1)} * {x}) * {g}({2 * (i + 1)} * {y})" for i, b in enumerate(factors))
+
+
+def geographic_sql(src, keep):
+    """``src`` with ``east, north, z`` to ``lon, lat``: the inverse transverse Mercator series."""
+    n = GEO["n"]
+    scale = 0.9996 * GEO["a"] / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64)
+    beta = (n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96, n ** 2 / 48 + n ** 3 / 15, 17 * n ** 3 / 480)
+    delta = (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3, 7 * n ** 2 / 3 - 8 * n ** 3 / 5, 56 * n ** 3 / 15)
+    turn = " + ".join(f"{d!r}::DOUBLE * sin({2 * (i + 1)} * chi)" for i, d in enumerate(delta))
+    return (f"(SELECT {keep}, degrees(atan2(sinh(e1), cos(x1))) + z * 6 - 183 AS lon, degrees(chi + {turn}) AS lat FROM (SELECT *, asin(sin(x1) / cosh(e1)) AS chi FROM"
+            f" (SELECT *, xi - ({series(beta, 'sin', 'cosh', 'xi', 'eta')}) AS x1, eta - ({series(beta, 'cos', 'sinh', 'xi', 'eta')}) AS e1 FROM (SELECT *, north / {scale!r}::DOUBLE AS xi, (east - 500000) / {scale!r}::DOUBLE AS eta FROM {src}))))")
+
+
+def authalic(s):
+    e = GEO["e2"] ** 0.5
+    return f"({1 - GEO['e2']!r}::DOUBLE * ({s} / (1 - {GEO['e2']!r}::DOUBLE * {s} * {s}) - ln((1 - {e!r}::DOUBLE * {s}) / (1 + {e!r}::DOUBLE * {s})) / {2 * e!r}::DOUBLE))"
+
+
+def laea_constants():
+    e2 = GEO["e2"]
+    e, s0, c0 = e2 ** 0.5, math.sin(math.radians(52)), math.cos(math.radians(52))
+    q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    b0, rq = math.asin(q(s0) / q(1.0)), GEO["a"] * math.sqrt(q(1.0) / 2)
+    return q(1.0), math.sin(b0), math.cos(b0), rq, GEO["a"] * c0 / math.sqrt(1 - e2 * s0 * s0) / (rq * math.cos(b0))
+
+
+def laea_sql(src, keep):
+    """``src`` with ``lon, lat`` to ``x, y`` of the equal-area grid."""
+    qp, sb, cb, rq, d = laea_constants()
+    return (f"(SELECT {keep}, 4321000 + bb * {d!r}::DOUBLE * cos(beta) * sin(dl) AS x, 3210000 + bb / {d!r}::DOUBLE * ({cb!r}::DOUBLE * sin(beta) - {sb!r}::DOUBLE * cos(beta) * cos(dl)) AS y FROM"
+            f" (SELECT *, {rq!r}::DOUBLE * sqrt(2 / (1 + {sb!r}::DOUBLE * sin(beta) + {cb!r}::DOUBLE * cos(beta) * cos(dl))) AS bb FROM"
+            f" (SELECT *, asin({authalic('sin(radians(lat))')} / {qp!r}::DOUBLE) AS beta, radians(lon - 10) AS dl FROM {src})))")
+
+
+def back_sql(src, keep):
+    """``src`` with ``x, y`` of the equal-area grid and ``z`` to ``e, n`` of the zone."""
+    _, sb, cb, rq, d = laea_constants()
+    e2, n = GEO["e2"], GEO["n"]
+    up = (e2 / 3 + 31 * e2 ** 2 / 180 + 517 * e2 ** 3 / 5040, 23 * e2 ** 2 / 360 + 251 * e2 ** 3 / 3780, 761 * e2 ** 3 / 45360)
+    scale = 0.9996 * GEO["a"] / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64)
+    alpha = (n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16, 13 * n ** 2 / 48 - 3 * n ** 3 / 5, 61 * n ** 3 / 240)
+    k = 2 * n ** 0.5 / (1 + n)
+    return (f"(SELECT {keep}, 500000 + {scale!r}::DOUBLE * (e1 + {series(alpha, 'cos', 'sinh', 'x1', 'e1')}) AS e, {scale!r}::DOUBLE * (x1 + {series(alpha, 'sin', 'cosh', 'x1', 'e1')}) AS n FROM"
+            f" (SELECT *, atan2(t, cos(dl)) AS x1, atanh(sin(dl) / sqrt(1 + t * t)) AS e1 FROM (SELECT *, sinh(atanh(sin(lat)) - {k!r}::DOUBLE * atanh({k!r}::DOUBLE * sin(lat))) AS t, lon - radians(z * 6 - 183) AS dl FROM"
+            f" (SELECT *, radians(10) + atan2(dx * sin(cc), rho * {cb!r}::DOUBLE * cos(cc) - dy * {sb!r}::DOUBLE * sin(cc)) AS lon, beta + " + " + ".join(f"{u!r}::DOUBLE * sin({2 * (i + 1)} * beta)" for i, u in enumerate(up)) + " AS lat FROM"
+            f" (SELECT *, asin(cos(cc) * {sb!r}::DOUBLE + dy * sin(cc) * {cb!r}::DOUBLE / rho) AS beta FROM (SELECT *, 2 * asin(rho / {2 * rq!r}::DOUBLE) AS cc FROM (SELECT *, sqrt(dx * dx + dy * dy) AS rho FROM"
+            f" (SELECT *, (x - 4321000) / {d!r}::DOUBLE AS dx, (y - 3210000) * {d!r}::DOUBLE AS dy FROM {src}))))))))")
+
+
+@query("g1_utm_to_laea", ", p AS (SELECT tile_key, zone::INT - 32600 AS z, 400000.0::DOUBLE + tile_id * 10 AS east, 5500000.0::DOUBLE + tile_id * 20 AS north FROM fx_tiles)"
+       " SELECT tile_key, round(lon, 8) AS lon, round(lat, 8) AS lat, round(x, 4) AS x, round(y, 4) AS y FROM " + laea_sql(geographic_sql("p", "tile_key"), "tile_key, lon, lat"))
 def g1_laea(s, d):
     """Centres of 10 m pixels in their UTM zone, moved to the European equal-area grid."""
     t = X.tiles(s, d).select("tile_key", (F.col("zone").cast("int") - 32600).alias("z"), (400000.0 + F.col("tile_id") * 10).alias("east"), (5500000.0 + F.col("tile_id") * 20).alias("north"))
-    lon, lat = G.utm_to_geographic(F.col("east"), F.col("north"), F.col("z"))
+    lon, lat = J.utm_to_geographic(F.col("east"), F.col("north"), F.col("z"))
     t = t.withColumn("lon", lon).withColumn("lat", lat)
-    x, y = G.geographic_to_laea(F.col("lon"), F.col("lat"))
-    return t.select("tile_key", "lon", "lat", x.alias("x"), y.alias("y"))
+    x, y = J.geographic_to_laea(F.col("lon"), F.col("lat"))
+    return t.select("tile_key", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"), F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+
 
+REPROJECT = """, tl AS (SELECT t.tile_key, t.zone::INT - 32600 AS z, 400000.0::DOUBLE + tile_id * 400 AS te, 5500000.0::DOUBLE + tile_id * 300 AS tn, h, w FROM fx_tiles t JOIN (SELECT tile_key, max(r) + 1 AS h, max(c) + 1 AS w FROM fx_labels GROUP BY 1) USING (tile_key)),
+ ed AS (SELECT tl.*, te + 10 * w * j / 2 AS east, tn - 10 * h * i / 2 AS north FROM tl CROSS JOIN range(3) a(i) CROSS JOIN range(3) b(j)),
+ bx AS (SELECT tile_key, any_value(z) AS z, any_value(te) AS te, any_value(tn) AS tn, floor(min(y) / 10)::BIGINT - 1 AS r0, floor(max(y) / 10)::BIGINT + 2 AS r1, floor(min(x) / 10)::BIGINT - 1 AS c0, floor(max(x) / 10)::BIGINT + 2 AS c1 FROM """ + laea_sql(geographic_sql("ed", "tile_key, z, te, tn"), "tile_key, z, te, tn") + """ GROUP BY 1),
+ ce AS (SELECT tile_key, z, te, tn, gr, gc, gc * 10.0::DOUBLE AS x, gr * 10.0::DOUBLE AS y FROM (SELECT *, unnest(range(c0, c1 + 1)) AS gc FROM (SELECT *, unnest(range(r0, r1 + 1)) AS gr FROM bx))),
+ pl AS (SELECT tile_key, gr, gc, (tn - n) / 10 - 0.5 AS y, (e - te) / 10 - 0.5 AS x FROM """ + back_sql("ce", "tile_key, te, tn, gr, gc") + """),
+ bl AS (SELECT pl.tile_key, gr, gc, sum(k * b0) / sum(k) AS b0, sum(k * b2) / sum(k) AS b2 FROM (SELECT *, floor(y)::INT + i AS r, floor(x)::INT + j AS c, abs(1 - i - (y - floor(y))) * abs(1 - j - (x - floor(x))) AS k FROM pl CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j)) pl
+  JOIN fx_pixels p ON p.tile_key = pl.tile_key AND p.r = pl.r AND p.c = pl.c WHERE k > 0 GROUP BY ALL)
+ SELECT pl.tile_key, pl.gr, pl.gc, l.label, round(bl.b0, 2) + 0.0 AS b0, round(bl.b2, 2) + 0.0 AS b2 FROM pl JOIN fx_labels l ON l.tile_key = pl.tile_key AND l.r = floor(y + 0.5)::INT AND l.c = floor(x + 0.5)::INT JOIN bl ON bl.tile_key = pl.tile_key AND bl.gr = pl.gr AND bl.gc = pl.gc"""
 
-@query("g1_reproject")
+
+@query("g1_reproject", REPROJECT)
 def g1_reproject(s, d):
     """All tiles moved from their UTM zones to 10 m cells of the European grid: labels nearest, two bands bilinear."""
     t = X.tiles(s, d).join(G.extents(X.labels(s, d)), "tile_key")
     t = t.select("tile_key", (F.col("zone").cast("int") - 32600).alias("utm"), (400000.0 + F.col("tile_id") * 400).alias("east"), (5500000.0 + F.col("tile_id") * 300).alias("north"), F.lit(10.0).alias("px"), "h", "w")
-    return G.reproject(X.labels(s, d), t, 10.0, ["label"], ["b0", "b2"])
+    g = J.reproject(X.labels(s, d), t, 10.0, ["label"], ["b0", "b2"])
+    return g.select("tile_key", "gr", "gc", "label", *[(F.round(b, 2) + 0.0).alias(b) for b in ("b0", "b2")])
 
 
 @query("a34_bounding_box", "SELECT tile_key, coalesce(min(r) FILTER (label > 9 AND label <> 255), 0) AS lo_r, coalesce(min(c) FILTER (label > 9 AND label <> 255), 0) AS lo_c, coalesce(max(r) FILTER (label > 9 AND label <> 255), max(r)) AS hi_r, coalesce(max(c) FILTER (label > 9 AND label <> 255), max(c)) AS hi_c FROM fx_labels GROUP BY 1")
@@ -346,6 +416,29 @@ def x2(s, d):
     return C.model_scores(X.embed(s, d).select("vec_id", "bands"), lambda x: x[:, :13] * 2.0 - x[:, 13:26])
 
 
+WINDOWS = """, k AS (SELECT i, j, (i * 3 + j * 5) % 7 - 3 AS k FROM range(3) a(i) CROSS JOIN range(3) b(j)), st AS (SELECT s FROM range(0, 5, 2) g(s)),
+ wn AS (SELECT DISTINCT tile_key, a.s AS pi, b.s AS pj FROM fx_embed CROSS JOIN st a CROSS JOIN st b), cw AS (SELECT wn.*, y, x FROM wn CROSS JOIN range(4) g(y) CROSS JOIN range(4) q(x) WHERE pi + y < 5 AND pj + x < 5),
+ lg AS (SELECT cw.tile_key, pi + y AS r, pj + x AS c, cls, sum(k * e.bands[cls + 1]) / 10 AS x FROM cw CROSS JOIN range(13) g(cls) JOIN k ON y + i - 1 BETWEEN 0 AND 3 AND x + j - 1 BETWEEN 0 AND 3
+   JOIN fx_embed e ON e.tile_key = cw.tile_key AND e.r = least(pi + y + i - 1, 4) AND e.c = least(pj + x + j - 1, 4) GROUP BY cw.tile_key, pi, pj, y, cw.x, cls),
+ me AS (SELECT tile_key, r, c, cls, avg(x) / 1.5::DOUBLE AS x FROM lg GROUP BY ALL), ex AS (SELECT *, exp(x - max(x) OVER (PARTITION BY tile_key, r, c)) AS e FROM me)
+ SELECT tile_key, r::INT AS r, c::INT AS c, arg_max(cls, round(x, 8) * 100 - cls * 1e-7)::INT AS pred, round(max(e) / sum(e), 6) + 0.0 AS top FROM ex GROUP BY ALL"""
+
+
+def convolution(x):
+    """A 3 x 3 convolution of each of the first 13 bands of ``[n, bands, h, w]``; zeros beyond the window."""
+    import numpy as np
+
+    p = np.pad(x[:, :13], ((0, 0), (0, 0), (1, 1), (1, 1)))
+    return sum(((i * 3 + j * 5) % 7 - 3) / 10 * p[:, :, i:i + x.shape[2], j:j + x.shape[3]] for i in range(3) for j in range(3))
+
+
+@query("x2_window_model", WINDOWS)
+def x2_windows(s, d):
+    """A model that sees windows of 4 x 4 cells, at every second one, over 5 x 5 tiles."""
+    out = L.predict_windows(X.embed(s, d), convolution, 13, size=4, stride=2, temperature=1.5)
+    return out.select(*CELL, "pred", r6(F.array_max("probs")).alias("top"))
+
+
 @query("a31_overlap_average", LOGITS + ", p AS (SELECT l.tile_key, l.r, l.c, cls, x + (i * 5 + j) / 100.0::DOUBLE AS x FROM lg l JOIN range(0, 5, 2) a(i) ON i <= r AND r < i + 3 JOIN range(0, 5, 2) b(j) ON j <= c AND c < j + 3) SELECT tile_key, r, c, cls, round(avg(x), 6) + 0.0 AS x FROM p GROUP BY ALL")
 def a31(s, d):
     """Logits of overlapping 3 x 3 windows averaged per pixel."""

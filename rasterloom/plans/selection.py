@@ -126,16 +126,16 @@ def p18s(s, d):
 
 @query("p19_legacy_keep", """, m AS (SELECT tile_key, sum(n) FILTER (cls = 0) AS n0, sum(n) FILTER (cls = 10) AS n10, sum(n) AS s FROM fx_hist GROUP BY 1),
  t AS (SELECT tile_key, count(*) AS total, count(*) FILTER (label = 255) AS ign FROM fx_labels GROUP BY 1)
- SELECT tile_key, coalesce(n0, 0) / 600.0 < 0.9 AND coalesce(n10, 0) / 600.0 <= 0.5 AS strict_full,
+ SELECT tile_key, coalesce(n0, 0) / total < 0.9 AND coalesce(n10, 0) / total <= 0.5 AS strict_full,
   CASE WHEN coalesce(s, 0) > 0 THEN coalesce(n0, 0) / s ELSE 1.0 END <= 0.95 AS incl_hist,
   NOT (coalesce(n0, 0) / (total - ign + 1e-6) > 0.7 OR coalesce(n10, 0) / (total - ign + 1e-6) > 0.9) AS valid_eps
  FROM t LEFT JOIN m USING (tile_key)""")
 def p19(s, d):
-    """Three older keep rules by name; the first counts against a fixed tile size."""
+    """Three older keep rules by name; the first counts against all pixels of the tile."""
     n = lambda c: F.coalesce(F.sum(F.when(F.col("label") == c, 1)), F.lit(0))
     t = X.labels(s, d).groupBy("tile_key").agg(n(0).alias("n0"), n(10).alias("n10"), F.count("*").alias("total"), n(255).alias("ign"))
     t = t.withColumn("s", F.expr("total - ign"))
-    return t.selectExpr("tile_key", "n0 / 600.0D < 0.9D and n10 / 600.0D <= 0.5D as strict_full", "case when s > 0 then n0 / s else 1.0D end <= 0.95D as incl_hist",
+    return t.selectExpr("tile_key", "n0 / total < 0.9D and n10 / total <= 0.5D as strict_full", "case when s > 0 then n0 / s else 1.0D end <= 0.95D as incl_hist",
                         "not (n0 / (s + 1e-6D) > 0.7D or n10 / (s + 1e-6D) > 0.9D) as valid_eps")
 
 

@@ -163,6 +163,13 @@ def m1(s, d):
     return P.stratified(P.rarest_class(X.histograms(s, d))).groupBy("zone", "split").agg(F.count("*").alias("n"))
 
 
+@query("m1_iterative_split")
+def m1_iterative(s, d):
+    """Tiles by all of their classes at once: iterative stratification, the rarest class first."""
+    t = X.histograms(s, d).groupBy("tile_key").agg(F.collect_set("cls").alias("labels"))
+    return P.multilabel(t, (0.7, 0.15, 0.15))
+
+
 @query("m2_subsample", ", k AS (SELECT tile_key, row_number() OVER (ORDER BY md5('42:' || tile_key)) AS k, count(*) OVER () AS n FROM fx_tiles) SELECT tile_key FROM k WHERE k <= floor(n * 0.35::DOUBLE)")
 def m2(s, d):
     return P.subsample(X.tiles(s, d), 0.35)

@@ -1,5 +1,6 @@
 """Golden literals, properties and plans of the tile operators."""
 
+import hashlib
 import math
 
 import pytest
@@ -7,10 +8,13 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import keys as K
 from rasterloom.operators import bands as B
+from rasterloom.operators import blocks as L
 from rasterloom.operators import cluster as KM
+from rasterloom.operators import density as N
 from rasterloom.operators import grid as G
 from rasterloom.operators import hist as H
 from rasterloom.operators import metrics as M
+from rasterloom.operators import projection as J
 from rasterloom.operators import runs as R
 from rasterloom.operators import score as C
 from rasterloom.operators import select as S
@@ -76,7 +80,7 @@ def test_softmax_sums_to_one(spark, sf001):
 
 def test_signed_distance_signs(spark, sf001):
     p = X.labels(spark, sf001).where("r < 6 and c < 6")
-    d = G.signed_distance(p, 0).join(p.select("tile_key", "r", "c", "label"), ["tile_key", "r", "c"])
+    d = L.signed_distances(p, [0]).withColumn("sd", F.get("sd", F.lit(0))).join(p.select("tile_key", "r", "c", "label"), ["tile_key", "r", "c"])
     assert d.where("(label = 0 and sd > 0) or (label <> 0 and sd < 0)").isEmpty()
 
 
@@ -89,12 +93,13 @@ def nearest(cells, want):
     return {(r, c): 0.0 if not on else -far_or(r, c, off) if v == want else far_or(r, c, on) for (r, c), v in cells.items()}
 
 
-def test_signed_distances_equal_brute_force(spark):
+@pytest.mark.parametrize("core", [256, 7, 3])
+def test_signed_distances_equal_brute_force(spark, core):
     # 5 rows of 12, the last one ragged: its nearest cells lie in columns that it has not.
     tiles = {"a": {(r, c): 1 if (r, c) in ((3, 11), (0, 0)) else 0 for r in range(5) for c in range(12) if r < 4 or c < 9},
              "b": {(r, c): 1 for r in range(3) for c in range(10)}, "c": {(r, c): (r * 5 + c * 3) % 7 for r in range(11) for c in range(4)}}
     df = spark.createDataFrame([(t, r, c, v) for t, p in tiles.items() for (r, c), v in p.items()], "tile_key string, r int, c int, label int")
-    got = {(x["tile_key"], x["cls"], x["r"], x["c"]): x["sd"] for x in G.signed_distances(df, [0, 1, 2]).collect()}
+    got = {(x["tile_key"], k, x["r"], x["c"]): x["sd"][k] for x in L.signed_distances(df, [0, 1, 2], core).collect() for k in range(3)}
     want = {(t, k, *at): d for t, p in tiles.items() for k in (0, 1, 2) for at, d in nearest(p, k).items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
@@ -142,8 +147,128 @@ def test_stretch_of_a_band_without_spread_and_of_no_numbers(spark):
     assert [got[c][1] for c in range(6)] == [0.0, 1.0, 0.5, 0.0, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("most", [10, 300, 10_000])
+def test_percentiles_by_narrowing_equal_sorting(spark, most, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(B, "STEPS", 8)
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(size=(600, 2)) ** 5, "b": np.repeat([[1.0, 5.0], [2.0, 5.0]], [5, 400], axis=0), "c": rng.integers(0, 4, (7, 2)).astype(float)}
+    df = spark.createDataFrame([(t, i, 0, v.tolist()) for t, x in data.items() for i, v in enumerate(x)], "tile_key string, r int, c int, bands array<double>")
+    got = {(x["tile_key"], x["band"]): x["q"] for x in B.exact_percentiles(df, 2, [0.0, 0.02, 0.5, 0.98], lambda x: x.isNotNull(), most).collect()}
+    assert len(got) == 6
+    for (t, b), q in got.items():
+        assert np.allclose(q, np.quantile(data[t][:, b], [0.0, 0.02, 0.5, 0.98]), rtol=1e-12, atol=1e-12), (t, b)
+
+
+@pytest.mark.parametrize("core", [256, 5])
+def test_blocks_equal_plain_neighbourhoods(spark, core):
+    """Blur and edges of a ragged tile of 13 x 11 cells, in one block and in many."""
+    import random
+
+    r = random.Random(4)
+    cells_ = {(i, j): (r.uniform(0, 9), r.choice([0, 0, 1, 255])) for i in range(13) for j in range(11) if (i, j) not in ((12, 3), (4, 4), (5, 4))}
+    df = spark.createDataFrame([("t", i, j, v, k) for (i, j), (v, k) in cells_.items()], "tile_key string, r int, c int, v double, label int")
+    mirror = lambda i, n: -i if i < 0 else 2 * (n - 1) - i if i >= n else i
+    blurred = {(x["r"], x["c"]): x["v"] for x in L.blur3(df, "v", 0.8, core).collect()}
+    edges = {(x["r"], x["c"]): x["edge"] for x in L.edge_mask(df, core=core).collect()}
+    assert blurred.keys() == edges.keys() == cells_.keys()
+    on = {k for k, (_, label) in cells_.items() if label not in (0, 255)}
+    for (i, j), v in blurred.items():
+        near = [(math.exp(-(a * a + b * b) / (2 * 0.64)), (mirror(i + a, 13), mirror(j + b, 11))) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        near = [(k, cells_[at][0]) for k, at in near if at in cells_]
+        assert abs(v - sum(k * x for k, x in near) / sum(k for k, _ in near)) < 1e-12
+        assert edges[i, j] == int((i, j) not in on and any(at in on for at in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1))))
+
+
+def test_envelope_of_wide_rows():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    f = np.where(rng.random((40, 60)) < 0.3, rng.integers(0, 900, (40, 60)).astype(float), np.inf)
+    p = np.arange(60)
+    assert np.array_equal(L.envelope(f), (f[:, None, :] + (p[:, None] - p) ** 2).min(2))
+    start = time.time()
+    wide = L.envelope(np.where(rng.random((100, 10_000)) < 0.01, 0.0, np.inf))
+    assert np.isfinite(wide).all() and time.time() - start < 20
+
+
+@pytest.mark.parametrize("core", [256, 6])
+def test_model_of_windows_equals_numpy(spark, core):
+    """A 3 x 3 convolution in windows of 5 at every third cell, as one loop over the whole tile."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x, kernel, bias = rng.normal(size=(2, 14, 11)), rng.normal(size=(4, 2, 3, 3)), [0.1, 0.0, -0.2, 0.3]
+
+    def model(w):
+        p = np.pad(w, ((0, 0), (0, 0), (1, 1), (1, 1)))
+        return sum(np.einsum("kc,nchw->nkhw", kernel[:, :, i, j], p[:, :, i:i + 5, j:j + 5]) for i in range(3) for j in range(3))
+
+    total, n = np.zeros((4, 14, 11)), np.zeros((14, 11))
+    for i in range(0, 14, 3):
+        for j in range(0, 11, 3):
+            w = x[:, i:i + 5, j:j + 5]
+            w = np.pad(w, ((0, 0), (0, 5 - w.shape[1]), (0, 5 - w.shape[2])), mode="edge")
+            h, v = min(5, 14 - i), min(5, 11 - j)
+            total[:, i:i + h, j:j + v] += (model(w[None])[0, :, :h, :v] - np.array(bias)[:, None, None]) / 2.0
+            n[i:i + h, j:j + v] += 1
+    e = np.exp(total / n - (total / n).max(0))
+    want = e / e.sum(0)
+    df = spark.createDataFrame([("t", i, j, x[:, i, j].tolist()) for i in range(14) for j in range(11)], "tile_key string, r int, c int, bands array<double>")
+    got = L.predict_windows(df, model, 4, 5, 3, 2.0, bias, core=core).collect()
+    assert len(got) == 14 * 11
+    for g in got:
+        assert np.allclose(g["probs"], want[:, g["r"], g["c"]], atol=1e-12) and g["pred"] == want[:, g["r"], g["c"]].argmax()
+
+
+def test_newest_delivery_of_a_tile_counts(spark, tmp_path):
+    """Three deliveries over three calls, a snapshot between, and a batch that is lost and comes again."""
+    import shutil
+
+    schema = spark.createDataFrame([], "tile_key string, label int").schema
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda every: {(x["tile_key"], x["cls"]): x["n"] for x in jobs.stream_tiles(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/ckpt", every).collect()}
+    put([("a", 1), ("a", 1), ("a", 255), ("b", 2)])
+    assert run(1) == {("a", 1): 2, ("b", 2): 1}
+    put([("a", 3)])
+    assert run(5) == {("a", 3): 1, ("b", 2): 1}
+    put([("b", 255), ("c", 0)])
+    assert run(5) == {("a", 3): 1, ("c", 0): 1}
+    shutil.rmtree(f"{tmp_path}/out/batches/batch=0")  # held by the snapshot
+    jobs.compact(spark, f"{tmp_path}/out")
+    assert run(5) == {("a", 3): 1, ("c", 0): 1} and jobs.tile_state(spark, f"{tmp_path}/none").isEmpty()
+
+
+def test_outlines_by_hand(spark):
+    """A square with a hole: cells on its edge, inside, in the hole and outside; a sliver within one cell."""
+    ring = lambda g, pts: [(g, *pts[i], *pts[(i + 1) % len(pts)]) for i in range(len(pts))]
+    e = ring(1, [(0.5, 0.5), (6.5, 0.5), (6.5, 6.5), (0.5, 6.5)]) + ring(1, [(1.5, 1.5), (5.5, 1.5), (5.5, 5.5), (1.5, 5.5)]) + ring(2, [(7.1, 7.1), (7.2, 7.1), (7.15, 7.2)])
+    grid = spark.createDataFrame([(i * 8 + j, float(j), float(i), j + 1.0, i + 1.0) for i in range(8) for j in range(8)], "cell_id int, xmin double, ymin double, xmax double, ymax double")
+    got = {(x["cell_id"], x["geom_id"]) for x in KM.outlines_touching(grid, spark.createDataFrame(e, "geom_id int, x1 double, y1 double, x2 double, y2 double"), 3.0).collect()}
+    hole = {(i, j) for i in range(2, 5) for j in range(2, 5)}
+    assert got == {(i * 8 + j, 1) for i in range(7) for j in range(7) if (i, j) not in hole} | {(63, 2)}
+
+
+def test_workers_get_the_package(spark, monkeypatch, tmp_path):
+    from rasterloom.sources import shared
+
+    sent = []
+    context = type("C", (), {"addPyFile": lambda self, name: sent.append(name)})()
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.delenv("PYTHONPATH", raising=False)
+    session = type("S", (), {"sparkContext": context})()
+    shared.ship(session)
+    shared.ship(session)
+    import zipfile
+
+    assert len(sent) == 1 and {"rasterloom/operators/blocks.py", "bench.py"} <= set(zipfile.ZipFile(sent[0]).namelist())
+
+
 def test_blur_reflects_at_the_edges(spark):
-    got = {(x["r"], x["c"]): x["v"] for x in G.blur3(cells(spark, [[0.0, 6.0, 3.0], [9.0, 0.0, 12.0]], "v double"), "v", sigma=1.0).collect()}
+    got = {(x["r"], x["c"]): x["v"] for x in L.blur3(cells(spark, [[0.0, 6.0, 3.0], [9.0, 0.0, 12.0]], "v double"), "v", sigma=1.0).collect()}
     e = math.exp(-0.5)
     k = [e / (1 + 2 * e), 1 / (1 + 2 * e), e / (1 + 2 * e)]
     grid = [[0.0, 6.0, 3.0], [9.0, 0.0, 12.0]]
@@ -207,11 +332,11 @@ def test_dropout_takes_one_to_three_bands(spark):
 def test_projections_there_and_back(spark):
     # Brussels and Kirkenes; the published worked example of the equal-area grid (50 N, 5 E).
     p = spark.createDataFrame([(4.35, 50.85, 31), (30.05, 69.73, 35), (5.0, 50.0, 31)], "lon double, lat double, utm int")
-    x, y = G.geographic_to_laea(F.col("lon"), F.col("lat"))
-    e, n = G.geographic_to_utm(F.col("lon"), F.col("lat"), F.col("utm"))
+    x, y = J.geographic_to_laea(F.col("lon"), F.col("lat"))
+    e, n = J.geographic_to_utm(F.col("lon"), F.col("lat"), F.col("utm"))
     p = p.withColumn("x", x).withColumn("y", y).withColumn("e", e).withColumn("n", n)
-    lon, lat = G.laea_to_geographic(F.col("x"), F.col("y"))
-    lon2, lat2 = G.utm_to_geographic(F.col("e"), F.col("n"), F.col("utm"))
+    lon, lat = J.laea_to_geographic(F.col("x"), F.col("y"))
+    lon2, lat2 = J.utm_to_geographic(F.col("e"), F.col("n"), F.col("utm"))
     for r in p.select("*", lon.alias("lon1"), lat.alias("lat1"), lon2.alias("lon2"), lat2.alias("lat2")).collect():
         assert abs(r["lon1"] - r["lon"]) < 1e-8 and abs(r["lat1"] - r["lat"]) < 1e-8 and abs(r["lon2"] - r["lon"]) < 1e-8 and abs(r["lat2"] - r["lat"]) < 1e-8
         if r["lat"] == 50.0:
@@ -223,12 +348,12 @@ def test_reprojection_equals_brute_force(spark):
     rows = [("a", r, c, (r * 5 + c) % 7, float(r * 10 + c)) for r in range(h) for c in range(w)]
     pixels = spark.createDataFrame(rows, "tile_key string, r int, c int, label int, b double")
     tiles = spark.createDataFrame([("a", 32, 512345.0, 5600000.0, 10.0, h, w)], "tile_key string, utm int, east double, north double, px double, h int, w int")
-    got = {(x["gr"], x["gc"]): (x["label"], x["b"]) for x in G.reproject(pixels, tiles, 10.0, ["label"], ["b"]).collect()}
+    got = {(x["gr"], x["gc"]): (x["label"], x["b"]) for x in J.reproject(pixels, tiles, 10.0, ["label"], ["b"]).collect()}
     # Place of every cell around the tile, by the projections themselves.
     near = spark.range(-40, 40).select(F.col("id").alias("i")).crossJoin(spark.range(-40, 40).select(F.col("id").alias("j")))
-    mid = G.geographic_to_laea(*G.utm_to_geographic(F.lit(512390.0), F.lit(5599940.0), F.lit(32)))
+    mid = J.geographic_to_laea(*J.utm_to_geographic(F.lit(512390.0), F.lit(5599940.0), F.lit(32)))
     near = near.withColumn("gr", F.floor(mid[1] / 10) + F.col("i")).withColumn("gc", F.floor(mid[0] / 10) + F.col("j"))
-    e, n = G.geographic_to_utm(*G.laea_to_geographic(F.col("gc") * 10.0, F.col("gr") * 10.0), F.lit(32))
+    e, n = J.geographic_to_utm(*J.laea_to_geographic(F.col("gc") * 10.0, F.col("gr") * 10.0), F.lit(32))
     want = {}
     for x in near.select("gr", "gc", e.alias("e"), n.alias("n")).collect():
         y, z = (5600000.0 - x["n"]) / 10 - 0.5, (x["e"] - 512345.0) / 10 - 0.5
@@ -331,6 +456,153 @@ def test_multilabel_split_sizes(spark, sf001):
         assert sum(sizes[z].values()) == n and abs(sizes[z].get("train", 0) - n / 1.2) <= 2
 
 
+def one_by_one(items, share):
+    """Iterative stratification of label sets, item by item."""
+    labels = sorted({i for s in items for i in range(16) if s >> i & 1})
+    want = {i: [sum(s >> i & 1 for s in items) * r for r in share] for i in labels}
+    every, left, out = [len(items) * r for r in share], sorted(items), {}
+    while left:
+        count = {i: c for i in labels if (c := sum(s >> i & 1 for s in left))}
+        rare = min(count, key=lambda i: (count[i], i)) if count else None
+        for s in [s for s in left if rare is None or s >> rare & 1]:
+            need = every if rare is None else want[rare]
+            j = max(range(len(share)), key=lambda j: (need[j], every[j], -j))
+            out.setdefault(s, [0] * len(share))[j] += 1
+            every[j] -= 1
+            for i in labels:
+                if s >> i & 1:
+                    want[i][j] -= 1
+        left = [s for s in left if rare is not None and not s >> rare & 1]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_label_sets_are_dealt_as_one_by_one(seed):
+    import random
+
+    r = random.Random(seed)
+    sets = {s: r.choice([1, 2, 7, 40]) for s in (r.choice([0, r.getrandbits(5), r.getrandbits(9)]) for _ in range(r.randint(1, 30)))}
+    items = [s for s, n in sets.items() for _ in range(n)]
+    assert P.allocate_sets(sets, (0.625, 0.25, 0.125)) == one_by_one(items, (0.625, 0.25, 0.125))
+
+
+def test_multilabel_split_shares_every_class(spark):
+    import random
+
+    r = random.Random(1)
+    tiles = [(f"32632_{i}", [c for c in range(6) if r.random() < (0.9, 0.5, 0.3, 0.1, 0.05, 0.01)[c]]) for i in range(900)] + [("x", None)]
+    got = {x["tile_key"]: x["split"] for x in P.multilabel(spark.createDataFrame(tiles, "tile_key string, labels array<int>"), (0.7, 0.2, 0.1)).collect()}
+    assert got.keys() == {t for t, _ in tiles}
+    for c in range(6):
+        of = [got[t] for t, labels in tiles if labels and c in labels]
+        # What a rarer class took of a commoner one is made good by the rest; whole sets leave a tile or two.
+        assert all(abs(of.count(name) - len(of) * share) <= 2 for name, share in zip(P.SPLITS, (0.7, 0.2, 0.1))), (c, of.count("train"), len(of))
+    assert got == {x["tile_key"]: x["split"] for x in P.multilabel(spark.createDataFrame(tiles[::-1], "tile_key string, labels array<int>"), (0.7, 0.2, 0.1)).collect()}
+
+
+@pytest.mark.parametrize("per_range", [50_000, 40])
+def test_top_of_zones_without_a_window_over_a_zone(spark, per_range):
+    import random
+
+    r = random.Random(2)
+    tiles = [(f"t{i:04d}", r.choice("aab"), r.choice([0.0, 0.0, r.random()])) for i in range(800)]
+    df = spark.createDataFrame(tiles, "tile_key string, zone string, entropy double")
+    got = S.top_of(df, spark.createDataFrame([("a", 300), ("b", 7)], "zone string, limit int"), ["zone"], per_range)
+    want = [(k, z, e, i + 1) for zone, n in (("a", 300), ("b", 7)) for i, (k, z, e) in enumerate(sorted((t for t in tiles if t[1] == zone), key=lambda t: (-t[2], t[0]))[:n])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # A table of one range has a constant in its place.
+    assert per_range > 800 or all("__b" in line for line in plan.splitlines() if "row_number()" in line and "Window" in line)
+
+
+def plain_density(vecs, min_size, k):
+    """Clusters by recursion over the sorted full graph: sets of points."""
+    n = len(vecs)
+    d = [[math.dist(a, b) for b in vecs] for a in vecs]
+    core = [sorted(r)[min(k, n - 1)] for r in d]
+    edges = sorted((max(d[i][j], core[i], core[j]), i, j) for i in range(n) for j in range(i + 1, n))
+    group = {i: (frozenset([i]), None) for i in range(n)}  # set, (height, left, right)
+    at = list(range(n))
+    for w, i, j in edges:
+        a, b = at[i], at[j]
+        if a != b:
+            group[a] = (group[a][0] | group[b][0], (w, group[a], group[b]))
+            at = [a if x == b else x for x in at]
+    root = group[at[0]]
+
+    def grow(tree, born):
+        """Stability of the cluster that begins with ``tree``, its two successors, and the clusters chosen below it."""
+        total, best, below = 0.0, 0.0, []
+        while tree[1]:
+            w, x, y = tree[1]
+            gain = (math.inf if w == 0 else 1 / w) - born
+            if len(x[0]) >= min_size and len(y[0]) >= min_size:
+                total += gain * (len(x[0]) + len(y[0]))
+                for t in (x, y):
+                    s, chosen = grow(t, born + gain)
+                    best += s
+                    below += chosen
+                break
+            big = [t for t in (x, y) if len(t[0]) >= min_size]
+            total += gain * sum(len(t[0]) for t in (x, y) if len(t[0]) < min_size)
+            if not big:
+                break
+            tree = big[0]
+        return (best, below) if best > total else (total, [None])
+
+    def clusters(tree):
+        """Sets of the chosen clusters; the root is none."""
+        def mark(tree, born):
+            start = tree[0]
+            s, chosen = grow(tree, born)
+            if chosen == [None]:
+                return [start]
+            while True:
+                w, x, y = tree[1]
+                if len(x[0]) >= min_size and len(y[0]) >= min_size:
+                    return mark(x, 1 / w) + mark(y, 1 / w)
+                tree = x if len(x[0]) >= min_size else y
+
+        while tree[1]:
+            w, x, y = tree[1]
+            if len(x[0]) >= min_size and len(y[0]) >= min_size:
+                return mark(x, 1 / w) + mark(y, 1 / w)
+            big = [t for t in (x, y) if len(t[0]) >= min_size]
+            if not big:
+                return []
+            tree = big[0]
+        return []
+
+    return clusters(root)
+
+
+@pytest.mark.parametrize("n,block", [(240, 64), (60, 1024)])
+def test_density_clusters_equal_plain_ones(spark, monkeypatch, n, block):
+    import random
+
+    monkeypatch.setattr(N, "BLOCK", block)
+    r = random.Random(n)
+    mids = [(0, 0), (4, 1), (1, 5), (5.2, 1.1)]
+    vecs = [tuple(m + r.gauss(0, s) for m in mids[i % 4]) if i % 5 else (r.uniform(-3, 9), r.uniform(-3, 9)) for i in range(n) for s in [(0.3, 0.5, 0.4, 0.2)[i % 4]]]
+    vecs.append(vecs[1])
+    # Many edges weigh a core distance; ties go by the tiles' seeded order.
+    vecs = [v for _, v in sorted((hashlib.md5(f"t{i}".encode()).hexdigest(), v) for i, v in enumerate(vecs))]
+    keys = sorted((f"t{i}" for i in range(len(vecs))), key=lambda k: hashlib.md5(k.encode()).hexdigest())
+    place = {k: i for i, k in enumerate(keys)}
+    got = {x["tile_key"]: x["cluster"] for x in N.density_clusters(spark.createDataFrame([(k, list(v)) for k, v in zip(keys, vecs)], "tile_key string, vec array<double>"), 8, 4).collect()}
+    assert got.keys() == {f"t{i}" for i in range(len(vecs))}
+    sets = {c: {place[t] for t, x in got.items() if x == c} for c in set(got.values()) - {-1}}
+    want = plain_density(vecs, 8, 4)
+    assert len(want) > 1 and -1 in got.values()
+    # Members that fell out of a chosen cluster later on still belong to it.
+    assert sorted(map(sorted, sets.values())) == sorted(map(sorted, want))
+
+
+def test_density_of_few_tiles(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0])], "tile_key string, vec array<double>")
+    assert [tuple(x) for x in N.density_clusters(df, 2).collect()] == [("a", -1)] and N.density_clusters(df.where("false"), 2).count() == 0
+
+
 def test_counts_of_a_stream_without_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     schema = X.predictions(spark, "/root/testdata/sf0.001").select("tile_key", "r", "c", "label", "pred").schema
@@ -371,8 +643,8 @@ def test_tile_with_an_empty_first_row_is_not_empty(spark, monkeypatch):
 
 def test_projection_origin(spark):
     # The grid's origin is 10 E, 52 N; zone 32632's meridian is 9 E.
-    lon, lat = G.utm_to_geographic(F.lit(568649.0), F.lit(5761510.9), F.lit(32))
-    x, y = G.geographic_to_laea(F.lit(10.0), F.lit(52.0))
+    lon, lat = J.utm_to_geographic(F.lit(568649.0), F.lit(5761510.9), F.lit(32))
+    x, y = J.geographic_to_laea(F.lit(10.0), F.lit(52.0))
     r = spark.range(1).select(lon, lat, x, y).first()
     assert abs(r[0] - 10) < 1e-4 and abs(r[1] - 52) < 1e-4
     assert math.isclose(r[2], 4321000.0, abs_tol=1e-3) and math.isclose(r[3], 3210000.0, abs_tol=1e-3)
