@@ -139,6 +139,28 @@ def attach(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "
     return out if how == "inner" else out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def with_numbers(rows: DataFrame, key: str, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with ids as whole numbers that sort as the ids do, and the table of both (``__id, __no``); None if they are whole numbers."""
+    if dict(rows.dtypes)[key] in WHOLE_NUMBERS:
+        return rows.withColumn(key, F.col(key).cast("long")), None
+    ids = rows.select(F.col(key).alias("__id")).where("__id is not null").distinct()
+    names = scratch.keep(ranked(ids, [], ["__id"], scratch, "__no"))
+    return rows.join(names, F.col(key) == F.col("__id"), "left").withColumn(key, F.col("__no")).drop("__id", "__no"), names
+
+
+def with_ids(found: DataFrame, columns: list[str], names: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """``found`` with the ids that its numbers in ``columns`` stand for, whatever the share of one of them."""
+    order = found.columns
+    for c in columns if names is not None else []:
+        found = scratch.keep(found, rows=F.count(F.lit(1)))
+        table = names.join(found.groupBy(F.col(c).alias("__no")).agg(F.count("*").alias("c")), "__no").withColumnRenamed("__no", c)
+        found = attach(found, table, c, found.seen["rows"], "left").withColumn(c, F.col("__id")).drop("__id", "c")
+    return found.select(order)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id of each node with an edge: columns ``node``, ``component``.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, connected_components
+from .common import Scratch, attach, connected_components, with_ids, with_numbers
 
 SAMPLE = 16_384  # vectors that fit the quantisers, at most
 PER_LIST = 512  # vectors of a list, on average, over all labels
@@ -36,6 +36,7 @@ LISTS = 1024  # lists of one level, at most
 SUBSPACES = 8
 CODES = 64
 BLOCK = 1024
+TILE = 1024  # members of a block that a task compares at a time: a million pairs
 STEPS = 8
 
 
@@ -153,10 +154,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMP
     Two vectors link if their labels are equal and not null and their cosine is at
     least ``cosine``. Vectors that are null, empty, zero, or hold null or non-finite
     components link with nothing, nor do those of different lengths, of a null label or
-    with a null vec_id. Each row is a vector: a repeated row links with its repeats.
+    with a null vec_id. Each row is a vector: a repeated row links with its repeats. Ids may be of
+    any type that sorts; vectors of any length count with all their components.
     Other columns are ignored; an empty table gives an empty result.
     """
     scratch = scratch or Scratch(vectors.sparkSession)
+    vectors, names = with_numbers(vectors.select("vec_id", "embedding", "label"), "vec_id", scratch)
     far = float(np.sqrt(2 - 2 * cosine))
 
     def prepare(batches):
@@ -219,27 +222,33 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMP
         links, low = np.zeros(len(v), np.int64), ids.copy()
         if len(v) > 1 and len(mi) and len(qi):
             u, q = _unit(v), spark_bc.value.get(cell["dim"])
-            if q is None:
-                near = np.ones((len(qi), len(mi)), bool)
-            else:
-                codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(len(v), -1)
-                near = q.distances(u[qi], cell["list"], codes[mi]) <= (far + t["err"].to_numpy()[mi] + 1e-6) ** 2
-            if lo == hi:
-                near = np.triu(near, 1)
-            a, b = np.nonzero(near)
-            a, b = qi[a], mi[b]
-            norm = np.sqrt((v * v).sum(1))
-            earlier = _earlier(t["lists"], cell["list"])
-            keep = np.zeros(len(a), bool)
-            for at in range(0, len(a), 1 << 16):
-                x, y = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
-                yes = np.einsum("ij,ij->i", v[x], v[y]) / (norm[x] * norm[y]) >= cosine
-                yes[yes] = ~(earlier[x[yes]] & earlier[y[yes]]).any(1)
-                keep[at:at + (1 << 16)] = yes
-            a, b = a[keep], b[keep]
-            np.add.at(links, a, w[b])
-            np.add.at(links, b, w[a])
-            low = _components(len(v), a, b, ids)
+            codes = None if q is None else np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(len(v), -1)
+            err, norm, earlier = t["err"].to_numpy(), np.sqrt((v * v).sum(1)), _earlier(t["lists"], cell["list"])
+            first, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            # Some members against some others at a time, however large the block is.
+            for i, j in ((i, j) for i in range(0, len(qi), TILE) for j in range(0, len(mi), TILE)):
+                x, y = qi[i:i + TILE], mi[j:j + TILE]
+                near = np.ones((len(x), len(y)), bool) if q is None else q.distances(u[x], cell["list"], codes[y]) <= (far + err[y] + 1e-6) ** 2
+                if lo == hi:
+                    near &= x[:, None] < y
+                a, b = np.nonzero(near)
+                a, b = x[a], y[b]
+                keep = np.zeros(len(a), bool)
+                for at in range(0, len(a), 1 << 16):
+                    x, y = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
+                    yes = np.einsum("ij,ij->i", v[x], v[y]) / (norm[x] * norm[y]) >= cosine
+                    yes[yes] = ~(earlier[x[yes]] & earlier[y[yes]]).any(1)
+                    keep[at:at + (1 << 16)] = yes
+                a, b = a[keep], b[keep]
+                np.add.at(links, a, w[b])
+                np.add.at(links, b, w[a])
+                # Of the links so far one to each component's first member is enough.
+                root = _components(len(v), np.concatenate((first, a)), np.concatenate((root, b)), np.arange(len(v)))
+                first = np.arange(len(v))
+            if len(first):
+                low = ids.copy()
+                np.minimum.at(low, root, ids)
+                low = low[root]
         out = links > 0
         return pa.table({"rid": rid[out], "vec_id": ids[out], "links": links[out], "low": low[out]})
 
@@ -250,9 +259,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMP
     per = same.select("rid", "same", F.col("vec_id").alias("node"), F.col("w").alias("c")).join(counts, "rid", "left").join(comp, "node", "left")
     per = per.where("c > 1 or links is not null or component is not null").select(
         "same", "c", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    return (attach(ids.drop("label", "v"), per, "same", rows.seen["rows"], "left")
-            .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-            .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
+    found = (attach(ids.drop("label", "v"), per, "same", rows.seen["rows"], "left")
+             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+             .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
+    return with_ids(found, ["vec_id", "component_id"], names, scratch)
 
 
 def _earlier(lists: pa.ChunkedArray, which: int) -> np.ndarray:

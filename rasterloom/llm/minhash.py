@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, connected_components
+from .common import Scratch, attach, connected_components, with_ids, with_numbers
 
 K = 256  # retained values of a document, 32 leading bits of each
 KEYS = 32  # retained values that can index a document, all 64 bits of each
@@ -44,6 +44,7 @@ FOLD = 4  # words of 64 bits of a fold
 RISK = 3e-7  # of losing a pair at the threshold, at most, for each filter
 SALT = 2048  # rows of a list that meet in one task, roughly
 BLOCK = 512  # members of a block, at least, where lists are compared block by block
+TILE = 1024  # members of a block that a task compares at a time: a million pairs
 CROWD = 4  # likely pairs for each member of a block, from which their sketches are compared there
 CHUNK = 1 << 20  # bytes of text hashed at a time
 
@@ -281,12 +282,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
     Defined cases: a null or blank text has an empty set, links with nothing and is
     kept; texts of any length count as a whole; repeated rows come back as often as they
-    went in; rows that share a doc_id count as one document; a null doc_id, or one that
-    is no whole number, links with nothing (component null, kept); an empty table gives
+    went in; rows that share a doc_id count as one document; ids may be of any type that
+    sorts; a null doc_id links with nothing (component null, kept); an empty table gives
     an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("string").try_cast("long").alias("doc_id"), "text")
+    docs, names = with_numbers(docs.select("doc_id", "text"), "doc_id", scratch)
     count = F.count(F.lit(1))
     sk = scratch.keep(sketches(docs, words, k).withColumn("rid", F.monotonically_increasing_id()), rows=count)
     rows = sk.seen["rows"]
@@ -307,9 +308,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
     of = heads.join(comp, F.col("doc") == F.col("node"), "left").where("c > 1 or component is not null")
     of = of.select("dig", F.coalesce("component", "doc").alias("component"), "c")
-    return (attach(ids.drop("rid"), of, "dig", rows, "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    found = (attach(ids.drop("rid"), of, "dig", rows, "left")
+             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return with_ids(found, ["doc_id", "component_id"], names, scratch)
 
 
 def _same_id(ids: DataFrame, heads: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
@@ -410,16 +412,29 @@ def _between(cand: DataFrame, comp: DataFrame, tried: DataFrame, percent: int, k
         doc = t["doc"].to_numpy()
         return {"a": np.minimum(doc[a], doc[b]), "b": np.maximum(doc[a], doc[b])}
 
+    def tiles(x: np.ndarray, y: np.ndarray):
+        """A block is compared some members against some others at a time, however large it is."""
+        for i in range(0, len(x), TILE):
+            for j in range(0, len(y), TILE):
+                yield x[i:i + TILE], y[j:j + TILE]
+
     def by_folds(t: pa.Table) -> pa.Table:
         x, y = sides(t)
-        a, b = np.nonzero(_apart(t, x, y, percent) & _folds_agree(t, x, y, percent))
-        if len(a) > CROWD * (len(x) + len(y)):
-            null = pa.nulls(1, pa.int64())
-            return pa.table({"a": null, "b": null, "key": t["key"].slice(0, 1)})
-        return pa.table({**ordered(t, x[a], y[b]), "key": pa.nulls(len(a), pa.int64())})
+        a, b, n = [x[:0]], [y[:0]], 0
+        for u, v in tiles(x, y):
+            i, j = np.nonzero(_apart(t, u, v, percent) & _folds_agree(t, u, v, percent))
+            n += len(i)
+            if n > CROWD * (len(x) + len(y)):
+                null = pa.nulls(1, pa.int64())
+                return pa.table({"a": null, "b": null, "key": t["key"].slice(0, 1)})
+            a.append(u[i])
+            b.append(v[j])
+        return pa.table({**ordered(t, np.concatenate(a), np.concatenate(b)), "key": pa.nulls(n, pa.int64())})
 
     def by_sketches(t: pa.Table) -> pa.Table:
-        return pa.table(ordered(t, *_near_pairs(t, *sides(t), percent, k)))
+        x, y = sides(t)
+        near = [(x[:0], y[:0]), *(_near_pairs(t, u, v, percent, k) for u, v in tiles(x, y))]
+        return pa.table(ordered(t, *map(np.concatenate, zip(*near))))
 
     found = scratch.keep(in_blocks(rows, *FOLDS).applyInArrow(by_folds, "a long, b long, key long"), crowded=F.count("key"))
     pairs = found.where("key is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")

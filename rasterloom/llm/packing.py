@@ -25,6 +25,7 @@ from .common import Scratch, fan_out, prefix_offsets
 from .pieces import CACHE, chunks
 
 UNITS = 128
+SALTS = 64  # buckets, at least, that equal pieces are spread over
 DEPTH = 3
 
 
@@ -85,7 +86,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
@@ -94,18 +95,17 @@ def token_pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            ids = b.column(0).to_pylist()
             rows: list[tuple] = []
-            for lo in range(0, len(ids), 64):
+            for lo in range(0, b.num_rows, 64):
                 texts = [x or "" for x in b.column(1).slice(lo, 64).to_pylist()]
-                for d, x in zip(ids[lo:lo + 64], enc.encode(texts)):
+                for d, x in enumerate(enc.encode(texts), lo):
                     raw = np.append(x, np.uint32(end_id)).astype("<u4").tobytes()
                     n = len(raw) // 4
                     rows += [(d, s, min(window, n - s), zlib.crc32(raw[4 * s:4 * (s + window)]), n) for s in range(0, n, window)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5,
-                                             ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            own, *rest = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), *rest], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("string").try_cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {_PIECES}")
 
 
 def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
@@ -184,13 +184,15 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, scratc
     Returns one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``. Null and empty texts hold the end id alone; texts of any length
     are cut into as many windows as they need; doc_id is passed through, null or repeated
-    (each row is packed by itself), null where it is no whole number; other columns are
+    (each row is packed by itself), of any type; other columns are
     ignored; an empty table gives no pieces.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     per_unit = -(-window // UNITS)
     made = scratch.keep(token_pieces(docs, path, window, end_id)
-                        .withColumn("unit", F.ceil(F.col("length") / per_unit).cast("int")))
+                        .withColumn("unit", F.ceil(F.col("length") / per_unit).cast("int"))
+                        # Written with the pieces, so it does not change; it spreads what is alike.
+                        .withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
     counts = {r[0]: r[1] for r in made.groupBy("unit").count().collect()}  # at most UNITS rows
     buckets = fan_out(sum(counts.values()))
     histogram = np.zeros(UNITS + 1, np.int64)
@@ -210,7 +212,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, scratc
             place += times
         seq += n
 
-    spread = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    spread = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(buckets)).cast("int"))
     sums = spread.groupBy("unit", "bucket").agg(F.count("*").alias("n"))
     offs = prefix_offsets(sums, ["unit"], "bucket", "n", "before").select("unit", "bucket", "before")
     rank = F.row_number().over(Window.partitionBy("unit", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
@@ -232,7 +234,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, scratc
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sid), pa.array(slot)],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
 
-    placed = ranked.mapInArrow(place_all, _PIECES + ", sequence_id long, slot long")
+    placed = ranked.mapInArrow(place_all, f"doc_id {dict(docs.dtypes)['doc_id']}, {_PIECES}, sequence_id long, slot long")
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return (placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
             .drop("slot"))

@@ -162,15 +162,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    # Ids are compared as they are; only where the tables' types differ, as text.
+    same = dict(docs.dtypes)["doc_id"] == dict(chosen.dtypes)["doc_id"]
+    key = lambda c: c if same else c.cast("string")
+    rows = docs.select(key(F.col("doc_id")).alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen.withColumn("doc_id", key(F.col("doc_id")))), "doc_id")  # at most `sample` rows
+    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
         for b in batches:
             x = features(_as_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "quality", "dig", "x"])
 
-    got = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, x array<double>")
-    got = sorted((r[0], r[1], r[2]) for r in got.dropDuplicates(["doc_id"]).collect())
+    dig = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    got = rows.select("doc_id", "text", F.col("quality").cast("int"), dig.alias("dig")).mapInArrow(run, f"doc_id {kind}, quality int, dig string, x array<double>")
+    # Of the texts of one id the one with the smallest digest teaches.
+    got = got.groupBy("doc_id").agg(F.min_by(F.struct("quality", "x"), "dig").alias("r")).select("doc_id", "r.quality", "r.x")
+    got = sorted((r[0], r[1], r[2]) for r in got.collect())
     x = np.array([r[2] for r in got]).reshape(len(got), len(FEATURES))
     return fit(x, np.array([r[1] for r in got], float))
 

@@ -22,17 +22,19 @@ from .common import SPACES, Scratch, attach, whole, word_array
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rates per thousand, each as numerator, denominator; word_len is per hundred.
+SCALE = 1_000_000
+#: Rates, each as numerator and denominator: per million, word_len per hundred.
 RATES = {
-    "symbols": ("1000 * n_symbols", "word_chars"),
-    "dup_lines": ("1000 * n_dup_lines", "n_lines"),
-    "repeats": ("1000 * n_repeat_words", "n_words"),
-    "upper": ("1000 * n_upper", "word_chars"),
+    "symbols": (f"{SCALE} * n_symbols", "word_chars"),
+    "dup_lines": (f"{SCALE} * n_dup_lines", "n_lines"),
+    "repeats": (f"{SCALE} * n_repeat_words", "n_words"),
+    "upper": (f"{SCALE} * n_upper", "word_chars"),
     "word_len": ("100 * word_chars", "n_words"),
 }
-#: The fixed bounds: a fence is at least the first value, and a text with no more than so many
-#: symbols, repeated lines, repeated words or capitals is not rejected for them.
-GUARDS = {"symbols": (10, 4), "dup_lines": (5, 2), "repeats": (20, 40), "upper": (5, 4), "word_len": (0, None)}
+#: What one occurrence adds to a count: a repeated window is three words.
+ONCE = {"symbols": 1, "dup_lines": 1, "repeats": 3, "upper": 1}
+#: Lengths of texts, whose medians tell what one occurrence weighs in a group.
+LENGTHS = ("word_chars", "n_lines", "n_words")
 COUNTS = {"symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words", "upper": "n_upper"}
 BY_LANG = ("upper", "word_len")  # rates that the corpus's sketch does not cap
 SPREADS = 4  # fences lie so many spreads from the median
@@ -108,7 +110,7 @@ def _group(lang: str, source: str) -> Column:
 
 def thresholds(counts: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per ``lang, source`` with its documents ``c``: a fence for each rate, ``high_<rate>``, and ``low_word_len``."""
-    rates = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), _bucket(_rate(r)).alias("bucket")) for r in RATES]))
+    rates = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), _bucket(x).alias("bucket")) for r, x in [*((r, _rate(r)) for r in RATES), *((n, F.col(n)) for n in LENGTHS)]]))
     judged = counts.where(~F.col("base_failed"))
     sketch = judged.select("lang", "source", rates.alias("x")).groupBy("lang", "source", "x.rate", "x.bucket").agg(F.count("*").alias("n"))
     q = scratch.keep(_quantiles(sketch))
@@ -123,16 +125,19 @@ def thresholds(counts: DataFrame, scratch: Scratch) -> DataFrame:
         def pick(what, r=r):
             return F.coalesce(*[F.when(F.col(f"{k}.docs") >= n, F.col(f"{k}.{what}_{r}")) for k, n in (("o", LEAST), ("l", LEAST), ("e", 0))], null)
 
+        def once(length, r=r):
+            # Rounded up, so that it is never nothing.
+            return F.expr(f"{SCALE * ONCE[r]}L") / F.greatest(length, F.lit(1).cast("long")) if r in ONCE else F.lit(0.0)
+
         def cap(k, r=r):
             m = F.col(f"{k}.mid_{r}")
-            return m + CAP_SPREADS * F.greatest(2 * (m - F.col(f"{k}.bottom_{r}")), F.col(f"{k}.high_{r}") - m)
-        mid, spread = pick("mid"), pick("top") - pick("bottom")
+            return m + CAP_SPREADS * F.greatest(2 * (m - F.col(f"{k}.bottom_{r}")), F.col(f"{k}.high_{r}") - m, F.ceil(once(F.col(f"{k}.mid_{RATES[r][1]}"))))
+        mid, spread = pick("mid"), F.greatest(pick("top") - pick("bottom"), pick("high") - pick("mid"))
         by_lang = F.when(F.col("l.docs") >= LEAST, cap("l"))
         caps = [F.coalesce(by_lang, cap("e"))] if r in BY_LANG else [by_lang, cap("e")]
-        upper = F.least(mid + SPREADS * F.greatest(spread, pick("high") - mid), *caps)
-        cols.append(F.greatest(F.lit(GUARDS[r][0]).cast("long"), upper).alias(f"high_{r}"))
+        cols.append(F.least(mid + SPREADS * F.greatest(spread, F.ceil(once(pick("mid", RATES[r][1])))), *caps).alias(f"high_{r}"))
         if r == "word_len":
-            cols.append((mid - SPREADS * F.greatest(spread, F.lit(30).cast("long"))).alias("low_word_len"))
+            cols.append((mid - SPREADS * spread).alias("low_word_len"))
     return out.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.c").alias("c"), *cols)
 
 
@@ -153,7 +158,8 @@ def _quantiles(sketch: DataFrame) -> DataFrame:
 
     return ranked.groupBy(*key).agg(
         F.max("all").alias("docs"),
-        *[quantile(r, p).alias(f"{name}_{r}") for r in RATES for name, p in (("bottom", 25), ("mid", 50), ("top", 75), ("high", 90))])
+        *[quantile(r, p).alias(f"{name}_{r}") for r in RATES for name, p in (("bottom", 25), ("mid", 50), ("top", 75), ("high", 90))],
+        *[quantile(n, 50).alias(f"mid_{n}") for n in LENGTHS])
 
 
 def _spread(counted: DataFrame) -> DataFrame:
@@ -162,8 +168,8 @@ def _spread(counted: DataFrame) -> DataFrame:
 
 
 def _verdict() -> Column:
-    inside = [_rate(r) <= F.col(f"high_{r}") for r in RATES]
-    inside = [x | (F.col(COUNTS[r]) <= GUARDS[r][1]) if r in COUNTS else x for r, x in zip(RATES, inside)]
+    inside = [SCALE * F.col(COUNTS[r]) <= F.col(f"high_{r}") * F.col(RATES[r][1]) + SPREADS * ONCE[r] * SCALE for r in COUNTS]
+    inside.append(_rate("word_len") <= F.col("high_word_len"))
     inside.append(_rate("word_len") >= F.col("low_word_len"))
     ok = ~F.col("base_failed")
     for x in inside:
@@ -197,7 +203,7 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def quality_rules(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: ``doc_id``, the base counts, ``base_failed`` and ``kept``.
 
-    A null or blank text has zero counts and fails the base rule. Null languages and
+    A null, empty or blank text has zero counts and fails the base rule; texts of any length count as a whole. Null languages and
     sources form groups of their own. doc_id is passed through, null or repeated;
     other columns are ignored; an empty table gives an empty result.
     """
@@ -247,12 +253,12 @@ c AS (
   FROM d LEFT JOIN nw USING (k) LEFT JOIN l USING (k) LEFT JOIN rep USING (k)),
 b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    1000 * n_symbols // greatest(word_chars, 1) AS r1, 1000 * n_dup_lines // greatest(n_lines, 1) AS r2,
-    1000 * n_repeat_words // greatest(n_words, 1) AS r3, 1000 * n_upper // greatest(word_chars, 1) AS r4,
+    1000000 * n_symbols // greatest(word_chars, 1) AS r1, 1000000 * n_dup_lines // greatest(n_lines, 1) AS r2,
+    1000000 * n_repeat_words // greatest(n_words, 1) AS r3, 1000000 * n_upper // greatest(word_chars, 1) AS r4,
     100 * word_chars // greatest(n_words, 1) AS r5 FROM c),
 s AS (
   SELECT lang, source, rate, CASE WHEN x < 128 THEN x ELSE (x >> (length(bin(x)) - 7)::INT) << (length(bin(x)) - 7)::INT END AS v, count(*) AS n
-  FROM (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS rate, unnest([r1, r2, r3, r4, r5]) AS x FROM b WHERE NOT base_failed) GROUP BY ALL),
+  FROM (SELECT lang, source, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS rate, unnest([r1, r2, r3, r4, r5, word_chars, n_lines, n_words]) AS x FROM b WHERE NOT base_failed) GROUP BY ALL),
 m AS (
   SELECT level, lang, source, rate, v, sum(n)::BIGINT AS n FROM (
     SELECT 0 AS level, lang, source, rate, v, n FROM s UNION ALL SELECT 1, lang, NULL, rate, v, n FROM s UNION ALL SELECT 2, NULL, NULL, rate, v, n FROM s) GROUP BY ALL),
@@ -261,27 +267,31 @@ u AS (
 q AS (
   SELECT level, lang, source, rate, max(docs) AS docs, min(v) FILTER (100 * upto >= 25 * docs) AS bottom, min(v) FILTER (100 * upto >= 50 * docs) AS mid,
     min(v) FILTER (100 * upto >= 75 * docs) AS top, min(v) FILTER (100 * upto >= 90 * docs) AS high FROM u GROUP BY ALL),
+of(rate, len, once) AS (VALUES (1, 6, 1), (2, 7, 1), (3, 8, 3), (4, 6, 1), (5, 6, 0)),
+qo AS (
+  SELECT q.*, ceil(1000000.0::DOUBLE * once / greatest(n.mid, 1))::BIGINT AS one
+  FROM q JOIN of USING (rate) JOIN q n ON n.rate = of.len AND n.level = q.level AND n.lang IS NOT DISTINCT FROM q.lang AND n.source IS NOT DISTINCT FROM q.source),
 f AS (
-  SELECT g.lang, g.source, rates.rate,
+  SELECT g.lang, g.source, of.rate,
     CASE WHEN o.docs >= 200 THEN o.mid WHEN l.docs >= 200 THEN l.mid ELSE e.mid END AS mid,
-    CASE WHEN o.docs >= 200 THEN o.top - o.bottom WHEN l.docs >= 200 THEN l.top - l.bottom ELSE e.top - e.bottom END AS spread,
-    CASE WHEN o.docs >= 200 THEN o.high WHEN l.docs >= 200 THEN l.high ELSE e.high END AS high,
-    CASE WHEN l.docs >= 200 THEN l.mid + 6 * greatest(2 * (l.mid - l.bottom), l.high - l.mid) END AS cap_lang,
-    e.mid + 6 * greatest(2 * (e.mid - e.bottom), e.high - e.mid) AS cap_all
-  FROM (SELECT DISTINCT lang, source FROM b) g CROSS JOIN (VALUES (1), (2), (3), (4), (5)) rates(rate)
-  LEFT JOIN q o ON o.level = 0 AND o.rate = rates.rate AND o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
-  LEFT JOIN q l ON l.level = 1 AND l.rate = rates.rate AND l.lang IS NOT DISTINCT FROM g.lang
-  LEFT JOIN q e ON e.level = 2 AND e.rate = rates.rate),
+    CASE WHEN o.docs >= 200 THEN greatest(o.top - o.bottom, o.high - o.mid) WHEN l.docs >= 200 THEN greatest(l.top - l.bottom, l.high - l.mid) ELSE greatest(e.top - e.bottom, e.high - e.mid) END AS spread,
+    CASE WHEN o.docs >= 200 THEN o.one WHEN l.docs >= 200 THEN l.one ELSE e.one END AS one,
+    CASE WHEN l.docs >= 200 THEN l.mid + 6 * greatest(2 * (l.mid - l.bottom), l.high - l.mid, l.one) END AS cap_lang,
+    e.mid + 6 * greatest(2 * (e.mid - e.bottom), e.high - e.mid, e.one) AS cap_all
+  FROM (SELECT DISTINCT lang, source FROM b) g CROSS JOIN of
+  LEFT JOIN qo o ON o.level = 0 AND o.rate = of.rate AND o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN qo l ON l.level = 1 AND l.rate = of.rate AND l.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN qo e ON e.level = 2 AND e.rate = of.rate),
 k AS (
-  SELECT lang, source, rate, mid, spread, CASE WHEN mid IS NULL THEN NULL WHEN rate >= 4 THEN least(mid + 4 * greatest(spread, high - mid), coalesce(cap_lang, cap_all))
-    ELSE least(mid + 4 * greatest(spread, high - mid), cap_lang, cap_all) END AS upper FROM f),
+  SELECT lang, source, rate, mid, spread, CASE WHEN mid IS NULL THEN NULL WHEN rate >= 4 THEN least(mid + 4 * greatest(spread, one), coalesce(cap_lang, cap_all))
+    ELSE least(mid + 4 * greatest(spread, one), cap_lang, cap_all) END AS upper FROM f),
 h AS (
-  SELECT lang, source, max(CASE WHEN rate = 1 THEN greatest(10, upper) END) AS h1, max(CASE WHEN rate = 2 THEN greatest(5, upper) END) AS h2,
-    max(CASE WHEN rate = 3 THEN greatest(20, upper) END) AS h3, max(CASE WHEN rate = 4 THEN greatest(5, upper) END) AS h4,
-    max(CASE WHEN rate = 5 THEN greatest(0, upper) END) AS h5, max(CASE WHEN rate = 5 THEN mid - 4 * greatest(spread, 30) END) AS l5
+  SELECT lang, source, max(upper) FILTER (rate = 1) AS h1, max(upper) FILTER (rate = 2) AS h2, max(upper) FILTER (rate = 3) AS h3, max(upper) FILTER (rate = 4) AS h4,
+    max(upper) FILTER (rate = 5) AS h5, max(mid - 4 * spread) FILTER (rate = 5) AS l5
   FROM k GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (r1 <= h1 OR n_symbols <= 4) AND (r2 <= h2 OR n_dup_lines <= 2) AND (r3 <= h3 OR n_repeat_words <= 40)
-    AND (r4 <= h4 OR n_upper <= 4) AND coalesce(r5 <= h5, true) AND coalesce(r5 >= l5, true) AS kept
+  NOT base_failed AND coalesce(1000000 * n_symbols <= h1 * word_chars + 4000000, true) AND coalesce(1000000 * n_dup_lines <= h2 * n_lines + 4000000, true)
+    AND coalesce(1000000 * n_repeat_words <= h3 * n_words + 12000000, true) AND coalesce(1000000 * n_upper <= h4 * word_chars + 4000000, true)
+    AND coalesce(r5 <= h5, true) AND coalesce(r5 >= l5, true) AS kept
 FROM b JOIN h ON h.lang IS NOT DISTINCT FROM b.lang AND h.source IS NOT DISTINCT FROM b.source
 """

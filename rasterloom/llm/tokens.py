@@ -173,7 +173,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     Null texts count as empty (0 tokens); blank texts have 0 tokens; special tokens'
     strings inside a text count one token each; texts of any length count as a whole;
-    doc_id is passed through, null or repeated, null where it is no whole number; other
+    doc_id is passed through, null or repeated, of any type; other
     columns are ignored; an empty table gives an empty result.
     """
 
@@ -198,8 +198,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 [b.column(0), pa.array(size, pa.int64()), pa.array(total), pa.array(total > limit), pa.array(chars)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
 
-    return docs.select(F.col("doc_id").cast("string").try_cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
+        run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
 
 
 def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
@@ -219,8 +219,8 @@ def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
                 [b.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
                 ["doc_id", "ends", "counts"])
 
-    return docs.select(F.col("doc_id").cast("string").try_cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, ends array<long>, counts array<long>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
+        run, f"doc_id {dict(docs.dtypes)['doc_id']}, ends array<long>, counts array<long>")
 
 
 def tokens_within(tables: DataFrame, budget: int) -> DataFrame:

@@ -209,3 +209,41 @@ def test_walk_equals_a_converged_one_and_keeps_small_shares(spark):
     seeds = spark.createDataFrame([("a", url_filters.WHOLE // 10**9)], "host string, seed long")
     got = {r["host"]: r["mass"] / url_filters.WHOLE for r in url_filters._walk(seeds, e, Scratch(spark)).collect()}
     assert got.keys() == want.keys() and all(abs(got[h] / want[h] - 1) < 1e-5 for h in want)
+
+
+def test_a_hub_and_a_host_of_most_pages(spark, monkeypatch):
+    """A hub that most edges leave and a host that most pages share: the same verdicts, and no join by host meets their rows."""
+    from rasterloom.llm import common
+
+    link = '<a href="https://{}/x">x</a>'
+    rows = [(1, "https://bad.org/es/1", ""), (2, "https://hub.info/a", link.format("bad.org") + "".join(link.format(f"h{i}.info") for i in range(60)))]
+    rows += [(100 + i, f"https://h{i}.info/a", link.format("hub.info") if i % 2 else "") for i in range(60)] + [(1000 + i, "https://hub.info/b", "") for i in range(200)] + [(5000, None, None)]
+    plain_ = {r["page_id"]: r["verdict"] for r in url_filters.verdicts(pages(spark, rows)).collect()}
+    monkeypatch.setattr(common, "HOT", 8)
+    monkeypatch.setattr(url_filters, "HOT", 8)
+    hot = {r["page_id"]: r["verdict"] for r in url_filters.verdicts(pages(spark, rows)).collect()}
+    assert hot == plain_ and len(hot) == len(rows)
+    assert all(hot[1000 + i] == "block" for i in range(200)) and hot[101] == "block" and hot[100] == "allow" and hot[5000] == "allow"
+
+
+def test_fences_follow_the_groups(spark):
+    """No rate has one fence everywhere: a group of long texts, of symbols or of repeats has its own."""
+    from rasterloom.llm.common import Scratch
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    rows = []
+    for source, words, symbols, lines in (("short", 60, 0, 3), ("long", 600, 0, 30), ("marked", 60, 4, 3), ("shouting", 60, 0, 3)):
+        for i in range(220):
+            t = [word() + ("#" if k < symbols + i % 2 and symbols else "") for k in range(words)]
+            if source == "shouting":
+                t[:20] = [w.upper() for w in t[:20]]
+            rows.append((len(rows), "\n".join(" ".join(t[k::lines]) for k in range(lines)), "en", source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = quality_rules._spread(quality_rules.with_counts(df).drop("text"))
+    f = {x["source"]: x for x in quality_rules.thresholds(counted, Scratch(spark)).collect()}
+    assert f["long"]["high_symbols"] < f["short"]["high_symbols"] < f["marked"]["high_symbols"]
+    assert f["long"]["high_dup_lines"] < f["short"]["high_dup_lines"] and f["long"]["high_repeats"] < f["short"]["high_repeats"]
+    assert f["shouting"]["high_upper"] > f["short"]["high_upper"]
+    assert all(len({x[f"high_{rate}"] for x in f.values()}) > 1 for rate in quality_rules.RATES)
