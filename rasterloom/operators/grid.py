@@ -109,11 +109,13 @@ def channel_dropout(pixels: DataFrame, n_bands: int, seed: int = 42) -> DataFram
 
 
 def gaussian_noise(pixels: DataFrame, std: float = 0.01, seed: int = 42) -> DataFrame:
-    """Adds normal noise to every band, from two hashes of seed, cell and band by the Box-Muller transform."""
+    """Adds normal noise to every band, from two digests of seed, cell and band by the Box-Muller transform."""
     def unit(k: int, i: Column) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "tile_key", "r", "c", i), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+        """Between 0 (excluded) and 1, in 2 ** 32 steps."""
+        name = F.concat_ws(":", F.lit(f"{seed}:noise{k}"), "tile_key", F.col("r").cast("string"), F.col("c").cast("string"), i.cast("string"))
+        return (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") + 1.0) / 4294967296.0
 
-    return pixels.withColumn("bands", F.transform("bands", lambda x, i: x + std * F.sqrt(-2 * F.log(unit(1, i))) * F.cos(2 * math.pi * unit(2, i))))
+    return pixels.withColumn("bands", F.transform("bands", lambda x, i: x + std * F.sqrt(-2.0 * F.log(unit(1, i))) * F.cos(2 * math.pi * unit(2, i))))
 
 
 def jitter_factor(seed: int, what: str, band: Column, low: float = 0.9, high: float = 1.1) -> Column:

@@ -218,11 +218,15 @@ def g3(s, d):
     return p.join(gone, "tile_key").select("vec_id", (F.round(total, 5) + 0.0).alias("total"), "dropped")
 
 
-@query("g4_gaussian_noise")
+def noise_sql(i):
+    u = lambda k: "((" + HEX.format(f"'42:noise{k}:' || tile_key || ':' || r || ':' || c || ':{i}'") + "::DOUBLE + 1) / 4294967296::DOUBLE)"
+    return f"round(b{i} + 0.01::DOUBLE * sqrt(-2 * ln({u(1)})) * cos({2 * math.pi!r}::DOUBLE * {u(2)}), 6) + 0.0 AS v{i}"
+
+
+@query("g4_gaussian_noise", "SELECT tile_key, r, c, " + ", ".join(map(noise_sql, range(4))) + " FROM fx_labels")
 def g4(s, d):
     """Normal noise on all four bands."""
-    p = G.gaussian_noise(X.banded(s, d).select(*CELL, "bands"))
-    return p.select(*CELL, *[F.get("bands", F.lit(i)).alias(f"v{i}") for i in range(4)])
+    return four(G.gaussian_noise(X.banded(s, d).select(*CELL, "bands")))
 
 
 def factor_sql(what, band):
@@ -410,10 +414,11 @@ def g11_softmax(s, d):
     return X.logits(s, d).select("vec_id", F.posexplode(C.softmax("logits", 2.0)).alias("cls", "p")).withColumn("p", r6("p"))
 
 
-@query("x2_plugged_model")
+@query("x2_plugged_model", "SELECT vec_id, cls::INT AS cls, round(bands[cls + 1] * 2 - bands[cls + 14], 6) + 0.0 AS x FROM fx_embed CROSS JOIN range(13) g(cls)")
 def x2(s, d):
     """A model plugged in as a function of a pixel matrix."""
-    return C.model_scores(X.embed(s, d).select("vec_id", "bands"), lambda x: x[:, :13] * 2.0 - x[:, 13:26])
+    scores = C.model_scores(X.embed(s, d).select("vec_id", "bands"), lambda x: x[:, :13] * 2.0 - x[:, 13:26])
+    return scores.select("vec_id", F.posexplode("logits").alias("cls", "x")).withColumn("x", r6("x"))
 
 
 WINDOWS = """, k AS (SELECT i, j, (i * 3 + j * 5) % 7 - 3 AS k FROM range(3) a(i) CROSS JOIN range(3) b(j)), st AS (SELECT s FROM range(0, 5, 2) g(s)),
