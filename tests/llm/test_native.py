@@ -241,8 +241,9 @@ def test_fences_follow_the_groups(spark):
                 t[:20] = [w.upper() for w in t[:20]]
             rows.append((len(rows), "\n".join(" ".join(t[k::lines]) for k in range(lines)), "en", source))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    counted = quality_rules._spread(quality_rules.with_counts(df).drop("text"))
-    f = {x["source"]: x for x in quality_rules.thresholds(counted, Scratch(spark)).collect()}
+    scratch = Scratch(spark)
+    counted = scratch.keep(quality_rules._spread(quality_rules.with_counts(df).drop("text")))
+    f = {x["source"]: x for x in quality_rules.thresholds(counted, scratch).collect()}
     assert f["long"]["high_symbols"] < f["short"]["high_symbols"] < f["marked"]["high_symbols"]
     assert f["long"]["high_dup_lines"] < f["short"]["high_dup_lines"] and f["long"]["high_repeats"] < f["short"]["high_repeats"]
     assert f["shouting"]["high_upper"] > f["short"]["high_upper"]
