@@ -368,16 +368,16 @@ REPROJECT = """, tl AS (SELECT t.tile_key, t.zone::INT - 32600 AS z, 400000.0::D
  pl AS (SELECT tile_key, gr, gc, (tn - n) / 10 - 0.5 AS y, (e - te) / 10 - 0.5 AS x FROM """ + back_sql("ce", "tile_key, te, tn, gr, gc") + """),
  bl AS (SELECT pl.tile_key, gr, gc, sum(k * b0) / sum(k) AS b0, sum(k * b2) / sum(k) AS b2 FROM (SELECT *, floor(y)::INT + i AS r, floor(x)::INT + j AS c, abs(1 - i - (y - floor(y))) * abs(1 - j - (x - floor(x))) AS k FROM pl CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j)) pl
   JOIN fx_pixels p ON p.tile_key = pl.tile_key AND p.r = pl.r AND p.c = pl.c WHERE k > 0 GROUP BY ALL)
- SELECT pl.tile_key, pl.gr, pl.gc, l.label, round(bl.b0, 1) + 0.0 AS b0, round(bl.b2, 1) + 0.0 AS b2 FROM pl JOIN fx_labels l ON l.tile_key = pl.tile_key AND l.r = floor(y + 0.5)::INT AND l.c = floor(x + 0.5)::INT JOIN bl ON bl.tile_key = pl.tile_key AND bl.gr = pl.gr AND bl.gc = pl.gc"""
+ SELECT pl.tile_key, pl.gr, pl.gc, l.label, CASE WHEN bl.b0 >= 0 THEN round(bl.b0, 2) + 0.0 END AS b0, CASE WHEN bl.b2 >= 0 THEN round(bl.b2, 2) + 0.0 END AS b2 FROM pl JOIN fx_labels l ON l.tile_key = pl.tile_key AND l.r = floor(y + 0.5)::INT AND l.c = floor(x + 0.5)::INT JOIN bl ON bl.tile_key = pl.tile_key AND bl.gr = pl.gr AND bl.gc = pl.gc"""
 
 
 @query("g1_reproject", REPROJECT)
 def g1_reproject(s, d):
-    """All tiles moved from their UTM zones to 10 m cells of the European grid: labels nearest, two bands bilinear."""
+    """All tiles moved from their UTM zones to 10 m cells of the European grid: labels nearest, two bands bilinear (null where the mean takes in nodata)."""
     t = X.tiles(s, d).join(G.extents(X.labels(s, d)), "tile_key")
     t = t.select("tile_key", (F.col("zone").cast("int") - 32600).alias("utm"), (400000.0 + F.col("tile_id") * 400).alias("east"), (5500000.0 + F.col("tile_id") * 300).alias("north"), F.lit(10.0).alias("px"), "h", "w")
     g = J.reproject(X.labels(s, d), t, 10.0, ["label"], ["b0", "b2"])
-    return g.select("tile_key", "gr", "gc", "label", *[(F.round(b, 1) + 0.0).alias(b) for b in ("b0", "b2")])
+    return g.select("tile_key", "gr", "gc", "label", *[F.when(F.col(b) >= 0, F.round(b, 2) + 0.0).alias(b) for b in ("b0", "b2")])
 
 
 @query("a34_bounding_box", "SELECT tile_key, coalesce(min(r) FILTER (label > 9 AND label <> 255), 0) AS lo_r, coalesce(min(c) FILTER (label > 9 AND label <> 255), 0) AS lo_c, coalesce(max(r) FILTER (label > 9 AND label <> 255), max(r)) AS hi_r, coalesce(max(c) FILTER (label > 9 AND label <> 255), max(c)) AS hi_c FROM fx_labels GROUP BY 1")
