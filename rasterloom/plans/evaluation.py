@@ -9,6 +9,7 @@ from ..operators import blocks as L
 from ..operators import cluster as K
 from ..operators import density as N
 from ..operators import metrics as M
+from ..operators import neighbours as NB
 from ..operators import score as C
 from ..operators import split as P
 from ..operators import weights as W
@@ -176,6 +177,22 @@ def m4(s, d):
     return K.kmeans(K.reduce_dimensions(X.embed(s, d), 8), 5, "reduced").select("tile_key", "r", "c", "cluster")
 
 
+@query("m4_nearest_tiles", """, v AS (SELECT tile_key, i, avg(bands[i]) AS x FROM fx_embed CROSS JOIN range(1, 65) g(i) GROUP BY ALL), l AS (SELECT tile_key, sqrt(sum(x * x)) AS l FROM v GROUP BY 1),
+ p AS (SELECT a.tile_key, b.tile_key AS other, round(sum((a.x / la.l - b.x / lb.l) ** 2) / 2, 9) AS d FROM v a JOIN v b ON a.i = b.i AND a.tile_key <> b.tile_key JOIN l la ON la.tile_key = a.tile_key JOIN l lb ON lb.tile_key = b.tile_key GROUP BY ALL),
+ k AS (SELECT tile_key, row_number() OVER (PARTITION BY tile_key ORDER BY d, md5(other))::INT AS k, other, d FROM p) SELECT tile_key, k, other, round(d, 6) + 0.0::DOUBLE AS d FROM k WHERE k <= 15""")
+def m4_nearest(s, d):
+    """The 15 nearest other tiles of each tile, by the cosine of tile means."""
+    n = NB.nearest_tiles(B.tile_means(X.embed(s, d), 64), 15)
+    return n.select("tile_key", "k", "other", r6("d").alias("d"))
+
+
+@query("m4_graph_clusters")
+def m4_graph(s, d):
+    """Density clusters of tile means that a neighbour graph has reduced to two dimensions."""
+    low = NB.reduce_by_neighbours(B.tile_means(X.embed(s, d), 64), 2, 15)
+    return N.density_clusters(low.withColumnRenamed("reduced", "vec"), 5, 3)
+
+
 @query("m5_tile_clusters")
 def m5(s, d):
     """Clusters of tile means; those with fewer than three members are noise."""

@@ -14,6 +14,7 @@ from rasterloom.operators import density as N
 from rasterloom.operators import grid as G
 from rasterloom.operators import hist as H
 from rasterloom.operators import metrics as M
+from rasterloom.operators import neighbours as NB
 from rasterloom.operators import projection as J
 from rasterloom.operators import runs as R
 from rasterloom.operators import score as C
@@ -605,6 +606,105 @@ def test_density_of_few_tiles(spark):
     assert [tuple(x) for x in N.density_clusters(df, 2).collect()] == [("a", -1)] and N.density_clusters(df.where("false"), 2).count() == 0
 
 
+def roll(n, seed=3):
+    """Points of a spiral band in ten dimensions, in the order of their keys' digests, with their keys."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    t, h = 1.5 * np.pi * (1 + 2 * r.random(n)), 12 * r.random(n)
+    x = np.stack([t * np.cos(t), h, t * np.sin(t)], axis=1) @ np.linalg.qr(r.normal(size=(10, 3)))[0].T
+    return sorted((f"t{i}" for i in range(n)), key=lambda k: hashlib.md5(k.encode()).hexdigest()), x, t
+
+
+def vectors(spark, keys, x):
+    return spark.createDataFrame([(k, None if v is None else [float(a) for a in v]) for k, v in zip(keys, x)], "tile_key string, vec array<double>")
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_equal_plain_ones(spark, monkeypatch, block, metric):
+    import numpy as np
+
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(NB, "BLOCK", block)
+    keys, x, _ = roll(130)
+    x[5] = x[77]  # a copy
+    x[9] = 0
+    got = {}
+    for row in NB.nearest_tiles(vectors(spark, keys + ["none"], [*x, None]), 7, metric).collect():
+        got.setdefault(row["tile_key"], {})[row["k"]] = (row["other"], row["d"])
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    v = x / np.where(length > 0, length, 1) if metric == "cosine" else x
+    d = ((v[:, None] - v) ** 2).sum(axis=2)
+    d = np.round(d / 2 if metric == "cosine" else np.sqrt(d), 9)
+    np.fill_diagonal(d, np.inf)
+    assert got.keys() == set(keys)
+    for i, key in enumerate(keys):
+        want = sorted(range(130), key=lambda j: (d[i, j], j))[:7]
+        assert [got[key][k + 1][0] for k in range(7)] == [keys[j] for j in want]
+    assert got[keys[5]][1] == (keys[77], 0.0)
+    assert got[keys[9]][1][1] == (0.5 if metric == "cosine" else round(float(np.sort(length[:, 0])[1]), 9))
+
+
+def test_graph_functions_equal_dense_eigenvectors_and_keep_neighbourhoods(spark):
+    import numpy as np
+
+    keys, x, t = roll(300)
+    points = NB.placed(vectors(spark, keys, x), "euclidean")
+    graph = NB.neighbour_graph(NB.nearest(points, 300, 10, "euclidean"))
+    f, values = NB.graph_functions(NB.written(graph, "graph"), 3, tolerance=1e-3)
+    w = np.zeros((300, 300))
+    for a, b, v in graph.collect():
+        assert w[a, b] == 0
+        w[a, b] = v
+    assert np.array_equal(w, w.T) and w.diagonal().max() == 0 and ((w > 0).sum(axis=1) >= 10).all()
+    g = w.sum(axis=1)
+    value, vec = np.linalg.eigh(w / np.sqrt(np.outer(g, g)))
+    assert values == pytest.approx(value[::-1][1:4], abs=1e-4)
+    got = np.array([row[1:] for row in sorted(f.collect())])
+    for i in range(3):
+        want = vec[:, -2 - i] / np.sqrt(g / g.sum())
+        assert abs(np.corrcoef(got[:, i], want)[0, 1]) > 0.999
+        assert (got[:, i] ** 2 * g).sum() / g.sum() == pytest.approx(1, abs=1e-6)
+    # The first function follows the band better than any principal component.
+    rank = lambda v: np.argsort(np.argsort(v))
+    follows = lambda v: abs(np.corrcoef(rank(v), rank(t))[0, 1])
+    centred = x - x.mean(axis=0)
+    assert follows(got[:, 0]) > max(follows(centred @ v) for v in np.linalg.svd(centred, full_matrices=False)[2][:3])
+
+    def near(v):
+        d = ((v[:, None] - v) ** 2).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        return np.argsort(d, axis=1)[:, :10]
+
+    # All pairs are compared; chance alone keeps 3 % of them.
+    kept = lambda v: np.mean([len(set(a) & set(b)) / 10 for a, b in zip(near(x), near(v))])
+    first = np.linalg.svd(centred, full_matrices=False)[2][0]
+    assert kept(got) > 0.5 and kept(got) > kept((centred @ first)[:, None])
+
+
+def test_reduction_of_parts_copies_and_few_tiles(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(size=(30, 4)) * 0.1, 50 + r.normal(size=(30, 4)) * 0.1, np.full((12, 4), 99.0)])
+    keys = [f"k{i}" for i in range(len(x))]
+    df = vectors(spark, keys + ["none"], [*x, None])
+    low = {row["tile_key"]: row["reduced"] for row in NB.reduce_by_neighbours(df, 2, 5, "euclidean").collect()}
+    assert low.keys() == {*keys, "none"} and low["none"] is None
+    a, b, c = (np.array([low[k] for k in part]) for part in (keys[:30], keys[30:60], keys[60:]))
+    # Three parts without a link between them: a point each, apart from one another.
+    for part in (a, b, c):
+        assert np.ptp(part, axis=0).max() < 0.05
+    assert min(np.linalg.norm(p.mean(axis=0) - q.mean(axis=0)) for p, q in ((a, b), (a, c), (b, c))) > 0.5
+    few = lambda n: [(z["tile_key"], z["reduced"]) for z in NB.reduce_by_neighbours(vectors(spark, keys[:n], x[:n]), 2, 5, "euclidean").collect()]
+    assert few(0) == [] and few(1) == [("k0", [0.0, 0.0])]
+    two = few(2)
+    assert len(two) == 2 and all(len(v) == 2 and v[1] == 0 for _, v in two)
+    with pytest.raises(ValueError):
+        NB.placed(df, "manhattan")
+
+
 def test_counts_of_a_stream_without_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     schema = X.predictions(spark, "/root/testdata/sf0.001").select("tile_key", "r", "c", "label", "pred").schema
