@@ -180,6 +180,18 @@ def test_rules_and_hosts(spark):
     assert url_filters.verdicts(pages(spark, [])).collect() == []
 
 
+def test_each_rule_says_what_its_contract_says(spark):
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {host + path: says for host, path, says in url_filters.RULES} == want
+    rows = [(i, f"https://x.{rule}1", "") for i, rule in enumerate(sorted(want))]
+    got = {r["rule"]: r["verdict"] for r in url_filters.verdicts(pages(spark, rows)).collect()}
+    assert got == want
+    cur = duckdb.connect()
+    cur.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    cur.executemany("insert into pages values (?, ?, ?)", rows)
+    assert dict(cur.execute(f"select rule, verdict from ({url_filters.SQL})").fetchall()) == want
+
+
 def test_distrust_flows_back_and_trust_forward(spark):
     link = '<a href="https://{}/x">x</a>'
     rows = [(1, "https://bad.org/es/1", ""), (2, "https://fan.info/a", link.format("bad.org")), (3, "https://b.example.com/en/7", link.format("good.info")), (4, "https://good.info/a", ""),
