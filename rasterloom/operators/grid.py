@@ -82,9 +82,12 @@ def patches(pixels: DataFrame, size: int, stride: int, mode: str) -> DataFrame:
     return p.drop("h", "w")
 
 
-def flip(pixels: DataFrame, how: str) -> DataFrame:
-    """``h``: columns reversed, ``v``: rows, ``90``/``180``/``270``: turned counter-clockwise."""
-    p = pixels.join(extents(pixels), "tile_key")
+def flip(pixels: DataFrame, how: str, size: tuple[int, int] | None = None) -> DataFrame:
+    """``h``: columns reversed, ``v``: rows, ``90``/``180``/``270``: turned counter-clockwise.
+
+    Within ``size`` (height and width) where all tiles have one, whatever cells they lack; else within each tile's own extent.
+    """
+    p = pixels.join(extents(pixels), "tile_key") if size is None else pixels.withColumns({"h": F.lit(size[0]), "w": F.lit(size[1])})
     r, c, h, w = (F.col(x) for x in ("r", "c", "h", "w"))
     to = {"h": (r, w - 1 - c), "v": (h - 1 - r, c), "90": (w - 1 - c, r), "180": (h - 1 - r, w - 1 - c), "270": (c, h - 1 - r)}[how]
     return p.withColumns({"r": to[0].cast("int"), "c": to[1].cast("int")}).drop("h", "w")
