@@ -96,9 +96,13 @@ def splits_document(doc: DataFrame) -> DataFrame:
         "split", F.explode("keys").alias("tile_key"))
 
 
+#: Bits of what a cell without a pixel holds in array files: a NaN of its own, so pixels that are NaN stay.
+HOLE = 0x7FF8_0000_484F_4C45
+
+
 def decode_arrays(files: DataFrame) -> DataFrame:
-    """``.npy`` contents (``tile_key, content``), height x width x bands, as pixels; a file that does
-    not decode gives one row with its error and no pixel."""
+    """``.npy`` contents (``tile_key, content``), height x width x bands, as pixels without the cells that
+    ``encode_arrays`` had no pixel for; a file that does not decode gives one row with its error and no pixel."""
     import pandas as pd
 
     columns = ["tile_key", "status", "r", "c", "bands"]
@@ -111,8 +115,12 @@ def decode_arrays(files: DataFrame) -> DataFrame:
             h, w, k = a.shape
         except (ValueError, EOFError, OSError) as e:
             return pd.DataFrame([(key, f"error:{type(e).__name__}", None, None, None)], columns=columns)
-        r, c = np.divmod(np.arange(h * w), w)
-        return pd.DataFrame({"tile_key": key, "status": "ok", "r": r, "c": c, "bands": pd.Series(list(a.reshape(h * w, k).astype(float)), dtype=object)})
+        a = a.reshape(h * w, k)
+        at = np.arange(h * w)
+        if k and a.dtype == np.float64:
+            at = at[~(a.view(np.uint64) == HOLE).all(1)]
+        r, c = np.divmod(at, w)
+        return pd.DataFrame({"tile_key": key, "status": "ok", "r": r, "c": c, "bands": pd.Series(list(a[at].astype(float)), dtype=object)})
 
     def run(frames):
         for f in frames:
@@ -123,14 +131,14 @@ def decode_arrays(files: DataFrame) -> DataFrame:
 
 
 def encode_arrays(pixels: DataFrame) -> DataFrame:
-    """One ``.npy`` content per tile from its pixels."""
+    """One ``.npy`` content per tile from its pixels; cells without one are marked."""
     import pandas as pd
 
     def run(f):
         import numpy as np
 
         h, w = int(f["r"].max()) + 1, int(f["c"].max()) + 1
-        a = np.zeros((h, w, len(f["bands"].iloc[0])))
+        a = np.full((h, w, len(f["bands"].iloc[0])), HOLE, np.uint64).view(np.float64)
         a[f["r"], f["c"]] = np.array(f["bands"].tolist())
         out = io.BytesIO()
         np.save(out, a)
