@@ -111,14 +111,18 @@ def channel_dropout(pixels: DataFrame, n_bands: int, seed: int = 42) -> DataFram
     return p.withColumn("bands", F.transform("bands", lambda x, i: F.when(F.array_contains("__drop", i), 0.0).otherwise(x))).drop("__drop")
 
 
-def gaussian_noise(pixels: DataFrame, std: float = 0.01, seed: int = 42) -> DataFrame:
-    """Adds normal noise to every band, from two digests of seed, cell and band by the Box-Muller transform."""
+def gaussian_noise(pixels: DataFrame, std: float = 0.01, seed: int = 42, n_bands: int | None = None) -> DataFrame:
+    """Adds normal noise to every band, from two digests of seed, cell and band by the Box-Muller transform. Where all
+    pixels have ``n_bands``, each band is an expression of its own, which Spark compiles; else a function goes over the array."""
     def unit(k: int, i: Column) -> Column:
         """Between 0 (excluded) and 1, in 2 ** 32 steps."""
         name = F.concat_ws(":", F.lit(f"{seed}:noise{k}"), "tile_key", F.col("r").cast("string"), F.col("c").cast("string"), i.cast("string"))
         return (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") + 1.0) / 4294967296.0
 
-    return pixels.withColumn("bands", F.transform("bands", lambda x, i: x + std * F.sqrt(-2.0 * F.log(unit(1, i))) * F.cos(2 * math.pi * unit(2, i))))
+    noisy = lambda x, i: x + std * F.sqrt(-2.0 * F.log(unit(1, i))) * F.cos(2 * math.pi * unit(2, i))
+    if n_bands is None:
+        return pixels.withColumn("bands", F.transform("bands", noisy))
+    return pixels.withColumn("bands", F.array(*[noisy(F.get("bands", F.lit(i)), F.lit(i)) for i in range(n_bands)]))
 
 
 def jitter_factor(seed: int, what: str, band: Column, low: float = 0.9, high: float = 1.1) -> Column:
@@ -127,6 +131,10 @@ def jitter_factor(seed: int, what: str, band: Column, low: float = 0.9, high: fl
     return low + (high - low) * h / float(0xFFFFFFFF)
 
 
+def _factors(what: str, n_bands: int, seed: int, low: float, high: float) -> Column:
+    return F.array(*[jitter_factor(seed, what, F.lit(i), low, high) for i in range(n_bands)])
+
+
 def brightness(pixels: DataFrame, seed: int = 42, low: float = 0.9, high: float = 1.1) -> DataFrame:
     """Each band of a tile times its factor."""
     return pixels.withColumn("bands", F.transform("bands", lambda x, i: x * jitter_factor(seed, "brightness", i, low, high)))
@@ -134,9 +142,22 @@ def brightness(pixels: DataFrame, seed: int = 42, low: float = 0.9, high: float
 
 def contrast(pixels: DataFrame, n_bands: int, seed: int = 42, low: float = 0.9, high: float = 1.1) -> DataFrame:
     """Distance of each band from its mean in the tile times a factor."""
-    m = pixels.groupBy("tile_key").agg(F.array(*[F.avg(F.get("bands", F.lit(i))) for i in range(n_bands)]).alias("__m"))
+    return brightness_and_contrast(pixels, n_bands, seed, low, high).withColumn("bands", F.col("contrast")).drop("bright", "contrast")
+
+
+def brightness_and_contrast(pixels: DataFrame, n_bands: int, seed: int = 42, low: float = 0.9, high: float = 1.1) -> DataFrame:
+    """Adds ``bright``, the bands of ``brightness``, and ``contrast``, those of ``contrast``.
+
+    Means and factors are made once a tile, and one join by tile brings them to its pixels.
+    """
+    m = pixels.groupBy("tile_key").agg(*[F.avg(F.get("bands", F.lit(i))).alias(f"__m{i}") for i in range(n_bands)])
+    each = [x for i in range(n_bands) for x in (F.get("__b", F.lit(i)).alias(f"__b{i}"), F.get("__k", F.lit(i)).alias(f"__k{i}"))]
+    m = m.withColumns({"__b": _factors("brightness", n_bands, seed, low, high), "__k": _factors("contrast", n_bands, seed, low, high)}).select("tile_key", *[f"__m{i}" for i in range(n_bands)], *each)
+    x, c = lambda i: F.get("bands", F.lit(i)), F.col
     p = pixels.join(m, "tile_key")
-    return p.withColumn("bands", F.transform("bands", lambda x, i: (x - F.get("__m", i)) * jitter_factor(seed, "contrast", i, low, high) + F.get("__m", i))).drop("__m")
+    p = p.withColumns({"bright": F.array(*[x(i) * c(f"__b{i}") for i in range(n_bands)]),
+                       "contrast": F.array(*[(x(i) - c(f"__m{i}")) * c(f"__k{i}") + c(f"__m{i}") for i in range(n_bands)])})
+    return p.select(*pixels.columns, "bright", "contrast")
 
 
 def mosaic(layers: DataFrame, value: str, order: str) -> DataFrame:

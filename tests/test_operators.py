@@ -239,6 +239,17 @@ def test_a_kernel_sees_few_cells_whatever_a_batch_holds(spark):
     assert len(got) == 40 and all(x["c"] == x["d"] == 16384 and x["n"] <= L.TOGETHER for x in got)
 
 
+def test_pixels_are_jittered_without_a_join_by_cell(spark, sf001):
+    """Two readings of the pixels, for the means and for the values, each joined to its tiles once, and one join by tile."""
+    p = QUERIES["g5_brightness_contrast"](spark, sf001)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("Join Inner") == 3 and p.count("Window [") <= 1
+
+
+def test_noise_of_known_bands_is_compiled(spark, sf001):
+    p = QUERIES["g4_gaussian_noise"](spark, sf001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" in p and "transform(" not in p and "lambda" not in p
+
+
 def test_newest_delivery_of_a_tile_counts(spark, tmp_path):
     """Three deliveries over three calls, a snapshot between, and a batch that is lost and comes again."""
     import shutil
