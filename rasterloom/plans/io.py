@@ -35,16 +35,17 @@ def s1b(s, d):
 
 @query("s1_listing", "SELECT tile_key, count(*) AS n FROM (SELECT tile_key, zone, c % 2 AS h FROM fx_pixels GROUP BY ALL) GROUP BY 1")
 def s1_listing(s, d):
-    """Files written below a root, listed with their keys: two text files per tile, and others with another ending."""
+    """Files written below a root, listed with their keys: two text files per tile, and for every tenth tile two with another ending."""
     path = shared_path(s, "listing")
     p = X.pixels(s, d)
-    name = F.concat(F.lit("band_"), "tile_key", F.lit("_"), (F.col("c") % 2).cast("string"))
-    files = p.select(name.alias("name"), "r").distinct()
-    files.select("name", F.col("r").cast("string").alias("value")).repartition("name").write.partitionBy("name").text(path)
+    i = F.substring_index("tile_key", "_", -1).cast("long")
+    files = p.groupBy("tile_key", "zone", (F.col("c") % 2).alias("h")).agg(F.array_join(F.array_sort(F.collect_set("r")), "\n").alias("text"))
+    # Folders of some hundred files each.
+    name = F.concat_ws("/", "zone", F.floor(i / 1000).cast("string"), F.concat_ws("_", F.lit("band"), "tile_key", F.col("h").cast("string")))
+    ends = F.explode(F.when(i % 10 == 0, F.array(F.lit(".txt"), F.lit(".json"))).otherwise(F.array(F.lit(".txt"))))
+    K.write_texts(files.select(name.alias("name"), "text", ends.alias("end")).select(F.concat("name", "end").alias("name"), "text"), path)
     found = R.listing(s, path, (".TXT",)).where("length > 0")
-    # A folder per name; its files are one.
-    keyed = R.manifest(found.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct(), key_generic(F.col("path")), ())
-    return keyed.groupBy("tile_key").agg(F.count("*").alias("n"))
+    return R.manifest(found, key_generic(F.col("path")), ()).groupBy("tile_key").agg(F.count("*").alias("n"))
 
 
 @query("s2_discover", "SELECT path FROM fx_paths WHERE path NOT LIKE '%\\_pred.tif%' ESCAPE '\\' AND path LIKE '%.tif'")

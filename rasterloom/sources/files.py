@@ -4,17 +4,53 @@ from __future__ import annotations
 
 import io
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import key_generic
+from .shared import opened, written
 
 
 def listing(spark: SparkSession, root: str, exts: tuple[str, ...] = (), recursive: bool = True) -> DataFrame:
-    """``path, length, mtime`` of all files under a root, without their content, of given extensions (any case)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
-    files = files.select("path", "length", F.col("modificationTime").alias("mtime"))
-    return of_kind(files, exts) if exts else files
+    """``path, length, mtime`` of all files under a root, without their content, of given extensions (any case).
+
+    Tasks list the folders, level by level, each level as a table, so neither the driver nor one task sees all files; a
+    single folder is listed by one task. As in Spark's readers, names that begin with ``_`` (without ``=``) or ``.`` do not count.
+    """
+    store, top, prefix = opened(spark, root)
+    if store is None:
+        # Only Hadoop knows how to open this kind of path; its listing goes through the driver.
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
+        files = files.select("path", "length", F.col("modificationTime").alias("mtime"))
+        return of_kind(files, exts) if exts else files
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("folder", pa.bool_())])
+
+    def run(batches):
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = [x for x in store.get_file_info(fs.FileSelector(folder)) if x.type in kinds and not hidden(x.base_name)]
+                for i in range(0, len(found), 10_000):
+                    part = found[i:i + 10_000]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([x.path for x in part]), pa.array([x.size for x in part], pa.int64()), pa.array([x.mtime for x in part], schema.field("mtime").type),
+                        pa.array([x.type == fs.FileType.Directory for x in part])], schema=schema)
+
+    kinds = (fs.FileType.File, fs.FileType.Directory)
+
+    def hidden(name: str) -> bool:
+        return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+    files, level = None, spark.createDataFrame([(top,)], "path string")
+    while True:
+        seen = written(level.mapInArrow(run, "path string, length long, mtime timestamp, folder boolean"), "listed")
+        own = seen.where("not folder").select(F.concat(F.lit(prefix), "path").alias("path"), "length", "mtime")
+        files = own if files is None else files.unionByName(own)
+        level = seen.where("folder").select("path")
+        if not recursive or level.isEmpty():
+            return of_kind(files, exts) if exts else files
+        level = level.repartition(4 * spark.sparkContext.defaultParallelism)
 
 
 def of_kind(files: DataFrame, exts: tuple[str, ...]) -> DataFrame:

@@ -8,6 +8,8 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +36,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def opened(spark: SparkSession, root: str) -> tuple[fs.FileSystem | None, str, str]:
+    """How tasks open ``root`` without Spark: the file system (None: only Hadoop can), the path in it, and what such paths lack to be whole ones."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    if uri.startswith("file:"):
+        path = "/" + uri[len("file:"):].lstrip("/")
+        return fs.LocalFileSystem(), path, "file:"
+    try:
+        store, path = fs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return None, root, ""
+    return store, path, uri.removesuffix(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package, and the module beside it, to Python workers that would not find it.
 

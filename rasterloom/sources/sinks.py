@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import opened
+
 
 def write_tiles(pixels: DataFrame, path: str) -> None:
     """Pixels as one table partitioned by zone, sorted so that row groups cover few tiles."""
@@ -16,6 +19,30 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def write_texts(files: DataFrame, root: str) -> None:
+    """A text file per row (``name``, which may lie in folders below the root, and ``text``), written by the tasks themselves: no
+    file is moved at the end, and what a lost task leaves is written again."""
+    spark = files.sparkSession
+    store, top, _ = opened(spark, root)
+    if store is None:
+        raise ValueError(f"tasks cannot write files to {root}")
+
+    def run(batches):
+        made, n = set(), 0
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                folder = f"{top}/{name}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                with store.open_output_stream(f"{top}/{name}") as out:
+                    out.write(text.encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    files.select("name", "text").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     if kind == "csv":
         df.write.option("header", True).csv(path)

@@ -799,3 +799,22 @@ def test_plans(spark, sf001):
     i = W.cumulative(X.tiles(spark, sf001).select("tile_key", F.lit(5).alias("mass")))
     for df in (W.draw(i, draws, 50), G.patches(labels.withColumn("r", F.lit(1)).withColumn("c", F.lit(1)), 8, 6, "pad_edge")):
         assert "BroadcastNestedLoopJoin" not in plan(df) and "CartesianProduct" not in plan(df)
+
+
+def test_listing_is_made_by_tasks(spark, tmp_path):
+    """No file index of the driver holds the files; what counts is what Spark's own reader finds."""
+    root = str(tmp_path / "a b")
+    texts = spark.range(60).select(F.format_string("z%d/x/band_32633_%d.%s", F.col("id") % 3, "id", F.when(F.col("id") % 4 == 0, "json").otherwise("TxT")).alias("name"),
+                                   F.repeat(F.lit("é"), F.col("id").cast("int")).alias("text"))
+    sinks.write_texts(texts, root)
+    for extra in ("_SUCCESS", ".hidden.txt", "_z/in.txt", "k=1/_n=2.txt", "top.txt"):
+        (tmp_path / "a b" / extra).parent.mkdir(exist_ok=True)
+        (tmp_path / "a b" / extra).write_text("1")
+    got = files.listing(spark, root)
+    assert not [f for f in got.inputFiles() if "band_" in f]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).selectExpr("path", "length", "modificationTime as mtime")
+    ms = lambda df: sorted((r["path"], r["length"], int(r["mtime"].timestamp() * 1000)) for r in df.collect())
+    assert ms(got.where("length > 0")) == ms(reader.where("length > 0")) and got.count() == 62
+    assert files.listing(spark, root, (".txt",)).count() == 47
+    assert files.listing(spark, root, recursive=False).count() == 1
+    assert (tmp_path / "a b" / "z1" / "x" / "band_32633_7.TxT").read_text() == "é" * 7
