@@ -160,9 +160,18 @@ def robust_stretch(pixels: DataFrame, n_bands: int, nodata: float = NODATA, low:
     x = lambda i: F.get("bands", F.lit(i)).cast("double")
     valid = lambda v: F.coalesce(finite(v) & (v != nodata), F.lit(False))
     ok = lambda i: valid(x(i))
-    q = exact_percentiles(pixels, n_bands, [low, high], valid, most)
-    q = q.groupBy("tile_key").agg(*[F.max(F.when(F.col("band") == i, F.col("q"))).alias(f"q{i}") for i in range(n_bands)])
-    t = pixels.join(q, "tile_key", "left")
+    own = pixels.columns
+    # A count of pixels needs no cell, so it is far cheaper than the pixels; of large tiles there is one per ``most`` pixels at most.
+    large = written(pixels.groupBy("tile_key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("tile_key"), "large")
+    some = not large.isEmpty()
+    small = pixels.join(F.broadcast(large), "tile_key", "left_anti") if some else pixels
+    tile = Window.partitionBy("tile_key")  # at most ``most`` rows
+    t = small.select(*own, *[F.percentile(F.when(ok(i), x(i)), F.array(F.lit(low), F.lit(high))).over(tile).alias(f"q{i}") for i in range(n_bands)])
+    if some:
+        rest = pixels.join(F.broadcast(large), "tile_key", "left_semi")
+        q = exact_percentiles(rest, n_bands, [low, high], valid, most)
+        q = q.groupBy("tile_key").agg(*[F.max(F.when(F.col("band") == i, F.col("q"))).alias(f"q{i}") for i in range(n_bands)])
+        t = t.unionByName(rest.join(F.broadcast(q), "tile_key", "left").select(t.columns))
     out = []
     for i in range(n_bands):
         lo, hi = F.get(f"q{i}", F.lit(0)), F.get(f"q{i}", F.lit(1))

@@ -148,6 +148,22 @@ def test_stretch_of_a_band_without_spread_and_of_no_numbers(spark):
     assert [got[c][1] for c in range(6)] == [0.0, 1.0, 0.5, 0.0, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("most", [10, 100, 10_000])
+def test_stretch_sees_pixels_once_and_narrows_large_tiles_only(spark, most):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = {t: rng.normal(size=(n, 2)) for t, n in (("a", 60), ("b", 300), ("c", 7))}
+    df = spark.createDataFrame([(t, i, 0, v.tolist()) for t, x in data.items() for i, v in enumerate(x)], "tile_key string, r int, c int, bands array<double>")
+    out = B.robust_stretch(df, 2, most=most)
+    assert most < 300 or "Join" not in plan(out)
+    got = {(x["tile_key"], x["r"]): x["bands"] for x in out.collect()}
+    assert len(got) == 367
+    for t, x in data.items():
+        lo, hi = np.quantile(x, [0.02, 0.98], axis=0)
+        assert np.allclose([got[t, i] for i in range(len(x))], np.clip((x - lo) / (hi - lo), 0, 1), rtol=0, atol=1e-12), t
+
+
 @pytest.mark.parametrize("most", [10, 300, 10_000])
 def test_percentiles_by_narrowing_equal_sorting(spark, most, monkeypatch):
     import numpy as np
