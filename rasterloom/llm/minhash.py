@@ -33,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, attach, connected_components, with_ids, with_numbers
@@ -267,10 +267,22 @@ def _near(a: str, b: str, na, nb, percent: int, k: int):
     return F.get(F.transform(F.array(F.array_size(both)), test), F.lit(0))
 
 
-def _estimated(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    both = (pairs.join(docs.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma")), "a")
-            .join(docs.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb")), "b"))
-    return both.where(_near("ma", "mb", F.col("na"), F.col("nb"), percent, k)).select("a", "b")
+def _mins(ids: DataFrame, cand: DataFrame, sk: DataFrame) -> DataFrame:
+    """``doc, n, mins`` of the documents in ``ids``. Sketches of others do not move; ids are broadcast up to some 8 MB of them."""
+    near = F.broadcast if ids.seen["rows"] <= 1_000_000 else lambda df: df
+    some = near(cand.join(near(ids), "doc", "left_semi").select("rid", "doc", "n"))
+    return sk.select("rid", "mins").join(some, "rid").select("doc", "n", "mins")
+
+
+def _estimated(pairs: DataFrame, cand: DataFrame, sk: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
+    """Pairs ``a, b`` whose sketches are near, kept."""
+    pairs = scratch.keep(pairs)
+    ids = scratch.keep(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), rows=F.count(F.lit(1)))
+    docs = _mins(ids, cand, sk)
+    both = pairs.join(docs.toDF("a", "na", "ma"), "a").join(docs.toDF("b", "nb", "mb"), "b")
+    out = scratch.keep(both.where(_near("ma", "mb", F.col("na"), F.col("nb"), percent, k)).select("a", "b"))
+    scratch.drop(pairs, ids)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, scratch: Scratch | None = None) -> DataFrame:
@@ -294,17 +306,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     ids = scratch.keep(sk.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("dig")).alias("dig")))
     heads = scratch.keep(ids.where("dig is not null").groupBy("dig").agg(F.min("doc_id").alias("doc"), F.min_by("rid", "doc_id").alias("rid"), count.alias("c")))
     cand = _candidates(sk, heads, percent, scratch)
-    scratch.drop(sk)
-
-    star = scratch.keep(_estimated(_first_and_last(cand, percent), cand, percent, k))
+    star = _estimated(_first_and_last(cand, percent), cand, sk, percent, k, scratch)
     edges = _verify(star, docs, words, percent, scratch).unionByName(_same_id(ids, heads, rows, scratch))
     comp = connected_components(edges, scratch)
-    if (more := _between(cand, comp, star, percent, k, scratch)) is not None:
+    if (more := _between(cand, sk, comp, star, percent, k, scratch)) is not None:
         late = _verify(more, docs, words, percent, scratch)
         if late.seen["rows"]:
             comp = connected_components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(late), scratch)
         scratch.drop(more, late)
-    scratch.drop(cand, star)
+    scratch.drop(cand, sk, star)
 
     of = heads.join(comp, F.col("doc") == F.col("node"), "left").where("c > 1 or component is not null")
     of = of.select("dig", F.coalesce("component", "doc").alias("component"), "c")
@@ -326,7 +336,7 @@ def _same_id(ids: DataFrame, heads: DataFrame, rows: int, scratch: Scratch) -> D
 
 
 def _candidates(sk: DataFrame, heads: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Documents that share enough retained values with others: ``doc, n``, fold, ``mins`` and
+    """Documents that share enough retained values with others: ``rid, doc, n``, fold and
     ``prefix``, the values that index it, each with the number ``c`` of its documents."""
     kr = sk.select("rid", "n", "keys").join(heads.select("rid", "doc"), "rid")
     kr = scratch.keep(kr, values=F.sum(F.size("keys")))
@@ -340,7 +350,7 @@ def _candidates(sk: DataFrame, heads: DataFrame, percent: int, scratch: Scratch)
     t = F.least(F.lit(_least(KEYS, j)), F.ceil(size * percent / 100).cast("int"))
     prefix = F.slice("p", F.lit(1), F.greatest(F.size("p") - t + 1, F.lit(0)))
     shared = shared.select("rid", prefix.alias("prefix")).where(F.size("prefix") > 0)
-    out = shared.join(sk.select("rid", F.col("doc_id").alias("doc"), *_LONGS, "mins"), "rid").drop("rid")
+    out = shared.join(sk.select("rid", F.col("doc_id").alias("doc"), *_LONGS), "rid")
     out = scratch.keep(out, values=F.sum(F.size("prefix")))
     scratch.drop(kr, counts)
     return out
@@ -353,19 +363,23 @@ def _lists(cand: DataFrame, columns: list[str] = FOLDS) -> DataFrame:
 
 
 def _first_and_last(cand: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` of each list's first and last member with its others, if likely. Long
-    lists are dealt to several tasks by a salt, to each of which their first and last go."""
-    rows = _lists(cand)
-    parts = F.ceil(F.col("c") / SALT).cast("int")
+    """Pairs ``a`` < ``b`` of each list's first and last member with its others, if likely. Lists of up to ``SALT`` rows
+    move once, by their key; longer ones are dealt to several tasks by a salt, to each of which their first and last go."""
     member = F.struct("doc", *_LONGS)
-    lead = rows.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi"), F.max("c").alias("c")).where("lo.doc <> hi.doc")
-    lead = lead.select("key", "c", F.explode(F.array("lo", "hi")).alias("l")).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "l.*")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), parts).cast("int"))
-    return (rows.alias("y").join(lead.alias("x"), ["key", "salt"]).where((F.col("x.doc") != F.col("y.doc")) & _likely("x", "y", percent))
+    rows = _lists(cand).select("key", "c", member.alias("y"))
+    short, rows = rows.where(F.col("c") <= SALT), rows.where(F.col("c") > SALT)
+    own = Window.partitionBy("key")  # at most SALT rows
+    short = short.select("y", F.min("y").over(own).alias("lo"), F.max("y").over(own).alias("hi")).select("y", F.explode(F.array("lo", "hi")).alias("x"))
+    parts = F.ceil(F.col("c") / SALT).cast("int")
+    lead = rows.groupBy("key").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.max("c").alias("c")).where("lo.doc <> hi.doc")
+    lead = lead.select("key", "c", F.explode(F.array("lo", "hi")).alias("x")).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "x")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("y.doc"), parts).cast("int"))
+    met = short.unionByName(rows.join(lead, ["key", "salt"]).select("y", "x"))
+    return (met.where((F.col("x.doc") != F.col("y.doc")) & _likely("x", "y", percent))
             .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct())
 
 
-def _between(cand: DataFrame, comp: DataFrame, tried: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame | None:
+def _between(cand: DataFrame, sk: DataFrame, comp: DataFrame, tried: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame | None:
     """Pairs of different components within the lists whose sketches are near, ``a`` < ``b``,
     without those ``tried``; None if no list has several.
 
@@ -438,14 +452,15 @@ def _between(cand: DataFrame, comp: DataFrame, tried: DataFrame, percent: int, k
 
     found = scratch.keep(in_blocks(rows, *FOLDS).applyInArrow(by_folds, "a long, b long, key long"), crowded=F.count("key"))
     pairs = found.where("key is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = _estimated(pairs, cand, percent, k)
+    out = _estimated(pairs, cand, sk, percent, k, scratch)
     if found.seen["crowded"]:
         crowded = lists.join(found.where("key is not null").select("key").distinct(), "key", "left_semi").select("key", "c")
-        whole = cand.select("doc", "n", "mins", F.transform("prefix", lambda x: x["key"]).alias("by"))
-        again = attach(rows.drop(*FOLDS), crowded, "key", values).join(whole, ["doc", "n"])
+        again = scratch.keep(attach(rows.drop(*FOLDS), crowded, "key", values))
+        ids = scratch.keep(again.select("doc").distinct(), rows=F.count(F.lit(1)))
+        by = cand.select("doc", "n", F.transform("prefix", lambda x: x["key"]).alias("by")).join(ids, "doc", "left_semi")
+        again = again.join(_mins(ids, cand, sk), ["doc", "n"]).join(by, ["doc", "n"])
         again = in_blocks(again, "mins", "by").applyInArrow(by_sketches, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.unionByName(again).distinct()
-    out = scratch.keep(pairs)
+        out = scratch.keep(out.unionByName(again).distinct())
     scratch.drop(rows, lists, found)
     return out
 

@@ -63,6 +63,16 @@ def test_large_lists_are_dealt_out_and_compared_in_blocks(spark, monkeypatch):
     assert result(spark, rows, 2) == brute(rows, 2, 80)
 
 
+def test_sketches_are_written_once_and_move_for_paired_documents_only(spark, monkeypatch):
+    kept, asked, keep, mins = [], [], M.Scratch.keep, M._mins
+    monkeypatch.setattr(M.Scratch, "keep", lambda self, df, **seen: (kept.append(df.columns), keep(self, df, **seen))[1])
+    monkeypatch.setattr(M, "_mins", lambda ids, *a: (asked.append(ids.seen["rows"]), mins(ids, *a))[1], raising=False)
+    rows = near_copies(9, 40, 5) + [(1000 + i, t) for i, t in near_copies(10, 60, 60)]
+    assert result(spark, rows, 2) == brute(rows, 2, 80)
+    assert sum("mins" in c for c in kept) == 1
+    assert asked and max(asked) < len(rows)
+
+
 def test_crowded_blocks_give_the_same_as_pairs(spark, monkeypatch):
     rows = near_copies(7, 150, 2, common=30) + [(1000 + i, t) for i, t in near_copies(8, 60, 60, common=60)]
     want = brute(rows, 2, 80)
